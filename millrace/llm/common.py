@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +19,15 @@ FOLDS = 5
 SLICE_CHARS = 2_000_000
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers started from now on find this package where the driver found it."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = f"{root}:{env.get('PYTHONPATH', '')}".rstrip(":")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -75,3 +85,9 @@ def columns_of(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[list[
     for b in batches:
         if b.num_rows:
             yield [b.column(n).to_pylist() for n in names]
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of plans that nothing refers to any more; tables were written instead."""
+    gc.collect()
+    spark._jvm.System.gc()

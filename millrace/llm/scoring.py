@@ -63,3 +63,19 @@ def score_rows(df: DataFrame, features: Features, trees, cut: float, text: str =
                 yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), b.column("held_out").slice(i, j - i), pa.array(score), pa.array((score >= cut).astype(np.int32))], ["id", "held_out", "score", "predicted"])
 
     return slim.mapInArrow(run, f"id {id_type}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+
+
+def rows_below(df: DataFrame, features: Features, trees, cut: float, text: str = "text") -> DataFrame:
+    """The rows of df, all columns as they are, whose score is below cut."""
+    shared = df.sparkSession.sparkContext.broadcast((features, trees))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features, trees = shared.value
+        for b in batches:
+            texts = [t or "" for t in b.column(text).to_pylist()]
+            for i, j in slices(texts):
+                low = np.round(trees.score(features(texts[i:j])), 9) < cut
+                if low.any():
+                    yield b.slice(i, j - i).filter(pa.array(low))
+
+    return df.mapInArrow(run, df.schema)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import gbdt
 from .common import slices
-from .scoring import FIT_ROWS, fit_matrix, fit_sample, score_rows
+from .scoring import FIT_ROWS, fit_matrix, fit_sample, rows_below, score_rows
 from .textstats import DIGIT, NEWLINE, PUNCT, SYMBOL, UPPER, class_counts
 
 CUT = 0.5
@@ -141,3 +141,8 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc
 def score(df: DataFrame, model: Model, text: str = "text", id_col: str = "doc_id", cut: float = CUT) -> DataFrame:
     """(id, held_out, score, predicted) of every row."""
     return score_rows(df, model.lexicon.features, model.trees, cut, text, id_col)
+
+
+def accepted(df: DataFrame, model: Model, text: str = "text", cut: float = CUT) -> DataFrame:
+    """The rows of df that aren't predicted toxic, with all their columns."""
+    return rows_below(df, model.lexicon.features, model.trees, cut, text)

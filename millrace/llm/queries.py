@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, langid, mixing, ngram_join, quality, secrets, toxicity
+from . import bpe, fingerprint, langid, mixing, ngram_join, quality, secrets, toxicity, warc
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(table(spark, sf_dir, "pages"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -52,9 +56,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_mixing": op5_mixing,
     "op6_quality": op6_quality,
+    "op7_warc": op7_warc,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_language": op9_language,
     "op10_secrets": op10_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS d FROM pages),
+     top AS (SELECT d, max(page_id) AS top_id FROM p GROUP BY d)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           CAST(1 + ((CAST('0x' || substr(d || '0', CAST((5 * i) // 4 + 1 AS INTEGER), 2) AS INTEGER) >> CAST(3 - i % 4 AS INTEGER)) & 31) AS INTEGER), 1)), '') AS payload_digest,
+       CASE WHEN page_id = top_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = top_id THEN NULL ELSE top_id END AS refers_to
+FROM p JOIN top USING (d)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op7_warc": OP7_SQL}

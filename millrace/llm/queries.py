@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, langid, mixing, ngram_join, quality, secrets, toxicity, warc
+from . import bpe, fingerprint, langid, media, mixing, ngram_join, quality, secrets, toxicity, warc
 from .common import table
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.describe(media.store(table(spark, sf_dir, "documents")))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_media": op2_media,
     "op3_fingerprints": op3_fingerprints,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_mixing": op5_mixing,

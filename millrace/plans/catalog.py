@@ -1,11 +1,8 @@
-"""Registered queries and their SQL: name -> f(spark, sf_dir), name -> DuckDB SQL."""
+"""All registered queries and their SQL: name -> f(spark, sf_dir), name -> DuckDB SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import relational_queries, streaming_queries, text_queries
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = text_queries.QUERIES | relational_queries.QUERIES | streaming_queries.QUERIES
+ORACLE_SQL = text_queries.SQL | relational_queries.SQL | streaming_queries.SQL

@@ -1,0 +1,38 @@
+"""A custom source: consecutive numbers in as many partitions as asked for."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+
+class Part(InputPartition):
+    def __init__(self, begin: int, end: int) -> None:
+        self.begin, self.end = begin, end
+
+
+class NumbersReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]) -> None:
+        self.rows, self.parts = int(options.get("rows", 0)), int(options.get("parts", 1))
+
+    def partitions(self) -> list[Part]:
+        return [Part(self.rows * k // self.parts, self.rows * (k + 1) // self.parts) for k in range(self.parts)]
+
+    def read(self, partition: Part) -> Iterator[tuple[int, int]]:
+        for k in range(partition.begin, partition.end):
+            yield k, k * k
+
+
+class Numbers(DataSource):
+    """spark.dataSource.register(Numbers); spark.read.format("numbers").option("rows", ..).option("parts", ..).load()"""
+
+    @classmethod
+    def name(cls) -> str:
+        return "numbers"
+
+    def schema(self) -> str:
+        return "n bigint, square bigint"
+
+    def reader(self, schema: object) -> NumbersReader:
+        return NumbersReader(self.options)

@@ -2,6 +2,7 @@
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from millrace.operators import packing
 
@@ -44,7 +45,7 @@ def test_bfd_keeps_all_tokens_and_fits(spark):
 
 def test_blocks_conserve_tokens(spark):
     for sizes in ([1], [L], [L - 1, 1], [L + 1], [1] * 200, [3 * L, 5, L]):
-        df = docs(spark, sizes).withColumn("source", docs(spark, sizes).source.substr(1, 1))
+        df = docs(spark, sizes).withColumn("source", F.lit("s"))
         got = sorted((r.chunk, r.ntok) for r in packing.pack_spans(df, L).collect())
         assert [n for _, n in got] == list(packing.blocks_of(iter(sizes), L))
         assert sorted((r.chunk, r.ntok) for r in packing.pack_global(df, L).collect()) == got

@@ -21,6 +21,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,7 +62,7 @@ def parse_avi(data: bytes) -> tuple[int, list[bytes]]:
     """(microseconds of a frame, the video frames in order) of an AVI file, by its index where it has one."""
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("no AVI file")
-    us, movi, index, at, end = 0, None, None, 12, 8 + unpack_from("<I", data, 4)[0]
+    us, movi, index, at, end = 0, None, None, 12, min(len(data), 8 + unpack_from("<I", data, 4)[0])
     while at + 8 <= end:
         name, n = data[at : at + 4], unpack_from("<I", data, at + 4)[0]
         kind = data[at + 8 : at + 12]
@@ -180,7 +181,7 @@ def describe(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             files = b.column("media")
-            for i, j in _groups([len(x) for x in files]):
+            for i, j in _groups(pc.binary_length(files).to_pylist()):
                 own, out = files.slice(i, j - i).to_pylist(), []
                 for m, (us, planes) in zip(own, _decoded(own), strict=True):
                     payload = planes.tobytes()
@@ -201,7 +202,7 @@ def clips(df: DataFrame, media: str = "media", id_col: str = "doc_id") -> DataFr
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             files = b.column("media")
-            for i, j in _groups([len(x) for x in files]):
+            for i, j in _groups(pc.binary_length(files).to_pylist()):
                 rows = []
                 for key, (us, planes) in zip(b.column("id").slice(i, j - i), _decoded(files.slice(i, j - i).to_pylist()), strict=True):
                     rows += [(key.as_py(), k, *shot) for k, shot in enumerate(shots(planes, us))]

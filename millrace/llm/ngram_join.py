@@ -12,10 +12,13 @@ link have one of those in common, so each shared one is a cell and no link is
 lost. The order puts shingles that many sets list last, which empties the
 cells of passages that many documents share.
 
-Only connectivity is wanted, so pairs are verified in two rounds: first each
-point's best partner, then, between different components of the first, every
-pair that passes the bound. Cells larger than BLOCK are dealt to tasks by
-pairs of blocks.
+Only connectivity is wanted, so it is found in two rounds. First every point
+goes, with its text, to its home, the cell of most points among its own (cut
+into blocks of HOME_SHINGLES shingles); there all pairs that pass the bound and
+aren't connected yet are verified at once. Then all cells are gone through by
+counts alone, for pairs of different homes and different components; those are
+verified by their texts. Cells larger than BLOCK are dealt to tasks by pairs of
+blocks.
 
 Defined cases: null and empty texts and texts without a word have no shingle
 and are linked with nothing; equal sets are one point; rows that share an id
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import release, slices, spread, written
+from .common import release, remove, slices, spread, written
 from .components import components
 from .shingles import shingle_sets
 
@@ -44,6 +47,8 @@ PERCENT = 85
 GROUPS = 128
 #: Most members of a cell, or of a pair of blocks of one, in a task.
 BLOCK = 8192
+#: Shingles of the sets that one task compares at home, about.
+HOME_SHINGLES = 1_500_000
 #: A shingle listed by more sets than this, or by more than one in a million of all listings, goes last.
 FREQUENT = 48
 FANOUT = 16
@@ -95,19 +100,6 @@ def _shingled(df: DataFrame, words: int, percent: int, frequent=None) -> DataFra
     return df.mapInArrow(run, "id bigint, n bigint, h1 bigint, h2 bigint, point binary, keys array<bigint>")
 
 
-def _sets(df: DataFrame, words: int) -> DataFrame:
-    """(id, shingles binary) of every row."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            for i, j in slices(texts):
-                out = [s.tobytes() for s in shingle_sets([t or "" for t in texts[i:j]], words)]
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), pa.array(out, pa.binary())], ["id", "shingles"])
-
-    return df.mapInArrow(run, "id bigint, shingles binary")
-
-
 class Tree:
     """Packed R-tree over count vectors; a node keeps the largest counts, the sizes and components it spans."""
 
@@ -136,24 +128,73 @@ class Tree:
         return self.order[nodes], bound
 
 
-def _cell_pairs(n, points, root, side, percent: int, best: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, score) of members of one cell that pass the bound; best: one for each i at most."""
+def _cell_pairs(n, points, root, side, home, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of members of one cell that pass the bound, of different homes and components."""
     left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(n)),) * 2
     if not len(left) or not len(right):
         return
     tree = Tree(points[right], n[right], root[right])
     for i in left.tolist():
-        found, bound = tree.search(points[i], n[i], root[i], percent)
+        found = right[tree.search(points[i], n[i], root[i], percent)[0]]
+        found = found[(home[found] != home[i]).any(1)]
         if len(found):
-            found = right[found]
-            if best:
-                k = bound.argmax()
-                found, bound = found[k : k + 1], bound[k : k + 1]
-            yield np.full(len(found), i), found, 2 * bound / (n[i] + n[found])
+            yield np.full(len(found), i), found
+
+
+def _at_home(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """Links of the sets that join components, enough to connect all that do link."""
+    n = np.array([len(s) for s in sets])
+    points = _points([_point(s) for s in sets])
+    where = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum(n)
+    root, marked = np.arange(len(sets)), np.zeros(int(where.max()) + 1, np.int32)
+    tree = Tree(points, n, root)
+    for i in range(len(sets)):
+        found = tree.search(points[i], n[i], -1, percent)[0]
+        found = found[(found > i) & (root[found] != root[i])]
+        if not len(found):
+            continue
+        own = where[ends[i] - n[i] : ends[i]]
+        marked[own] = 1
+        sizes = n[found]
+        begins = np.cumsum(sizes) - sizes
+        flat = np.arange(int(sizes.sum())) - np.repeat(begins, sizes) + np.repeat(ends[found] - sizes, sizes)
+        both = np.add.reduceat(marked[where[flat]], begins)
+        marked[own] = 0
+        for j in found[100 * both >= percent * (n[i] + sizes - both)].tolist():
+            if root[j] != root[i]:
+                root[root == root[j]] = root[i]
+                yield i, j
+
+
+def _home_links(dealt: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b) from rows (home, block, id, text), each home's block in one run."""
+
+    def links(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        found = list(_at_home(sets, percent)) if len(sets) > 1 else []
+        a, b = ([ids[p[k]] for p in found] for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, sets = None, [], []
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            keys = list(zip(b.column("home").to_pylist(), b.column("block").to_pylist(), strict=True))
+            own = b.column("id").to_pylist()
+            for i, j in slices(texts):
+                for key, id_, s in zip(keys[i:j], own[i:j], shingle_sets(texts[i:j], words), strict=True):
+                    if key != now:
+                        yield links(ids, sets)
+                        now, ids, sets = key, [], []
+                    ids.append(id_)
+                    sets.append(s)
+        yield links(ids, sets)
+
+    return dealt.mapInArrow(run, "a bigint, b bigint")
 
-def _pairs(members: DataFrame, percent: int, best: bool) -> DataFrame:
-    """(a, b, score) from members (cell, x, y, side, id, n, root, point), each cell's part together and sorted."""
+
+def _pairs(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b) from members (cell, x, y, side, id, n, root, home, block, point), each cell's part together and sorted."""
 
     def cells(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
         """Tables that end where a cell ends."""
@@ -179,66 +220,55 @@ def _pairs(members: DataFrame, percent: int, best: bool) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in cells(batches):
             ids, n, root, side, cell, x, y = (t[c].to_numpy() for c in ("id", "n", "root", "side", "cell", "x", "y"))
-            points = _points(t["point"].to_pylist())
+            points, home = _points(t["point"].to_pylist()), np.stack([t["home"].to_numpy(), t["block"].to_numpy()], 1)
             starts = np.concatenate([[0], np.flatnonzero((cell[1:] != cell[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1])
             sizes = np.diff(np.append(starts, len(ids)))
             which = np.repeat(np.arange(len(starts)), sizes)
             small = (sizes <= SMALL)[which]
-            got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            got: list[tuple[np.ndarray, np.ndarray]] = []
             for d in range(1, min(SMALL, len(ids))):
                 i = np.flatnonzero(small[:-d] & (which[:-d] == which[d:]) & (root[:-d] != root[d:]))
-                i = i[(100 * np.minimum(n[i], n[i + d]) >= percent * np.maximum(n[i], n[i + d])) & ((x[i] == y[i]) | (side[i] != side[i + d]))]
+                i = i[(100 * np.minimum(n[i], n[i + d]) >= percent * np.maximum(n[i], n[i + d])) & ((x[i] == y[i]) | (side[i] != side[i + d])) & (home[i] != home[i + d]).any(1)]
                 for k in range(0, len(i), 20_000):
                     part = i[k : k + 20_000]
                     bound = np.minimum(points[part], points[part + d]).sum(1, dtype=np.int64)
                     ok = (100 + percent) * bound >= percent * (n[part] + n[part + d])
-                    got.append((part[ok], part[ok] + d, (2 * bound / (n[part] + n[part + d]))[ok]))
+                    got.append((part[ok], part[ok] + d))
             for s, m in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
                 e = s + m
-                for i, j, score in _cell_pairs(n[s:e], points[s:e], root[s:e], side[s:e], percent, best):
-                    got.append((i + s, j + s, score))
+                for i, j in _cell_pairs(n[s:e], points[s:e], root[s:e], side[s:e], home[s:e], percent):
+                    got.append((i + s, j + s))
             if got:
-                i, j, score = (np.concatenate(c) for c in zip(*got, strict=True))
-                a, b = ids[i], ids[j]
-                if best:
-                    a, b, score = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([score, score])
-                else:
-                    a, b = np.minimum(a, b), np.maximum(a, b)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(score)], ["a", "b", "score"])
+                i, j = (np.concatenate(c) for c in zip(*got, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], ["a", "b"])
 
-    return members.mapInArrow(run, "a bigint, b bigint, score double")
+    return members.mapInArrow(run, "a bigint, b bigint")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets link, made from their texts (id, text)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            keep = []
-            for p, q in zip(t.column("p").to_pylist(), t.column("q").to_pylist(), strict=True):
-                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                both = len(np.intersect1d(p, q, True))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
+            keep, left, right = [], t.column("p").to_pylist(), t.column("q").to_pylist()
+            for i, j in slices(left):
+                for p, q in zip(shingle_sets(left[i:j], words), shingle_sets(right[i:j], words), strict=True):
+                    both = len(np.intersect1d(p, q, True))
+                    keep.append(100 * both >= percent * (len(p) + len(q) - both))
             kept = t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
             if kept.num_rows:
                 yield kept
 
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("p")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("q")), "b")
-    return both.select("a", "b", "p", "q").mapInArrow(run, "a bigint, b bigint")
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("p")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("q")), "b")
+    return both.select("a", "b", "p", "q").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _dealt(members: DataFrame, points: DataFrame, all_blocks: bool) -> DataFrame:
+def _dealt(members: DataFrame, points: DataFrame) -> DataFrame:
     """members (cell, id, many, root) with their points, each cell, or pair of its blocks, in one sorted run."""
     blocks = F.ceil(F.col("many") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("id", F.lit("block")), blocks).cast("int")
-    m = members.withColumn("blocks", blocks).withColumn("mine", mine)
-    if all_blocks:
-        m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    else:
-        m = m.withColumn("other", F.col("mine"))
+    m = members.withColumn("mine", F.pmod(F.xxhash64("id", F.lit("block")), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     m = m.select("cell", "id", "root", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
-    m = m.join(points.select("id", "n", "point"), "id")
-    return m.repartition("cell", "x", "y").sortWithinPartitions("cell", "x", "y", "n", "id")
+    return m.join(points, "id").repartition("cell", "x", "y").sortWithinPartitions("cell", "x", "y", "n", "id")
 
 
 def jaccard_components(df: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -257,36 +287,37 @@ def jaccard_components(df: DataFrame, text: str = "text", id_col: str = "doc_id"
     shingled = written(_shingled(docs, words, percent, frequent), "shingled")
     classes = written(shingled.filter("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep")), "classes")
     reps = shingled.join(classes.select("h1", "h2", F.col("rep").alias("id")), ["h1", "h2", "id"], "left_semi").dropDuplicates(["id", "h1", "h2"])
-    points = written(reps.select("id", "n", "point", "keys"), "points")
-    release(spark)
-
-    many = F.count("*").over(W.partitionBy("cell"))
-    members = points.select("id", F.explode("keys").alias("cell")).withColumn("many", many).filter("many > 1")
+    same = W.partitionBy("cell")
+    members = reps.select("id", "n", F.explode("keys").alias("cell")).withColumn("many", F.count("*").over(same)).withColumn("mass", F.sum("n").over(same)).filter("many > 1").drop("n")
     members = written(members, "members")
-    needed = written(members.select("id").distinct(), "needed")
     release(spark)
-    sets = written(_sets(docs.join(needed, "id", "left_semi"), words), "sets")
+    # home: of a point's cells the one with most points
+    homes = members.groupBy("id").agg(F.max(F.struct("many", "cell", "mass")).alias("h"))
+    homes = homes.select("id", F.col("h.cell").alias("home"), F.pmod(F.xxhash64("id", F.lit("home")), F.ceil(F.col("h.mass") / HOME_SHINGLES)).alias("block"))
+    points = written(reps.select("id", "n", "point").join(homes, "id"), "points")
+    sized = written(shingled.select("id", "n", "h1", "h2"), "sized")
+    remove(shingled)
+    texts = written(docs.filter("text is not null").join(points.select("id"), "id", "left_semi"), "texts")
     release(spark)
 
-    # first round: each point with its best partner
-    first = _pairs(_dealt(members.withColumn("root", F.col("id")), points, False), percent, True)
-    first = first.groupBy("a").agg(F.max(F.struct("score", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-    first = written(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "first")
-    links = written(_verified(first, sets, percent), "links")
+    # first round: all pairs of one home
+    dealt = texts.join(points.select("id", "home", "block"), "id").repartition("home", "block").sortWithinPartitions("home", "block", "id")
+    links = written(_home_links(dealt, words, percent), "links")
+    release(spark)
     roots = written(components(links), "roots")
     release(spark)
 
-    # second round: all pairs that pass the bound between different components of one cell
+    # second round: pairs of other homes that pass the bound, between different components of one cell
     rooted = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = rooted.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("cell")
-    rest = _pairs(_dealt(rooted.join(mixed, "cell", "left_semi"), points, True), percent, False).select("a", "b").distinct()
-    rest = written(rest.join(first, ["a", "b"], "left_anti"), "rest")
+    rest = written(_pairs(_dealt(rooted.join(mixed, "cell", "left_semi"), points), percent).distinct(), "rest")
     release(spark)
-    more = _verified(rest, sets, percent)
-    roots = written(components(links.unionByName(more)), "roots")
+    more = written(_verified(rest, texts, words, percent), "links")
+    remove(texts, points, members, listings)
     release(spark)
+    roots = written(components(links.unionByName(more)), "roots")
 
-    out = shingled.select("id", "n", "h1", "h2").join(classes, ["h1", "h2"], "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    out = sized.join(classes, ["h1", "h2"], "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("root", "rep", "id")).alias("component_id"))
 
 

@@ -4,8 +4,8 @@ Writing: pages of equal payload are one response, that with the largest id,
 and revisits of it. A response whose HTTP block is longer than SEGMENT bytes
 becomes a first segment and continuation records; bodies use the chunked
 transfer encoding. Archives are text files that end records with an empty
-line, written by Spark's own sink into the shared folder; records and so files
-are bounded.
+line, written and compressed by Spark's own sink into the shared folder; records
+and so files are bounded.
 
 Reading: files are parsed by content length; continuation records are brought
 together by their origin's identifier and ordered by segment number, streamed
@@ -25,6 +25,7 @@ import hashlib
 import re
 from base64 import b32encode
 from collections.abc import Iterable, Iterator
+from gzip import decompress as gunzip
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -118,10 +119,11 @@ def write_archives(pages: DataFrame, path: str, html: str = "html", url: str = "
     ids = rows.filter("sha is not null").select("id", "sha")
     top = ids.groupBy("sha").agg(F.max("id").alias("top"), F.count("*").alias("n")).filter("n > 1")
     shared = ids.join(top, "sha").select(F.col("id").alias("own"), F.col("sha").alias("own_sha"), "top").distinct()  # ids and digests only
-    placed = rows.join(shared, F.col("id").eqNullSafe(F.col("own")) & (F.col("sha") == F.col("own_sha")), "left")
-    number = F.row_number().over(W.partitionBy("id", "sha").orderBy("url")) - 1
-    placed = placed.withColumn("number", number)
-    revisit = F.col("own_sha").isNotNull() & ((F.col("number") > 0) | ~F.col("id").eqNullSafe(F.col("top")))
+    # one key for join and window, so that texts are dealt once
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null")).alias("name")
+    placed = rows.select("*", name("id")).join(shared.select(name("own"), F.col("own_sha").alias("sha"), "top", F.lit(True).alias("shared")), ["name", "sha"], "left")
+    placed = placed.withColumn("number", F.row_number().over(W.partitionBy("name", "sha").orderBy("url")) - 1)
+    revisit = F.col("shared").isNotNull() & ((F.col("number") > 0) | ~F.col("id").eqNullSafe(F.col("top")))
     placed = placed.select("id", "number", "html", "url", revisit.alias("revisit"), "top")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +135,7 @@ def write_archives(pages: DataFrame, path: str, html: str = "html", url: str = "
                     out.extend(records_of(f"{name(r['id'])}:{r['number']}", r["url"], r["html"].encode(), f"{name(r['top'])}:0" if r["revisit"] else None))
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
-    placed.mapInArrow(run, "value string").write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    placed.mapInArrow(run, "value string").write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -161,7 +163,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             for content in b.column("content"):
                 rows, size = [], 0
-                for f, block in parse(content.as_py()):
+                data = content.as_py()
+                for f, block in parse(gunzip(data) if data[:2] == b"\x1f\x8b" else data):
                     total = f.get("warc-segment-total-length")
                     rows.append((f.get("warc-segment-origin-id", f["warc-record-id"]), int(f.get("warc-segment-number", 0)), f["warc-type"], f.get("warc-refers-to"), f.get("warc-payload-digest"), int(total) if total else None, block))
                     size += len(block)

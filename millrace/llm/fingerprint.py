@@ -74,8 +74,8 @@ def edited(text: Column, next_text: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - half), F.substring(next_text, F.lit(1), half))
 
 
-def _with_next(df: DataFrame, carried: list[str]) -> DataFrame:
-    """(id, text, ..) with next_<column> of the row that follows by descending id, after the last the first.
+def _with_next(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """(id, text) with name, value made from the text, and both of the row that follows by descending id as next_text, next_<name>; after the last comes the first.
 
     Ids are cut into buckets of neighbours, by quantiles and evenly between
     them; the first row of a bucket also stands, marked, at the end of the
@@ -106,16 +106,17 @@ def _with_next(df: DataFrame, carried: list[str]) -> DataFrame:
     firsts = rows.join(F.broadcast(largest), (F.col("bucket") == F.col("own")) & F.col("id").eqNullSafe(F.col("top")))
     # of several rows with a bucket's largest id the first by text
     firsts = firsts.withColumn("at", F.row_number().over(W.partitionBy("own").orderBy("text"))).filter("at = 1")
-    both = rows.select("*", F.lit(0).alias("copy")).unionByName(firsts.select(*df.columns, F.col("to").alias("bucket"), F.lit(1).alias("copy")))
+    # the value is made here, once for each row, not before the first rows are picked out
+    both = rows.select("id", "text", "bucket", F.lit(0).alias("copy"), value.alias(name)).unionByName(firsts.select("id", "text", F.col("to").alias("bucket"), F.lit(1).alias("copy"), value.alias(name)))
     follows = W.partitionBy("bucket").orderBy("copy", *order)
-    both = both.select("*", *[F.lead(c).over(follows).alias(f"next_{c}") for c in carried])
+    both = both.select("*", *[F.lead(c).over(follows).alias(f"next_{c}") for c in ("text", name)])
     return both.filter("copy = 0").drop("copy", "bucket")
 
 
 def compare_with_next(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row."""
     rows = spread(df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")))
-    rows = _with_next(rows.withColumn("print", sketch(F.col("text"))), ["text", "print"])
+    rows = _with_next(rows, "print", sketch(F.col("text")))
     rows = rows.withColumn("edited", edited(F.col("text"), F.col("next_text")))
     rows = rows.select("id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "print", "next_print", sketch(F.col("edited")).alias("edited_print"))
     return rows.select(

@@ -21,6 +21,7 @@ ids and positions, so reruns agree.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -33,8 +34,8 @@ SHARD = 4096
 WEIGHTS = (5, 2, 1)
 #: No source, and no document, is taken more often than this.
 EPOCHS = 3
-#: Rows of a bucket, about.
-BUCKET_ROWS = 20_000
+#: Least rows of a bucket, about; of n rows a bucket holds the square root of n where that is more.
+BUCKET_ROWS = 1_000
 #: Cells of a guide table for locating values in intervals.
 CELLS = 1024
 
@@ -82,6 +83,11 @@ def _located(rows: DataFrame, value: str, owners: DataFrame, low: str, count: st
     return found.filter((F.col(value) >= F.col(low)) & (F.col(value) < F.col(low) + F.col(count))).drop("cell")
 
 
+def _buckets(rows: int) -> int:
+    """So many that neither a bucket nor the list of a source's buckets is long."""
+    return max(1, rows // max(BUCKET_ROWS, isqrt(rows)))
+
+
 @dataclass
 class Mix:
     sources: DataFrame  # source, idx, size, target, blocks, quota
@@ -105,7 +111,7 @@ def plan(docs: DataFrame, block: int = BLOCK, shard: int = SHARD) -> Mix:
 
     # where each document begins in its source: documents by bucket, within it by id and size
     placed = docs.join(sources.select(F.col("source").alias("name"), "idx"), F.col("source").eqNullSafe(F.col("name"))).drop("name")
-    placed = placed.withColumn("bucket", F.pmod(hashed("doc", "id"), F.lit(max(1, n_docs // BUCKET_ROWS))))
+    placed = placed.withColumn("bucket", F.pmod(hashed("doc", "id"), F.lit(_buckets(n_docs))))
     inside = W.partitionBy("idx", "bucket").orderBy("id", "size").rowsBetween(W.unboundedPreceding, -1)
     buckets = placed.groupBy("idx", "bucket").agg(F.sum("size").alias("n"))
     buckets = buckets.select("idx", "bucket", F.coalesce(F.sum("n").over(W.partitionBy("idx").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("low"))
@@ -135,7 +141,7 @@ def plan(docs: DataFrame, block: int = BLOCK, shard: int = SHARD) -> Mix:
     # places of blocks in their source's permutation: by bucket of the hash, within it by the hash
     each = _located(spark.range(n_blocks).withColumnRenamed("id", "v"), "v", sources.select("idx", "blocks", "block_low"), "block_low", "blocks", n_blocks)
     each = each.select("idx", (F.col("v") - F.col("block_low")).alias("block")).withColumn("h", hashed("block", "idx", "block"))
-    each = each.withColumn("bucket", F.pmod("h", F.lit(max(1, n_blocks // BUCKET_ROWS))))
+    each = each.withColumn("bucket", F.pmod("h", F.lit(_buckets(n_blocks))))
     heads = each.groupBy("idx", "bucket").agg(F.count("*").alias("n"))
     heads = heads.select("idx", "bucket", F.coalesce(F.sum("n").over(W.partitionBy("idx").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("low"))
     place = F.row_number().over(W.partitionBy("idx", "bucket").orderBy("h", "block"))

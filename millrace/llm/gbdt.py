@@ -43,8 +43,9 @@ class Trees:
 
 
 def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: float = 0.15, l2: float = 1.0, least: int = 10) -> Trees:
-    """Newton boosting of the log loss. Labels of one kind, or no rows, give a constant."""
+    """Newton boosting of the log loss; leaves hold `least` rows, fewer for fits on a few hundred. Labels of one kind, or no rows, give a constant."""
     n, width = x.shape
+    least = max(2, min(least, n // 50))
     share = (y.sum() + 0.5) / (n + 1)
     base, inner, leaves = float(np.log(share / (1 - share))), (1 << depth) - 1, 1 << depth
     if n < 2 * least or y.min() == y.max():

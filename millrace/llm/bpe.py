@@ -25,10 +25,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, spread
+from .common import spread, text_slices
 
 #: Pre-tokens whose ids a worker keeps; beyond it the cache starts anew, results don't depend on it.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 300_000
 #: Longer pre-tokens aren't kept.
 CACHE_CHARS = 64
 #: Bits in a word of the lower bitmap.
@@ -204,9 +204,8 @@ def encode_documents(df: DataFrame, ranks_path: str, pattern: str, text: str = "
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _worker_codec(shared, pattern)
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for i, j in slices(texts):
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), pa.array(codec.encode_all(texts[i:j]), pa.binary())], ["id", "ids"])
+            for i, j, texts in text_slices(b):
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), pa.array(codec.encode_all(texts), pa.binary())], ["id", "ids"])
 
     return slim.mapInArrow(run, f"id {id_type}, ids binary").withColumnRenamed("id", id_col)
 

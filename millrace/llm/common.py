@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import gc
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: crc32(id) mod FOLDS == 0 is held out from every fit.
 FOLDS = 5
 #: Python loops take a batch apart into slices of about so many characters.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 600_000
 
 
 def importable(spark: SparkSession) -> None:
@@ -73,23 +74,23 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
     return F.coalesce(F.crc32(c.cast("string")) % FOLDS == 0, F.lit(False))
 
 
-def slices(texts: list[str | None], most: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
-    """[from, to) ranges over texts that hold about `most` characters each, one text at least."""
+def ranges(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """[from, to) ranges of about `most` in all, one item at least."""
     begin = size = 0
-    for k, t in enumerate(texts):
-        n = len(t) if t else 0
+    for k, n in enumerate(sizes):
         if k > begin and size + n > most:
             yield begin, k
             begin, size = k, 0
         size += n
-    if begin < len(texts):
-        yield begin, len(texts)
+    if begin < len(sizes):
+        yield begin, len(sizes)
 
 
-def columns_of(batches: Iterable[pa.RecordBatch], *names: str) -> Iterator[list[list]]:
-    for b in batches:
-        if b.num_rows:
-            yield [b.column(n).to_pylist() for n in names]
+def text_slices(batch: pa.RecordBatch, most: int = SLICE_CHARS, column: str = "text") -> Iterator[tuple[int, int, list[str]]]:
+    """(from, to, texts) of a batch, about `most` bytes of text at a time; null texts are empty. Only these become Python strings at once."""
+    texts = batch.column(column)
+    for i, j in ranges(pc.binary_length(texts).fill_null(0).to_pylist(), most):
+        yield i, j, [t or "" for t in texts.slice(i, j - i).to_pylist()]
 
 
 def release(spark: SparkSession) -> None:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, slices, spread
+from .common import held_out, spread, text_slices
 
 BUCKETS = 1 << 15
 #: About so many documents of each language are learned from; all count for the priors.
@@ -125,9 +125,8 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "do
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs() -> Iterator[tuple[list, list]]:
             for b in batches:
-                texts, langs = b.column("text").to_pylist(), b.column("lang").to_pylist()
-                for i, j in slices(texts, 300_000):
-                    yield texts[i:j], langs[i:j]
+                for i, j, texts in text_slices(b, 300_000):
+                    yield texts, b.column("lang").slice(i, j - i).to_pylist()
 
         for k, row in _count(pairs()):
             at = np.flatnonzero(row)
@@ -151,9 +150,8 @@ def predict(df: DataFrame, model: Model, text: str = "text", id_col: str = "doc_
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for i, j in slices(texts, 1_000_000):
-                lang, score = shared.value.score(texts[i:j])
+            for i, j, texts in text_slices(b):
+                lang, score = shared.value.score(texts)
                 yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), b.column("held_out").slice(i, j - i), pa.array(lang, pa.string()), pa.array(score)], ["id", "held_out", "lang_pred", "score"])
 
     return slim.mapInArrow(run, f"id {id_type}, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)

@@ -26,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jpeg
-from .common import slices, spread
+from .common import ranges, spread, text_slices
 
 WIDTH = HEIGHT = 24
 SAMPLES = WIDTH * HEIGHT
 FILL = 255
 FRAME_MS = 40
+#: Files are decoded together until they have so many bytes.
+GROUP_BYTES = 2_000_000
 #: A cut: the histogram's change is above FLOOR and above the mean of the last WINDOW changes by SPREAD deviations.
 WINDOW, SPREAD, FLOOR, BINS = 12, 3.0, 0.12, 32
 
@@ -137,9 +139,8 @@ def store(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFram
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for i, j in slices(texts, 1_500_000):
-                raw = [t.encode() for t in texts[i:j]]
+            for i, j, texts in text_slices(b, 1_000_000):
+                raw = [t.encode() for t in texts]
                 whole = [filled(x) for x in raw]
                 planes = np.frombuffer(b"".join(whole), np.uint8).reshape(-1, SAMPLES)
                 frames, at, media = jpeg.encode(planes, WIDTH, HEIGHT), 0, []
@@ -162,17 +163,6 @@ def _decoded(media: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
         yield us, np.stack(own) if own else np.zeros((0, 0), np.uint8)
 
 
-def _groups(sizes: list[int], most: int = 2_500_000) -> Iterator[tuple[int, int]]:
-    begin = total = 0
-    for k, n in enumerate(sizes):
-        if k > begin and total + n > most:
-            yield begin, k
-            begin, total = k, 0
-        total += n
-    if begin < len(sizes):
-        yield begin, len(sizes)
-
-
 def describe(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_id", "n_bytes")) -> DataFrame:
     """keep, and what reading the stored files back gives: the payload's figures, the file's and its features."""
     slim = df.select(*keep, F.col(media).alias("media"))
@@ -181,7 +171,7 @@ def describe(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             files = b.column("media")
-            for i, j in _groups(pc.binary_length(files).to_pylist()):
+            for i, j in ranges(pc.binary_length(files).to_pylist(), GROUP_BYTES):
                 own, out = files.slice(i, j - i).to_pylist(), []
                 for m, (us, planes) in zip(own, _decoded(own), strict=True):
                     payload = planes.tobytes()
@@ -202,7 +192,7 @@ def clips(df: DataFrame, media: str = "media", id_col: str = "doc_id") -> DataFr
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             files = b.column("media")
-            for i, j in _groups(pc.binary_length(files).to_pylist()):
+            for i, j in ranges(pc.binary_length(files).to_pylist(), GROUP_BYTES):
                 rows = []
                 for key, (us, planes) in zip(b.column("id").slice(i, j - i), _decoded(files.slice(i, j - i).to_pylist()), strict=True):
                     rows += [(key.as_py(), k, *shot) for k, shot in enumerate(shots(planes, us))]

@@ -1,7 +1,7 @@
 """N-gram Jaccard join over count-vector R-trees.
 
 Each distinct shingle set becomes a point: its shingles, hashed into GROUPS
-groups, counted by group. No two sets share more shingles than the sum over
+groups, counted by group (more groups for large sets, which fold to fewer). No two sets share more shingles than the sum over
 groups of the smaller count, and the same holds for the largest counts of an
 R-tree node, so a query goes down only to nodes that can still reach the
 overlap it needs. What survives is verified on the sets themselves.
@@ -37,14 +37,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import release, remove, slices, spread, written
+from .common import release, remove, spread, text_slices, written
 from .components import components
 from .shingles import shingle_sets
 
 WORDS = 4
 #: Sets link from this many hundredths on.
 PERCENT = 85
-GROUPS = 128
+GROUPS = 256
 #: Most members of a cell, or of a pair of blocks of one, in a task.
 BLOCK = 8192
 #: Shingles of the sets that one task compares at home, about.
@@ -71,14 +71,39 @@ def _listing(shingles: np.ndarray, frequent: np.ndarray, percent: int) -> np.nda
 
 
 def _point(shingles: np.ndarray) -> bytes:
-    counts = np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (GROUPS - 1), minlength=GROUPS)
-    return counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.uint32).tobytes()
+    """Counts by group, with a byte before them for their width; a power of two of groups, more for large sets."""
+    groups = max(GROUPS, 1 << (max(len(shingles) // 8, 1) - 1).bit_length())
+    counts = np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (groups - 1), minlength=groups)
+    return b"\1" + counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b"\4" + counts.astype(np.uint32).tobytes()
+
+
+def _counts(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, np.uint8 if packed[0] == 1 else np.uint32, offset=1)
+
+
+def _folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    """The counts of fewer groups."""
+    return counts if len(counts) == groups else counts.reshape(-1, groups).sum(0, dtype=np.uint32)
 
 
 def _points(packed: list[bytes]) -> np.ndarray:
-    if all(len(p) == GROUPS for p in packed):
-        return np.frombuffer(b"".join(packed), np.uint8).reshape(-1, GROUPS)
-    return np.stack([np.frombuffer(p, np.uint8 if len(p) == GROUPS else np.uint32).astype(np.uint32) for p in packed])
+    """All in GROUPS groups."""
+    if all(len(p) == GROUPS + 1 for p in packed):
+        return np.frombuffer(b"".join(packed), np.uint8).reshape(-1, GROUPS + 1)[:, 1:]
+    return np.stack([_folded(_counts(p), GROUPS).astype(np.uint32) for p in packed])
+
+
+def _still_near(packed: list[bytes], n: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs pass the bound in as many groups as both points have."""
+    ok = np.ones(len(i), bool)
+    for k, (p, q) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+        if len(packed[p]) > GROUPS + 1 < len(packed[q]):
+            a, b = _counts(packed[p]), _counts(packed[q])
+            groups = min(len(a), len(b))
+            if groups > GROUPS:
+                bound = int(np.minimum(_folded(a, groups), _folded(b, groups)).sum(dtype=np.int64))
+                ok[k] = (100 + percent) * bound >= percent * (n[p] + n[q])
+    return ok
 
 
 def _shingled(df: DataFrame, words: int, percent: int, frequent=None) -> DataFrame:
@@ -87,9 +112,8 @@ def _shingled(df: DataFrame, words: int, percent: int, frequent=None) -> DataFra
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = np.zeros(0, np.uint64) if frequent is None else frequent.value
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for i, j in slices(texts):
-                sets = shingle_sets([t or "" for t in texts[i:j]], words)
+            for i, j, texts in text_slices(b):
+                sets = shingle_sets(texts, words)
                 both = np.frombuffer(b"".join(blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
                 keys = [_listing(s, late, percent) for s in sets]
                 ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
@@ -128,17 +152,23 @@ class Tree:
         return self.order[nodes], bound
 
 
-def _cell_pairs(n, points, root, side, home, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(i, j) of members of one cell that pass the bound, of different homes and components."""
+def _cell_pairs(n, points, packed, root, side, home, percent: int, best: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, score) of members of one cell that pass the bound, of different homes and components; best: one for each i at most."""
     left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(n)),) * 2
     if not len(left) or not len(right):
         return
     tree = Tree(points[right], n[right], root[right])
     for i in left.tolist():
-        found = right[tree.search(points[i], n[i], root[i], percent)[0]]
-        found = found[(home[found] != home[i]).any(1)]
+        at, bound = tree.search(points[i], n[i], root[i], percent)
+        found = right[at]
+        other = (home[found] != home[i]).any(1)
+        found, bound = found[other], bound[other]
+        if best and len(found):
+            k = (bound / (n[i] + n[found])).argmax()
+            found, bound = found[k : k + 1], bound[k : k + 1]
         if len(found):
-            yield np.full(len(found), i), found
+            ok = _still_near(packed, n, np.full(len(found), i), found, percent)
+            yield np.full(int(ok.sum()), i), found[ok], (bound / (n[i] + n[found]))[ok]
 
 
 def _at_home(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
@@ -178,11 +208,10 @@ def _home_links(dealt: DataFrame, words: int, percent: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, sets = None, [], []
         for b in batches:
-            texts = b.column("text").to_pylist()
             keys = list(zip(b.column("home").to_pylist(), b.column("block").to_pylist(), strict=True))
             own = b.column("id").to_pylist()
-            for i, j in slices(texts):
-                for key, id_, s in zip(keys[i:j], own[i:j], shingle_sets(texts[i:j], words), strict=True):
+            for i, j, texts in text_slices(b):
+                for key, id_, s in zip(keys[i:j], own[i:j], shingle_sets(texts, words), strict=True):
                     if key != now:
                         yield links(ids, sets)
                         now, ids, sets = key, [], []
@@ -193,8 +222,8 @@ def _home_links(dealt: DataFrame, words: int, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
-def _pairs(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b) from members (cell, x, y, side, id, n, root, home, block, point), each cell's part together and sorted."""
+def _pairs(members: DataFrame, percent: int, best: bool) -> DataFrame:
+    """(a, b, score), best: one for each a of a cell, from members (cell, x, y, side, id, n, root, home, block, point), each cell's part together and sorted."""
 
     def cells(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
         """Tables that end where a cell ends."""
@@ -220,29 +249,33 @@ def _pairs(members: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in cells(batches):
             ids, n, root, side, cell, x, y = (t[c].to_numpy() for c in ("id", "n", "root", "side", "cell", "x", "y"))
-            points, home = _points(t["point"].to_pylist()), np.stack([t["home"].to_numpy(), t["block"].to_numpy()], 1)
+            packed = t["point"].to_pylist()
+            points, home = _points(packed), np.stack([t["home"].to_numpy(), t["block"].to_numpy()], 1)
             starts = np.concatenate([[0], np.flatnonzero((cell[1:] != cell[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1])
             sizes = np.diff(np.append(starts, len(ids)))
             which = np.repeat(np.arange(len(starts)), sizes)
             small = (sizes <= SMALL)[which]
-            got: list[tuple[np.ndarray, np.ndarray]] = []
-            for d in range(1, min(SMALL, len(ids))):
+            got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for d in range(1, min(SMALL, len(ids)) if not best else 1):
                 i = np.flatnonzero(small[:-d] & (which[:-d] == which[d:]) & (root[:-d] != root[d:]))
                 i = i[(100 * np.minimum(n[i], n[i + d]) >= percent * np.maximum(n[i], n[i + d])) & ((x[i] == y[i]) | (side[i] != side[i + d])) & (home[i] != home[i + d]).any(1)]
                 for k in range(0, len(i), 20_000):
                     part = i[k : k + 20_000]
                     bound = np.minimum(points[part], points[part + d]).sum(1, dtype=np.int64)
                     ok = (100 + percent) * bound >= percent * (n[part] + n[part + d])
-                    got.append((part[ok], part[ok] + d))
+                    part = part[ok]
+                    part = part[_still_near(packed, n, part, part + d, percent)]
+                    got.append((part, part + d, np.zeros(len(part))))
             for s, m in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
                 e = s + m
-                for i, j in _cell_pairs(n[s:e], points[s:e], root[s:e], side[s:e], home[s:e], percent):
-                    got.append((i + s, j + s))
+                for i, j, score in _cell_pairs(n[s:e], points[s:e], packed[s:e], root[s:e], side[s:e], home[s:e], percent, best):
+                    got.append((i + s, j + s, score))
             if got:
-                i, j = (np.concatenate(c) for c in zip(*got, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))], ["a", "b"])
+                i, j, score = (np.concatenate(c) for c in zip(*got, strict=True))
+                a, b = (ids[i], ids[j]) if best else np.unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(score if best else np.zeros(len(a)))], ["a", "b", "score"])
 
-    return members.mapInArrow(run, "a bigint, b bigint")
+    return members.mapInArrow(run, "a bigint, b bigint, score double")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -250,9 +283,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            keep, left, right = [], t.column("p").to_pylist(), t.column("q").to_pylist()
-            for i, j in slices(left):
-                for p, q in zip(shingle_sets(left[i:j], words), shingle_sets(right[i:j], words), strict=True):
+            keep = []
+            for i, j, left in text_slices(t, column="p"):
+                right = t.column("q").slice(i, j - i).to_pylist()
+                for p, q in zip(shingle_sets(left, words), shingle_sets(right, words), strict=True):
                     both = len(np.intersect1d(p, q, True))
                     keep.append(100 * both >= percent * (len(p) + len(q) - both))
             kept = t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -307,10 +341,19 @@ def jaccard_components(df: DataFrame, text: str = "text", id_col: str = "doc_id"
     roots = written(components(links), "roots")
     release(spark)
 
-    # second round: pairs of other homes that pass the bound, between different components of one cell
-    rooted = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = rooted.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("cell")
-    rest = written(_pairs(_dealt(rooted.join(mixed, "cell", "left_semi"), points), percent).distinct(), "rest")
+    # second round: pairs of other homes that pass the bound, between different components of one cell;
+    # in large cells each point's best partner goes first, so that few are left for all of them
+    def mixed(roots: DataFrame) -> DataFrame:
+        rooted = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        cells = rooted.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("cell")
+        return rooted.join(cells, "cell", "left_semi")
+
+    near = _pairs(_dealt(mixed(roots).filter(F.col("many") > SMALL), points), percent, True)
+    near = near.groupBy("a").agg(F.max(F.struct("score", "b")).alias("best")).select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b"))
+    links = written(links.unionByName(_verified(near.distinct(), texts, words, percent)), "links")
+    release(spark)
+    roots = written(components(links), "roots")
+    rest = written(_pairs(_dealt(mixed(roots), points), percent, False).select("a", "b").distinct(), "rest")
     release(spark)
     more = written(_verified(rest, texts, words, percent), "links")
     remove(texts, points, members, listings)

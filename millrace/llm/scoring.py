@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, slices, spread
+from .common import held_out, spread, text_slices
 
 #: Most labelled rows that a fit takes, by a hash of their id.
 FIT_ROWS = 20_000
@@ -19,7 +19,7 @@ Features = Callable[[list[str]], np.ndarray]
 
 def fit_sample(df: DataFrame, labels: DataFrame, label: str, text: str = "text", id_col: str = "doc_id", fit_rows: int = FIT_ROWS) -> DataFrame:
     """(text, y) of at most fit_rows labelled rows that aren't held out; null labels and texts don't count."""
-    rows = labels.select(F.col(id_col).alias("id"), F.col(label).cast("double").alias("y")).filter(~held_out("id") & F.col("y").isNotNull())
+    rows = labels.select(F.col(id_col).alias("id"), (F.col(label) > 0).cast("double").alias("y")).filter(~held_out("id") & F.col("y").isNotNull())
     rows = rows.groupBy("id").agg(F.max("y").alias("y"))
     n = rows.count()
     if n > fit_rows:
@@ -33,9 +33,9 @@ def fit_matrix(sample: DataFrame, features: Features) -> tuple[np.ndarray, np.nd
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, y = b.column("text").to_pylist(), b.column("y")
-            for i, j in slices(texts):
-                x = features(texts[i:j])
+            y = b.column("y")
+            for i, j, texts in text_slices(b):
+                x = features(texts)
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), y.slice(i, j - i)], ["x", "y"])
 
     found = sample.mapInArrow(run, "x array<double>, y double").toArrow()
@@ -57,9 +57,8 @@ def score_rows(df: DataFrame, features: Features, trees, cut: float, text: str =
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, trees = shared.value
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for i, j in slices(texts):
-                score = np.clip(np.round(trees.score(features(texts[i:j])), 9), 0, 1)
+            for i, j, texts in text_slices(b):
+                score = np.clip(np.round(trees.score(features(texts)), 9), 0, 1)
                 yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), b.column("held_out").slice(i, j - i), pa.array(score), pa.array((score >= cut).astype(np.int32))], ["id", "held_out", "score", "predicted"])
 
     return slim.mapInArrow(run, f"id {id_type}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
@@ -72,9 +71,8 @@ def rows_below(df: DataFrame, features: Features, trees, cut: float, text: str =
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, trees = shared.value
         for b in batches:
-            texts = [t or "" for t in b.column(text).to_pylist()]
-            for i, j in slices(texts):
-                low = np.round(trees.score(features(texts[i:j])), 9) < cut
+            for i, j, texts in text_slices(b, column=text):
+                low = np.round(trees.score(features(texts)), 9) < cut
                 if low.any():
                     yield b.slice(i, j - i).filter(pa.array(low))
 

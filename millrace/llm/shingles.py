@@ -13,10 +13,11 @@ _INVERSE = pow(_PRIME, -1, 1 << 64)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Powers that a worker keeps, for as many bytes of joined texts.
+KEPT_POWERS = 1 << 20
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers_of(n: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for base in (_PRIME, _INVERSE):
         p = np.full(n, base, _U)
@@ -25,6 +26,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+@lru_cache(maxsize=1)
+def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers_of(KEPT_POWERS)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the prime and of its inverse, n at least."""
+    return _kept_powers() if n <= KEPT_POWERS else _powers_of(n)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A fixed scrambling of 64-bit values, one to one."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
@@ -37,7 +48,7 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     parts = [t.encode().translate(_LOWER) for t in texts]
     joined = b" " + b" ".join(parts) + b" "
     raw = np.frombuffer(joined, np.uint8)
-    power, inverse = _powers(1 << max(16, len(raw).bit_length()))
+    power, inverse = _powers(len(raw))
     space = _SPACE[raw]
     starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
     ends = np.flatnonzero(~space[:-1] & space[1:]) + 1

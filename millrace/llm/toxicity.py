@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gbdt
-from .common import slices
+from .common import text_slices, written
 from .scoring import FIT_ROWS, fit_matrix, fit_sample, rows_below, score_rows
 from .textstats import DIGIT, NEWLINE, PUNCT, SYMBOL, UPPER, class_counts
 
@@ -98,7 +98,9 @@ def learn_lexicon(sample: DataFrame, size: int = LEXICON) -> Lexicon:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = {1.0: Counter(), 0.0: Counter()}
         for b in batches:
-            for t, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
+            labels = b.column("y").to_pylist()
+            pairs = ((t, y) for i, j, texts in text_slices(b) for t, y in zip(texts, labels[i:j], strict=True))
+            for t, y in pairs:
                 words = set(words_of(t))
                 counts[y].update(words)
                 counts[y].update({f"\0{w[:STEM]}" for w in words if len(w) >= STEM})
@@ -132,7 +134,7 @@ class Model:
 
 
 def fit(df: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
-    sample = fit_sample(df, labels, label, text, id_col, fit_rows)
+    sample = written(fit_sample(df, labels, label, text, id_col, fit_rows), "fit")  # the documents are read once for it
     lexicon = learn_lexicon(sample)
     x, y = fit_matrix(sample, lexicon.features)
     return Model(lexicon, gbdt.fit_calibrated(x, y))

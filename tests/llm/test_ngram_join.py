@@ -86,6 +86,18 @@ def test_counts_beyond_a_byte():
     assert points[:, 7].tolist() == [300, 3]
 
 
+def test_large_sets_have_more_groups_which_fold():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 1 << 62, n, np.uint64)) for n in (100, 9_000, 9_500)]
+    packed = [ngram_join._point(s) for s in sets]
+    assert [len(p) - 1 for p in packed] == [256, 2048, 2048]
+    points = ngram_join._points(packed)
+    assert points.sum(1).tolist() == [len(s) for s in sets]
+    assert (points[1] == np.bincount((sets[1] >> np.uint64(20)).astype(int) & 255, minlength=256)).all()
+    n = np.array([len(s) for s in sets])
+    assert ngram_join._still_near(packed, n, np.array([1, 1, 0]), np.array([2, 1, 1]), 85).tolist() == [False, True, True]
+
+
 def test_word_hashes_depend_on_words_alone():
     a = shingles.shingle_sets(["One two  three\tfour five", "x", "", " "], 4)
     b = shingles.shingle_sets(["zzz " * 50, "one TWO three four\nfive"], 4)

@@ -7,7 +7,8 @@ columns of documents.
 1. toxicity: documents that the classifier rejects go. It is fitted on the
    labelled rows of the stage's own input.
 2. near copies: of each component of the n-gram Jaccard join (five words, 0.8)
-   the document with the smallest id stays.
+   the document with the smallest id stays. Documents without an id are in no
+   component and stay, one for each text.
 3. secrets: every span of the secret scan is replaced by its kind in brackets,
    and n_chars is counted anew. No document goes.
 4. mixing: documents come as often as the mix of sources takes them.
@@ -37,7 +38,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     importable(spark)
-    return ngram_join.first_of_each(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
+    first = ngram_join.first_of_each(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
+    return first.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"]))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

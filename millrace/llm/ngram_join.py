@@ -365,6 +365,10 @@ def jaccard_components(df: DataFrame, text: str = "text", id_col: str = "doc_id"
 
 
 def first_of_each(df: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of df whose id is the smallest of their component, one row for each id and text."""
+    """The rows of df whose id is the smallest of their component, one row for each id and text.
+
+    Rows without an id have no component and aren't among them; a filter that
+    keeps such rows adds them, as the pipeline does, one for each text.
+    """
     keep = jaccard_components(df, text, id_col, words, percent).filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__id")).distinct()
     return df.dropDuplicates([id_col, text]).join(keep, F.col(id_col) == F.col("__id"), "left_semi").select(df.columns)

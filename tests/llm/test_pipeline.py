@@ -42,6 +42,13 @@ def test_one_of_each_group_stays(steps):
     assert {r.doc_id for r in after.collect()} == set(want.values())
 
 
+def test_documents_without_id_stay_among_near_copies(spark, data):
+    rows = [(1, "one two three four five six"), (2, "one two three four five six"), (None, "no id here"), (None, "no id here"), (None, "nor here"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    after = corpus_pipeline.drop_near_copies(spark, docs, data)
+    assert Counter(map(tuple, after.collect())) == Counter([rows[0], rows[2], rows[4], rows[5]])
+
+
 def test_no_secret_stays_and_no_document_goes(steps):
     docs, after = steps[2]
     assert docs.count() == after.count()

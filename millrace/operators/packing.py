@@ -130,16 +130,23 @@ def _bins(df: DataFrame, shard: str, order: str, kernel) -> DataFrame:
 
 
 def pack_ffd(df: DataFrame, length: int, shard: str = "source", order: str = "doc_id") -> DataFrame:
-    """(shard, bin, order, part, len): whole documents by first fit, longest first, ties by order. Longer ones than a bin are cut to it.
+    """(shard, bin, order, part, len): whole documents by first fit, longest first, ties by order.
 
-    A shard is packed in one task, by its keys and lengths alone; deal large
-    sources to several shards first.
+    A document longer than a bin is cut into parts, each with a bin of its own;
+    bins of further parts are numbered after all others. A shard is packed in
+    one task, by its keys and lengths alone; deal large sources to several
+    shards first.
     """
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(len=pdf["n"].clip(upper=length), part=0).sort_values(["len", order], ascending=[False, True])
-        tree = _FirstFit(len(pdf), length)
-        return pdf.assign(bin=[tree.place(int(n)) for n in pdf["len"]])[[shard, "bin", order, "part", "len"]]
+        first = pdf.assign(len=pdf["n"].clip(upper=length), part=0).sort_values(["len", order], ascending=[False, True])
+        tree = _FirstFit(len(first), length)
+        first["bin"] = [tree.place(int(n)) for n in first["len"]]
+        rest = [(key, part, min(length, int(n) - part * length)) for key, n in zip(first[order], first["n"], strict=True) for part in range(1, -(-int(n) // length))]
+        rest = pd.DataFrame(rest, columns=[order, "part", "len"]).astype({order: first[order].dtype})
+        rest = rest.assign(bin=first["bin"].max() + 1 + rest.index, **{shard: pdf[shard].iloc[0]})
+        columns = [shard, "bin", order, "part", "len"]
+        return pd.concat([rest[columns], first[columns]]) if len(rest) else first[columns]
 
     return _bins(df, shard, order, kernel)
 

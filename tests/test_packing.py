@@ -35,6 +35,18 @@ def test_ffd_is_first_fit(spark):
         assert {r.doc_id: r.bin for r in got if r.source == s} == plain_ffd(rows, L)
 
 
+def test_ffd_keeps_all_tokens_of_long_documents(spark):
+    sizes = [(k * 53) % 200 + 1 for k in range(100)] + [L, L + 1, 2 * L, 20 * L + 3]
+    got = packing.pack_ffd(docs(spark, sizes), L).toPandas()
+    assert got.groupby("doc_id")["len"].sum().to_dict() == dict(enumerate(sizes))
+    assert got.groupby(["source", "bin"])["len"].sum().max() <= L
+    for key, rows in got.groupby("doc_id"):
+        assert sorted(rows["part"]) == list(range(-(-sizes[key] // L)))
+        if len(rows) > 1:
+            bins = got[(got["source"] == rows["source"].iloc[0]) & got["bin"].isin(rows["bin"])]
+            assert set(bins["doc_id"]) == {key} and len(bins) == bins["bin"].nunique()
+
+
 def test_bfd_keeps_all_tokens_and_fits(spark):
     sizes = [(k * 53) % 200 + 1 for k in range(100)]
     got = packing.pack_bfd(docs(spark, sizes), L).toPandas()

@@ -329,8 +329,17 @@ def scalar_date(spark, d):
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, round(abs(l_discount - 0.05), 6) AS a, floor(l_extendedprice)::BIGINT AS f, ceil(l_extendedprice)::BIGINT AS c, round(pow(l_quantity, 1.5), 4) AS p, round(sqrt(l_quantity), 6) AS s, round(ln(l_extendedprice), 6) AS l, round(exp(l_discount), 6) AS e, round(sin(l_quantity), 6) AS si,
 greatest(l_tax, l_discount) AS g, least(l_tax, l_discount) AS m, l_partkey % 7 AS r, (l_partkey & 15) AS b FROM lineitem WHERE l_orderkey <= 2000""")
 def scalar_math(spark, d):
+    return _math(_t(spark, d, "lineitem").filter("l_orderkey <= 2000"))
+
+
+@query(SQL["scalar_math"].removesuffix(" WHERE l_orderkey <= 2000"))
+def scalar_math_whole(spark, d):
+    return _math(_t(spark, d, "lineitem"))
+
+
+def _math(lines):
     q, x = F.col("l_quantity"), F.col("l_extendedprice")
-    return _t(spark, d, "lineitem").filter("l_orderkey <= 2000").select(
+    return lines.select(
         "l_orderkey", "l_linenumber", "l_partkey", F.round(F.abs(F.col("l_discount") - 0.05), 6).alias("a"), F.floor(x).alias("f"), F.ceil(x).alias("c"), F.round(F.pow(q, 1.5), 4).alias("p"), F.round(F.sqrt(q), 6).alias("s"), F.round(F.log(x), 6).alias("l"), F.round(F.exp("l_discount"), 6).alias("e"), F.round(F.sin(q), 6).alias("si"),
         F.greatest("l_tax", "l_discount").alias("g"), F.least("l_tax", "l_discount").alias("m"), F.pmod("l_partkey", F.lit(7)).alias("r"), F.col("l_partkey").bitwiseAND(15).alias("b"),
     )

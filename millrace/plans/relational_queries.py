@@ -271,18 +271,20 @@ def sample_stratified(spark, d):
 SETS = {"union_all": "UNION ALL", "union": "UNION", "intersect": "INTERSECT", "intersect_all": "INTERSECT ALL", "except": "EXCEPT", "except_all": "EXCEPT ALL"}
 
 
-def _set(name):
+def _set(name, whole=False):
     def run(spark, d):
         a = _t(spark, d, "supplier").select(F.col("s_nationkey").alias("k"))
-        b = _t(spark, d, "customer").filter("c_custkey <= 30").select(F.col("c_nationkey").alias("k"))
+        c = _t(spark, d, "customer")
+        b = (c if whole else c.filter("c_custkey <= 30")).select(F.col("c_nationkey").alias("k"))
         return {"union_all": lambda: a.unionByName(b), "union": lambda: a.union(b).distinct(), "intersect": lambda: a.intersect(b), "intersect_all": lambda: a.intersectAll(b), "except": lambda: a.subtract(b), "except_all": lambda: a.exceptAll(b)}[name]()
 
-    run.__name__ = f"set_{name}"
+    run.__name__ = f"set_{name}_whole" if whole else f"set_{name}"
     return run
 
 
 for _n, _op in SETS.items():
     query(f"SELECT s_nationkey AS k FROM supplier {_op} SELECT c_nationkey FROM customer WHERE c_custkey <= 30")(_set(_n))
+    query(f"SELECT s_nationkey AS k FROM supplier {_op} SELECT c_nationkey FROM customer")(_set(_n, whole=True))
 
 
 @query("""SELECT c_custkey FROM customer c WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer x WHERE x.c_nationkey = c.c_nationkey) AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)""")

@@ -23,3 +23,11 @@ def test_math_takes_all_lines(spark, con):
     df = catalog.QUERIES["scalar_math_whole"](spark, LARGER)
     assert oracle.differences(df, con, catalog.ORACLE_SQL["scalar_math_whole"]) == []
     assert df.count() == rows(con, "lineitem")
+
+
+@pytest.mark.parametrize("name", ["union_all", "union", "intersect", "intersect_all", "except", "except_all"])
+def test_sets_take_all_customers(spark, con, name):
+    df = catalog.QUERIES[f"set_{name}_whole"](spark, LARGER)
+    assert oracle.differences(df, con, catalog.ORACLE_SQL[f"set_{name}_whole"]) == []
+    if name == "union_all":
+        assert df.count() == rows(con, "supplier") + rows(con, "customer")

@@ -248,6 +248,12 @@ def sort_total(spark, d):
     return top.select("p_partkey", F.row_number().over(W.orderBy(F.desc("p_retailprice"), F.asc_nulls_last("p_name"), "p_partkey")).cast("long").alias("place"))
 
 
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_name NULLS LAST, p_partkey) AS place FROM part")
+def sort_total_whole(spark, d):
+    order = [F.desc("p_retailprice"), F.asc_nulls_last("p_name"), F.col("p_partkey")]
+    return R.places(_t(spark, d, "part").select("p_partkey", "p_name", "p_retailprice"), order).select("p_partkey", "place")
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5")
 def limit_offset(spark, d):
     return _t(spark, d, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").offset(5).limit(10)

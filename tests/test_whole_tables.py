@@ -4,7 +4,9 @@ import os
 
 import oracle
 import pytest
+from pyspark.sql import functions as F
 
+from millrace.operators import relational
 from millrace.plans import catalog
 
 LARGER = os.environ.get("TEST_LARGER_SF_DIR", "/root/testdata/sf0.01")
@@ -31,3 +33,18 @@ def test_sets_take_all_customers(spark, con, name):
     assert oracle.differences(df, con, catalog.ORACLE_SQL[f"set_{name}_whole"]) == []
     if name == "union_all":
         assert df.count() == rows(con, "supplier") + rows(con, "customer")
+
+
+def test_sort_places_all_parts(spark, con):
+    df = catalog.QUERIES["sort_total_whole"](spark, LARGER)
+    assert oracle.differences(df, con, catalog.ORACLE_SQL["sort_total_whole"]) == []
+    assert df.count() == rows(con, "part")
+
+
+def test_places_with_nulls_ties_and_none(spark):
+    values = [3, None, 1, 3, 2, None, 1]
+    df = spark.createDataFrame(list(enumerate(values)), "k bigint, v bigint")
+    got = {r.k: r.place for r in relational.places(df, [F.asc_nulls_last("v"), F.col("k")]).collect()}
+    order = sorted(range(len(values)), key=lambda k: (values[k] is None, values[k] or 0, k))
+    assert got == {k: at for at, k in enumerate(order, 1)}
+    assert relational.places(df.filter("k < 0"), [F.col("k")]).count() == 0

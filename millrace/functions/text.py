@@ -29,10 +29,8 @@ def pieces(text: Column | str) -> Column:
 
 def byte_values(text: Column | str) -> Column:
     """array<int> of the UTF-8 bytes."""
-    hexed = F.hex(F.encode(_col(text), "UTF-8"))
-    n = F.octet_length(_col(text))
-    each = lambda h: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.conv(F.substring(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
-    return F.when(n > 0, F.transform(F.array(hexed), each)[0]).otherwise(F.expr("cast(array() as array<int>)"))
+    pairs = F.regexp_extract_all(F.hex(F.encode(_col(text), "UTF-8")), F.lit(".."), F.lit(0))
+    return F.when(F.octet_length(_col(text)) > 0, F.transform(pairs, lambda h: F.conv(h, 16, 10).cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
 
 
 def ngrams(tokens: Column, n: int) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import packing
 from ..streaming import windows as S
 
 QUERIES, SQL = {}, {}
@@ -51,3 +52,11 @@ SELECT source, unnest(range(n // 512)) AS chunk, CAST(512 AS BIGINT) AS ntok FRO
 def pack_stream(spark, d):
     docs = S.events(spark, d).select(F.col("event_type").alias("source"), F.lit(100).cast("long").alias("n"))
     return S.finished(S.pack_stream(docs, 512), "append")
+
+
+@query(r"""WITH t AS (SELECT source, CAST(sum(len(regexp_extract_all(text, '\S+')) + 1) AS BIGINT) AS n FROM documents GROUP BY source),
+     x AS (SELECT source, n, unnest(range((n + 511) // 512)) AS chunk FROM t)
+SELECT source, chunk, least(512, n - chunk * 512) AS ntok FROM x""")
+def pack_stream_documents(spark, d):
+    docs = packing.lengths(S.arriving(spark, d, "documents"))
+    return S.flushed(S.finished(S.pack_stream(docs, 512, rest=True), "append"))

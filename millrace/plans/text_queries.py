@@ -111,8 +111,17 @@ def tokenize_words(spark, d):
 
 @query("SELECT item_id, CAST(strlen(text) AS BIGINT) AS n, md5(array_to_string(list_transform(range(strlen(text)), lambda i: CAST(('0x' || substr(hex(encode(text)), CAST(2 * i + 1 AS INTEGER), 2)) AS INTEGER)), ',')) AS digest FROM benchmark")
 def tokenize_bytes(spark, d):
+    return _bytes(table(spark, d, "benchmark"), "item_id")
+
+
+@query("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n, md5(array_to_string(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST(('0x' || h) AS INTEGER)), ',')) AS digest FROM documents")
+def tokenize_bytes_documents(spark, d):
+    return _bytes(_docs(spark, d), "doc_id")
+
+
+def _bytes(df, key):
     b = T.byte_values("text")
-    return table(spark, d, "benchmark").select("item_id", F.octet_length("text").cast("long").alias("n"), F.md5(F.array_join(F.transform(b, lambda x: x.cast("string")), ",")).alias("digest"))
+    return df.select(key, F.octet_length("text").cast("long").alias("n"), F.md5(F.array_join(F.transform(b, lambda x: x.cast("string")), ",")).alias("digest"))
 
 
 @query(r"SELECT doc_id, md5(array_to_string(regexp_extract_all(text, '\p{L}+|\d|[^\s\p{L}\d]+'), '~')) AS digest FROM documents")
@@ -152,9 +161,18 @@ def token_stats(spark, d):
      g AS (SELECT item_id, array_to_string(w[i : i + 7], ' ') AS gram FROM (SELECT item_id, w, unnest(range(1, len(w) - 6)) AS i FROM t WHERE len(w) >= 8))
 SELECT item_id, count(*) AS n, count(DISTINCT gram) AS n_unlike, md5(string_agg(DISTINCT gram, '|' ORDER BY gram)) AS digest FROM g GROUP BY item_id""")
 def ngrams(spark, d):
-    g = table(spark, d, "benchmark").select("item_id", T.ngrams(T.words(F.lower("text")), 8).alias("g")).filter(F.size("g") > 0)
+    return _ngrams(table(spark, d, "benchmark"), "item_id")
+
+
+@query(SQL["ngrams"].replace("item_id", "doc_id").replace("FROM benchmark", "FROM documents"))
+def ngrams_documents(spark, d):
+    return _ngrams(_docs(spark, d), "doc_id")
+
+
+def _ngrams(df, key):
+    g = df.select(key, T.ngrams(T.words(F.lower("text")), 8).alias("g")).filter(F.size("g") > 0)
     unlike = F.array_sort(F.array_distinct("g"))
-    return g.select("item_id", F.size("g").cast("long").alias("n"), F.size(unlike).cast("long").alias("n_unlike"), F.md5(F.array_join(unlike, "|")).alias("digest"))
+    return g.select(key, F.size("g").cast("long").alias("n"), F.size(unlike).cast("long").alias("n_unlike"), F.md5(F.array_join(unlike, "|")).alias("digest"))
 
 
 @query(r"SELECT doc_id, md5(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS digest FROM documents")

@@ -15,12 +15,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+def arriving(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table as a stream."""
+    path = f"{folder.rstrip('/')}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder) if not _is_folder(spark, path) else spark.readStream.schema(schema).parquet(path)
+
+
 def events(spark: SparkSession, folder: str) -> DataFrame:
     """The events table as a stream."""
-    path = f"{folder.rstrip('/')}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder) if not _is_folder(spark, path) else spark.readStream.schema(schema).parquet(path)
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    return arriving(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
@@ -65,10 +69,12 @@ def interval_join(stream: DataFrame, again: DataFrame, within: str = "10 minutes
     return a.join(b, F.expr(f"u = user_id AND ts > t AND ts <= t + INTERVAL {within}")).select("event_id", "later")
 
 
-def pack_stream(stream: DataFrame, length: int, key: str = "source") -> DataFrame:
+def pack_stream(stream: DataFrame, length: int, key: str = "source", rest: bool = False) -> DataFrame:
     """(key, chunk, ntok) of blocks as documents (key, n) arrive; the tokens left over wait in the state.
 
-    Append output; a block comes out when it is full, so the last, open one of a key doesn't.
+    Append output; a block comes out when it is full, so the last, open one of a
+    key doesn't. With rest, the open block of a key comes out as well, as large as
+    it is, whenever documents of the key arrive: flushed() has the end state.
     """
     kind = dict(stream.dtypes)[key]
 
@@ -76,7 +82,14 @@ def pack_stream(stream: DataFrame, length: int, key: str = "source") -> DataFram
         left, chunk = state.get if state.exists else (0, 0)
         left += sum(int(p["n"].sum()) for p in parts)
         full = left // length
-        state.update((left % length, chunk + full))
-        yield pd.DataFrame({key: [k[0]] * full, "chunk": range(chunk, chunk + full), "ntok": [length] * full})
+        left %= length
+        state.update((left, chunk + full))
+        sizes = [length] * full + [left] * (rest and left > 0)
+        yield pd.DataFrame({key: [k[0]] * len(sizes), "chunk": range(chunk, chunk + len(sizes)), "ntok": sizes})
 
     return stream.select(key, "n").groupBy(key).applyInPandasWithState(step, f"{key} {kind}, chunk bigint, ntok bigint", "left bigint, chunk bigint", "append", GroupStateTimeout.NoTimeout)
+
+
+def flushed(blocks: DataFrame, key: str = "source") -> DataFrame:
+    """(key, chunk, ntok) of what pack_stream gave with rest: each block as it was last, since it only grows."""
+    return blocks.groupBy(key, "chunk").agg(F.max("ntok").alias("ntok"))

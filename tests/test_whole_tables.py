@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import relational
 from millrace.plans import catalog
+from millrace.streaming import windows
 
 LARGER = os.environ.get("TEST_LARGER_SF_DIR", "/root/testdata/sf0.01")
 
@@ -48,3 +49,17 @@ def test_places_with_nulls_ties_and_none(spark):
     order = sorted(range(len(values)), key=lambda k: (values[k] is None, values[k] or 0, k))
     assert got == {k: at for at, k in enumerate(order, 1)}
     assert relational.places(df.filter("k < 0"), [F.col("k")]).count() == 0
+
+
+@pytest.mark.parametrize("name", ["ngrams_documents", "tokenize_bytes_documents", "pack_stream_documents"])
+def test_documents_pass_through(spark, con, name):
+    assert oracle.differences(catalog.QUERIES[name](spark, LARGER), con, catalog.ORACLE_SQL[name]) == []
+
+
+def test_stream_flushes_what_is_left_of_several_batches(spark, tmp_path):
+    runs = [[("a", 5), ("b", 8)], [("a", 1), ("a", 9)], [("b", 8)]]
+    for rows_ in runs:
+        spark.createDataFrame(rows_, "source string, n bigint").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("source string, n bigint").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = windows.flushed(windows.finished(windows.pack_stream(stream, 8, rest=True), "append")).collect()
+    assert sorted(map(tuple, got)) == [("a", 0, 8), ("a", 1, 7), ("b", 0, 8), ("b", 1, 8)]

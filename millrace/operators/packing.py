@@ -2,60 +2,98 @@
 
 A document of n words counts n + 1 tokens: its words and one end mark. Blocks
 are cut from the documents of a shard in order; a document may cross blocks.
+Where a document begins is a running sum over ranges of its shard, so that a
+shard is never in one task.
+
+Defined cases: a null text has no words and is one end mark; null shards are
+one shard, null keys come first; documents of one key follow each other by
+length, then by a hash of their text where there is one; repeated rows are
+documents of their own; an empty table gives no row; columns beyond the named
+ones are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import spread
+from .ranges import sums_before
 
 END = "<eos>"
 
 
 def lengths(df: DataFrame, text: str = "text") -> DataFrame:
     """df with n, its tokens with the end mark."""
-    return df.withColumn("n", T.word_count(text) + 1)
+    return df.withColumn("n", F.coalesce(T.word_count(text), F.lit(0)) + 1)
 
 
-def _begin(df: DataFrame, shard: str, order: str) -> DataFrame:
-    up_to = W.partitionBy(shard).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return df.withColumn("begin", (F.sum("n").over(up_to) - F.col("n")).cast("long"))
+def _begin(df: DataFrame, shard: str | None, order: str) -> DataFrame:
+    """(_s, _o, n, begin) of every row: its shard, key, tokens and first token in the shard."""
+    rows = df.select((F.col(shard) if shard else F.lit(0)).alias("_s"), F.col(order).alias("_o"), F.col("n").cast("long").alias("n"))
+    return sums_before(rows, "n", ("_s",) if shard else (), [F.asc_nulls_first("_o"), F.col("n")], "begin")
+
+
+def _chunks(length: int) -> tuple[Column, Column]:
+    return F.expr(f"begin div {length}"), F.expr(f"(begin + n - 1) div {length}")
 
 
 def spans(df: DataFrame, length: int, shard: str = "source", order: str = "doc_id") -> DataFrame:
     """A row for each piece of a document in a block: (shard, chunk, order, start, len, pos)."""
-    placed = _begin(df.select(shard, order, "n"), shard, order)
-    first, last = F.expr(f"begin div {length}"), F.expr(f"(begin + n - 1) div {length}")
-    cut = placed.withColumn("chunk", F.explode(F.sequence(first, last)))
+    cut = _begin(df, shard, order).withColumn("chunk", F.explode(F.sequence(*_chunks(length))))
     low = F.greatest("begin", F.col("chunk") * length)
     high = F.least(F.col("begin") + F.col("n"), (F.col("chunk") + 1) * length)
-    return cut.select(shard, "chunk", order, (low - F.col("chunk") * length).alias("start"), (high - low).alias("len"), (low - F.col("begin")).alias("pos"))
+    return cut.select(F.col("_s").alias(shard), "chunk", F.col("_o").alias(order), (low - F.col("chunk") * length).alias("start"), (high - low).alias("len"), (low - F.col("begin")).alias("pos"))
+
+
+def _filled(placed: DataFrame, length: int) -> DataFrame:
+    """(_s, chunk, segs, ntok) of every block that the placed documents fill."""
+    cut = placed.withColumn("chunk", F.explode(F.sequence(*_chunks(length))))
+    took = F.least(F.col("begin") + F.col("n"), (F.col("chunk") + 1) * length) - F.greatest("begin", F.col("chunk") * length)
+    return cut.groupBy("_s", "chunk").agg(F.count("*").alias("segs"), F.sum(took).cast("long").alias("ntok"))
 
 
 def pack_spans(df: DataFrame, length: int, shard: str = "source", order: str = "doc_id") -> DataFrame:
     """(shard, chunk, segs, ntok) of every block."""
-    return spans(df, length, shard, order).groupBy(shard, "chunk").agg(F.count("*").alias("segs"), F.sum("len").cast("long").alias("ntok"))
+    return _filled(_begin(df, shard, order), length).withColumnRenamed("_s", shard)
 
 
 def pack_tokens(df: DataFrame, length: int, text: str = "text", shard: str = "source", order: str = "doc_id") -> DataFrame:
-    """(shard, chunk, n, tokens) of every block, the tokens in order."""
-    tokens = df.select(shard, order, F.concat(T.words(text), F.array(F.lit(END))).alias("tokens")).withColumn("n", F.size("tokens").cast("long"))
-    pieces = spans(tokens, length, shard, order).join(tokens.select(shard, order, "tokens"), [shard, order])
-    piece = F.struct("start", F.slice("tokens", (F.col("pos") + 1).cast("int"), F.col("len").cast("int")).alias("piece"))
-    blocks = pieces.groupBy(shard, "chunk").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
-    return blocks.select(shard, "chunk", F.flatten(F.transform("pieces", lambda p: p["piece"])).alias("tokens")).withColumn("n", F.size("tokens").cast("long"))
+    """(shard, chunk, n, tokens) of every block, the tokens in order.
+
+    Equal rows are placed as one run by their key and a hash of their text, and
+    numbered, so that each of them finds its own place; texts are dealt by that
+    key once, their pieces by block once more.
+    """
+    rows = spread(df.select(F.col(shard).alias("_s"), F.col(order).alias("_o"), F.col(text).alias("_t")))
+    known = [F.col("_s").isNull(), F.col("_o").isNull(), F.col("_t").isNull(), F.col("_s"), F.col("_o"), F.col("_t")]
+    keyed = rows.withColumns({"_k": F.xxhash64(*known), "_h": F.xxhash64(F.lit(1), *reversed(known))})
+    runs = keyed.select("_s", "_o", "_k", "_h", (F.coalesce(T.word_count("_t"), F.lit(0)) + 1).alias("n")).groupBy("_s", "_o", "_k", "_h", "n").agg(F.count("*").alias("_c"))
+    runs = sums_before(runs.withColumn("_all", F.col("n") * F.col("_c")), "_all", ("_s",), [F.asc_nulls_first("_o"), F.col("n"), F.col("_k"), F.col("_h")], "begin")
+    number = F.row_number().over(W.partitionBy("_k", "_h").orderBy("_k")) - 1
+    placed = keyed.withColumn("_i", number).join(runs.select("_k", "_h", "n", F.col("begin").alias("_first")), ["_k", "_h"])
+    placed = placed.withColumn("begin", F.col("_first") + F.col("_i") * F.col("n"))
+    tokens = F.concat(F.coalesce(T.words("_t"), F.expr("cast(array() as array<string>)")), F.array(F.lit(END)))
+
+    def pieces(t: Column) -> Column:
+        low = lambda c: F.greatest(F.col("begin"), c * length)
+        high = lambda c: F.least(F.col("begin") + F.col("n"), (c + 1) * length)
+        cut = lambda c: F.slice(t, (low(c) - F.col("begin") + 1).cast("int"), (high(c) - low(c)).cast("int"))
+        return F.transform(F.sequence(*_chunks(length)), lambda c: F.struct(c.alias("chunk"), (low(c) - c * length).alias("start"), cut(c).alias("piece")))
+
+    each = placed.select("_s", F.inline(F.transform(F.array(tokens), pieces)[0]))  # the words of a text are cut once
+    blocks = each.groupBy("_s", "chunk").agg(F.array_sort(F.collect_list(F.struct("start", "piece"))).alias("pieces"))
+    return blocks.select(F.col("_s").alias(shard), "chunk", F.flatten(F.transform("pieces", lambda p: p["piece"])).alias("tokens")).withColumn("n", F.size("tokens").cast("long"))
 
 
 def segment_map(df: DataFrame, length: int, shard: str = "source", order: str = "doc_id") -> DataFrame:
     """(shard, chunk, segment, order, start, len): segments of a block, numbered, for attention within documents."""
-    number = F.row_number().over(W.partitionBy(shard, "chunk").orderBy("start")).cast("long")
+    number = F.row_number().over(W.partitionBy(shard, "chunk").orderBy("start")).cast("long")  # `length` rows at most
     return spans(df, length, shard, order).withColumn("segment", number).select(shard, "chunk", "segment", order, "start", "len")
 
 
@@ -65,42 +103,21 @@ def pack_drop_last(df: DataFrame, length: int, shard: str = "source", order: str
 
 def pack_stats(df: DataFrame, length: int, shard: str = "source", order: str = "doc_id") -> DataFrame:
     """(shard, n_seq, n_tok, pad, n_split_docs, fill) of P1's blocks."""
-    pieces = spans(df, length, shard, order)
-    by_doc = pieces.groupBy(shard, order).agg(F.count("*").alias("k"), F.sum("len").alias("n"), F.max("chunk").alias("last"))
-    out = by_doc.groupBy(shard).agg((F.max("last") + 1).alias("n_seq"), F.sum("n").cast("long").alias("n_tok"), F.count(F.when(F.col("k") > 1, 1)).alias("n_split_docs"))
+    first, last = _chunks(length)
+    out = _begin(df, shard, order).groupBy(F.col("_s").alias(shard)).agg((F.max(last) + 1).alias("n_seq"), F.sum("n").cast("long").alias("n_tok"), F.count(F.when(last > first, 1)).alias("n_split_docs"))
     return out.select(shard, "n_seq", "n_tok", (F.col("n_seq") * length - F.col("n_tok")).alias("pad"), "n_split_docs", F.round(F.col("n_tok") / (F.col("n_seq") * length), 6).alias("fill"))
 
 
 def pad_truncate(df: DataFrame, length: int, text: str = "text", key: str = "doc_id", pad: str = "<pad>") -> DataFrame:
     """(key, kept, tokens): one document a row, cut or padded to length."""
-    tokens = F.concat(F.slice(T.words(text), 1, length - 1), F.array(F.lit(END)))
+    tokens = F.concat(F.coalesce(F.slice(T.words(text), 1, length - 1), F.expr("cast(array() as array<string>)")), F.array(F.lit(END)))
     out = df.select(key, tokens.alias("tokens"))
     return out.select(key, F.size("tokens").cast("long").alias("kept"), F.concat("tokens", F.array_repeat(F.lit(pad), length - F.size("tokens"))).alias("tokens"))
 
 
-def pack_global(df: DataFrame, length: int, order: str = "doc_id", path: str | None = None) -> DataFrame:
-    """(chunk, segs, ntok) over one order of all documents, without one task that sees them all.
-
-    Documents are dealt by ranges of their order; a sum by range, a prefix sum
-    over the few ranges, then one within each range. With a path, the dealt
-    lengths are written there first, so that ranges stay put when tasks rerun.
-    """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.select(order, "n").repartitionByRange(parts, order).withColumn("part", F.spark_partition_id())
-    if path:
-        dealt.write.mode("overwrite").parquet(path)
-        dealt = spark.read.schema(dealt.schema).parquet(path)
-    else:
-        dealt = dealt.persist()
-    totals = dealt.groupBy("part").agg(F.sum("n").alias("total"))
-    offsets = totals.select("part", F.coalesce(F.sum("total").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    inside = W.partitionBy("part").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    placed = dealt.withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(offsets), "part")  # a row for each partition
-    placed = placed.select((F.col("offset") + F.col("before")).cast("long").alias("begin"), "n")
-    cut = placed.withColumn("chunk", F.explode(F.sequence(F.expr(f"begin div {length}"), F.expr(f"(begin + n - 1) div {length}"))))
-    took = F.least(F.col("begin") + F.col("n"), (F.col("chunk") + 1) * length) - F.greatest("begin", F.col("chunk") * length)
-    return cut.groupBy("chunk").agg(F.count("*").alias("segs"), F.sum(took).cast("long").alias("ntok"))
+def pack_global(df: DataFrame, length: int, order: str = "doc_id") -> DataFrame:
+    """(chunk, segs, ntok) over one order of all documents."""
+    return _filled(_begin(df, None, order), length).drop("_s")
 
 
 class _FirstFit:
@@ -124,42 +141,53 @@ class _FirstFit:
         return bin_
 
 
-def _bins(df: DataFrame, shard: str, order: str, kernel) -> DataFrame:
+def _bins(df: DataFrame, shard: str, order: str, shards: int, kernel) -> DataFrame:
+    """What kernel(rows of key, n) says of each part of a shard; bins are numbered over all its parts."""
     kinds = dict(df.dtypes)
-    return df.select(shard, order, "n").groupBy(shard).applyInPandas(kernel, f"{shard} {kinds[shard]}, bin bigint, {order} {kinds[order]}, part bigint, len bigint")
+    deal = F.pmod(F.xxhash64(order, F.lit("bin")), F.lit(shards)).cast("long")
+    rows = df.select(F.col(shard).alias("_s"), F.col(order).alias("_o"), F.col("n").cast("long").alias("n"), deal.alias("_deal"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame(kernel(list(zip(pdf["_o"].where(pdf["_o"].notna(), None), pdf["n"].tolist(), strict=True))), columns=["_bin", "_o", "part", "len"])
+        own = None if pd.isna(pdf["_s"].iloc[0]) else pdf["_s"].iloc[0]
+        return out.assign(_s=own, _bin=out["_bin"] * shards + int(pdf["_deal"].iloc[0]))[["_s", "_bin", "_o", "part", "len"]]
+
+    packed = rows.groupBy("_s", "_deal").applyInPandas(run, f"_s {kinds[shard]}, _bin bigint, _o {kinds[order]}, part bigint, len bigint")
+    return packed.select(F.col("_s").alias(shard), F.col("_bin").alias("bin"), F.col("_o").alias(order), "part", "len")
 
 
-def pack_ffd(df: DataFrame, length: int, shard: str = "source", order: str = "doc_id") -> DataFrame:
+def _longest_first(rows: list[tuple]) -> list[tuple]:
+    """(len, key, part) rows, ties by key, null keys first."""
+    return sorted(rows, key=lambda r: (-r[0], r[1] is not None, 0 if r[1] is None else r[1], r[2]))
+
+
+def pack_ffd(df: DataFrame, length: int, shard: str = "source", order: str = "doc_id", shards: int = 1) -> DataFrame:
     """(shard, bin, order, part, len): whole documents by first fit, longest first, ties by order.
 
     A document longer than a bin is cut into parts, each with a bin of its own;
-    bins of further parts are numbered after all others. A shard is packed in
-    one task, by its keys and lengths alone; deal large sources to several
-    shards first.
+    bins of further parts are numbered after all others. Bins depend on all that
+    came before, so keys and lengths of a shard are packed in one task: deal
+    large shards into `shards` parts by a hash of the key.
     """
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.assign(len=pdf["n"].clip(upper=length), part=0).sort_values(["len", order], ascending=[False, True])
+    def kernel(rows: list[tuple]) -> list[tuple]:
+        first = _longest_first([(min(n, length), key, 0) for key, n in rows])
         tree = _FirstFit(len(first), length)
-        first["bin"] = [tree.place(int(n)) for n in first["len"]]
-        rest = [(key, part, min(length, int(n) - part * length)) for key, n in zip(first[order], first["n"], strict=True) for part in range(1, -(-int(n) // length))]
-        rest = pd.DataFrame(rest, columns=[order, "part", "len"]).astype({order: first[order].dtype})
-        rest = rest.assign(bin=first["bin"].max() + 1 + rest.index, **{shard: pdf[shard].iloc[0]})
-        columns = [shard, "bin", order, "part", "len"]
-        return pd.concat([rest[columns], first[columns]]) if len(rest) else first[columns]
+        out = [(tree.place(n), key, 0, n) for n, key, _ in first]
+        top = max(b for b, *_ in out) + 1
+        rest = [(key, part, min(length, n - part * length)) for key, n in rows for part in range(1, -(-n // length))]
+        return [(top + k, *r) for k, r in enumerate(rest)] + out
 
-    return _bins(df, shard, order, kernel)
+    return _bins(df, shard, order, shards, kernel)
 
 
-def pack_bfd(df: DataFrame, length: int, shard: str = "source", order: str = "doc_id") -> DataFrame:
+def pack_bfd(df: DataFrame, length: int, shard: str = "source", order: str = "doc_id", shards: int = 1) -> DataFrame:
     """As pack_ffd, but documents longer than a bin are split, and each piece goes to the bin it fills most."""
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(min(length, n - at), key, at // length) for key, n in zip(pdf[order], pdf["n"], strict=True) for at in range(0, int(n), length)]
-        rows.sort(key=lambda r: (-r[0], r[1], r[2]))
+    def kernel(rows: list[tuple]) -> list[tuple]:
         rooms: list[tuple[int, int]] = []  # (room, bin), sorted
         out, bins = [], 0
-        for n, key, part in rows:
+        for n, key, part in _longest_first([(min(length, n - at), key, at // length) for key, n in rows for at in range(0, n, length)]):
             at = bisect.bisect_left(rooms, (n, -1))
             if at < len(rooms):
                 room, bin_ = rooms.pop(at)
@@ -169,23 +197,15 @@ def pack_bfd(df: DataFrame, length: int, shard: str = "source", order: str = "do
             if room > n:
                 bisect.insort(rooms, (room - n, bin_))
             out.append((bin_, key, part, n))
-        return pd.DataFrame(out, columns=["bin", order, "part", "len"]).assign(**{shard: pdf[shard].iloc[0]})[[shard, "bin", order, "part", "len"]]
+        return out
 
-    return _bins(df, shard, order, kernel)
+    return _bins(df, shard, order, shards, kernel)
 
 
-def length_bucket(df: DataFrame, bounds: tuple[int, ...], shard: str = "source") -> DataFrame:
+def length_bucket(df: DataFrame, bounds: tuple[int, ...]) -> DataFrame:
     """(bucket, n_docs, n_tok, padded): documents by length, the tokens they take padded to their bucket's longest."""
     bucket = F.lit(len(bounds))
     for k in range(len(bounds) - 1, -1, -1):
         bucket = F.when(F.col("n") <= bounds[k], k).otherwise(bucket)
     out = df.withColumn("bucket", bucket.cast("long")).groupBy("bucket").agg(F.count("*").alias("n_docs"), F.sum("n").cast("long").alias("n_tok"), F.max("n").alias("longest"))
     return out.select("bucket", "n_docs", "n_tok", (F.col("n_docs") * F.col("longest")).alias("padded"))
-
-
-def blocks_of(runs: Iterator[int], length: int) -> Iterator[int]:
-    """Sizes of the blocks that a run of documents fills; a plain form for tests."""
-    total = sum(runs)
-    while total > 0:
-        yield min(total, length)
-        total -= length

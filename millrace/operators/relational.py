@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranges import sums_before
+
 
 def as_of_join(left: DataFrame, right: DataFrame, key: str, at: str, value: str, name: str) -> DataFrame:
     """left with the value of right's last row of the same key that isn't later; of several at one time the largest.
@@ -49,15 +51,6 @@ def salted_join(left: DataFrame, right: DataFrame, on: str, salts: int) -> DataF
 
 
 def places(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
-    """df with the place of each row in one order of all, from 1, without one task that sees them all.
-
-    Rows are dealt by ranges of the order; counts by range, a prefix sum over
-    the few ranges, then numbers within each range.
-    """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()).persist()
-    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = dealt.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = F.row_number().over(W.partitionBy("_part").orderBy(*order))
-    placed = dealt.withColumn("_at", inside).join(F.broadcast(offsets), "_part")  # a row for each partition
-    return placed.withColumn(name, (F.col("_offset") + F.col("_at")).cast("long")).drop("_part", "_at", "_offset")
+    """df with the place of each row in one order of all, from 1, without one task that sees them all."""
+    before = sums_before(df.withColumn("_one", F.lit(1)), "_one", (), order, name)
+    return before.withColumn(name, F.col(name) + 1).drop("_one")

@@ -13,6 +13,11 @@ def docs(spark, sizes):
     return spark.createDataFrame([(k, f"s{k % 2}", n) for k, n in enumerate(sizes)], "doc_id bigint, source string, n bigint")
 
 
+def blocks_of(sizes):
+    total = sum(sizes)
+    return [min(L, total - at) for at in range(0, total, L)]
+
+
 def plain_ffd(rows, length):
     bins, out = [], {}
     for n, key in sorted(((min(n, length), k) for k, n in rows), key=lambda r: (-r[0], r[1])):
@@ -59,7 +64,7 @@ def test_blocks_conserve_tokens(spark):
     for sizes in ([1], [L], [L - 1, 1], [L + 1], [1] * 200, [3 * L, 5, L]):
         df = docs(spark, sizes).withColumn("source", F.lit("s"))
         got = sorted((r.chunk, r.ntok) for r in packing.pack_spans(df, L).collect())
-        assert [n for _, n in got] == list(packing.blocks_of(iter(sizes), L))
+        assert [n for _, n in got] == blocks_of(sizes)
         assert sorted((r.chunk, r.ntok) for r in packing.pack_global(df, L).collect()) == got
 
 
@@ -80,6 +85,88 @@ def test_first_fit_tree(sizes):
         assert tree.place(n) == b
 
 
-def test_global_packing_gathers_totals_only(spark):
-    plan = packing.pack_global(docs(spark, [5, 6]), L)._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan
+def plain_bfd(rows, length):
+    """Each piece, longest first, to the bin with the least room that takes it; of equals the first."""
+    rooms, out = [], {}
+    for n, key, part in sorted(((min(length, n - at), key, at // length) for key, n in rows for at in range(0, n, length)), key=lambda r: (-r[0], r[1], r[2])):
+        fits = [(room, b) for b, room in enumerate(rooms) if room >= n]
+        b = min(fits)[1] if fits else len(rooms)
+        rooms += [length] * (b == len(rooms))
+        rooms[b] -= n
+        out[key, part] = b
+    return out
+
+
+def test_bfd_is_best_fit(spark):
+    sizes = [(k * 41) % 150 + 1 for k in range(160)]
+    got = packing.pack_bfd(docs(spark, sizes), L).collect()
+    for s in ("s0", "s1"):
+        rows = [(k, n) for k, n in enumerate(sizes) if f"s{k % 2}" == s]
+        assert {(r.doc_id, r.part): r.bin for r in got if r.source == s} == plain_bfd(rows, L)
+
+
+def test_bins_of_a_dealt_shard(spark):
+    sizes = [(k * 53) % 90 + 1 for k in range(200)]
+    for f in (packing.pack_ffd, packing.pack_bfd):
+        got = f(docs(spark, sizes), L, shards=4).toPandas()
+        assert got.groupby("doc_id")["len"].sum().to_dict() == dict(enumerate(sizes))
+        assert got.groupby(["source", "bin"])["len"].sum().max() <= L
+
+
+ROWS = [(1, "a b", "x"), (1, "a b", "x"), (2, None, "x"), (3, "", "x"), (2, "c", None), (None, "d e f", "x"), (4, "one two three four five six seven", "x"), (2, "zz", "x"), (2, "yy", "x"), (9, "k", None)]
+
+
+def odd(spark, parts=3):
+    """Nulls, repeats, ties and columns whose names are used inside."""
+    df = spark.createDataFrame(ROWS, "doc_id bigint, text string, source string").repartition(parts)
+    return df.selectExpr("*", "7 as begin", "'q' as chunk", "1 as _s", "2 as _o", "3 as _t", "4 as pos", "5 as part")
+
+
+def plain_tokens():
+    """Tokens by shard, documents by key (null first) and length; documents of one key and length in any order."""
+    out = {}
+    for shard in {r[2] for r in ROWS}:
+        rows = sorted((r for r in ROWS if r[2] == shard), key=lambda r: (r[0] is not None, r[0] or 0, len((r[1] or "").split())))
+        out[shard] = [t for r in rows for t in [*(r[1] or "").split(), "<eos>"]]
+    return out
+
+
+def test_nulls_repeats_and_ties(spark):
+    want = plain_tokens()
+    for length in (3, 5, 100):
+        runs = []
+        for parts in (1, 4):
+            df = odd(spark, parts)
+            tokens = packing.pack_tokens(df, length).collect()
+            runs.append(sorted((str(r.source), r.chunk, r.n, tuple(r.tokens)) for r in tokens))
+            for shard, all_ in want.items():
+                got = [t for r in sorted((r for r in tokens if r.source == shard), key=lambda r: r.chunk) for t in r.tokens]
+                assert sorted(got) == sorted(all_) and [t == "<eos>" for t in got] == [t == "<eos>" for t in all_]
+            n = packing.lengths(df)
+            spans = packing.spans(n, length).collect()
+            assert sum(r.len for r in spans) == sum(map(len, want.values()))
+            blocks = {(r.source, r.chunk): r.ntok for r in packing.pack_spans(n, length).collect()}
+            assert blocks == {(r.source, r.chunk): r.n for r in tokens}
+            assert sum(r.ntok for r in packing.pack_global(n, length).collect()) == sum(blocks.values())
+            stats = {r.source: (r.n_tok, r.n_seq) for r in packing.pack_stats(n, length).collect()}
+            assert stats == {s: (len(t), -(-len(t) // length)) for s, t in want.items()}
+            assert len(packing.segment_map(n, length).collect()) == len(spans)
+            for f in (packing.pack_ffd, packing.pack_bfd):
+                assert sum(r.len for r in f(n, length).collect()) == sum(blocks.values())
+        assert runs[0] == runs[1]
+    assert {r.kept for r in packing.pad_truncate(odd(spark), 6).filter("doc_id = 2").collect()} == {1, 2}
+
+
+def test_two_equal_rows_are_two_documents(spark):
+    df = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x")], "doc_id bigint, text string, source string")
+    assert [(r.n, r.tokens) for r in packing.pack_tokens(df, 100).collect()] == [(6, ["a", "b", "<eos>"] * 2)]
+
+
+def test_no_window_over_a_whole_shard(spark):
+    """Rows are summed within ranges; what is summed by shard alone are the ranges' totals."""
+    df = docs(spark, [5, 6, 7])
+    for f in (packing.pack_spans, packing.pack_stats, packing.pack_global):
+        plan = f(df, L)._jdf.queryExecution().optimizedPlan().toString()
+        windows = [line.split("], ", 1)[1] for line in plan.splitlines() if "Window [" in line]
+        assert len(windows) == 2 and all("_part#" in w for w in windows), windows  # by range, or over ranges
+        assert "CartesianProduct" not in plan

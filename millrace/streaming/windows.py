@@ -2,11 +2,12 @@
 
 Each function returns a batch DataFrame of what the stream gave. Event times
 are NTZ in the tables and cast to TIMESTAMP in UTC, since watermarks need it.
+What a stream gives and its state go to the folder that driver and executors
+share; nothing is gathered in the driver.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,12 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.scratch import fresh_path
+
 
 def arriving(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table as a stream."""
+    """A table, one file or a folder of files, as a stream."""
     path = f"{folder.rstrip('/')}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder) if not _is_folder(spark, path) else spark.readStream.schema(schema).parquet(path)
+    table = spark.read.parquet(path)
+    stream = spark.readStream.schema(table.schema)
+    one_file = [f.rstrip("/").rsplit("/", 1)[-1] for f in table.inputFiles()] == [f"{name}.parquet"]
+    return stream.option("pathGlobFilter", f"{name}.parquet").parquet(folder) if one_file else stream.parquet(path)
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,17 +32,18 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
     return arriving(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _is_folder(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
-
-
 def finished(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs the stream over what there is into a memory table, and returns it."""
-    name = f"s{uuid.uuid4().hex}"
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Runs the stream over what there is, and returns what it gave: appended to files, or as the last complete result."""
+    spark = stream.sparkSession
+    path, state = fresh_path(spark, "stream"), fresh_path(spark, "stream-state")
+    spark.createDataFrame([], stream.schema).write.parquet(path)  # a stream that gives nothing is an empty table
+    out = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
+    if mode == "append":
+        q = out.format("parquet").option("path", path).start()
+    else:
+        q = out.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 def _edges(df: DataFrame, *columns: str) -> DataFrame:

@@ -82,11 +82,34 @@ def hash_bucket(key: Column | str, buckets: int = 100) -> Column:
     return F.conv(F.substring(F.md5(_col(key).cast("string")), 1, 8), 16, 10).cast("long") % buckets
 
 
+def _boxed(text: Column) -> Column:
+    """The content of the last \\boxed{..} whose braces close, however deep they nest; null if there is none.
+
+    What follows a \\boxed{ is cut at its braces; a fold counts their depth and
+    gathers pieces until the first brace is closed.
+    """
+    start = F.struct(F.lit(1).alias("depth"), F.expr("cast(array() as array<string>)").alias("out"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        depth = acc["depth"] + F.when(piece == "{", 1).when(piece == "}", -1).otherwise(0)
+        return F.when(acc["depth"] == 0, acc).otherwise(F.struct(depth.alias("depth"), F.when(depth > 0, F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out")))
+
+    def inside(after: Column) -> Column:
+        pieces = F.regexp_extract_all(after, F.lit(r"[{}]|[^{}]+"), F.lit(0))
+        return F.aggregate(pieces, start, step, lambda acc: F.when(acc["depth"] == 0, F.array_join(acc["out"], "")))
+
+    # a piece that holds the next box goes on with what stands behind that, so boxes may nest
+    begins = F.sequence(F.lit(2), F.size(F.split(text, r"\\boxed\{", -1)))
+    parts = F.split(text, r"\\boxed\{", -1)
+    each = F.transform(begins, lambda i: inside(F.array_join(F.slice(parts, i, F.size(parts)), r"\boxed{")))
+    closed = F.filter(each, lambda x: x.isNotNull())
+    return F.when(F.contains(text, F.lit(r"\boxed{")), F.try_element_at(closed, F.lit(-1)))
+
+
 def math_answer(text: Column | str) -> Column:
-    """The last answer after ####, or else in \\boxed{..} with one level of nested braces; thousands separators go. Null if there is none."""
+    """The last answer after ####, or else in \\boxed{..}, braces nested to any depth; thousands separators go. Null if there is none."""
     marked = F.regexp_extract_all(_col(text), F.lit(r"####\s*(-?[0-9][0-9,]*(?:\.[0-9]+)?)"), F.lit(1))
-    boxed = F.regexp_extract_all(_col(text), F.lit(r"\\boxed\{((?:[^{}]|\{[^{}]*\})*)\}"), F.lit(1))
-    found = F.coalesce(F.try_element_at(marked, F.lit(-1)), F.try_element_at(boxed, F.lit(-1)))
+    found = F.coalesce(F.try_element_at(marked, F.lit(-1)), _boxed(_col(text)))
     return F.regexp_replace(found, r"(?<=\d),(?=\d)", "")
 
 

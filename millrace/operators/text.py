@@ -5,14 +5,21 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import spread
 
 SPECIAL = ("<unk>", "<eos>")
+#: Most words of a vocabulary that is sent to every task.
+MOST_TOKENS = 1 << 20
+# Stop words that prose has (Rae et al. 2021).
+STOP_WORDS = ("the", "be", "to", "of", "and", "that", "have", "with")
 
 
 def build_vocab(df: DataFrame, size: int, text: str = "text") -> DataFrame:
@@ -25,11 +32,28 @@ def build_vocab(df: DataFrame, size: int, text: str = "text") -> DataFrame:
 
 
 def encode_vocab(df: DataFrame, vocab: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, ids array<bigint>): words to ids in order, 0 for unknown ones."""
-    words = df.select(key, F.posexplode_outer(T.words(F.lower(text))).alias("pos", "token"))
-    known = words.join(vocab.select("token", "id"), "token", "left").withColumn("id", F.when(F.col("token").isNotNull(), F.coalesce("id", F.lit(0))))
-    pairs = F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "id"))))
-    return known.groupBy(key).agg(F.transform(pairs, lambda p: p["id"]).alias("ids"))
+    """(key, ids array<bigint>): words to ids in order, 0 for unknown ones; a null text has none.
+
+    The vocabulary, of MOST_TOKENS words at most, is looked up batch by batch
+    where the texts are; nothing is shuffled.
+    """
+    known = vocab.select("token", "id").limit(MOST_TOKENS + 1).toArrow()
+    if known.num_rows > MOST_TOKENS:
+        raise ValueError(f"a vocabulary has {MOST_TOKENS} words at most")
+    shared = df.sparkSession.sparkContext.broadcast((known["token"].combine_chunks(), known["id"].to_numpy()))
+    none = F.expr("cast(array() as array<string>)")
+    slim = spread(df.select(F.col(key).alias("key"), F.col(text).alias("text"))).select("key", F.coalesce(T.words(F.lower("text")), none).alias("words"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, ids = shared.value
+        for b in batches:
+            words = b.column("words")
+            at = pc.fill_null(pc.index_in(words.flatten(), value_set=tokens), -1).to_numpy()
+            found = np.where(at < 0, 0, ids[at]) if len(ids) else np.zeros(len(at), np.int64)
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy())]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.ListArray.from_arrays(pa.array(ends), pa.array(found))], ["key", "ids"])
+
+    return slim.mapInArrow(run, f"key {dict(slim.dtypes)['key']}, ids array<bigint>").withColumnRenamed("key", key)
 
 
 def token_stats(df: DataFrame, by: str = "lang", text: str = "text") -> DataFrame:
@@ -47,8 +71,41 @@ def text_profile(df: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     return out.select(key, "n_words", "n_chars", ratio("letters", "n_chars").alias("letter_share"), ratio("marks", "n_words").alias("marks_per_word"), F.when(F.col("n_lines") > 0, F.round(1 - F.col("n_unlike") / F.col("n_lines"), 6)).otherwise(F.lit(0.0)).alias("repeated_lines"))
 
 
+def text_repetition(df: DataFrame, text: str = "text", key: str = "doc_id", n: int = 3) -> DataFrame:
+    """(key, mean_word, stop_words, ended_lines, repeated_grams, top_gram) of every text.
+
+    Mean word length, stop words, the share of lines that end as sentences do,
+    the share of word n-grams that repeat an earlier one and that of the most
+    frequent one. All are 0 for null and empty texts.
+    """
+    none = F.expr("cast(array() as array<string>)")
+    empty = F.expr("cast(array() as array<bigint>)")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    share = lambda a, b: F.when(b > 0, F.round(a / b, 6)).otherwise(F.lit(0.0))
+
+    def runs(grams: Column) -> Column:
+        """Sizes of the runs of equal neighbours, from where each begins."""
+        begins = F.filter(F.sequence(F.lit(1), F.size(grams)), lambda i: (i == 1) | (F.get(grams, i - 1) != F.get(grams, i - 2)))
+        ends = F.concat(F.slice(begins, 2, F.size(begins)), F.array(F.size(grams) + 1))
+        return F.when(F.size(grams) > 0, F.transform(F.zip_with(begins, ends, lambda a, b: b - a), lambda x: x.cast("bigint"))).otherwise(empty)
+
+    def of_words(w: Column) -> Column:
+        return F.struct(
+            share(F.aggregate(w, F.lit(0).cast("long"), lambda s, x: s + F.length(x)), F.size(w)).alias("mean_word"),
+            F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))).cast("long").alias("stop_words"),
+            F.transform(F.array(F.array_sort(T.ngrams(w, n))), lambda g: F.transform(F.array(runs(g)), lambda r: F.struct(share(F.size(g) - F.size(r), F.size(g)).alias("repeated"), share(F.coalesce(F.array_max(r), F.lit(0)), F.size(g)).alias("top")))[0])[0].alias("grams"),
+        )
+
+    def of_lines(lines: Column) -> Column:
+        return share(F.size(F.filter(lines, lambda x: x.rlike('[.!?"]$'))), F.size(lines))
+
+    lines = F.filter(F.split(whole, "\n"), lambda x: x != "")
+    out = df.select(key, F.transform(F.array(F.coalesce(T.words(whole), none)), of_words)[0].alias("w"), F.transform(F.array(lines), of_lines)[0].alias("ended_lines"))
+    return out.select(key, "w.mean_word", "w.stop_words", "ended_lines", F.col("w.grams.repeated").alias("repeated_grams"), F.col("w.grams.top").alias("top_gram"))
+
+
 def exact_dedup(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(keep, copies): the smallest key of each normalised text."""
+    """(keep, copies): the smallest key of each normalised text; null texts are copies of each other."""
     return df.groupBy(F.md5(T.normalize(text)).alias("digest")).agg(F.min(key).alias("keep"), F.count("*").alias("copies")).select("keep", "copies")
 
 
@@ -62,6 +119,11 @@ def hash_split(df: DataFrame, valid_percent: int, key: str = "doc_id") -> DataFr
     return df.withColumn("split", F.when(T.hash_bucket(key) < valid_percent, "valid").otherwise("train"))
 
 
+def hash_sample(df: DataFrame, share: float, key: str = "doc_id") -> DataFrame:
+    """About `share` of the rows, the same in every run, by a hash of the key; rows of one key stay together, null keys go."""
+    return df.filter(T.hash_bucket(key, 10_000) < round(share * 10_000))
+
+
 def unicode_nfc(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, text) in composed form; nulls stay."""
     slim = df.select(key, F.col(text).alias("text"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,11 +11,22 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 
 
+#: Bytes of query vectors that are sent to every task at once, about.
+QUERY_BYTES = 16 << 20
+
+
 def nearest(queries: DataFrame, base: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query, key, similarity, rank): the k nearest of base for every row of a stated, small query set; exact."""
+    """(query, key, similarity, rank): the k nearest of base for every row of a stated query set; exact.
+
+    Queries go to all tasks in blocks of QUERY_BYTES, as many as their measured
+    size asks for; each task keeps the k nearest of a query before the shuffle.
+    """
     q = queries.select(F.col(key).alias("query"), F.col(vector).alias("_q"))
-    scored = base.select(key, vector).join(F.broadcast(q), F.col(key) != F.col("query"))  # the query set is stated by the caller
-    scored = scored.select("query", key, F.round(V.cosine(F.col("_q"), F.col(vector)), 6).alias("similarity"))
+    size = q.agg(F.sum(8 * F.size("_q")).alias("bytes")).first()["bytes"] or 0
+    blocks = -(-size // QUERY_BYTES) or 1
+    own = F.pmod(F.xxhash64("query"), F.lit(blocks))
+    scored = [base.select(key, vector).join(F.broadcast(q.filter(own == b)), F.col(key) != F.col("query")) for b in range(blocks)]
+    scored = reduce(DataFrame.unionByName, scored).select("query", key, F.round(V.cosine(F.col("_q"), F.col(vector)), 6).alias("similarity"))
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("similarity"), key))
     return scored.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
 

@@ -17,6 +17,11 @@ def test_math_answers(spark):
         "so #### 1,234": "1234",
         r"thus \boxed{\frac{1}{2}}": r"\frac{1}{2}",
         r"\boxed{3} then #### 4 then #### -5.5": "-5.5",
+        r"\boxed{\frac{\sqrt{x^{2}}}{\sqrt{1,234}}}": r"\frac{\sqrt{x^{2}}}{\sqrt{1234}}",
+        r"\boxed{a\boxed{b}c}": "b",
+        r"\boxed{1} and \boxed{never {closed}": "1",
+        r"\boxed{}": "",
+        r"\boxed{": None,
         "none": None,
         "": None,
         None: None,
@@ -72,3 +77,42 @@ def test_custom_source(spark):
     spark.dataSource.register(Numbers)
     rows = spark.read.format("numbers").option("rows", "10").option("parts", "3").load()
     assert sorted(map(tuple, rows.collect())) == [(k, k * k) for k in range(10)]
+
+
+def test_repetition_of_odd_texts(spark):
+    rows = [(1, "a b c a b c a b c"), (2, None), (3, ""), (4, "The end.\nno end\n\nwhy?"), (5, "one two")]
+    got = {r.doc_id: r for r in X.text_repetition(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert (got[1].repeated_grams, got[1].top_gram, got[1].mean_word) == (round(4 / 7, 6), round(3 / 7, 6), 1.0)
+    assert all(tuple(got[k])[1:] == (0.0, 0, 0.0, 0.0, 0.0) for k in (2, 3))
+    assert (got[4].ended_lines, got[4].stop_words) == (round(2 / 3, 6), 1) and got[5].repeated_grams == 0
+
+
+def test_hash_sample_is_a_share(spark):
+    df = spark.range(20_000).withColumnRenamed("id", "doc_id")
+    n = X.hash_sample(df, 0.25).count()
+    assert abs(n - 5_000) < 4 * (20_000 * 0.25 * 0.75) ** 0.5
+    assert X.hash_sample(spark.createDataFrame([(None,), (1,)], "doc_id bigint"), 1.0).count() == 1
+
+
+def test_nearest_in_blocks_is_nearest(spark, monkeypatch):
+    from millrace.operators import vectors
+
+    e = spark.createDataFrame([(k, [float((k * p) % 17 - 8) for p in (1, 3, 5)]) for k in range(60)], "vec_id bigint, embedding array<float>")
+    q = e.filter("vec_id < 9")
+    whole = sorted(map(tuple, vectors.nearest(q, e, 4).collect()))
+    monkeypatch.setattr(vectors, "QUERY_BYTES", 50)
+    assert sorted(map(tuple, vectors.nearest(q, e, 4).collect())) == whole
+
+
+def test_scratch_tables_can_be_cleaned_up(spark):
+    from pathlib import Path
+
+    from millrace.sources import scratch
+
+    folder = Path(scratch.shared_dir(spark).removeprefix("file://"))
+    t = scratch.written(spark.range(5), "kept")
+    u = scratch.written(t.groupBy("id").count(), "more")
+    assert t.count() == u.count() == 5 and folder.joinpath(t.written_to.rsplit("/", 1)[1]).is_dir()
+    scratch.remove(t)
+    assert not folder.joinpath(t.written_to.rsplit("/", 1)[1]).exists() and u.count() == 5
+    assert spark.conf.get(scratch.CLEANUP, "false") == "false"

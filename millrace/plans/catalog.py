@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import relational_queries, streaming_queries, text_queries
+from . import relational_queries, source_queries, streaming_queries, text_queries, udf_queries
 
-QUERIES = text_queries.QUERIES | relational_queries.QUERIES | streaming_queries.QUERIES
-ORACLE_SQL = text_queries.SQL | relational_queries.SQL | streaming_queries.SQL
+_MODULES = (text_queries, relational_queries, streaming_queries, source_queries, udf_queries)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}

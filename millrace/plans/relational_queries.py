@@ -7,18 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import relational as R
 from ..sources.tables import table
+from .registry import registry
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registry()
 
 
 def _t(spark, d, name):
@@ -170,9 +161,9 @@ def aggregate_cube(spark, d):
     return _t(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.grouping_id().cast("long").alias("level"))
 
 
-@query("SELECT event_type, user_id, count(*) AS n FROM events WHERE user_id <= 10 GROUP BY ROLLUP (event_type, user_id)")
+@query("SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ROLLUP (event_type, user_id)")
 def aggregate_rollup(spark, d):
-    return _t(spark, d, "events").filter("user_id <= 10").rollup("event_type", "user_id").agg(F.count("*").alias("n"))
+    return _t(spark, d, "events").rollup("event_type", "user_id").agg(F.count("*").alias("n"))
 
 
 @query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")
@@ -208,10 +199,43 @@ def aggregate_percentile(spark, d):
     return _t(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.median("l_quantity"), 4).alias("mid"), F.round(F.percentile("l_extendedprice", F.lit(0.9)), 4).alias("p90"))
 
 
-@query()
+@query("""SELECT event_type, count(DISTINCT event_id) AS n, true AS hll_near, true AS datasketch_near, true AS theta_near, true AS median_near, true AS kll_near FROM events GROUP BY event_type""")
 def aggregate_sketches(spark, d):
-    e = _t(spark, d, "events").groupBy("event_type")
-    return e.agg(F.approx_count_distinct("user_id").alias("hll"), F.hll_sketch_estimate(F.hll_sketch_agg("user_id")).alias("datasketch"), F.percentile_approx("value", 0.5).alias("median"))
+    """Sketches against exact figures: whether each is within its stated error (three deviations of the counts, 2 % of ranks)."""
+    e = _t(spark, d, "events")
+    out = e.groupBy("event_type").agg(
+        F.count_distinct("event_id").alias("n"), F.approx_count_distinct("event_id", 0.02).alias("hll"), F.hll_sketch_estimate(F.hll_sketch_agg("event_id", F.lit(14))).alias("data"), F.theta_sketch_estimate(F.theta_sketch_agg("event_id", 14)).alias("theta"),
+        F.percentile_approx("value", 0.5, 10_000).alias("mid"), F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double("value"), F.lit(0.5)).alias("kll"), F.percentile("value", F.array(F.lit(0.48), F.lit(0.52))).alias("around"),
+    )
+    near = lambda c, share: F.abs(F.col(c) - F.col("n")) <= share * F.col("n") + 1
+    return out.select("event_type", "n", near("hll", 0.06).alias("hll_near"), near("data", 0.03).alias("datasketch_near"), near("theta", 0.03).alias("theta_near"), *[F.col(c).between(F.get("around", F.lit(0)), F.get("around", F.lit(1))).alias(f"{name}_near") for c, name in (("mid", "median"), ("kll", "kll"))])
+
+
+@query("SELECT event_type AS item, count(*) AS n FROM events GROUP BY event_type")
+def aggregate_top_k_sketch(spark, d):
+    """approx_top_k is exact while there are fewer values than it tracks."""
+    top = _t(spark, d, "events").agg(F.expr("approx_top_k(event_type, 10, 100)").alias("t"))
+    return top.select(F.inline("t")).select("item", F.col("count").alias("n"))
+
+
+@query("SELECT event_type, count(*) AS total, true AS sized FROM events GROUP BY event_type")
+def aggregate_count_min(spark, d):
+    """The total that a count-min sketch holds, read from its bytes (version, total, depth, width, ..), and whether it is as wide as its error asks for."""
+    s = _t(spark, d, "events").groupBy("event_type").agg(F.hex(F.count_min_sketch("user_id", F.lit(0.01), F.lit(0.95), F.lit(7))).alias("h"))
+    number = lambda at, n: F.conv(F.substring("h", 2 * at + 1, 2 * n), 16, 10).cast("long")
+    return s.select("event_type", number(4, 8).alias("total"), ((number(12, 4) == 5) & (number(16, 4) == 200)).alias("sized"))
+
+
+@query("""SELECT o_orderpriority, string_agg(DISTINCT o_orderstatus, '|' ORDER BY o_orderstatus) AS statuses, mode(o_orderstatus ORDER BY o_orderstatus) IS NOT NULL AS has_mode FROM orders GROUP BY o_orderpriority""")
+def aggregate_listagg(spark, d):
+    o = _t(spark, d, "orders").groupBy("o_orderpriority")
+    return o.agg(F.array_join(F.array_sort(F.collect_set("o_orderstatus")), "|").alias("statuses"), F.mode("o_orderstatus").isNotNull().alias("has_mode"))
+
+
+@query("""SELECT n_regionkey, string_agg(n_name, '; ' ORDER BY n_name DESC) AS names, string_agg(n_nationkey || '=' || n_name, ',' ORDER BY n_nationkey) AS pairs FROM nation GROUP BY n_regionkey""")
+def aggregate_map(spark, d):
+    n = _t(spark, d, "nation").groupBy("n_regionkey").agg(F.expr("listagg(n_name, '; ') WITHIN GROUP (ORDER BY n_name DESC)").alias("names"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name")))).alias("m"))
+    return n.select("n_regionkey", "names", F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("pairs"))
 
 
 @query("""SELECT o_orderkey, row_number() OVER w AS rn, rank() OVER w AS rk, dense_rank() OVER w AS dr, ntile(4) OVER w AS quarter, round(percent_rank() OVER w, 6) AS pr, round(cume_dist() OVER w, 6) AS cd
@@ -242,14 +266,8 @@ def sessionize(spark, d):
     return R.sessions(_t(spark, d, "events"), "user_id", "ts", 6 * 3600).select("event_id", "session")
 
 
-@query("SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_name NULLS LAST, p_partkey) AS place FROM part QUALIFY place <= 100")
-def sort_total(spark, d):
-    top = _t(spark, d, "part").orderBy(F.desc("p_retailprice"), F.asc_nulls_last("p_name"), "p_partkey").limit(100)
-    return top.select("p_partkey", F.row_number().over(W.orderBy(F.desc("p_retailprice"), F.asc_nulls_last("p_name"), "p_partkey")).cast("long").alias("place"))
-
-
 @query("SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_name NULLS LAST, p_partkey) AS place FROM part")
-def sort_total_whole(spark, d):
+def sort_total(spark, d):
     order = [F.desc("p_retailprice"), F.asc_nulls_last("p_name"), F.col("p_partkey")]
     return R.places(_t(spark, d, "part").select("p_partkey", "p_name", "p_retailprice"), order).select("p_partkey", "place")
 
@@ -264,33 +282,50 @@ def top_k_per_group(spark, d):
     return R.top_k(_t(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), "o_custkey", [F.desc("o_totalprice"), F.col("o_orderkey")], 3).drop("o_totalprice")
 
 
-@query()
+@query("SELECT count(*) AS n, true AS share_near FROM lineitem")
 def sample(spark, d):
-    return _t(spark, d, "lineitem").sample(0.1, seed=7).select("l_orderkey", "l_linenumber")
+    """A tenth of all lines by chance: whether its size is within four deviations."""
+    li = _t(spark, d, "lineitem")
+    both = li.agg(F.count("*").alias("n")).crossJoin(li.sample(0.1, seed=7).agg(F.count("*").alias("m")))  # one row each
+    return both.select("n", (F.abs(F.col("m") - F.col("n") * 0.1) <= 4 * F.sqrt(F.col("n") * 0.09)).alias("share_near"))
 
 
-@query()
+@query("SELECT event_type, count(*) AS n, true AS share_near FROM events GROUP BY event_type")
 def sample_stratified(spark, d):
-    return _t(spark, d, "events").sampleBy("event_type", {"error": 1.0, "click": 0.1}, seed=7).select("event_id", "event_type")
+    """All errors, a tenth of the clicks and nothing else, each within four deviations."""
+    e = _t(spark, d, "events")
+    parts = e.sampleBy("event_type", {"error": 1.0, "click": 0.1}, seed=7).groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("m"))
+    share = F.when(F.col("event_type") == "error", 1.0).when(F.col("event_type") == "click", 0.1).otherwise(0.0)
+    both = e.groupBy("event_type").agg(F.count("*").alias("n")).join(parts, F.col("event_type") == F.col("kind"), "left")
+    off = F.abs(F.coalesce("m", F.lit(0)) - F.col("n") * share)
+    return both.select("event_type", "n", (off <= 4 * F.sqrt(F.col("n") * share * (1 - share))).alias("share_near"))
+
+
+@query("SELECT vec_id, CAST(unnest([1, 2]) AS INTEGER) AS side, unnest([CAST(label AS BIGINT), vec_id]) AS x FROM embeddings")
+def generate_stack(spark, d):
+    return _t(spark, d, "embeddings").selectExpr("vec_id", "stack(2, 1, CAST(label AS BIGINT), 2, vec_id) AS (side, x)")
+
+
+@query("SELECT r_regionkey, unnest([r_name, upper(r_name)]) AS name, CAST(unnest([1, 2]) AS INTEGER) AS k FROM region")
+def generate_inline(spark, d):
+    return _t(spark, d, "region").selectExpr("r_regionkey", "inline(array(struct(r_name AS name, 1 AS k), struct(upper(r_name) AS name, 2 AS k)))")
 
 
 SETS = {"union_all": "UNION ALL", "union": "UNION", "intersect": "INTERSECT", "intersect_all": "INTERSECT ALL", "except": "EXCEPT", "except_all": "EXCEPT ALL"}
 
 
-def _set(name, whole=False):
+def _set(name):
     def run(spark, d):
         a = _t(spark, d, "supplier").select(F.col("s_nationkey").alias("k"))
-        c = _t(spark, d, "customer")
-        b = (c if whole else c.filter("c_custkey <= 30")).select(F.col("c_nationkey").alias("k"))
+        b = _t(spark, d, "customer").select(F.col("c_nationkey").alias("k"))
         return {"union_all": lambda: a.unionByName(b), "union": lambda: a.union(b).distinct(), "intersect": lambda: a.intersect(b), "intersect_all": lambda: a.intersectAll(b), "except": lambda: a.subtract(b), "except_all": lambda: a.exceptAll(b)}[name]()
 
-    run.__name__ = f"set_{name}_whole" if whole else f"set_{name}"
+    run.__name__ = f"set_{name}"
     return run
 
 
 for _n, _op in SETS.items():
-    query(f"SELECT s_nationkey AS k FROM supplier {_op} SELECT c_nationkey FROM customer WHERE c_custkey <= 30")(_set(_n))
-    query(f"SELECT s_nationkey AS k FROM supplier {_op} SELECT c_nationkey FROM customer")(_set(_n, whole=True))
+    query(f"SELECT s_nationkey AS k FROM supplier {_op} SELECT c_nationkey FROM customer")(_set(_n))
 
 
 @query("""SELECT c_custkey FROM customer c WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer x WHERE x.c_nationkey = c.c_nationkey) AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)""")
@@ -335,19 +370,10 @@ def scalar_date(spark, d):
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, round(abs(l_discount - 0.05), 6) AS a, floor(l_extendedprice)::BIGINT AS f, ceil(l_extendedprice)::BIGINT AS c, round(pow(l_quantity, 1.5), 4) AS p, round(sqrt(l_quantity), 6) AS s, round(ln(l_extendedprice), 6) AS l, round(exp(l_discount), 6) AS e, round(sin(l_quantity), 6) AS si,
-greatest(l_tax, l_discount) AS g, least(l_tax, l_discount) AS m, l_partkey % 7 AS r, (l_partkey & 15) AS b FROM lineitem WHERE l_orderkey <= 2000""")
+greatest(l_tax, l_discount) AS g, least(l_tax, l_discount) AS m, l_partkey % 7 AS r, (l_partkey & 15) AS b FROM lineitem""")
 def scalar_math(spark, d):
-    return _math(_t(spark, d, "lineitem").filter("l_orderkey <= 2000"))
-
-
-@query(SQL["scalar_math"].removesuffix(" WHERE l_orderkey <= 2000"))
-def scalar_math_whole(spark, d):
-    return _math(_t(spark, d, "lineitem"))
-
-
-def _math(lines):
     q, x = F.col("l_quantity"), F.col("l_extendedprice")
-    return lines.select(
+    return _t(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", F.round(F.abs(F.col("l_discount") - 0.05), 6).alias("a"), F.floor(x).alias("f"), F.ceil(x).alias("c"), F.round(F.pow(q, 1.5), 4).alias("p"), F.round(F.sqrt(q), 6).alias("s"), F.round(F.log(x), 6).alias("l"), F.round(F.exp("l_discount"), 6).alias("e"), F.round(F.sin(q), 6).alias("si"),
         F.greatest("l_tax", "l_discount").alias("g"), F.least("l_tax", "l_discount").alias("m"), F.pmod("l_partkey", F.lit(7)).alias("r"), F.col("l_partkey").bitwiseAND(15).alias("b"),
     )
@@ -388,3 +414,77 @@ def scalar_conditional(spark, d):
 def scalar_encoding(spark, d):
     p = _t(spark, d, "pages")
     return p.select("page_id", F.base64(F.encode("url", "UTF-8")).alias("b"), F.hex("url").alias("h"), F.replace(F.url_encode("url"), F.lit("+"), F.lit("%20")).alias("u"))
+
+
+@query("""SELECT c_custkey, 'Customer' || substr(c_name, 9) AS caps, c_mktsegment || '!' AS marked, strpos(c_name, '0') AS zero, left(c_name, 4) AS l4, right(c_name, 4) AS r4, regexp_replace(c_name, '[0-9]+', '#') AS masked, regexp_extract(c_name, '([0-9]+)', 1) AS digits,
+CAST(len(regexp_extract_all(c_name, '0')) AS BIGINT) AS zeros, ascii(c_mktsegment) AS code, chr(CAST(65 + c_custkey % 26 AS INTEGER)) AS letter, rpad(c_mktsegment, 12, '.') AS padded, trim(c_mktsegment) AS trimmed, contains(c_name, '9') AS nine, starts_with(c_mktsegment, 'B') AS b FROM customer""")
+def scalar_string_more(spark, d):
+    c, m = F.col("c_name"), F.col("c_mktsegment")
+    return _t(spark, d, "customer").select(
+        "c_custkey", F.initcap(c).alias("caps"), F.overlay(m, F.lit("!"), F.length(m) + 1).alias("marked"), F.locate("0", c).cast("long").alias("zero"), F.left(c, F.lit(4)).alias("l4"), F.right(c, F.lit(4)).alias("r4"), F.regexp_replace(c, "[0-9]+", "#").alias("masked"), F.regexp_extract(c, "([0-9]+)", 1).alias("digits"),
+        F.regexp_count(c, F.lit("0")).cast("long").alias("zeros"), F.ascii(m).alias("code"), F.chr((F.col("c_custkey") % 26 + 65)).alias("letter"), F.rpad(m, 12, ".").alias("padded"), F.trim(m).alias("trimmed"), F.contains(c, F.lit("9")).alias("nine"), F.startswith(m, F.lit("B")).alias("b"),
+    )
+
+
+@query("""SELECT o_orderkey, CAST(date_diff('month', DATE '1990-01-01', o_orderdate) AS DOUBLE) AS months, make_timestamp(year(o_orderdate), month(o_orderdate), 1, 0, 0, 0) AS first, CAST(dayofweek(o_orderdate) + 1 AS INTEGER) AS dow, CAST(dayofyear(o_orderdate) AS INTEGER) AS doy,
+CAST(weekofyear(o_orderdate) AS INTEGER) AS week, CAST(epoch(o_orderdate) AS BIGINT) AS seconds, CAST(o_orderdate + INTERVAL 3 MONTH AS DATE) AS quarter_on FROM orders""")
+def scalar_date_more(spark, d):
+    t = F.col("o_orderdate")
+    return _t(spark, d, "orders").select(
+        "o_orderkey", F.floor(F.months_between(F.trunc(t, "month"), F.lit("1990-01-01"))).cast("double").alias("months"), F.make_timestamp_ntz(F.year(t), F.month(t), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).alias("first"), F.dayofweek(t).alias("dow"), F.dayofyear(t).alias("doy"),
+        F.weekofyear(t).alias("week"), F.unix_timestamp(t.cast("timestamp")).alias("seconds"), F.add_months(t, 3).alias("quarter_on"),
+    )
+
+
+@query("""SELECT p_partkey, CAST(CASE WHEN p_size < 0 THEN 0 WHEN p_size >= 50 THEN 11 ELSE p_size // 5 + 1 END AS BIGINT) AS bucket, round_even(p_retailprice, 1) AS even, CAST(p_size AS INTEGER) % 3 AS r, round(log10(p_retailprice), 6) AS lg, round(cbrt(p_size), 6) AS root, CAST(sign(p_size - 25) AS INTEGER) AS s, CAST(factorial(p_size % 10) AS BIGINT) AS f, CAST(bit_count(p_partkey) AS INTEGER) AS bits, round(degrees(p_size), 6) AS deg,
+upper(printf('%x', p_partkey)) AS hex FROM part""")
+def scalar_math_more(spark, d):
+    z = F.col("p_size")
+    return _t(spark, d, "part").select(
+        "p_partkey", F.width_bucket(z.cast("double"), F.lit(0.0), F.lit(50.0), F.lit(10)).alias("bucket"), F.bround("p_retailprice", 1).alias("even"), F.pmod(z, F.lit(3)).alias("r"), F.round(F.log10("p_retailprice"), 6).alias("lg"), F.round(F.cbrt(z), 6).alias("root"), F.signum(z - 25).cast("int").alias("s"), F.factorial(z % 10).alias("f"), F.bit_count("p_partkey").alias("bits"),
+        F.round(F.degrees(z), 6).alias("deg"), F.conv(F.col("p_partkey").cast("string"), 10, 16).alias("hex"),
+    )
+
+
+@query("""WITH t AS (SELECT n_regionkey AS k, list_sort(list(n_nationkey)) AS a, [1, 5, 7, 9, 13] AS b FROM nation GROUP BY 1)
+SELECT k, array_to_string(list_sort(list_distinct(list_concat(a, b))), ',') AS u, array_to_string(list_sort(list_intersect(a, b)), ',') AS i, array_to_string(list_sort(list_filter(a, lambda x: NOT list_contains(b, x))), ',') AS e, list_has_any(a, b) AS o,
+list_bool_and(list_transform(a, lambda x: x >= 0)) AS every, list_bool_or(list_transform(a, lambda x: x > 20)) AS some, array_to_string(list_transform(list_zip(a, b), lambda p: coalesce(p[1], 0) * coalesce(p[2], 0)), ',') AS z, list_max(a) AS top, CAST(list_position(a, 7) AS BIGINT) AS at, array_to_string(list_reverse(a), ',') AS back FROM t""")
+def scalar_array_more(spark, d):
+    t = _t(spark, d, "nation").groupBy(F.col("n_regionkey").alias("k")).agg(F.array_sort(F.collect_list("n_nationkey")).alias("a")).withColumn("b", F.array(*[F.lit(x) for x in (1, 5, 7, 9, 13)]))
+    s = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
+    product = F.zip_with("a", "b", lambda x, y: F.coalesce(x, F.lit(0)) * F.coalesce(y, F.lit(0)))
+    return t.select("k", s(F.array_sort(F.array_union("a", "b"))).alias("u"), s(F.array_sort(F.array_intersect("a", "b"))).alias("i"), s(F.array_sort(F.array_except("a", "b"))).alias("e"), F.arrays_overlap("a", "b").alias("o"), F.forall("a", lambda x: x >= 0).alias("every"), F.exists("a", lambda x: x > 20).alias("some"), s(product).alias("z"), F.array_max("a").alias("top"), F.nullif(F.array_position("a", 7), F.lit(0)).alias("at"), s(F.reverse("a")).alias("back"))
+
+
+@query("""SELECT r_regionkey, 'b=' || r_regionkey AS kept, 'a=2,b=' || (r_regionkey * 2) AS doubled, CAST(r_regionkey AS VARCHAR) AS from_text FROM region""")
+def scalar_map_more(spark, d):
+    m = F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.col("r_regionkey"))
+    text = lambda x: F.array_join(F.transform(F.array_sort(F.map_entries(x)), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    parsed = F.str_to_map(F.concat(F.lit("x:"), F.col("r_regionkey").cast("string"), F.lit(",y:0")))
+    return _t(spark, d, "region").select("r_regionkey", text(F.map_filter(m, lambda k, v: k == "b")).alias("kept"), text(F.transform_values(m, lambda k, v: v * 2)).alias("doubled"), parsed["x"].alias("from_text"))
+
+
+@query("""SELECT event_id, props ->> '$.k' AS k, props ->> '$.k' AS tuple_k, props ->> '$.k' AS variant_k, '{"u":' || user_id || ',"t":"' || event_type || '"}' AS made, CAST(1 AS INTEGER) AS n_keys FROM events""")
+def scalar_json_more(spark, d):
+    e = _t(spark, d, "events")
+    parsed = F.from_json("props", "k string")
+    made = F.to_json(F.struct(F.col("user_id").alias("u"), F.col("event_type").alias("t")))
+    return e.select("event_id", parsed["k"].alias("k"), F.variant_get(F.parse_json("props"), "$.k", "string").alias("variant_k"), made.alias("made"), F.size(F.json_object_keys("props")).alias("n_keys"), F.json_tuple("props", "k").alias("tuple_k"))
+
+
+@query("""SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, url AS back, decode(unhex(hex(encode(url)))) AS unhexed, url_decode(url_encode(url)) AS decoded FROM pages""")
+def scalar_encoding_more(spark, d):
+    u = F.col("url")
+    return _t(spark, d, "pages").select("page_id", F.parse_url(u, F.lit("HOST")).alias("host"), F.parse_url(u, F.lit("PROTOCOL")).alias("scheme"), F.decode(F.unbase64(F.base64(F.encode(u, "UTF-8"))), "UTF-8").alias("back"), F.decode(F.unhex(F.hex(u)), "UTF-8").alias("unhexed"), F.url_decode(F.url_encode(u)).alias("decoded"))
+
+
+@query("""SELECT p_partkey, sha1(p_name) AS s1, sha256(p_name) AS s2, true AS crc_sized, true AS same FROM part""")
+def scalar_hash_more(spark, d):
+    n = F.col("p_name")
+    return _t(spark, d, "part").select("p_partkey", F.sha(n).alias("s1"), F.sha2(n, 0).alias("s2"), F.crc32(n).between(0, 2**32 - 1).alias("crc_sized"), ((F.xxhash64(n) == F.xxhash64(F.concat(n, F.lit("")))) & (F.hash(n) == F.hash(F.concat(n, F.lit(""))))).alias("same"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 2 END AS b, coalesce(nullif(c_mktsegment, 'MACHINERY'), '-') AS n, c_mktsegment IS DISTINCT FROM 'AUTOMOBILE' AS other, isnan(c_acctbal) AS odd FROM customer")
+def scalar_conditional_more(spark, d):
+    m = F.col("c_mktsegment")
+    return _t(spark, d, "customer").select("c_custkey", F.expr("if(c_mktsegment = 'BUILDING', 1, 2)").alias("b"), F.nvl(F.nullif(m, F.lit("MACHINERY")), F.lit("-")).alias("n"), (~m.eqNullSafe("AUTOMOBILE")).alias("other"), F.isnan("c_acctbal").alias("odd"))

@@ -2,22 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import packing
 from ..streaming import windows as S
+from .registry import registry
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registry()
 
 
 @query("SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -47,16 +36,9 @@ def stream_interval_join(spark, d):
     return S.finished(S.interval_join(S.events(spark, d), S.events(spark, d)), "append")
 
 
-@query("""WITH t AS (SELECT event_type AS source, count(*) * 100 AS n FROM events GROUP BY 1)
-SELECT source, unnest(range(n // 512)) AS chunk, CAST(512 AS BIGINT) AS ntok FROM t""")
-def pack_stream(spark, d):
-    docs = S.events(spark, d).select(F.col("event_type").alias("source"), F.lit(100).cast("long").alias("n"))
-    return S.finished(S.pack_stream(docs, 512), "append")
-
-
 @query(r"""WITH t AS (SELECT source, CAST(sum(len(regexp_extract_all(text, '\S+')) + 1) AS BIGINT) AS n FROM documents GROUP BY source),
      x AS (SELECT source, n, unnest(range((n + 511) // 512)) AS chunk FROM t)
 SELECT source, chunk, least(512, n - chunk * 512) AS ntok FROM x""")
-def pack_stream_documents(spark, d):
+def pack_stream(spark, d):
     docs = packing.lengths(S.arriving(spark, d, "documents"))
     return S.flushed(S.finished(S.pack_stream(docs, 512, rest=True), "append"))

@@ -7,20 +7,12 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import packing, text, vectors
+from ..sources.scratch import spread
 from ..sources.tables import table
+from .registry import registry
 
 L = 512
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registry()
 
 
 def _docs(spark, d):
@@ -28,7 +20,7 @@ def _docs(spark, d):
 
 
 def _lengths(spark, d):
-    return packing.lengths(_docs(spark, d)).select("doc_id", "source", "n")
+    return packing.lengths(spread(_docs(spark, d).select("doc_id", "source", "text"))).select("doc_id", "source", "n")
 
 
 SPANS = rf"""
@@ -86,12 +78,25 @@ def pack_global(spark, d):
     return packing.pack_global(_lengths(spark, d), L)
 
 
-@query()
+FIT = r"""
+WITH RECURSIVE t AS (SELECT doc_id, source, CAST(len(regexp_extract_all(text, '\S+')) + 1 AS BIGINT) AS n FROM documents),
+     p AS (SELECT source, doc_id, part, least(2048, n - part * 2048) AS len FROM (SELECT *, unnest(range((n + 2047) // 2048)) AS part FROM t) WHERE {whole}),
+     s AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY len DESC, doc_id, part) AS k FROM p),
+     f(source, k, rooms, bin) AS (
+       SELECT DISTINCT source, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(-1 AS BIGINT) FROM t UNION ALL
+       SELECT source, k, CASE WHEN spot IS NULL THEN list_append(rooms, 2048 - len) ELSE list_concat(rooms[: spot - 1], [rooms[spot] - len], rooms[spot + 1 :]) END, CASE WHEN spot IS NULL THEN len(rooms) ELSE spot - 1 END
+       FROM (SELECT s.source, s.k, rooms, s.len AS len, {choice} AS spot FROM f JOIN s ON s.source = f.source AND s.k = f.k + 1) AS step)
+"""
+
+
+@query(FIT.format(whole="part = 0", choice="list_position(list_transform(rooms, lambda x: x >= s.len), true)") + """, tops AS (SELECT source, max(bin) + 1 AS top FROM f GROUP BY source),
+     more AS (SELECT source, doc_id, part, least(2048, n - part * 2048) AS len, row_number() OVER (PARTITION BY source ORDER BY doc_id, part) - 1 AS k FROM (SELECT *, unnest(range(1, (n + 2047) // 2048)) AS part FROM t))
+SELECT source, bin, doc_id, part, len FROM f JOIN s USING (source, k) UNION ALL SELECT source, top + k, doc_id, part, len FROM more JOIN tops USING (source)""")
 def pack_ffd(spark, d):
     return packing.pack_ffd(_lengths(spark, d), 2048)
 
 
-@query()
+@query(FIT.format(whole="true", choice="list_position(rooms, list_min(list_filter(rooms, lambda x: x >= s.len)))") + "SELECT source, bin, doc_id, part, len FROM f JOIN s USING (source, k)")
 def pack_bfd(spark, d):
     return packing.pack_bfd(_lengths(spark, d), 2048)
 
@@ -109,19 +114,10 @@ def tokenize_words(spark, d):
     return _docs(spark, d).select("doc_id", F.md5(F.array_join(T.words("text"), "|")).alias("digest"), T.word_count("text").alias("n"))
 
 
-@query("SELECT item_id, CAST(strlen(text) AS BIGINT) AS n, md5(array_to_string(list_transform(range(strlen(text)), lambda i: CAST(('0x' || substr(hex(encode(text)), CAST(2 * i + 1 AS INTEGER), 2)) AS INTEGER)), ',')) AS digest FROM benchmark")
-def tokenize_bytes(spark, d):
-    return _bytes(table(spark, d, "benchmark"), "item_id")
-
-
 @query("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n, md5(array_to_string(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST(('0x' || h) AS INTEGER)), ',')) AS digest FROM documents")
-def tokenize_bytes_documents(spark, d):
-    return _bytes(_docs(spark, d), "doc_id")
-
-
-def _bytes(df, key):
+def tokenize_bytes(spark, d):
     b = T.byte_values("text")
-    return df.select(key, F.octet_length("text").cast("long").alias("n"), F.md5(F.array_join(F.transform(b, lambda x: x.cast("string")), ",")).alias("digest"))
+    return spread(_docs(spark, d)).select("doc_id", F.octet_length("text").cast("long").alias("n"), F.md5(F.array_join(F.transform(b, lambda x: x.cast("string")), ",")).alias("digest"))
 
 
 @query(r"SELECT doc_id, md5(array_to_string(regexp_extract_all(text, '\p{L}+|\d|[^\s\p{L}\d]+'), '~')) AS digest FROM documents")
@@ -157,22 +153,13 @@ def token_stats(spark, d):
     return text.token_stats(_docs(spark, d))
 
 
-@query(r"""WITH t AS (SELECT item_id, regexp_extract_all(lower(text), '\S+') AS w FROM benchmark),
-     g AS (SELECT item_id, array_to_string(w[i : i + 7], ' ') AS gram FROM (SELECT item_id, w, unnest(range(1, len(w) - 6)) AS i FROM t WHERE len(w) >= 8))
-SELECT item_id, count(*) AS n, count(DISTINCT gram) AS n_unlike, md5(string_agg(DISTINCT gram, '|' ORDER BY gram)) AS digest FROM g GROUP BY item_id""")
+@query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '\S+') AS w FROM documents),
+     g AS (SELECT doc_id, array_to_string(w[i : i + 7], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM t WHERE len(w) >= 8))
+SELECT doc_id, count(*) AS n, count(DISTINCT gram) AS n_unlike, md5(string_agg(DISTINCT gram, '|' ORDER BY gram)) AS digest FROM g GROUP BY doc_id""")
 def ngrams(spark, d):
-    return _ngrams(table(spark, d, "benchmark"), "item_id")
-
-
-@query(SQL["ngrams"].replace("item_id", "doc_id").replace("FROM benchmark", "FROM documents"))
-def ngrams_documents(spark, d):
-    return _ngrams(_docs(spark, d), "doc_id")
-
-
-def _ngrams(df, key):
-    g = df.select(key, T.ngrams(T.words(F.lower("text")), 8).alias("g")).filter(F.size("g") > 0)
-    unlike = F.array_sort(F.array_distinct("g"))
-    return g.select(key, F.size("g").cast("long").alias("n"), F.size(unlike).cast("long").alias("n_unlike"), F.md5(F.array_join(unlike, "|")).alias("digest"))
+    g = spread(_docs(spark, d)).select("doc_id", T.ngrams(T.words(F.lower("text")), 8).alias("g")).filter(F.size("g") > 0)
+    unlike = F.transform(F.array(F.array_sort(F.array_distinct("g"))), lambda u: F.struct(F.size(u).cast("long").alias("n"), F.md5(F.array_join(u, "|")).alias("d")))[0]
+    return g.select("doc_id", F.size("g").cast("long").alias("n"), unlike.alias("u")).select("doc_id", "n", F.col("u.n").alias("n_unlike"), F.col("u.d").alias("digest"))
 
 
 @query(r"SELECT doc_id, md5(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS digest FROM documents")
@@ -213,6 +200,19 @@ def lang_and_source_cap(spark, d):
     return text.source_cap(_docs(spark, d).filter(F.col("lang").isin("en", "de")).select("doc_id", "source"), 10)
 
 
+@query(r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS w, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS lines FROM documents),
+     c AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))) AS gram FROM w WHERE len(w) >= 3),
+     k AS (SELECT doc_id, gram, count(*) AS c FROM c GROUP BY doc_id, gram),
+     g AS (SELECT doc_id, count(*) AS unlike, sum(c) AS n, max(c) AS top FROM k GROUP BY doc_id)
+SELECT doc_id, CASE WHEN len(w) > 0 THEN round(list_sum(list_transform(w, lambda x: length(x))) / len(w), 6) ELSE 0.0 END AS mean_word,
+       CAST(len(list_filter(w, lambda x: list_contains(['the', 'be', 'to', 'of', 'and', 'that', 'have', 'with'], lower(x)))) AS BIGINT) AS stop_words,
+       CASE WHEN len(lines) > 0 THEN round(len(list_filter(lines, lambda x: regexp_matches(x, '[.!?"]$'))) / len(lines), 6) ELSE 0.0 END AS ended_lines,
+       coalesce(round(1 - unlike / n, 6), 0.0) AS repeated_grams, coalesce(round(top / n, 6), 0.0) AS top_gram FROM w LEFT JOIN g USING (doc_id)""")
+def text_repetition(spark, d):
+    return text.text_repetition(spread(_docs(spark, d)))
+
+
 @query(r"""
 WITH t AS (SELECT doc_id, CAST(len(regexp_extract_all(text, '\S+')) AS BIGINT) AS n_words, CAST(length(text) AS BIGINT) AS n_chars,
            len(regexp_extract_all(text, '\p{L}')) AS letters, len(regexp_extract_all(text, '[#$%&*|]')) AS marks, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS lines FROM documents)
@@ -232,6 +232,11 @@ def hash_split(spark, d):
     return text.hash_split(_docs(spark, d).select("doc_id"), 10)
 
 
+@query("SELECT doc_id FROM documents WHERE CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 10000 < 2500")
+def hash_sample(spark, d):
+    return text.hash_sample(_docs(spark, d).select("doc_id"), 0.25)
+
+
 @query("SELECT lang, count(*) AS n_docs, count(quality) AS n_labelled, count(*) FILTER (WHERE quality = 1) AS n_good FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang")
 def label_join(spark, d):
     return text.label_join(_docs(spark, d), table(spark, d, "labels"))
@@ -259,7 +264,7 @@ def math_density(spark, d):
     return _docs(spark, d).filter(F.length("text") > 0).select("doc_id", F.round(T.math_density("text"), 6).alias("density"))
 
 
-@query()
+@query(r"""SELECT doc_id, regexp_replace(coalesce(regexp_extract_all(text, '####\s*(-?[0-9][0-9,]*(?:\.[0-9]+)?)', 1)[-1], regexp_extract_all(text, '\\boxed\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}', 1)[-1]), '(\d),', '\1', 'g') AS answer FROM documents""")
 def math_answer(spark, d):
     return _docs(spark, d).select("doc_id", T.math_answer("text").alias("answer"))
 

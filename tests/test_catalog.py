@@ -16,6 +16,5 @@ def test_same_as_sql(spark, data, con, name):
     assert oracle.differences(catalog.QUERIES[name](spark, data), con, catalog.ORACLE_SQL[name]) == []
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES.keys() - catalog.ORACLE_SQL.keys()))
-def test_gives_rows(spark, data, name):
-    assert catalog.QUERIES[name](spark, data).count() > 0
+def test_every_query_has_sql():
+    assert catalog.QUERIES.keys() == catalog.ORACLE_SQL.keys()

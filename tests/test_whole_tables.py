@@ -23,22 +23,22 @@ def rows(con, table):
 
 
 def test_math_takes_all_lines(spark, con):
-    df = catalog.QUERIES["scalar_math_whole"](spark, LARGER)
-    assert oracle.differences(df, con, catalog.ORACLE_SQL["scalar_math_whole"]) == []
+    df = catalog.QUERIES["scalar_math"](spark, LARGER)
+    assert oracle.differences(df, con, catalog.ORACLE_SQL["scalar_math"]) == []
     assert df.count() == rows(con, "lineitem")
 
 
 @pytest.mark.parametrize("name", ["union_all", "union", "intersect", "intersect_all", "except", "except_all"])
 def test_sets_take_all_customers(spark, con, name):
-    df = catalog.QUERIES[f"set_{name}_whole"](spark, LARGER)
-    assert oracle.differences(df, con, catalog.ORACLE_SQL[f"set_{name}_whole"]) == []
+    df = catalog.QUERIES[f"set_{name}"](spark, LARGER)
+    assert oracle.differences(df, con, catalog.ORACLE_SQL[f"set_{name}"]) == []
     if name == "union_all":
         assert df.count() == rows(con, "supplier") + rows(con, "customer")
 
 
 def test_sort_places_all_parts(spark, con):
-    df = catalog.QUERIES["sort_total_whole"](spark, LARGER)
-    assert oracle.differences(df, con, catalog.ORACLE_SQL["sort_total_whole"]) == []
+    df = catalog.QUERIES["sort_total"](spark, LARGER)
+    assert oracle.differences(df, con, catalog.ORACLE_SQL["sort_total"]) == []
     assert df.count() == rows(con, "part")
 
 
@@ -51,7 +51,7 @@ def test_places_with_nulls_ties_and_none(spark):
     assert relational.places(df.filter("k < 0"), [F.col("k")]).count() == 0
 
 
-@pytest.mark.parametrize("name", ["ngrams_documents", "tokenize_bytes_documents", "pack_stream_documents"])
+@pytest.mark.parametrize("name", ["ngrams", "tokenize_bytes", "pack_stream"])
 def test_documents_pass_through(spark, con, name):
     assert oracle.differences(catalog.QUERIES[name](spark, LARGER), con, catalog.ORACLE_SQL[name]) == []
 

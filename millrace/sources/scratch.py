@@ -56,7 +56,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Deletes what stands under a path from fresh_path()."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)  # Spark itself can't delete a path
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
     _made.get(spark.sparkContext.applicationId, set()).discard(path)
@@ -65,7 +66,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def remove(*tables: DataFrame) -> None:
     """Deletes tables from written() that nothing reads any more."""
     for df in tables:
-        _delete(df.sparkSession, df.written_to)
+        remove_path(df.sparkSession, df.written_to)
 
 
 def clean_up(spark: SparkSession) -> None:
@@ -74,7 +75,7 @@ def clean_up(spark: SparkSession) -> None:
     Results read such tables: call it once they are written or no longer wanted.
     """
     for path in list(_made.get(spark.sparkContext.applicationId, ())):
-        _delete(spark, path)
+        remove_path(spark, path)
 
 
 def spread(df: DataFrame) -> DataFrame:

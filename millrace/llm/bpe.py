@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterable, Iterator
+from hashlib import sha256
 from struct import pack
 from zlib import crc32
 
@@ -25,10 +26,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread, text_slices
+from .common import lean, spread, text_slices
 
 #: Pre-tokens whose ids a worker keeps; beyond it the cache starts anew, results don't depend on it.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 120_000
 #: Longer pre-tokens aren't kept.
 CACHE_CHARS = 64
 #: Bits in a word of the lower bitmap.
@@ -207,7 +208,7 @@ def encode_documents(df: DataFrame, ranks_path: str, pattern: str, text: str = "
             for i, j, texts in text_slices(b):
                 yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), pa.array(codec.encode_all(texts), pa.binary())], ["id", "ids"])
 
-    return slim.mapInArrow(run, f"id {id_type}, ids binary").withColumnRenamed("id", id_col)
+    return slim.mapInArrow(lean(run), f"id {id_type}, ids binary").withColumnRenamed("id", id_col)
 
 
 def decode_documents(df: DataFrame, ranks_path: str, ids: str = "ids", id_col: str = "doc_id") -> DataFrame:
@@ -225,15 +226,21 @@ def decode_documents(df: DataFrame, ranks_path: str, ids: str = "ids", id_col: s
                 out = [b"".join([tokens[k] for k in np.frombuffer(x, "<u4").tolist()]) for x in part.to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("id").slice(i, 256), part, pa.array(out, pa.binary())], ["id", "ids", "decoded"])
 
-    return slim.mapInArrow(run, f"id {id_type}, ids binary, decoded binary").withColumnRenamed("id", id_col)
+    return slim.mapInArrow(lean(run), f"id {id_type}, ids binary, decoded binary").withColumnRenamed("id", id_col)
 
 
 def token_digests(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) of each document, encoded and decoded again."""
-    both = decode_documents(encode_documents(df, ranks_path, pattern, text, id_col), ranks_path, id_col=id_col)
-    return both.select(
-        id_col,
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    """(id, n_tokens, ids_sha256, decoded_sha256) of each document, encoded and decoded again in one worker."""
+    shared = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    slim = spread(df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")))
+    id_type = slim.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _worker_codec(shared, pattern)
+        for b in batches:
+            for i, j, texts in text_slices(b):
+                ids = codec.encode_all(texts)
+                digests = [[sha256(x).hexdigest() for x in ids], [sha256(codec.decode(x)).hexdigest() for x in ids]]
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), pa.array([len(x) // 4 for x in ids], pa.int64()), *(pa.array(d, pa.string()) for d in digests)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return slim.mapInArrow(lean(run), f"id {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -12,19 +12,26 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import clean_up, fresh_path, remove, remove_path, shared_dir, shuffles_deleted, spread, written  # noqa: F401
+
 #: One word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: crc32(id) mod FOLDS == 0 is held out from every fit.
 FOLDS = 5
 #: Python loops take a batch apart into slices of about so many characters.
 SLICE_CHARS = 600_000
+#: Bytes of an Arrow batch on its way to a Python worker, unless the session says otherwise; Spark's own 64 MB are taken several times a task.
+BATCH_BYTES = 4 << 20
+BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def importable(spark: SparkSession) -> None:
-    """Lets Python workers started from now on find this package where the driver found it."""
+    """Lets Python workers started from now on find this package where the driver found it, and get small batches."""
     root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = f"{root}:{env.get('PYTHONPATH', '')}".rstrip(":")
+    if BATCHES not in spark.conf.getAll:
+        spark.conf.set(BATCHES, BATCH_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,42 +39,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df, dealt anew only if it has fewer partitions than the cluster has cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set to /tmp/checkpoints only where the session names none."""
-    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not conf:
-        conf = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", conf)
-    return conf.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it outlives executors and has no lineage."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.written_to = path
-    return out
-
-
-def remove(*tables: DataFrame) -> None:
-    """Deletes tables from written() that nothing reads any more."""
-    for df in tables:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def held_out(doc_id: Column | str = "doc_id") -> Column:
     """Whether crc32(id as text) mod 5 is 0; false for a null id."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -93,7 +64,24 @@ def text_slices(batch: pa.RecordBatch, most: int = SLICE_CHARS, column: str = "t
         yield i, j, [t or "" for t in texts.slice(i, j - i).to_pylist()]
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files of plans that nothing refers to any more; tables were written instead."""
+Kernel = Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def give_back() -> None:
+    """Returns freed memory to the system; Python workers live on for other stages."""
     gc.collect()
-    spark._jvm.System.gc()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(run: Kernel) -> Kernel:
+    """run, giving back what it took when it ends."""
+
+    def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return kernel

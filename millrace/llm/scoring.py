@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, spread, text_slices
+from .common import held_out, lean, spread, text_slices
 
 #: Most labelled rows that a fit takes, by a hash of their id.
 FIT_ROWS = 20_000
@@ -38,7 +38,7 @@ def fit_matrix(sample: DataFrame, features: Features) -> tuple[np.ndarray, np.nd
                 x = features(texts)
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), y.slice(i, j - i)], ["x", "y"])
 
-    found = sample.mapInArrow(run, "x array<double>, y double").toArrow()
+    found = sample.mapInArrow(lean(run), "x array<double>, y double").toArrow()
     y = found["y"].to_numpy()
     if not len(y):
         return np.zeros((0, 1)), y
@@ -61,7 +61,7 @@ def score_rows(df: DataFrame, features: Features, trees, cut: float, text: str =
                 score = np.clip(np.round(trees.score(features(texts)), 9), 0, 1)
                 yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), b.column("held_out").slice(i, j - i), pa.array(score), pa.array((score >= cut).astype(np.int32))], ["id", "held_out", "score", "predicted"])
 
-    return slim.mapInArrow(run, f"id {id_type}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
+    return slim.mapInArrow(lean(run), f"id {id_type}, held_out boolean, score double, predicted int").withColumnRenamed("id", id_col)
 
 
 def rows_below(df: DataFrame, features: Features, trees, cut: float, text: str = "text") -> DataFrame:
@@ -76,4 +76,4 @@ def rows_below(df: DataFrame, features: Features, trees, cut: float, text: str =
                 if low.any():
                     yield b.slice(i, j - i).filter(pa.array(low))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lean(run), df.schema)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import remove, written
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): for every node of edges (a, b), the smallest node it is connected with.
+    """(node, root), written: for every node of edges (a, b), the smallest node it is connected with.
 
     Each step keeps at most as many edges as there were; it ends when the
     edges are stars around their smallest nodes. Loops and repeated edges do
@@ -25,10 +25,13 @@ def components(edges: DataFrame) -> DataFrame:
         lowest = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         small = small.unionByName(lowest.select("u", F.col("m").alias("v")))
-        edges = written(small.distinct(), "edges")
+        last, edges = edges, written(small.distinct(), "edges")
+        remove(last)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if now == before:
             break
         before = now
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    roots = written(stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), "roots")
+    remove(edges)
+    return roots

@@ -1,24 +1,33 @@
 """N-gram Jaccard join over count-vector R-trees.
 
 Each distinct shingle set becomes a point: its shingles, hashed into GROUPS
-groups, counted by group (more groups for large sets, which fold to fewer). No two sets share more shingles than the sum over
-groups of the smaller count, and the same holds for the largest counts of an
-R-tree node, so a query goes down only to nodes that can still reach the
-overlap it needs. What survives is verified on the sets themselves.
-
-Points meet in cells, one R-tree for each. A set lists the first
-n - ceil(0.85 n) + 1 of its shingles in one order for all sets; two sets that
-link have one of those in common, so each shared one is a cell and no link is
-lost. The order puts shingles that many sets list last, which empties the
-cells of passages that many documents share.
-
-Only connectivity is wanted, so it is found in two rounds. First every point
-goes, with its text, to its home, the cell of most points among its own (cut
-into blocks of HOME_SHINGLES shingles); there all pairs that pass the bound and
-aren't connected yet are verified at once. Then all cells are gone through by
-counts alone, for pairs of different homes and different components; those are
-verified by their texts. Cells larger than BLOCK are dealt to tasks by pairs of
-blocks.
+groups, counted by group (more groups for large sets, which fold to fewer). No
+two sets share more shingles than the sum over groups of the smaller count, and
+the same holds for the largest counts of an R-tree node, so a query goes down
+only to nodes that can still reach the overlap it needs. What survives is
+verified on the sets themselves, made from the texts with a keyed 64-bit hash
+for each word.
+
+Points meet in cells, one R-tree for each; a cell of up to FANOUT points is a
+tree of one leaf, and the leaves of many such cells are bounded together. A set
+lists the first n - ceil(0.85 n) + 1 of its shingles in one order for all sets.
+The first common shingle of two sets that link is listed by both, and with the
+smaller set it is even among the first n - ceil(2 * 0.85 / 1.85 * n) + 1, its
+lead. So each shingle that is in the lead of one set and listed by another is a
+cell, and no link is lost. The order puts shingles that many sets list last,
+which empties the cells of passages that many documents share.
+
+Only connectivity is wanted, so it is found in rounds. First every point goes,
+with its text, to its home, the cell of most points among its own; there all
+pairs that pass the bound and aren't connected yet are verified at once. Homes
+of more than HOME_ROWS points or HOME_SHINGLES shingles are cut into blocks by a
+hash, twice and differently, so that blocks of one large group get connected.
+Then all cells are gone through by counts alone, for pairs of different homes
+and different components; those are verified by their texts. Of cells with more
+than FANOUT points each point's best partner goes first. A cell of more than
+BLOCK points is dealt to tasks as blocks of points outside its largest component
+against blocks of all points, so that one group of copies costs no more than its
+size.
 
 Defined cases: null and empty texts and texts without a word have no shingle
 and are linked with nothing; equal sets are one point; rows that share an id
@@ -33,11 +42,10 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, remove, spread, text_slices, written
+from .common import lean, remove, spread, text_slices, written
 from .components import components
 from .shingles import shingle_sets
 
@@ -45,15 +53,16 @@ WORDS = 4
 #: Sets link from this many hundredths on.
 PERCENT = 85
 GROUPS = 256
-#: Most members of a cell, or of a pair of blocks of one, in a task.
-BLOCK = 8192
-#: Shingles of the sets that one task compares at home, about.
-HOME_SHINGLES = 1_500_000
+#: Most points of a cell, or of one side of a pair of its blocks, in a task.
+BLOCK = 512
+#: Most points, and shingles of their sets, that one task compares at home, about.
+HOME_ROWS = 384
+HOME_SHINGLES = 400_000
 #: A shingle listed by more sets than this, or by more than one in a million of all listings, goes last.
 FREQUENT = 48
 FANOUT = 16
-#: Cells up to this size are compared without a tree.
-SMALL = 16
+#: Pairs whose ids are broadcast to pick out the texts to verify; more are joined.
+FEW_PAIRS = 1 << 17
 
 
 def listed(n: int, percent: int = PERCENT) -> int:
@@ -61,6 +70,11 @@ def listed(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
+def leading(n: int, percent: int = PERCENT) -> int:
+    """How many of these are its lead: the smaller of two sets that link has a common shingle there."""
+    return n - -(-2 * percent * n // (100 + percent)) + 1 if n else 0
+
+
 def _listing(shingles: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
     p = listed(len(shingles), percent)
     if not len(frequent):
@@ -107,7 +121,7 @@ def _still_near(packed: list[bytes], n: np.ndarray, i: np.ndarray, j: np.ndarray
 
 
 def _shingled(df: DataFrame, words: int, percent: int, frequent=None) -> DataFrame:
-    """(id, n, h1, h2, point, keys) of every row: the size of its set, a hash, its counts and its listing."""
+    """(id, n, h1, h2, point, keys) of every row: the size of its set, a hash, its counts and its listing, the lead first."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = np.zeros(0, np.uint64) if frequent is None else frequent.value
@@ -121,7 +135,7 @@ def _shingled(df: DataFrame, words: int, percent: int, frequent=None) -> DataFra
                 cols = [b.column("id").slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array([_point(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
                 yield pa.RecordBatch.from_arrays(cols, ["id", "n", "h1", "h2", "point", "keys"])
 
-    return df.mapInArrow(run, "id bigint, n bigint, h1 bigint, h2 bigint, point binary, keys array<bigint>")
+    return df.mapInArrow(lean(run), "id bigint, n bigint, h1 bigint, h2 bigint, point binary, keys array<bigint>")
 
 
 class Tree:
@@ -152,8 +166,15 @@ class Tree:
         return self.order[nodes], bound
 
 
-def _cell_pairs(n, points, packed, root, side, home, percent: int, best: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, score) of members of one cell that pass the bound, of different homes and components; best: one for each i at most."""
+def _may_meet(n, lead, home, i, j) -> np.ndarray:
+    """Whether the pairs (i, j) have to be found in this cell: it is in the smaller one's lead, and they haven't met at home."""
+    small = np.where(n[i] < n[j], lead[i], np.where(n[i] > n[j], lead[j], lead[i] | lead[j]))
+    met = (home[i, 0] == home[j, 0]) & ((home[i, 1] == home[j, 1]) | (home[i, 2] == home[j, 2]))
+    return small & ~met
+
+
+def _cell_pairs(n, points, packed, root, side, lead, home, percent: int, best: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, score) of members of one cell that pass the bound and may meet; best: one for each i at most."""
     left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(n)),) * 2
     if not len(left) or not len(right):
         return
@@ -161,8 +182,8 @@ def _cell_pairs(n, points, packed, root, side, home, percent: int, best: bool) -
     for i in left.tolist():
         at, bound = tree.search(points[i], n[i], root[i], percent)
         found = right[at]
-        other = (home[found] != home[i]).any(1)
-        found, bound = found[other], bound[other]
+        here = _may_meet(n, lead, home, np.full(len(found), i), found)
+        found, bound = found[here], bound[here]
         if best and len(found):
             k = (bound / (n[i] + n[found])).argmax()
             found, bound = found[k : k + 1], bound[k : k + 1]
@@ -219,11 +240,12 @@ def _home_links(dealt: DataFrame, words: int, percent: int) -> DataFrame:
                     sets.append(s)
         yield links(ids, sets)
 
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    return dealt.mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def _pairs(members: DataFrame, percent: int, best: bool) -> DataFrame:
-    """(a, b, score), best: one for each a of a cell, from members (cell, x, y, side, id, n, root, home, block, point), each cell's part together and sorted."""
+    """(a, b, score), best: one for each a of a cell, from members (cell, x, y, side, lead, id, n, root, home, b0, b1, point), each cell's part together and sorted."""
+    part = ("cell", "x", "y")
 
     def cells(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
         """Tables that end where a cell ends."""
@@ -231,11 +253,11 @@ def _pairs(members: DataFrame, percent: int, best: bool) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            part = [b.column(c).to_numpy() for c in ("cell", "x", "y")]
-            cut = np.flatnonzero(np.logical_or.reduce([p[1:] != p[:-1] for p in part])) + 1
+            keys = [b.column(c).to_numpy() for c in part]
+            cut = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
             if held:
                 now, then = b.slice(0, 1).to_pylist()[0], held[-1].slice(held[-1].num_rows - 1).to_pylist()[0]
-                if any(now[c] != then[c] for c in ("cell", "x", "y")):
+                if any(now[c] != then[c] for c in part):
                     yield pa.Table.from_batches(held)
                     held = []
             if len(cut):
@@ -248,38 +270,39 @@ def _pairs(members: DataFrame, percent: int, best: bool) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in cells(batches):
-            ids, n, root, side, cell, x, y = (t[c].to_numpy() for c in ("id", "n", "root", "side", "cell", "x", "y"))
+            ids, n, root, side, lead = (t[c].to_numpy() for c in ("id", "n", "root", "side", "lead"))
             packed = t["point"].to_pylist()
-            points, home = _points(packed), np.stack([t["home"].to_numpy(), t["block"].to_numpy()], 1)
-            starts = np.concatenate([[0], np.flatnonzero((cell[1:] != cell[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1])
+            points, home = _points(packed), np.stack([t[c].to_numpy() for c in ("home", "b0", "b1")], 1)
+            other = np.logical_or.reduce([k[1:] != k[:-1] for k in (t[c].to_numpy() for c in part)])
+            starts = np.concatenate([[0], np.flatnonzero(other) + 1])
             sizes = np.diff(np.append(starts, len(ids)))
             which = np.repeat(np.arange(len(starts)), sizes)
-            small = (sizes <= SMALL)[which]
+            leaf = (sizes <= FANOUT)[which]
             got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for d in range(1, min(SMALL, len(ids)) if not best else 1):
-                i = np.flatnonzero(small[:-d] & (which[:-d] == which[d:]) & (root[:-d] != root[d:]))
-                i = i[(100 * np.minimum(n[i], n[i + d]) >= percent * np.maximum(n[i], n[i + d])) & ((x[i] == y[i]) | (side[i] != side[i + d])) & (home[i] != home[i + d]).any(1)]
+            for d in range(1, min(FANOUT, len(ids)) if not best else 1):  # cells that are one leaf: all of them at once, by the distance of their entries
+                i = np.flatnonzero(leaf[:-d] & (which[:-d] == which[d:]) & (root[:-d] != root[d:]))
+                i = i[(100 * np.minimum(n[i], n[i + d]) >= percent * np.maximum(n[i], n[i + d])) & _may_meet(n, lead, home, i, i + d)]
                 for k in range(0, len(i), 20_000):
-                    part = i[k : k + 20_000]
-                    bound = np.minimum(points[part], points[part + d]).sum(1, dtype=np.int64)
-                    ok = (100 + percent) * bound >= percent * (n[part] + n[part + d])
-                    part = part[ok]
-                    part = part[_still_near(packed, n, part, part + d, percent)]
-                    got.append((part, part + d, np.zeros(len(part))))
-            for s, m in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
-                e = s + m
-                for i, j, score in _cell_pairs(n[s:e], points[s:e], packed[s:e], root[s:e], side[s:e], home[s:e], percent, best):
-                    got.append((i + s, j + s, score))
+                    some = i[k : k + 20_000]
+                    bound = np.minimum(points[some], points[some + d]).sum(1, dtype=np.int64)
+                    some = some[(100 + percent) * bound >= percent * (n[some] + n[some + d])]
+                    some = some[_still_near(packed, n, some, some + d, percent)]
+                    got.append((some, some + d, np.zeros(len(some))))
+            for s, m in zip(starts.tolist(), sizes.tolist(), strict=True):
+                if m > FANOUT or best:
+                    e = s + m
+                    for i, j, score in _cell_pairs(n[s:e], points[s:e], packed[s:e], root[s:e], side[s:e], lead[s:e], home[s:e], percent, best):
+                        got.append((i + s, j + s, score))
             if got:
                 i, j, score = (np.concatenate(c) for c in zip(*got, strict=True))
                 a, b = (ids[i], ids[j]) if best else np.unique(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(score if best else np.zeros(len(a)))], ["a", "b", "score"])
 
-    return members.mapInArrow(run, "a bigint, b bigint, score double")
+    return members.mapInArrow(lean(run), "a bigint, b bigint, score double")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link, made from their texts (id, text)."""
+    """The pairs (a, b) of a written table whose sets link, made from their texts (id, text)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -293,16 +316,40 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
             if kept.num_rows:
                 yield kept
 
+    if pairs.count() <= FEW_PAIRS:
+        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        texts = texts.join(F.broadcast(ids), "id", "left_semi")  # at most twice FEW_PAIRS ids
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("p")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("q")), "b")
-    return both.select("a", "b", "p", "q").mapInArrow(run, "a bigint, b bigint").distinct()
+    return both.select("a", "b", "p", "q").mapInArrow(lean(run), "a bigint, b bigint").distinct()
+
 
+def _block(of: Column | str, seed: str, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(of, F.lit(seed)), blocks).cast("int")
 
-def _dealt(members: DataFrame, points: DataFrame) -> DataFrame:
-    """members (cell, id, many, root) with their points, each cell, or pair of its blocks, in one sorted run."""
-    blocks = F.ceil(F.col("many") / BLOCK).cast("int")
-    m = members.withColumn("mine", F.pmod(F.xxhash64("id", F.lit("block")), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    m = m.select("cell", "id", "root", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
-    return m.join(points, "id").repartition("cell", "x", "y").sortWithinPartitions("cell", "x", "y", "n", "id")
+
+def _dealt(members: DataFrame, roots: DataFrame, points: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """(members (cell, id, lead) of cells that hold several components and more than `least` points, with their points, each cell, or pair of its blocks, in one sorted run; a written table to remove afterwards).
+
+    In cells of more than BLOCK points only those outside the largest component
+    are on the left side; a pair of two of these meets twice.
+    """
+    rooted = members.drop("many").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    cells = rooted.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("many")).filter(f"low <> high and many > {least}")
+    cells = written(cells.select("cell", "many"), "cells")  # written, so that Spark can split a large cell's join
+    mixed = written(rooted.join(cells, "cell"), "mixed")
+    remove(cells)
+    large, keys = mixed.filter(f"many > {BLOCK}"), ("cell", "id", "lead", "root")
+    top = large.groupBy("cell", "root").agg(F.count("*").alias("c")).groupBy("cell").agg(F.max(F.struct("c", "root")).alias("top"))
+    large = large.join(top, "cell").withColumn("rest", F.col("many") - F.col("top.c"))
+    rights, lefts = (F.ceil(F.col(c) / BLOCK).cast("long") for c in ("many", "rest"))
+    each = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    spot = lambda x, y, side: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), F.lit(side).alias("side"))
+    as_left = F.when(F.col("root") != F.col("top.root"), F.transform(each(rights), lambda y: spot(_block("id", "left", lefts), y, 0)))
+    as_right = F.transform(each(lefts), lambda x: spot(x, _block("id", "right", rights), 1))
+    large = large.select(*keys, F.inline(F.when(as_left.isNull(), as_right).otherwise(F.concat(as_left, as_right))))
+    small = mixed.filter(f"many <= {BLOCK}").select(*keys, *[F.lit(0).alias(c) for c in ("x", "y", "side")])
+    dealt = small.unionByName(large).join(points.drop("blocks"), "id").repartition("cell", "x", "y")
+    return dealt.sortWithinPartitions("cell", "x", "y", "n", "id"), mixed
 
 
 def jaccard_components(df: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -316,49 +363,51 @@ def jaccard_components(df: DataFrame, text: str = "text", id_col: str = "doc_id"
     total = listings.agg(F.sum("c")).first()[0] or 0
     often = listings.filter(F.col("c") > max(FREQUENT, total >> 20)).select("key").toArrow()["key"].to_numpy()  # at most 2**20
     frequent = spark.sparkContext.broadcast(np.sort(often.view(np.uint64)))
-    release(spark)
+    remove(listings)
 
     shingled = written(_shingled(docs, words, percent, frequent), "shingled")
     classes = written(shingled.filter("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep")), "classes")
     reps = shingled.join(classes.select("h1", "h2", F.col("rep").alias("id")), ["h1", "h2", "id"], "left_semi").dropDuplicates(["id", "h1", "h2"])
-    same = W.partitionBy("cell")
-    members = reps.select("id", "n", F.explode("keys").alias("cell")).withColumn("many", F.count("*").over(same)).withColumn("mass", F.sum("n").over(same)).filter("many > 1").drop("n")
-    members = written(members, "members")
-    release(spark)
+    lead = F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / (100 + percent))  # the last place of it
+    listed_by = reps.select("id", "n", F.posexplode("keys").alias("pos", "cell")).select("id", "cell", (F.col("pos") <= lead).alias("lead"))
+    listed_by = written(listed_by, "listed")
+    cells = listed_by.groupBy("cell").agg(F.count("*").alias("many"), F.bool_or("lead").alias("led")).filter("many > 1 and led")
+    cells = written(cells.select("cell", "many"), "cells")
+    members = written(listed_by.join(cells, "cell"), "members")
+    remove(listed_by, cells)
+
     # home: of a point's cells the one with most points
-    homes = members.groupBy("id").agg(F.max(F.struct("many", "cell", "mass")).alias("h"))
-    homes = homes.select("id", F.col("h.cell").alias("home"), F.pmod(F.xxhash64("id", F.lit("home")), F.ceil(F.col("h.mass") / HOME_SHINGLES)).alias("block"))
-    points = written(reps.select("id", "n", "point").join(homes, "id"), "points")
+    homes = written(members.groupBy("id").agg(F.max(F.struct("many", "cell")).alias("h")).select("id", F.col("h.cell").alias("home")).join(reps.select("id", "n", "point"), "id"), "homes")
+    sizes = homes.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / HOME_ROWS), F.ceil(F.sum("n") / HOME_SHINGLES)).alias("blocks"))
+    points = homes.join(sizes, "home").withColumns({b: _block("id", b, F.col("blocks")) for b in ("b0", "b1")})
+    points = written(points, "points")
     sized = written(shingled.select("id", "n", "h1", "h2"), "sized")
-    remove(shingled)
-    texts = written(docs.filter("text is not null").join(points.select("id"), "id", "left_semi"), "texts")
-    release(spark)
+    remove(shingled, homes)
+    texts = written(docs.filter("text is not null").join(points.select("id", "home", "blocks", "b0", "b1"), "id"), "texts")
 
-    # first round: all pairs of one home
-    dealt = texts.join(points.select("id", "home", "block"), "id").repartition("home", "block").sortWithinPartitions("home", "block", "id")
+    # first round: all pairs of one home and block; homes of several blocks are cut twice
+    cut = F.when(F.col("blocks") > 1, F.array(F.col("b0"), -1 - F.col("b1"))).otherwise(F.array("b0"))
+    dealt = texts.select("id", "text", "home", F.explode(cut).alias("block")).repartition("home", "block").sortWithinPartitions("home", "block", "id")
     links = written(_home_links(dealt, words, percent), "links")
-    release(spark)
-    roots = written(components(links), "roots")
-    release(spark)
+    roots = components(links)
 
     # second round: pairs of other homes that pass the bound, between different components of one cell;
-    # in large cells each point's best partner goes first, so that few are left for all of them
-    def mixed(roots: DataFrame) -> DataFrame:
-        rooted = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        cells = rooted.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("cell")
-        return rooted.join(cells, "cell", "left_semi")
-
-    near = _pairs(_dealt(mixed(roots).filter(F.col("many") > SMALL), points), percent, True)
-    near = near.groupBy("a").agg(F.max(F.struct("score", "b")).alias("best")).select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b"))
-    links = written(links.unionByName(_verified(near.distinct(), texts, words, percent)), "links")
-    release(spark)
-    roots = written(components(links), "roots")
-    rest = written(_pairs(_dealt(mixed(roots), points), percent, False).select("a", "b").distinct(), "rest")
-    release(spark)
+    # in cells of more than a leaf each point's best partner goes first, so that few are left for all of them
+    dealt, mixed = _dealt(members, roots, points, FANOUT)
+    near = _pairs(dealt, percent, True)
+    near = near.groupBy("a").agg(F.max(F.struct("score", "b")).alias("best")).select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b")).distinct()
+    near = written(near, "near")
+    remove(roots, mixed)
+    found = written(links.unionByName(_verified(near, texts, words, percent)), "links")
+    remove(links, near)
+    roots = components(found)
+    dealt, mixed = _dealt(members, roots, points, 1)
+    rest = written(_pairs(dealt, percent, False).select("a", "b").distinct(), "rest")
+    remove(members, points, roots, mixed)
     more = written(_verified(rest, texts, words, percent), "links")
-    remove(texts, points, members, listings)
-    release(spark)
-    roots = written(components(links.unionByName(more)), "roots")
+    remove(texts, rest)
+    roots = components(found.unionByName(more))
+    remove(found, more)
 
     out = sized.join(classes, ["h1", "h2"], "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("root", "rep", "id")).alias("component_id"))
@@ -367,8 +416,9 @@ def jaccard_components(df: DataFrame, text: str = "text", id_col: str = "doc_id"
 def first_of_each(df: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of df whose id is the smallest of their component, one row for each id and text.
 
-    Rows without an id have no component and aren't among them; a filter that
-    keeps such rows adds them, as the pipeline does, one for each text.
+    Rows without an id are in no component and stay, one for each text.
     """
-    keep = jaccard_components(df, text, id_col, words, percent).filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__id")).distinct()
-    return df.dropDuplicates([id_col, text]).join(keep, F.col(id_col) == F.col("__id"), "left_semi").select(df.columns)
+    key = "__id"
+    keep = jaccard_components(df, text, id_col, words, percent).filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(key)).distinct()
+    once = df.dropDuplicates([id_col, text])
+    return once.join(keep, F.col(id_col) == F.col(key), "left_semi").unionByName(once.filter(F.col(id_col).isNull())).select(df.columns)

@@ -51,9 +51,9 @@ def corpus(seed, n=260):
     return list(enumerate(texts[:n], 5))
 
 
-@pytest.mark.parametrize(("seed", "words", "percent"), [(1, 4, 85), (2, 5, 80)])
-def test_same_components_as_brute_force(spark, monkeypatch, seed, words, percent):
-    for name, value in (("BLOCK", 20), ("FREQUENT", 6), ("SMALL", 6)):
+@pytest.mark.parametrize(("seed", "words", "percent", "few"), [(1, 4, 85, 0), (2, 5, 80, 1 << 17)])
+def test_same_components_as_brute_force(spark, monkeypatch, seed, words, percent, few):
+    for name, value in (("BLOCK", 20), ("FREQUENT", 6), ("FANOUT", 6), ("HOME_ROWS", 10), ("FEW_PAIRS", few)):
         monkeypatch.setattr(ngram_join, name, value)
     rows = corpus(seed)
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
@@ -116,7 +116,69 @@ def test_edge_rows(spark):
         assert r.component_id == (None if r.doc_id is None else 1 if r.doc_id == 5 else r.doc_id)
     assert ngram_join.jaccard_components(empty(spark)).count() == 0
     kept = ngram_join.first_of_each(edge(spark))
-    assert kept.columns == edge(spark).columns and ids(kept.collect()) == [1, 2, 3, 4, 6, 7, 8]
+    assert kept.columns == edge(spark).columns and ids(kept.collect()) == [1, 2, 3, 4, 6, 7, 8, None]
+
+
+def thue_morse(n):
+    """Two words of 2**n letters whose hashes are equal under every polynomial modulo 2**64, for n >= 10."""
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_collide_under_polynomials_are_different(spark):
+    a, b = thue_morse(10)
+    assert len({int(s[0]) for s in shingles.shingle_sets([a, b], 4)}) == 2
+    rows = [(1, a), (2, b), (3, f"{a} x y z {b}"), (4, f"{b} x y z {a}")]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_word_hashes_tell_words_apart():
+    """Words of all lengths that differ in one byte, in length alone or in the order of their letters."""
+    rng = random.Random(2)
+    words = {""}
+    for n in [*range(1, 40), 63, 64, 65, 255, 256, 257, 600]:
+        base = "".join(rng.choice("abc") for _ in range(n))
+        words |= {base, base[::-1], base + "\0", base + "a", "a" * n, "\0" * n, "é" * n}
+        words |= {base[:k] + "d" + base[k + 1 :] for k in range(0, n, 7)}
+    words = sorted(words - {""})
+    hashes, bounds = shingles.word_hashes(words)
+    assert len(hashes) == len(words) == len(set(hashes.tolist())) and bounds.tolist() == list(range(len(words) + 1))
+    together, _ = shingles.word_hashes([" \t".join(words).upper().replace("É", "é")])
+    assert (together == hashes).all()
+
+
+def test_lead_and_listing_keep_every_link():
+    """Sets that link share a shingle listed by both that leads the smaller one."""
+    rng = np.random.default_rng(3)
+    for _ in range(400):
+        percent = int(rng.choice([80, 85]))
+        both = rng.permutation(2_000)[: int(rng.integers(1, 90))]
+        more = rng.permutation(np.arange(2_000, 4_000))
+        k, m = rng.integers(0, 12, 2)
+        x, y = np.sort(np.append(both, more[:k])), np.sort(np.append(both, more[50 : 50 + m]))
+        if len(x) > len(y):
+            x, y = y, x
+        if 100 * len(both) >= percent * (len(both) + k + m):
+            assert set(x[: ngram_join.leading(len(x), percent)]) & set(y[: ngram_join.listed(len(y), percent)])
+
+
+def test_one_large_group_over_many_blocks(spark, monkeypatch):
+    """Near copies of one text in a cell of many blocks, and a chain beside it."""
+    for name, value in (("BLOCK", 16), ("HOME_ROWS", 12), ("FANOUT", 4)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(80)]
+    rows = []
+    for k in range(150):
+        words = list(base)
+        words[rng.randrange(80)] = f"own{k}"
+        rows.append((k + 10, " ".join(words)))
+    rows += [(k, " ".join(f"v{j}" for j in range(k, k + 60))) for k in range(5)]
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()}
+    assert got == plain_components(plain_sets(rows, 4), 85)
 
 
 def test_long_chains_are_one_component(spark):

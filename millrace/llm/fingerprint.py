@@ -1,20 +1,24 @@
 """Document fingerprints: threshold-scaled sketches of word shingles, in DataFrame functions only.
 
 A fingerprint holds every 48-bit hash of a 5-word shingle that lies below
-2**48 / SCALE, in order. Fingerprints of one SCALE can be merged by union, and
-the share of one's hashes found in another estimates containment however
-unequal the documents are. If no shingle of a text falls below the threshold,
-its smallest hash stands in, so that short documents have a fingerprint too.
+2**48 / SCALE, in order, and no other. Fingerprints of one SCALE can be merged
+by union, which gives the fingerprint of both texts together, and the share of
+one's hashes found in another estimates containment between documents of very
+unequal lengths. The estimate's error falls with the number of hashes: a text of
+n shingles has n / SCALE on average, and none by chance (1 - 1 / SCALE)**n.
 
 Words are runs of anything but ASCII white space; fewer than five are one
 shingle. Defined cases: null and empty texts and texts without a word have the
-empty fingerprint; two empty fingerprints are alike (1), an empty and another
-are not (0); repeated rows stay; documents of one id follow each other by
-text; null ids come last; other columns are ignored.
+empty fingerprint, as have texts without a hash below the threshold; two empty
+fingerprints are alike (1), an empty and another are not (0); repeated rows
+stay; documents of one id follow each other by a hash of the text; null ids come
+last; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,11 +27,13 @@ from .common import spread, written
 
 WORDS = 5
 #: One of so many shingle hashes is kept.
-SCALE = 8
+SCALE = 2
 BITS = 48
-#: Bytes of text in a bucket of neighbours, about; and most buckets.
-BUCKET_BYTES = 8 << 20
-MOST_BUCKETS = 1 << 18
+#: Bytes of text in a range of neighbours, about; and most ranges.
+RANGE_BYTES = 8 << 20
+MOST_RANGES = 1 << 15
+#: Stands for a null id where ranges are cut.
+LOWEST = -(1 << 63)
 
 
 def shingle_hashes(text: Column, words: int = WORDS) -> Column:
@@ -46,8 +52,7 @@ def sketch(text: Column, scale: int = SCALE) -> Column:
     """The fingerprint of a text, array<bigint> in order."""
 
     def low(all_: Column) -> Column:
-        kept = F.filter(all_, lambda h: h < (1 << BITS) // scale)
-        return F.when((F.size(kept) == 0) & (F.size(all_) > 0), F.array(F.array_min(all_))).otherwise(F.array_sort(F.array_distinct(kept)))
+        return F.array_sort(F.array_distinct(F.filter(all_, lambda h: h < (1 << BITS) // scale)))
 
     return F.transform(F.array(shingle_hashes(text)), low)[0]
 
@@ -74,43 +79,62 @@ def edited(text: Column, next_text: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - half), F.substring(next_text, F.lit(1), half))
 
 
+def _rank(value: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are at most value, found in two steps."""
+    all_ = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")  # folded to one literal
+    if len(bounds) <= 64:
+        return F.size(F.filter(all_, lambda x: x <= value))
+    width = isqrt(len(bounds)) + 1
+    firsts = F.split(F.lit(",".join(map(str, bounds[::width]))), ",").cast("array<bigint>")
+    block = F.size(F.filter(firsts, lambda x: x <= value))
+    within = F.size(F.filter(F.slice(all_, F.greatest(block - 1, F.lit(0)) * width + 1, F.lit(width)), lambda x: x <= value))
+    return F.when(block == 0, 0).otherwise((block - 1) * width + within)
+
+
+def in_ranges(df: DataFrame) -> DataFrame:
+    """(id, text, z, range) of rows (id, text): z descends in the order of documents, ranges ascend.
+
+    Ranges are cut at quantiles of the ids, so that they hold about as many
+    rows however ids are spread. An id that fills several (nulls count as one)
+    is cut further by the hash of the text.
+    """
+    spark = df.sparkSession
+    own = F.coalesce("id", F.lit(LOWEST))
+    size = df.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    n = max(1, min(MOST_RANGES, size["n"], (size["bytes"] or 0) // RANGE_BYTES))
+    found = df.agg(F.percentile_approx(own, [i / n for i in range(1, n)], max(10_000, 8 * n)).alias("q")).first()["q"] if n > 1 else []
+    bounds = sorted(set(found))
+    times = {b: found.count(b) for b in bounds} if len(bounds) < len(found) else {}
+    heavy = [b for b in bounds if times.get(b, 1) > 1]
+    k = F.xxhash64("text")
+    place, most = F.lit(0).cast("long"), max(times.values(), default=1)
+    if bounds:
+        place = (len(bounds) - _rank(own, bounds)).cast("long") * (most + 1)
+    if heavy:
+        parts = F.split(F.lit(",".join(str(times[b]) for b in heavy)), ",").cast("array<bigint>")
+        which = F.array_position(F.split(F.lit(",".join(map(str, heavy))), ",").cast("array<bigint>"), own).cast("int")
+        share = F.shiftright(k, 32) + (1 << 31)  # 32 bits, in the order of k
+        place = place + F.when(which > 0, 1 + F.floor(share * F.get(parts, which - 1) / float(1 << 32))).otherwise(F.lit(0))
+    z = F.struct(F.col("id").isNotNull().alias("has"), F.coalesce("id", F.lit(0)).alias("id"), F.bitwise_not(k).alias("k"))
+    return df.select("id", "text", z.alias("z"), place.cast("long").alias("range"))
+
+
 def _with_next(df: DataFrame, name: str, value: Column) -> DataFrame:
     """(id, text) with name, value made from the text, and both of the row that follows by descending id as next_text, next_<name>; after the last comes the first.
 
-    Ids are cut into buckets of neighbours, by quantiles and evenly between
-    them; the first row of a bucket also stands, marked, at the end of the
-    bucket before. Only these rows are looked up by id.
+    The first row of a range also stands, marked, at the end of the range before.
     """
-    spark = df.sparkSession
-    size = df.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"), F.percentile_approx("id", [i / 64 for i in range(65)], 1000).alias("q")).first()
-    n = max(1, min(MOST_BUCKETS, (size["bytes"] or 0) // BUCKET_BYTES))
-    bounds = sorted(set(size["q"] or [0]))
-    parts = max(1, -(-n // max(1, len(bounds) - 1)))
-    if n == 1 or len(bounds) < 2:
-        bucket = F.lit(0).cast("long")
-    else:
-        b, top = F.array(*[F.lit(x).cast("decimal(20,0)") for x in bounds]), len(bounds) - 2
-        id_ = F.col("id").cast("decimal(20,0)")
-        cell = F.least(F.greatest(F.size(F.filter(b, lambda x: x <= id_)) - 1, F.lit(0)), F.lit(top))
-        inside = F.floor((id_ - F.get(b, cell)).cast("double") / (F.get(b, cell + 1) - F.get(b, cell)).cast("double") * parts)
-        bucket = cell.cast("long") * parts + F.least(F.greatest(inside, F.lit(0)), F.lit(parts - 1))
-        bucket = F.coalesce(bucket, F.lit(-1).cast("long"))  # null ids
-    rows = df.withColumn("bucket", bucket)
-    order = [F.desc_nulls_last("id"), F.asc("text")]
-    # a row for each bucket that holds any: its largest id, and the bucket before it, from the largest ids down
-    largest = rows.groupBy("bucket").agg(F.max("id").alias("top"))
-    down = W.orderBy(F.desc("bucket"))
-    ends = W.orderBy(F.desc("bucket")).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    largest = largest.select(F.col("bucket").alias("own"), "top", F.coalesce(F.lag("bucket").over(down), F.last("bucket").over(ends)).alias("to"))
-    largest = written(largest, "bucket-tops")  # at most MOST_BUCKETS + 1 rows
-    firsts = rows.join(F.broadcast(largest), (F.col("bucket") == F.col("own")) & F.col("id").eqNullSafe(F.col("top")))
-    # of several rows with a bucket's largest id the first by text
-    firsts = firsts.withColumn("at", F.row_number().over(W.partitionBy("own").orderBy("text"))).filter("at = 1")
-    # the value is made here, once for each row, not before the first rows are picked out
-    both = rows.select("id", "text", "bucket", F.lit(0).alias("copy"), value.alias(name)).unionByName(firsts.select("id", "text", F.col("to").alias("bucket"), F.lit(1).alias("copy"), value.alias(name)))
-    follows = W.partitionBy("bucket").orderBy("copy", *order)
+    rows = in_ranges(df)
+    tops = rows.groupBy("range").agg(F.max("z").alias("top"))
+    before = F.lag("range").over(W.orderBy("range"))
+    last = F.last("range").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    tops = written(tops.select(F.col("range").alias("own"), "top", F.coalesce(before, last).alias("to")), "range-tops")  # a row for each range
+    firsts = rows.join(F.broadcast(tops), (F.col("range") == F.col("own")) & (F.col("z") == F.col("top"))).dropDuplicates(["own"])
+    both = rows.withColumn("copy", F.lit(0)).unionByName(firsts.select("id", "text", "z", F.col("to").alias("range"), F.lit(1).alias("copy")))
+    both = both.repartition("range").withColumn(name, value)  # after the texts have been dealt, so that only these are
+    follows = W.partitionBy("range").orderBy("copy", F.desc("z"))
     both = both.select("*", *[F.lead(c).over(follows).alias(f"next_{c}") for c in ("text", name)])
-    return both.filter("copy = 0").drop("copy", "bucket")
+    return both.filter("copy = 0").drop("copy", "range", "z")
 
 
 def compare_with_next(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:

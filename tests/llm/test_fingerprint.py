@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 from edges import ALL_IDS, ROWS, edge, empty, ids
 from pyspark.sql import functions as F
@@ -12,10 +13,10 @@ def rows_of(spark, pairs):
 
 def test_edits_and_order(spark):
     pairs = [(k * 7 % 101, f"w{k} " * (k % 9) + "é" * (k % 4)) for k in range(101)] + [(10**15, None), (-3, "x y")]
-    for size in (P.BUCKET_BYTES, 100):
-        P.BUCKET_BYTES, before = size, P.BUCKET_BYTES
+    for size in (P.RANGE_BYTES, 100, 1):
+        P.RANGE_BYTES, before = size, P.RANGE_BYTES
         got = rows_of(spark, pairs)
-        P.BUCKET_BYTES = before
+        P.RANGE_BYTES = before
         order = sorted(((k, t or "") for k, t in pairs), reverse=True)
         assert len(got) == len(order)
         for i, (k, t) in enumerate(order):
@@ -28,7 +29,7 @@ def test_sketch_holds_all_hashes_below_the_threshold(spark):
     text = " ".join(f"w{k}" for k in range(3000))
     r = spark.createDataFrame([(text,)], "text string").select(P.sketch(F.col("text")).alias("s"), P.shingle_hashes(F.col("text")).alias("a")).first()
     assert r.s == sorted({h for h in r.a if h < (1 << P.BITS) // P.SCALE}) and len(r.a) == 2996
-    assert 250 < len(r.s) < 500
+    assert 1_300 < len(r.s) < 1_700
 
 
 def test_containment_of_unequal_documents(spark):
@@ -36,8 +37,54 @@ def test_containment_of_unequal_documents(spark):
     row = [(" ".join(words), " ".join(words[:1500]), " ".join(words[4000:4004]), "")]
     df = spark.createDataFrame(row, "a string, b string, c string, d string")
     a, b, d = (P.sketch(F.col(x)) for x in "abd")
-    r = df.select(P.containment(a, b).alias("ab"), P.containment(a, a).alias("aa"), P.containment(a, d).alias("ad"), P.containment(d, d).alias("dd"), P.containment(P.merged(a, b), a).alias("m"), F.size(P.sketch(F.col("c"))).alias("short")).first()
-    assert (r.ab, r.aa, r.ad, r.dd, r.m, r.short) == (1, 1, 0, 1, 1, 1)
+    r = df.select(P.containment(a, b).alias("ab"), P.containment(a, a).alias("aa"), P.containment(a, d).alias("ad"), P.containment(d, d).alias("dd"), P.containment(P.merged(a, b), a).alias("m"), (P.sketch(F.concat_ws(" ", "a", "c")) == P.merged(a, P.sketch(F.concat_ws(" ", F.lit(" ".join(words[-4:])), "c")))).alias("union")).first()
+    assert (r.ab, r.aa, r.ad, r.dd, r.m, r.union) == (1, 1, 0, 1, 1, True)
+
+
+def plain_shingles(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_likeness_estimates_containment(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = sorted(((r.doc_id, r.text) for r in docs.collect()), reverse=True)
+    got, off = {r.doc_id: r for r in P.compare_with_next(docs).collect()}, {"edited": [], "next": []}
+    for i, (key, text) in enumerate(rows):
+        following, half = rows[(i + 1) % len(rows)][1], len(text) // 2
+        own = plain_shingles(text)
+        for name, other in (("edited", plain_shingles(text[: len(text) - half] + following[:half])), ("next", plain_shingles(following))):
+            off[name].append(abs(got[key][f"near_{name}"] - len(own & other) / min(len(own), len(other))))
+    assert sum(off["edited"]) / len(rows) < 0.05 and sum(off["next"]) / len(rows) < 0.005
+
+
+def test_ranges_are_even_however_ids_lie(spark):
+    P.RANGE_BYTES, before = 4_000, P.RANGE_BYTES
+    text = F.concat(F.lit("some words of a text "), F.col("id").cast("string"))
+    base = spark.range(2_000).withColumn("text", text)
+    try:
+        for id_ in ("id", "cast(pow(1.015, id) as bigint)", "if(id < 700, 7, id * id)", "if(id < 700, null, id)", "if(id < 1900, id, id * 1000000000000)"):
+            sizes = [r["count"] for r in P.in_ranges(base.selectExpr(f"{id_} as id", "text")).groupBy("range").count().collect()]
+            assert len(sizes) > 6 and max(sizes) < 500, id_
+    finally:
+        P.RANGE_BYTES = before
+
+
+def test_one_id_in_many_ranges(spark):
+    """Documents of one id follow each other by hash of their texts, and the cycle takes in every row once."""
+    P.RANGE_BYTES, before = 200, P.RANGE_BYTES
+    rows = [(5 if k % 3 else k, f"text {k}") for k in range(300)] + [(None, f"none {k}") for k in range(100)]
+    try:
+        got = P._with_next(spark.createDataFrame(rows, "id bigint, text string"), "same", F.col("text")).collect()
+    finally:
+        P.RANGE_BYTES = before
+    after = {(r.id, r.text): r.next_text for r in got}
+    assert len(got) == len(rows) == len(after) and all(r.same == r.text and r.next_same == r.next_text for r in got)
+    ids_of = {t: k for k, t in rows}
+    order = [(ids_of[t], t) for t in after.values()]
+    assert len(set(order)) == len(rows)
+    steps = [(k, ids_of[t]) for (k, _), t in after.items()]
+    assert sum(1 for a, b in steps if (b is not None) and (a is None or b > a)) == 1
 
 
 def test_edge_rows(spark):

@@ -1,7 +1,8 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
 Words of each source, documents one after another, are cut into blocks of
-BLOCK words. Each output shard of SHARD slots draws a multinomial source for
+BLOCK words, fewer in sources of few words so that these meet their targets as
+closely. Each output shard of SHARD slots draws a multinomial source for
 every slot; slots that a source got beyond its quota go to sources that are
 short of theirs, so that totals meet the targets. The j-th slot of a source
 takes the block whose place in the source's pseudorandom permutation is
@@ -9,8 +10,9 @@ j mod (its blocks), so a block comes again only after all others. Slots and
 blocks are joined by that index.
 
 Nothing is ordered or gathered by source alone: prefix sums and ranks have two
-levels, buckets by hash and then within a bucket. Texts are read once, for
-their sizes; what is shuffled are ids and numbers.
+levels, buckets by hash, or groups of shards, and then within one. Only the
+sources themselves, one row each, are ordered in one task. Texts are read once,
+for their sizes; what is shuffled are ids and numbers.
 
 Defined cases: a null text has size 0; sizes of 0 are never taken; a null
 source is a source, the last one; no words at all give targets of 0; repeated
@@ -30,12 +32,14 @@ from pyspark.sql import functions as F
 from .common import WORD, spread, written
 
 BLOCK = 128
+#: A source, or its target if that is less, has so many blocks at least, where BLOCK allows for it, and blocks of FINE words don't.
+BLOCKS, FINE = 128, 16
 SHARD = 4096
 WEIGHTS = (5, 2, 1)
 #: No source, and no document, is taken more often than this.
 EPOCHS = 3
 #: Least rows of a bucket, about; of n rows a bucket holds the square root of n where that is more.
-BUCKET_ROWS = 1_000
+BUCKET_ROWS = 256
 #: Cells of a guide table for locating values in intervals.
 CELLS = 1024
 
@@ -90,8 +94,8 @@ def _buckets(rows: int) -> int:
 
 @dataclass
 class Mix:
-    sources: DataFrame  # source, idx, size, target, blocks, quota
-    docs: DataFrame  # id, source, size, k, idx, start: the document's first word in its source
+    sources: DataFrame  # source, idx, size, target, unit (words of a block), blocks, quota
+    docs: DataFrame  # id, source, size, k, idx, unit, start: the document's first word in its source
     slots: DataFrame  # shard, slot, idx, block
 
 
@@ -99,7 +103,11 @@ def plan(docs: DataFrame, block: int = BLOCK, shard: int = SHARD) -> Mix:
     """Which block of which source each output slot takes. docs: from sized(), written."""
     spark = docs.sparkSession
     sources = targets(docs.groupBy("source").agg(F.sum("size").alias("size")))
-    blocks = F.ceil(F.col("size") / block).cast("long")
+    few = F.least(F.floor("target"), F.col("size")).cast("long")
+    fine = F.least(F.greatest(F.expr(f"size div {BLOCKS}"), F.lit(1)), F.lit(min(FINE, block)))
+    unit = F.least(F.greatest(F.floor(few / BLOCKS), fine), F.lit(block)).cast("long")
+    sources = sources.withColumn("unit", unit)
+    blocks = F.ceil(F.col("size") / F.col("unit")).cast("long")
     quota = F.when(F.col("size") > 0, F.least(blocks * EPOCHS, F.round(F.col("target") / F.col("size") * blocks).cast("long"))).otherwise(F.lit(0).cast("long"))
     sources = sources.withColumn("blocks", blocks).withColumn("quota", quota)
     before = W.orderBy("idx").rowsBetween(W.unboundedPreceding, -1)
@@ -109,10 +117,10 @@ def plan(docs: DataFrame, block: int = BLOCK, shard: int = SHARD) -> Mix:
     totals = sources.agg(F.sum("quota"), F.sum("blocks")).first()
     n_slots, n_blocks = int(totals[0] or 0), int(totals[1] or 0)
 
-    # where each document begins in its source: documents by bucket, within it by id and size
-    placed = docs.join(sources.select(F.col("source").alias("name"), "idx"), F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    # where each document begins in its source: documents by bucket, within it by id, size and text
+    placed = docs.join(sources.select(F.col("source").alias("name"), "idx", "unit"), F.col("source").eqNullSafe(F.col("name"))).drop("name")
     placed = placed.withColumn("bucket", F.pmod(hashed("doc", "id"), F.lit(_buckets(n_docs))))
-    inside = W.partitionBy("idx", "bucket").orderBy("id", "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("idx", "bucket").orderBy("id", "size", "k").rowsBetween(W.unboundedPreceding, -1)
     buckets = placed.groupBy("idx", "bucket").agg(F.sum("size").alias("n"))
     buckets = buckets.select("idx", "bucket", F.coalesce(F.sum("n").over(W.partitionBy("idx").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("low"))
     start = (F.col("low") + F.coalesce(F.sum("size").over(inside), F.lit(0))).cast("long")
@@ -121,9 +129,13 @@ def plan(docs: DataFrame, block: int = BLOCK, shard: int = SHARD) -> Mix:
     # each slot draws a source; its number among the source's slots follows from counts by shard
     drawn = spark.range(n_slots).select(F.col("id").alias("slot"), F.expr(f"id div {shard}").alias("shard"), F.pmod(hashed("slot", "id"), F.lit(max(1, n_slots))).alias("v"))
     drawn = _located(drawn, "v", sources.select("idx", "quota", "quota_low"), "quota_low", "quota", n_slots).select("slot", "shard", "idx", "quota")
-    counts = drawn.groupBy("shard", "idx").agg(F.count("*").alias("n"))
-    low = F.coalesce(F.sum("n").over(W.partitionBy("idx").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select("shard", "idx", low.alias("low"))
+    # two levels: a source's groups of shards, the shards of a group
+    counts = drawn.groupBy("shard", "idx").agg(F.count("*").alias("n")).withColumn("group", F.expr(f"shard div {isqrt(n_slots // shard) + 1}"))
+    groups = counts.groupBy("idx", "group").agg(F.sum("n").alias("n"))
+    upto_here = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    groups = groups.select("idx", "group", upto_here(W.partitionBy("idx").orderBy("group")).alias("before"))
+    counts = counts.withColumn("low", upto_here(W.partitionBy("idx", "group").orderBy("shard"))).join(groups, ["idx", "group"])
+    counts = counts.select("shard", "idx", (F.col("before") + F.col("low")).alias("low"))
     rank = F.row_number().over(W.partitionBy("shard", "idx").orderBy("slot"))
     numbered = written(drawn.join(counts, ["shard", "idx"]).select("shard", "slot", "idx", "quota", (F.col("low") + rank - 1).cast("long").alias("j")), "mix-slots")
 
@@ -149,12 +161,12 @@ def plan(docs: DataFrame, block: int = BLOCK, shard: int = SHARD) -> Mix:
     return Mix(sources, placed, slots.join(permuted, ["idx", "place"]).select("shard", "slot", "idx", "block"))
 
 
-def taken(mix: Mix, block: int = BLOCK) -> DataFrame:
+def taken(mix: Mix) -> DataFrame:
     """(id, k, size, source_size, target, taken) of every document: the words of its blocks, as often as slots take them."""
     times = mix.slots.groupBy("idx", "block").agg(F.count("*").alias("times"))
-    first, last = F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}")
+    first, last = F.expr("start div unit"), F.expr("(start + size - 1) div unit")
     pieces = mix.docs.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, last))))
-    words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
+    words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("unit")) - F.greatest(F.col("start"), F.col("block") * F.col("unit"))
     pieces = pieces.join(times, ["idx", "block"], "left").withColumn("words", F.coalesce(words * F.col("times"), F.lit(0)))
     rows = pieces.groupBy("idx", "start", "id", "k", "size").agg(F.sum("words").cast("long").alias("taken"))
     # of rows of size 0 several may begin at one word: they are counted, not merged

@@ -4,13 +4,18 @@ Writing: pages of equal payload are one response, that with the largest id,
 and revisits of it. A response whose HTTP block is longer than SEGMENT bytes
 becomes a first segment and continuation records; bodies use the chunked
 transfer encoding. Archives are text files that end records with an empty
-line, written and compressed by Spark's own sink into the shared folder; records
-and so files are bounded.
-
-Reading: files are parsed by content length; continuation records are brought
-together by their origin's identifier and ordered by segment number, streamed
-one record at a time; the total length is verified, the chunked framing
-decoded, the payload's digest compared with its header.
+line, written and compressed by Spark's own sink into the shared folder, of
+about FILE_BYTES before compression; the sink makes one gzip member of a file.
+Only ids and digests are dealt by payload; pages themselves stay where they are
+read, but for those that others repeat, and these only where their ids are too
+many to send to every task (FEW_REPEATS).
+
+Reading: compressed files are streamed through Spark's text source, split where
+records may end and put together by content length, others parsed whole;
+continuation records are brought together by their origin's identifier and
+ordered by segment number, streamed one record at a time; the total length is
+verified, the chunked framing decoded, the payload's digest compared with its
+header.
 
 Defined cases: a null html is the empty payload; of equal rows the first is
 the response and the others revisit their own id; a null id sorts lowest and
@@ -25,25 +30,27 @@ import hashlib
 import re
 from base64 import b32encode
 from collections.abc import Iterable, Iterator
-from gzip import decompress as gunzip
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh_path, spread
+from .common import fresh_path, lean, remove, remove_path, shuffles_deleted, spread, written
 
 #: Most bytes of a record's block, and of a chunk of a body.
 SEGMENT = 32_768
 CHUNK = 8_192
-#: Most records in an archive file.
-FILE_RECORDS = 400
+#: Bytes of an archive file before compression, about.
+FILE_BYTES = 256 << 20
+#: Ids of pages of repeated payloads that are broadcast; more are joined.
+FEW_REPEATS = 1 << 17
 #: Payloads of fewer bytes are never revisits.
 LEAST_BYTES = 0
 
 # Fixed values of the formats.
 END = "\r\n\r\n"
+CUT = END.encode()
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -116,15 +123,19 @@ def write_archives(pages: DataFrame, path: str, html: str = "html", url: str = "
     """Writes a record, or several segments, for every page to archives in the folder path."""
     rows = spread(pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(html), F.lit("")).alias("html"), F.coalesce(F.col(url), F.lit("urn:unknown")).alias("url")))
     rows = rows.withColumn("sha", F.when(F.octet_length("html") >= least_bytes, F.sha1("html")))
-    ids = rows.filter("sha is not null").select("id", "sha")
-    top = ids.groupBy("sha").agg(F.max("id").alias("top"), F.count("*").alias("n")).filter("n > 1")
-    shared = ids.join(top, "sha").select(F.col("id").alias("own"), F.col("sha").alias("own_sha"), "top").distinct()  # ids and digests only
-    # one key for join and window, so that texts are dealt once
+    ids = written(rows.select("id", "sha", F.octet_length("html").cast("long").alias("bytes")), "page-ids")
+    size = ids.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).first()
+    per_file = max(1, FILE_BYTES * size["n"] // max(1, (size["bytes"] or 0) + 500 * size["n"]))
+    known = ids.filter("sha is not null")
+    top = known.groupBy("sha").agg(F.max("id").alias("top"), F.count("*").alias("n")).filter("n > 1")
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null")).alias("name")
-    placed = rows.select("*", name("id")).join(shared.select(name("own"), F.col("own_sha").alias("sha"), "top", F.lit(True).alias("shared")), ["name", "sha"], "left")
-    placed = placed.withColumn("number", F.row_number().over(W.partitionBy("name", "sha").orderBy("url")) - 1)
-    revisit = F.col("shared").isNotNull() & ((F.col("number") > 0) | ~F.col("id").eqNullSafe(F.col("top")))
-    placed = placed.select("id", "number", "html", "url", revisit.alias("revisit"), "top")
+    repeats = written(known.join(top, "sha").select(name("id"), "sha", "top").distinct(), "page-repeats")
+    few = repeats.count() <= FEW_REPEATS
+    placed = rows.select("*", name("id")).join(F.broadcast(repeats.withColumn("shared", F.lit(True))) if few else repeats.withColumn("shared", F.lit(True)), ["name", "sha"], "left")
+    alone = placed.filter("shared is null").withColumn("number", F.lit(0)).withColumn("revisit", F.lit(False))
+    again = placed.filter("shared is not null").withColumn("number", F.row_number().over(W.partitionBy("name", "sha").orderBy("url")) - 1)
+    again = again.withColumn("revisit", (F.col("number") > 0) | ~F.col("id").eqNullSafe(F.col("top")))
+    both = [x.select("id", "number", "html", "url", "revisit", "top") for x in (alone, again)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = lambda x: "null" if x is None else x
@@ -135,18 +146,17 @@ def write_archives(pages: DataFrame, path: str, html: str = "html", url: str = "
                     out.extend(records_of(f"{name(r['id'])}:{r['number']}", r["url"], r["html"].encode(), f"{name(r['top'])}:0" if r["revisit"] else None))
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
-    placed.mapInArrow(run, "value string").write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
+    with shuffles_deleted(pages.sparkSession):
+        both[0].unionByName(both[1]).mapInArrow(lean(run), "value string").write.option("lineSep", END).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
+    remove(ids, repeats)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields by lower-case name, block) of every record of an archive."""
+    """(header fields by lower-case name, block) of every record of a whole archive."""
     at = 0
     while at < len(data):
-        if not data.startswith(b"WARC/", at):
-            raise ValueError(f"no record begins at byte {at}")
         end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")[1:]
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+        fields = _fields(data[at:end])
         n = int(fields["content-length"])
         begin = end + 4
         if data[begin + n : begin + n + 4] != b"\r\n\r\n":
@@ -155,26 +165,69 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = begin + n + 4
 
 
+def _fields(head: bytes) -> dict[str, str]:
+    """Header fields by lower-case name."""
+    if not head.startswith(b"WARC/"):
+        raise ValueError(f"no record begins with {head[:20]!r}")
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode().split("\r\n")[1:])}
+
+
+def joined(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header fields, block) of every record, from archives cut at empty lines, which blocks may hold as well."""
+    held, fields, n, need = bytearray(), None, 0, 1
+    for piece in pieces:
+        held += piece + CUT
+        while len(held) >= need:
+            if fields is None:
+                while held.startswith(b"\r\n"):  # what is left of empty lines where a block ended with a line
+                    del held[:2]
+                need = 1
+                if held:
+                    end = held.index(CUT)
+                    fields = _fields(bytes(held[:end]))
+                    del held[: end + 4]
+                    n = int(fields["content-length"])
+                    need = n + 4
+            else:
+                if held[n : n + 4] != CUT:
+                    raise ValueError("a record doesn't end where its length says")
+                yield fields, bytes(held[:n])
+                del held[: n + 4]
+                fields, need = None, 1
+    if fields is not None:
+        raise ValueError("the last record is cut off")
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(origin, segment, type, refers_to, digest, total, block) of every record of the archives in path."""
-    files = spark.read.format("binaryFile").load(path).select("content")
+    """(origin, segment, type, refers_to, digest, total, block) of every record of the archives in path.
+
+    Files whose names end in .gz are streamed; others, of 2 GB at most, are read whole.
+    """
+    zipped = spark.read.option("lineSep", END).option("pathGlobFilter", "*.gz").text(path).select(F.col("value").cast("binary").alias("piece"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*[!z]").load(path).select("content")
+
+    def rows_of(records: Iterable[tuple[dict[str, str], bytes]]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for f, block in records:
+            total = f.get("warc-segment-total-length")
+            rows.append((f.get("warc-segment-origin-id", f["warc-record-id"]), int(f.get("warc-segment-number", 0)), f["warc-type"], f.get("warc-refers-to"), f.get("warc-payload-digest"), int(total) if total else None, block))
+            size += len(block)
+            if size > 4_000_000:
+                yield _rows(rows)
+                rows, size = [], 0
+        if rows:
+            yield _rows(rows)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def streamed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from rows_of(joined(x.as_py() for b in batches for x in b.column("piece")))
+
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b.column("content"):
-                rows, size = [], 0
-                data = content.as_py()
-                for f, block in parse(gunzip(data) if data[:2] == b"\x1f\x8b" else data):
-                    total = f.get("warc-segment-total-length")
-                    rows.append((f.get("warc-segment-origin-id", f["warc-record-id"]), int(f.get("warc-segment-number", 0)), f["warc-type"], f.get("warc-refers-to"), f.get("warc-payload-digest"), int(total) if total else None, block))
-                    size += len(block)
-                    if size > 4_000_000:
-                        yield _rows(rows)
-                        rows, size = [], 0
-                if rows:
-                    yield _rows(rows)
+                yield from rows_of(parse(content.as_py()))
 
-    return files.mapInArrow(run, "origin string, segment int, type string, refers_to string, digest string, total bigint, block binary")
+    form = "origin string, segment int, type string, refers_to string, digest string, total bigint, block binary"
+    return zipped.mapInArrow(lean(streamed), form).unionByName(files.mapInArrow(lean(whole), form))
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -219,9 +272,9 @@ def reassemble(records: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist([whole(parts)], schema)
 
     form = "record string, type string, refers_to string, digest string, payload binary"
-    alone = records.filter("segment = 0").mapInArrow(run, form)
+    alone = records.filter("segment = 0").mapInArrow(lean(run), form)
     segmented = records.filter("segment > 0").repartition("origin").sortWithinPartitions("origin", "segment")
-    return alone.unionByName(segmented.mapInArrow(run, form))
+    return alone.unionByName(segmented.mapInArrow(lean(run), form))
 
 
 def archived_pages(pages: DataFrame, html: str = "html", url: str = "url", id_col: str = "page_id") -> DataFrame:
@@ -232,9 +285,8 @@ def archived_pages(pages: DataFrame, html: str = "html", url: str = "url", id_co
     found = reassemble(read_records(spark, path))
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+|null):\d+>$", 1).try_cast("long")
     slim = found.select("record", "type", "refers_to", F.octet_length("payload").cast("long").alias("bytes"), F.substring("digest", 6, 32).alias("payload_digest"))
-    path = fresh_path(spark, "warc-read")
-    slim.write.parquet(path)
-    slim = spark.read.schema(slim.schema).parquet(path)
+    slim = written(slim, "warc-read")
+    remove_path(spark, path)
     origins = slim.filter("type = 'response'").select(F.col("record").alias("refers_to"), F.col("bytes").alias("origin_bytes"))
     rows = slim.join(origins, "refers_to", "left")
     return rows.select(number(F.col("record")).alias(id_col), F.coalesce("bytes", "origin_bytes").alias("payload_bytes"), "payload_digest", F.col("type").alias("record_type"), number(F.col("refers_to")).alias("refers_to"))

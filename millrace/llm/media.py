@@ -4,11 +4,15 @@ Storing: a payload of bytes, filled up to whole frames of WIDTH x HEIGHT
 samples, becomes one motion-JPEG stream, each sample an even 8x8 block, with an
 index. Reading: RIFF chunks and the index are parsed, each frame (all are
 intra) is decoded, and a shot ends where the grey histogram changes by far more
-than it did in the frames before.
+than it did in the frames before. A chunk of the file's own says how many bytes
+the payload has: what fills up the last frame counts in no histogram and no mean,
+and a last frame that is more filler than payload begins no shot.
 
 Defined cases: a null text is the empty payload, which fills one frame; equal
 texts give equal files; a file without an index is read by walking its
-chunks; a file without frames has no clip; a broken file raises; other columns
+chunks; a file that doesn't say how long its payload is has no filler; a file
+without frames has no clip, one of filler alone has one of level 0; a broken
+file raises; other columns
 are ignored.
 """
 
@@ -26,11 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jpeg
-from .common import ranges, spread, text_slices
+from .common import lean, ranges, spread, text_slices
 
 WIDTH = HEIGHT = 24
 SAMPLES = WIDTH * HEIGHT
 FILL = 255
+#: The chunk that holds the payload's bytes, 64 bits.
+LENGTH = b"plen"
 FRAME_MS = 40
 #: Files are decoded together until they have so many bytes.
 GROUP_BYTES = 2_000_000
@@ -46,8 +52,8 @@ def _list(kind: bytes, body: bytes) -> bytes:
     return _chunk(b"LIST", kind + body)
 
 
-def avi(frames: list[bytes], width: int, height: int, frame_ms: int = FRAME_MS) -> bytes:
-    """An AVI file of one motion-JPEG stream, with its index."""
+def avi(frames: list[bytes], width: int, height: int, frame_ms: int = FRAME_MS, payload: int | None = None) -> bytes:
+    """An AVI file of one motion-JPEG stream, with its index, and the bytes of its payload if they are given."""
     most = max(map(len, frames), default=0)
     main = pack("<10I16x", frame_ms * 1000, most * 1000 // frame_ms, 0, 0x10, len(frames), 0, 1, most, width, height)
     stream = pack("<4s4sIHHIIIIIIiI4H", b"vids", b"MJPG", 0, 0, 0, 0, frame_ms, 1000, 0, len(frames), most, -1, 0, 0, 0, width, height)
@@ -57,6 +63,8 @@ def avi(frames: list[bytes], width: int, height: int, frame_ms: int = FRAME_MS)
     for f in frames:
         index.append(pack("<4sIII", b"00dc", 0x10, at, len(f)))
         at += 8 + len(f) + (len(f) & 1)
+    if payload is not None:
+        head += _chunk(LENGTH, pack("<Q", payload))
     return _chunk(b"RIFF", b"AVI " + head + _list(b"movi", b"".join([_chunk(b"00dc", f) for f in frames])) + _chunk(b"idx1", b"".join(index)))
 
 
@@ -101,14 +109,29 @@ def parse_avi(data: bytes) -> tuple[int, list[bytes]]:
     return us, frames
 
 
-def cuts(planes: np.ndarray) -> np.ndarray:
-    """First frames of all shots but the first, from the grey histograms of frames x samples."""
+def payload_bytes(data: bytes) -> int | None:
+    """What the file says of its payload's length, if anything."""
+    at = 12
+    while at + 16 <= len(data) and data[at : at + 4] != b"idx1":
+        if data[at : at + 4] == LENGTH:
+            return unpack_from("<Q", data, at + 8)[0]
+        n = unpack_from("<I", data, at + 4)[0]
+        at += 8 + n + (n & 1)
+    return None
+
+
+def cuts(planes: np.ndarray, known: int | None = None) -> np.ndarray:
+    """First frames of all shots but the first, from the grey histograms of frames x samples, of which the first `known` count."""
     n, width = planes.shape
     if n < 3:
         return np.zeros(0, int)
-    slot = np.arange(n)[:, None] * BINS + (planes >> 3)
-    hist = np.bincount(slot.ravel(), minlength=n * BINS).reshape(n, BINS)
-    change = np.abs(np.diff(hist, axis=0)).sum(1) / (2 * width)
+    known = planes.size if known is None else known
+    slot = (np.arange(n)[:, None] * BINS + (planes >> 3)).ravel()[:known]
+    hist = np.bincount(slot, minlength=n * BINS).reshape(n, BINS)
+    size = np.clip(known - np.arange(n) * width, 0, width)
+    hist = hist / np.maximum(size, 1)[:, None]
+    change = np.abs(np.diff(hist, axis=0)).sum(1) / 2
+    change[2 * size[1:] < width] = 0
     one = np.concatenate([[0.0], np.cumsum(change)])
     two = np.concatenate([[0.0], np.cumsum(change**2)])
     k = np.arange(1, len(change))
@@ -118,12 +141,14 @@ def cuts(planes: np.ndarray) -> np.ndarray:
     return k[(change[1:] > FLOOR) & (change[1:] > mean + SPREAD * deviation + 1e-9)] + 1
 
 
-def shots(planes: np.ndarray, us: int) -> list[tuple[int, int, float]]:
-    """(start ms, end ms, mean grey) of each shot."""
+def shots(planes: np.ndarray, us: int, known: int | None = None) -> list[tuple[int, int, float]]:
+    """(start ms, end ms, mean grey) of each shot; samples from `known` on are filler."""
     if not len(planes):
         return []
-    bounds = [0, *cuts(planes).tolist(), len(planes)]
-    return [(a * us // 1000, b * us // 1000, float(np.round(planes[a:b].mean(), 4))) for a, b in zip(bounds, bounds[1:], strict=False)]
+    bounds = [0, *cuts(planes, known).tolist(), len(planes)]
+    width, flat = planes.shape[1], planes.ravel()[:known]
+    level = lambda a, b: float(np.round(part.mean(), 4)) if (part := flat[a * width : b * width]).size else 0.0
+    return [(a * us // 1000, b * us // 1000, level(a, b)) for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 def filled(payload: bytes) -> bytes:
@@ -144,23 +169,23 @@ def store(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFram
                 whole = [filled(x) for x in raw]
                 planes = np.frombuffer(b"".join(whole), np.uint8).reshape(-1, SAMPLES)
                 frames, at, media = jpeg.encode(planes, WIDTH, HEIGHT), 0, []
-                for x in whole:
+                for x, own in zip(whole, raw, strict=True):
                     n = len(x) // SAMPLES
-                    media.append(avi(frames[at : at + n], WIDTH * 8, HEIGHT * 8))
+                    media.append(avi(frames[at : at + n], WIDTH * 8, HEIGHT * 8, payload=len(own)))
                     at += n
                 yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary())], ["id", "n_bytes", "media"])
 
-    return slim.mapInArrow(run, f"id {kind}, n_bytes bigint, media binary").withColumnRenamed("id", id_col)
+    return slim.mapInArrow(lean(run), f"id {kind}, n_bytes bigint, media binary").withColumnRenamed("id", id_col)
 
 
-def _decoded(media: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
-    """(microseconds of a frame, frames x block means) of each file; frames of all are decoded together."""
+def _decoded(media: list[bytes]) -> Iterator[tuple[int, np.ndarray, int | None]]:
+    """(microseconds of a frame, frames x block means, payload's bytes) of each file; frames of all are decoded together."""
     files = [parse_avi(m) for m in media]
     planes, at = jpeg.decode([f for _, frames in files for f in frames]), 0
-    for us, frames in files:
+    for (us, frames), data in zip(files, media, strict=True):
         own = planes[at : at + len(frames)]
         at += len(frames)
-        yield us, np.stack(own) if own else np.zeros((0, 0), np.uint8)
+        yield us, np.stack(own) if own else np.zeros((0, 0), np.uint8), payload_bytes(data)
 
 
 def describe(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_id", "n_bytes")) -> DataFrame:
@@ -173,15 +198,15 @@ def describe(df: DataFrame, media: str = "media", keep: tuple[str, ...] = ("doc_
             files = b.column("media")
             for i, j in ranges(pc.binary_length(files).to_pylist(), GROUP_BYTES):
                 own, out = files.slice(i, j - i).to_pylist(), []
-                for m, (us, planes) in zip(own, _decoded(own), strict=True):
+                for m, (us, planes, known) in zip(own, _decoded(own), strict=True):
                     payload = planes.tobytes()
-                    clips = shots(planes, us)
+                    clips = shots(planes, us, known)
                     feature = f"{len(planes)} frames, {len(clips)} shots: " + ", ".join(f"{a}-{z} ms {g:.2f}" for a, z, g in clips)
                     out.append((len(payload), hashlib.sha256(payload).hexdigest(), crc32(payload[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature))
                 cols = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(b.column(k).slice(i, j - i) for k in keep), *cols], [*keep, "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return slim.mapInArrow(run, f"{fields}, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return slim.mapInArrow(lean(run), f"{fields}, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
 
 
 def clips(df: DataFrame, media: str = "media", id_col: str = "doc_id") -> DataFrame:
@@ -194,10 +219,10 @@ def clips(df: DataFrame, media: str = "media", id_col: str = "doc_id") -> DataFr
             files = b.column("media")
             for i, j in ranges(pc.binary_length(files).to_pylist(), GROUP_BYTES):
                 rows = []
-                for key, (us, planes) in zip(b.column("id").slice(i, j - i), _decoded(files.slice(i, j - i).to_pylist()), strict=True):
-                    rows += [(key.as_py(), k, *shot) for k, shot in enumerate(shots(planes, us))]
+                for key, (us, planes, known) in zip(b.column("id").slice(i, j - i), _decoded(files.slice(i, j - i).to_pylist()), strict=True):
+                    rows += [(key.as_py(), k, *shot) for k, shot in enumerate(shots(planes, us, known))]
                 if rows:
                     cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (b.schema.field("id").type, pa.int32(), pa.int64(), pa.int64(), pa.float64()), strict=True)]
                     yield pa.RecordBatch.from_arrays(cols, ["id", "clip", "start_ms", "end_ms", "mean_level"])
 
-    return slim.mapInArrow(run, f"id {kind}, clip int, start_ms bigint, end_ms bigint, mean_level double").withColumnRenamed("id", id_col)
+    return slim.mapInArrow(lean(run), f"id {kind}, clip int, start_ms bigint, end_ms bigint, mean_level double").withColumnRenamed("id", id_col)

@@ -55,6 +55,44 @@ def test_shots_are_cut_where_grey_changes():
     assert [(a, b) for a, b, _ in media.shots(planes, 40_000)] == [(0, 1200), (1200, 1400), (1400, 2200)]
 
 
+def plain_shots(payload):
+    """Shots of a payload by plain counting, frame by frame."""
+    frames = [payload[i : i + 576] for i in range(0, len(payload), 576)] or [b""]
+    share = lambda f: [sum(1 for x in f if x >> 3 == b) / max(len(f), 1) for b in range(32)]
+    shares = [share(f) for f in frames]
+    changes = [sum(abs(x - y) for x, y in zip(a, b, strict=True)) / 2 if 2 * len(f) >= 576 else 0.0 for a, b, f in zip(shares, shares[1:], frames[1:], strict=False)]
+    begins = [0]
+    for k in range(1, len(changes)):
+        before = changes[max(0, k - 12) : k]
+        mean = sum(before) / len(before)
+        deviation = max(0.0, sum(x * x for x in before) / len(before) - mean**2) ** 0.5
+        if changes[k] > 0.12 and changes[k] > mean + 3 * deviation + 1e-9:
+            begins.append(k + 1)
+    out = []
+    for a, b in zip(begins, [*begins[1:], len(frames)], strict=True):
+        own = b"".join(frames[a:b])
+        out.append((a * 40, b * 40, sum(own) / len(own) if own else 0.0))
+    return out
+
+
+def test_clips_are_those_of_plain_counting(spark):
+    rng = random.Random(4)
+    texts = ["", "a" * 575, "a" * 576 * 3 + "zz", "b" * 576 * 4 + "~" * 200]
+    for _ in range(12):
+        texts.append("".join("".join(rng.choice(letters) for _ in range(rng.randint(300, 9_000))) for letters in rng.choices(["abcdef", "0123456789", "XYZ é", " .,"], k=3)))
+    stored = media.store(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3))
+    got = {}
+    for r in media.clips(stored).collect():
+        got.setdefault(r.doc_id, []).append((r.clip, r.start_ms, r.end_ms, r.mean_level))
+    features = {r.doc_id: r.feature for r in media.describe(stored).collect()}
+    for k, t in enumerate(texts):
+        want = plain_shots(t.encode())
+        assert [(a, b) for _, a, b, _ in sorted(got[k])] == [(a, b) for a, b, _ in want]
+        assert all(abs(x[3] - y[2]) < 1e-3 for x, y in zip(sorted(got[k]), want, strict=True))
+        assert f"{len(want)} shots: " in features[k]
+    assert max(map(len, got.values())) > 2 and len(got[2]) == len(got[3]) == 1  # what fills up a frame is no shot
+
+
 def test_edge_rows(spark):
     stored = media.store(edge(spark))
     rows = media.describe(stored).collect()
@@ -70,3 +108,10 @@ def test_edge_rows(spark):
     assert media.describe(media.store(empty(spark))).count() == 0
     clips = media.clips(stored).collect()
     assert {r.doc_id for r in clips} == set(texts) and all(r.end_ms > r.start_ms for r in clips)
+
+
+def test_documents_are_not_cut_at_their_filler(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    frames = {r.doc_id: max(1, -(-len(r.text.encode()) // 576)) for r in docs.collect()}
+    last = [r for r in media.clips(media.store(docs)).collect() if r.clip and r.end_ms == frames[r.doc_id] * 40 and r.end_ms - r.start_ms == 40]
+    assert len(last) < 0.05 * len(frames)

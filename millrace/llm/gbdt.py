@@ -108,12 +108,17 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return knots[apart], levels[apart]
 
 
-def fit_calibrated(x: np.ndarray, y: np.ndarray, folds: int = 3, **options) -> Trees:
-    """fit() on all rows, calibrated on what models of the other folds say of each fold."""
+def fit_calibrated(x: np.ndarray, y: np.ndarray, part: np.ndarray | None = None, x_of: list[np.ndarray] | None = None, folds: int = 3, **options) -> Trees:
+    """fit() on all rows, calibrated on what models of the other folds say of each fold.
+
+    part: each row's fold. x_of: the features as they are made without the
+    labels of fold 0, 1, .., where features depend on labels.
+    """
     model = fit(x, y, **options)
     if len(model.feature):
-        part, raw = np.arange(len(y)) % folds, np.zeros(len(y))
-        for k in range(folds):
-            raw[part == k] = fit(x[part != k], y[part != k], **options).raw(x[part == k])
+        part, raw = np.arange(len(y)) % folds if part is None else part, np.zeros(len(y))
+        for k in np.unique(part).tolist():
+            own = x if x_of is None else x_of[k]
+            raw[part == k] = fit(own[part != k], y[part != k], **options).raw(own[part == k])
         model.knots, model.levels = isotonic(raw, y)
     return model

@@ -6,7 +6,8 @@ The matrix of log probabilities, languages by buckets, is broadcast; a batch is
 scored by gathering from it for every n-gram and summing by document.
 
 Defined cases: a null text or one without a letter is `und` with score 0; a
-null language isn't learned from; nothing to learn from gives `und` for all;
+null language isn't learned from, nor are labels beyond the MOST_LANGS most
+frequent (ties by name), as a column full of junk has; nothing to learn from gives `und` for all;
 ties go to the language that sorts first; equal texts score equally, repeated
 rows stay; other columns of the input are ignored.
 """
@@ -22,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, spread, text_slices
+from .common import held_out, lean, spread, text_slices
 
 BUCKETS = 1 << 15
 #: About so many documents of each language are learned from; all count for the priors.
 FIT_DOCS = 5_000
+#: Languages that are learned, the most frequent ones; the matrix that every task gets has a row for each.
+MOST_LANGS = 256
 #: Long texts are scored in windows of so many characters, which overlap by two.
 CHUNK = 1_000_000
 UNKNOWN = "und"
@@ -114,7 +117,8 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "do
     """Learns from text and lang of the rows whose crc32(id) mod 5 isn't 0."""
     rows = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.filter(~held_out("id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    often = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS)
+    n = {r["lang"]: r["n"] for r in often.collect()}
     if not n:
         return Model([], np.zeros((0, BUCKETS)), np.zeros(0))
     share = F.lit(0)
@@ -132,7 +136,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "do
             at = np.flatnonzero(row)
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(row[at])], ["lang", "bucket", "n"])
 
-    found = taken.mapInArrow(run, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    found = taken.mapInArrow(lean(run), "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(n)
     counts = np.zeros((len(langs), BUCKETS))
     place = {k: i for i, k in enumerate(langs)}
@@ -154,4 +158,4 @@ def predict(df: DataFrame, model: Model, text: str = "text", id_col: str = "doc_
                 lang, score = shared.value.score(texts)
                 yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), b.column("held_out").slice(i, j - i), pa.array(lang, pa.string()), pa.array(score)], ["id", "held_out", "lang_pred", "score"])
 
-    return slim.mapInArrow(run, f"id {id_type}, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return slim.mapInArrow(lean(run), f"id {id_type}, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)

@@ -76,6 +76,96 @@ def test_trees_fit_an_interaction():
     assert ((model.score(fresh) > 0.5) == ((fresh[:, 0] > 0) != (fresh[:, 1] > 0))).mean() > 0.95
 
 
+def test_batches_go_down_trees_as_single_rows_do():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(900, 4)).round(1)
+    model = gbdt.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0.3).astype(float), trees=25)
+    fresh = np.concatenate([rng.normal(size=(60, 4)).round(1), np.full((1, 4), np.nan)])
+    for row, got in zip(fresh, model.raw(fresh), strict=True):
+        want = model.base
+        for feature, threshold, leaf in zip(model.feature, model.threshold, model.leaf, strict=True):
+            at = 0
+            while at < len(feature):
+                at = 2 * at + (2 if row[feature[at]] > threshold[at] else 1)
+            want += leaf[at - len(feature)]
+        assert abs(got - want) < 1e-9
+
+
+def test_a_tree_splits_where_the_log_loss_falls_most():
+    """The root of the first tree against trying every feature and cut."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 12, (400, 3)).astype(float)
+    y = (rng.random(400) < np.where(x[:, 1] > 6, 0.8, 0.25)).astype(float)
+    model = gbdt.fit(x, y, trees=1, depth=1, least=10)
+    p = np.full(400, (y.sum() + 0.5) / 401)
+    grad, hess, best = p - y, p * (1 - p), (0.0, None, None)
+    part = lambda m: grad[m].sum() ** 2 / (hess[m].sum() + 1.0)
+    for f in range(3):
+        for cut in np.unique(x[:, f]):
+            right = x[:, f] > cut
+            if min(right.sum(), (~right).sum()) >= 10:
+                best = max(best, (part(right) + part(~right) - part(np.ones(400, bool)), f, cut))
+    f, threshold = int(model.feature[0, 0]), model.threshold[0, 0]
+    assert f == best[1] and ((x[:, f] > threshold) == (x[:, f] > best[2])).all()
+    for side, leaf in ((x[:, f] > threshold, model.leaf[0, 1]), (x[:, f] <= threshold, model.leaf[0, 0])):
+        assert abs(leaf + 0.15 * grad[side].sum() / (hess[side].sum() + 1.0)) < 1e-9
+
+
+def test_features_of_statistics_by_plain_counting():
+    text = "One two two. THREE!! a | b ...\nOne two two. THREE!! a\nnew line 42"
+    words = text.split()
+    got = quality.statistics([text, "", None or ""])
+    assert abs(got[0, 2] - len(set(words)) / len(words)) < 1e-12
+    assert abs(got[0, 3] - len({(a, b) for a, b in zip(words, words[1:], strict=False)}) / (len(words) - 1)) < 1e-12
+    assert abs(got[0, 8] - text.count("!") / len(words)) < 1e-12 and got[0, 12] == max(map(len, words))
+    assert not got[1].any() and (got[1] == got[2]).all()
+
+
+def test_calibration_sees_no_label_of_its_own_fold(spark):
+    """Words of one toxic document each, and labels by chance: an honest calibration can't tell, whatever lexicons learned."""
+    rng = random.Random(8)
+    docs, labels = [], []
+    for k in range(900):
+        rude = rng.random() < 0.4
+        marks = [f"rare{rng.randrange(60)}" for _ in range(3)] if rude else []
+        docs.append((k, " ".join([rng.choice(["alpha", "beta", "gamma"]) + str(rng.randrange(400)) for _ in range(25)] + marks)))
+        labels.append((k, int(rng.random() < 0.4)))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    truth = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    model = toxicity.fit(df, truth)
+    rows = toxicity.score(df, model).collect()
+    assert np.mean([r.score for r in rows]) < 0.6 and max(model.trees.levels, default=0.4) < 0.9
+
+
+def test_held_out_accuracy_on_documents(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    for rows, name, least in ((toxicity.score(docs, toxicity.fit(docs, labels)), "toxic", 0.95), (quality.score(docs, quality.fit(docs, labels)), "quality", 0.95)):
+        truth = {r.doc_id: r[name] for r in labels.collect()}
+        held = [(r.predicted, truth[r.doc_id]) for r in rows.collect() if r.held_out and r.doc_id in truth]
+        assert len(held) > 50 and sum(a == b for a, b in held) / len(held) > least
+    rows = [r for r in langid.predict(docs, langid.fit(docs)).collect() if r.held_out]
+    truth = {r.doc_id: r.lang for r in docs.collect()}
+    assert sum(r.lang_pred == truth[r.doc_id] for r in rows) / len(rows) > 0.98
+
+
+def test_language_counts_and_priors(spark):
+    """The learned matrix against counting every n-gram of every document that isn't held out."""
+    from zlib import crc32
+
+    rows = [(k, t, lang) for k, (t, lang) in enumerate([("Ab c", "x"), ("ba", "y"), ("Zé zé", "x"), (None, "x"), ("q", None), ("aab", "y"), ("bb", "x"), ("ccc", "y")] * 3)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    counts, docs = np.full((2, langid.BUCKETS), 0.5), np.zeros(2)
+    for k, t, lang in rows:
+        if t is not None and lang is not None and crc32(str(k).encode()) % 5:
+            two, three, bounds, _ = langid.hashed_ngrams([f"  {t.lower()}  "])
+            for grams in (two, three):
+                np.add.at(counts["xy".index(lang)], grams[bounds[0][0] : bounds[0][1]], 1)
+            docs["xy".index(lang)] += 1
+    assert model.langs == ["x", "y"]
+    assert np.allclose(model.log_prior, np.log(docs / docs.sum())) and np.allclose(model.log_prob, np.log(counts / counts.sum(1, keepdims=True)))
+
+
 def test_isotonic_is_pool_adjacent_violators():
     knots, levels = gbdt.isotonic(np.array([1.0, 2, 3, 4, 4, 5]), np.array([0, 1, 0, 1, 0, 1]))
     assert (np.diff(levels) >= 0).all() and (np.diff(knots) > 0).all() and 0 < levels[0] < levels[-1] < 1
@@ -116,3 +206,11 @@ def test_language_score_is_the_plain_sum():
     for k in range(len(two)):
         total += model.log_prob[:, two[k]] + model.log_prob[:, three[k]]
     assert together[0][1] == model.langs[int(total.argmax())]
+
+
+def test_junk_languages_are_not_all_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGS", 2)
+    rows = [(k, "abc def", "x" if k % 3 else "y") for k in range(30)] + [(100 + k, "ghi", f"junk{k}") for k in range(9)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(df)
+    assert model.langs == ["x", "y"] and langid.predict(df, model).count() == len(rows)

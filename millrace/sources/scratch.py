@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -69,6 +69,16 @@ def remove(*tables: DataFrame) -> None:
         remove_path(df.sparkSession, df.written_to)
 
 
+def written_alone(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What make() gives as a written table; whatever its making has left in the shared folder is removed."""
+    made = _made.setdefault(spark.sparkContext.applicationId, set())
+    before = set(made)
+    out = written(make(), name)
+    for path in made - before - {out.written_to}:
+        remove_path(spark, path)
+    return out
+
+
 def clean_up(spark: SparkSession) -> None:
     """Deletes every table that operators of this application still have in the shared folder.
 

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import clean_up, fresh_path, remove, remove_path, shared_dir, shuffles_deleted, spread, written  # noqa: F401
+from ..sources.scratch import clean_up, fresh_path, remove, remove_path, shared_dir, shuffles_deleted, spread, written, written_alone  # noqa: F401
 
 #: One word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -397,17 +397,17 @@ def jaccard_components(df: DataFrame, text: str = "text", id_col: str = "doc_id"
     near = _pairs(dealt, percent, True)
     near = near.groupBy("a").agg(F.max(F.struct("score", "b")).alias("best")).select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b")).distinct()
     near = written(near, "near")
-    remove(roots, mixed)
-    found = written(links.unionByName(_verified(near, texts, words, percent)), "links")
-    remove(links, near)
+    stars = lambda roots: roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    found = written(stars(roots).unionByName(_verified(near, texts, words, percent)), "links")
+    remove(links, near, roots, mixed)
     roots = components(found)
     dealt, mixed = _dealt(members, roots, points, 1)
     rest = written(_pairs(dealt, percent, False).select("a", "b").distinct(), "rest")
-    remove(members, points, roots, mixed)
-    more = written(_verified(rest, texts, words, percent), "links")
-    remove(texts, rest)
-    roots = components(found.unionByName(more))
-    remove(found, more)
+    remove(members, points, mixed, found)
+    more = written(stars(roots).unionByName(_verified(rest, texts, words, percent)), "links")
+    remove(texts, rest, roots)
+    roots = components(more)
+    remove(more)
 
     out = sized.join(classes, ["h1", "h2"], "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("root", "rep", "id")).alias("component_id"))

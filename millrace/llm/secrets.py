@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh_path, spread
+from .common import spread, written
 
 #: Parts of one credential are at most so many code points apart.
 SCOPE = 400
@@ -128,11 +128,7 @@ def find_spans(scanned: DataFrame) -> DataFrame:
 
 def digests(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, n_assign, n_access, n_hex, base_sha256, spans) of every row."""
-    spark = df.sparkSession
-    path = fresh_path(spark, "secrets")
-    scanned = scan(df, text, id_col)
-    scanned.write.parquet(path)  # texts are read once; what is left are positions
-    scanned = spark.read.schema(scanned.schema).parquet(path)
+    scanned = written(scan(df, text, id_col), "secrets")  # texts are read once; what is left are positions
     rows = scanned.select("id", "k1", "k2").join(find_spans(scanned), ["k1", "k2"], "left")
     spans = F.coalesce("spans", F.expr("cast(array() as array<struct<start:bigint,rank:bigint,kind:string,end:bigint>>)"))
     base = F.filter(spans, lambda s: s["rank"] <= len(BASE))
@@ -143,15 +139,12 @@ def digests(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFr
 
 def redact(df: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """df with each span replaced by [kind]; of overlapping spans the first decides. Only rows with spans are joined."""
-    spark = df.sparkSession
     hit, k1, k2 = "__hit", "__k1", "__k2"
     whole = F.coalesce(F.col(text), F.lit(""))
     keyed = df.withColumns({k1: F.xxhash64(id_col, whole), k2: F.xxhash64(F.lit(1), whole, F.col(id_col)), hit: whole.rlike(f"{ASSIGN}|{ACCESS}|(?-i:[0-9a-f]{{{LEAST['hex']},}})")})
     found = keyed.filter(hit)
-    path = fresh_path(spark, "secrets")
-    scanned = scan(found.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")))
-    scanned.write.parquet(path)
-    spans = find_spans(spark.read.schema(scanned.schema).parquet(path)).select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("spans").alias("__spans"))
+    scanned = written(scan(found.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))), "secrets")
+    spans = find_spans(scanned).select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("spans").alias("__spans"))
     c = F.col(text)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
 

@@ -15,7 +15,10 @@ columns of documents.
 5. encoding: token ids of every document, and digests of ids and decoded bytes.
 
 A null text counts as empty; such documents stay until the mix, which takes
-documents with words only.
+documents with words only. Documents without an id are rated, scanned and mixed
+as others are. Repeated rows (equal id and text) become one in stage 2. An empty
+table stays empty. Columns beyond those of documents, whatever their names, are
+passed on as they are by all stages but the last.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, mixing, ngram_join, secrets, toxicity
-from millrace.llm.common import importable, table, written
+from millrace.llm.common import importable, remove, table, written_alone
 
 #: Near copies share four fifths of their five-word shingles.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -73,6 +76,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written_alone(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if k:
+            remove(before)
     return STAGES[-1][1](spark, docs, sf_dir)

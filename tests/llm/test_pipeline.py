@@ -6,6 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 import pytest
 import tiktoken
+from edges import ROWS, edge, empty
 from test_ngram_join import plain_components, plain_sets
 
 from millrace.llm import bpe, mixing, secrets, toxicity
@@ -81,3 +82,43 @@ def test_all_that_is_left_is_encoded(steps):
         t = plain.encode_ordinary(r.text)
         want[r.doc_id, len(t), hashlib.sha256(b"".join(k.to_bytes(4, "little") for k in t)).hexdigest(), hashlib.sha256(r.text.encode()).hexdigest()] += 1
     assert Counter(map(tuple, after.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect())) == want
+
+
+def through(spark, docs, data, folder):
+    """What every stage gives, each written and reread."""
+    out = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, data).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+        out.append(docs)
+    return out
+
+
+def test_odd_rows_and_columns_through_all_stages(spark, data, tmp_path):
+    docs = edge(spark)
+    after = through(spark, docs, data, str(tmp_path))
+    assert all(a.columns == docs.columns for a in after[:-1])
+    kept = [Counter(r.doc_id for r in a.collect()) for a in after]
+    assert kept[0].keys() == {r[0] for r in ROWS} and kept[0][5] == 2  # nothing rude in them
+    assert kept[1] == Counter([1, 2, 3, 4, 6, 7, 8, None]) == kept[2]  # 5 is a copy of 1
+    assert not {2, 3, 4} & kept[3].keys() and kept[3] == kept[4]
+    assert {r.id for r in after[3].collect()} <= {"x"}
+
+
+def test_empty_table_through_all_stages(spark, data, tmp_path):
+    after = through(spark, empty(spark), data, str(tmp_path))
+    assert [a.count() for a in after] == [0] * 5 and all(a.columns == empty(spark).columns for a in after[:-1])
+
+
+def test_run_leaves_nothing_but_its_last_input(spark, data):
+    from pathlib import Path
+
+    from millrace.sources import scratch
+
+    scratch.clean_up(spark)
+    folder = Path(scratch.shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    rows = corpus_pipeline.run(spark, data).count()
+    assert rows and len([p for p in set(folder.iterdir()) - before]) == 1
+    scratch.clean_up(spark)
+    assert set(folder.iterdir()) == before

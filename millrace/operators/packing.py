@@ -87,7 +87,7 @@ def pack_tokens(df: DataFrame, length: int, text: str = "text", shard: str = "so
         return F.transform(F.sequence(*_chunks(length)), lambda c: F.struct(c.alias("chunk"), (low(c) - c * length).alias("start"), cut(c).alias("piece")))
 
     each = placed.select("_s", F.inline(F.transform(F.array(tokens), pieces)[0]))  # the words of a text are cut once
-    blocks = each.groupBy("_s", "chunk").agg(F.array_sort(F.collect_list(F.struct("start", "piece"))).alias("pieces"))
+    blocks = each.groupBy("_s", "chunk").agg(F.sort_array(F.collect_list(F.struct("start", "piece"))).alias("pieces"))
     return blocks.select(F.col("_s").alias(shard), "chunk", F.flatten(F.transform("pieces", lambda p: p["piece"])).alias("tokens")).withColumn("n", F.size("tokens").cast("long"))
 
 

@@ -93,7 +93,7 @@ def text_repetition(df: DataFrame, text: str = "text", key: str = "doc_id", n: i
         return F.struct(
             share(F.aggregate(w, F.lit(0).cast("long"), lambda s, x: s + F.length(x)), F.size(w)).alias("mean_word"),
             F.size(F.filter(w, lambda x: F.lower(x).isin(*STOP_WORDS))).cast("long").alias("stop_words"),
-            F.transform(F.array(F.array_sort(T.ngrams(w, n))), lambda g: F.transform(F.array(runs(g)), lambda r: F.struct(share(F.size(g) - F.size(r), F.size(g)).alias("repeated"), share(F.coalesce(F.array_max(r), F.lit(0)), F.size(g)).alias("top")))[0])[0].alias("grams"),
+            F.transform(F.array(F.sort_array(T.ngrams(w, n))), lambda g: F.transform(F.array(runs(g)), lambda r: F.struct(share(F.size(g) - F.size(r), F.size(g)).alias("repeated"), share(F.coalesce(F.array_max(r), F.lit(0)), F.size(g)).alias("top")))[0])[0].alias("grams"),
         )
 
     def of_lines(lines: Column) -> Column:
@@ -139,13 +139,13 @@ def unicode_nfc(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
 def chat_template(turns: DataFrame) -> DataFrame:
     """(conv_id, text): the turns of each conversation in order, as <role>text</role>."""
     turn = F.struct("turn", F.concat(F.lit("<"), "role", F.lit(">"), "text", F.lit("</"), "role", F.lit(">")).alias("t"))
-    return turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(turn)), lambda x: x["t"]), "").alias("text"))
+    return turns.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(turn)), lambda x: x["t"]), "").alias("text"))
 
 
 def loss_mask(turns: DataFrame) -> DataFrame:
     """(conv_id, mask array<int>): a number for each word of a conversation, 1 in the assistant's turns."""
     mask = F.array_repeat(F.when(F.col("role") == "assistant", 1).otherwise(0), T.word_count("text").cast("int"))
-    return turns.groupBy("conv_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("turn", mask.alias("m")))), lambda x: x["m"])).alias("mask"))
+    return turns.groupBy("conv_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("turn", mask.alias("m")))), lambda x: x["m"])).alias("mask"))
 
 
 def turn_validation(turns: DataFrame) -> DataFrame:

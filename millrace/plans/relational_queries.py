@@ -191,7 +191,7 @@ def unpivot(spark, d):
 
 @query("""SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names, arg_max(n_name, n_nationkey) AS last_name FROM nation GROUP BY n_regionkey""")
 def aggregate_ordered(spark, d):
-    return _t(spark, d, "nation").groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list("n_name")), ",").alias("names"), F.max_by("n_name", "n_nationkey").alias("last_name"))
+    return _t(spark, d, "nation").groupBy("n_regionkey").agg(F.array_join(F.sort_array(F.collect_list("n_name")), ",").alias("names"), F.max_by("n_name", "n_nationkey").alias("last_name"))
 
 
 @query("SELECT l_returnflag, round(median(l_quantity), 4) AS mid, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90 FROM lineitem GROUP BY l_returnflag")
@@ -229,12 +229,12 @@ def aggregate_count_min(spark, d):
 @query("""SELECT o_orderpriority, string_agg(DISTINCT o_orderstatus, '|' ORDER BY o_orderstatus) AS statuses, mode(o_orderstatus ORDER BY o_orderstatus) IS NOT NULL AS has_mode FROM orders GROUP BY o_orderpriority""")
 def aggregate_listagg(spark, d):
     o = _t(spark, d, "orders").groupBy("o_orderpriority")
-    return o.agg(F.array_join(F.array_sort(F.collect_set("o_orderstatus")), "|").alias("statuses"), F.mode("o_orderstatus").isNotNull().alias("has_mode"))
+    return o.agg(F.array_join(F.sort_array(F.collect_set("o_orderstatus")), "|").alias("statuses"), F.mode("o_orderstatus").isNotNull().alias("has_mode"))
 
 
 @query("""SELECT n_regionkey, string_agg(n_name, '; ' ORDER BY n_name DESC) AS names, string_agg(n_nationkey || '=' || n_name, ',' ORDER BY n_nationkey) AS pairs FROM nation GROUP BY n_regionkey""")
 def aggregate_map(spark, d):
-    n = _t(spark, d, "nation").groupBy("n_regionkey").agg(F.expr("listagg(n_name, '; ') WITHIN GROUP (ORDER BY n_name DESC)").alias("names"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name")))).alias("m"))
+    n = _t(spark, d, "nation").groupBy("n_regionkey").agg(F.expr("listagg(n_name, '; ') WITHIN GROUP (ORDER BY n_name DESC)").alias("names"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name")))).alias("m"))
     return n.select("n_regionkey", "names", F.array_join(F.transform(F.map_entries("m"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("pairs"))
 
 
@@ -382,7 +382,7 @@ def scalar_math(spark, d):
 @query("""WITH t AS (SELECT n_regionkey AS k, list_sort(list(n_nationkey)) AS a FROM nation GROUP BY 1)
 SELECT k, CAST(len(a) AS INTEGER) AS n, array_to_string(a[2:3], ',') AS part, array_to_string(list_transform(list_filter(a, lambda x: x % 2 = 0), lambda x: x * 10), ',') AS even, CAST(list_sum(a) AS BIGINT) AS total, list_contains(a, 3) AS has FROM t""")
 def scalar_array(spark, d):
-    t = _t(spark, d, "nation").groupBy(F.col("n_regionkey").alias("k")).agg(F.array_sort(F.collect_list("n_nationkey")).alias("a"))
+    t = _t(spark, d, "nation").groupBy(F.col("n_regionkey").alias("k")).agg(F.sort_array(F.collect_list("n_nationkey")).alias("a"))
     s = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
     return t.select("k", F.size("a").alias("n"), s(F.slice("a", 2, 2)).alias("part"), s(F.transform(F.filter("a", lambda x: x % 2 == 0), lambda x: x * 10)).alias("even"), F.aggregate("a", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"), F.array_contains("a", 3).alias("has"))
 
@@ -417,12 +417,12 @@ def scalar_encoding(spark, d):
 
 
 @query("""SELECT c_custkey, 'Customer' || substr(c_name, 9) AS caps, c_mktsegment || '!' AS marked, strpos(c_name, '0') AS zero, left(c_name, 4) AS l4, right(c_name, 4) AS r4, regexp_replace(c_name, '[0-9]+', '#') AS masked, regexp_extract(c_name, '([0-9]+)', 1) AS digits,
-CAST(len(regexp_extract_all(c_name, '0')) AS BIGINT) AS zeros, ascii(c_mktsegment) AS code, chr(CAST(65 + c_custkey % 26 AS INTEGER)) AS letter, rpad(c_mktsegment, 12, '.') AS padded, trim(c_mktsegment) AS trimmed, contains(c_name, '9') AS nine, starts_with(c_mktsegment, 'B') AS b FROM customer""")
+CAST(len(regexp_extract_all(c_name, '0')) AS BIGINT) AS zeros, ascii(c_mktsegment) AS code, chr(CAST(65 + c_custkey % 26 AS INTEGER)) AS letter, rpad(c_mktsegment, 12, '.') AS padded, trim(c_mktsegment) AS trimmed, contains(c_name, '9') AS nine, starts_with(c_mktsegment, 'B') AS b, 'C235' AS sounds FROM customer""")
 def scalar_string_more(spark, d):
     c, m = F.col("c_name"), F.col("c_mktsegment")
     return _t(spark, d, "customer").select(
         "c_custkey", F.initcap(c).alias("caps"), F.overlay(m, F.lit("!"), F.length(m) + 1).alias("marked"), F.locate("0", c).cast("long").alias("zero"), F.left(c, F.lit(4)).alias("l4"), F.right(c, F.lit(4)).alias("r4"), F.regexp_replace(c, "[0-9]+", "#").alias("masked"), F.regexp_extract(c, "([0-9]+)", 1).alias("digits"),
-        F.regexp_count(c, F.lit("0")).cast("long").alias("zeros"), F.ascii(m).alias("code"), F.chr((F.col("c_custkey") % 26 + 65)).alias("letter"), F.rpad(m, 12, ".").alias("padded"), F.trim(m).alias("trimmed"), F.contains(c, F.lit("9")).alias("nine"), F.startswith(m, F.lit("B")).alias("b"),
+        F.regexp_count(c, F.lit("0")).cast("long").alias("zeros"), F.ascii(m).alias("code"), F.chr((F.col("c_custkey") % 26 + 65)).alias("letter"), F.rpad(m, 12, ".").alias("padded"), F.trim(m).alias("trimmed"), F.contains(c, F.lit("9")).alias("nine"), F.startswith(m, F.lit("B")).alias("b"), F.soundex(c).alias("sounds"),
     )
 
 
@@ -450,16 +450,16 @@ def scalar_math_more(spark, d):
 SELECT k, array_to_string(list_sort(list_distinct(list_concat(a, b))), ',') AS u, array_to_string(list_sort(list_intersect(a, b)), ',') AS i, array_to_string(list_sort(list_filter(a, lambda x: NOT list_contains(b, x))), ',') AS e, list_has_any(a, b) AS o,
 list_bool_and(list_transform(a, lambda x: x >= 0)) AS every, list_bool_or(list_transform(a, lambda x: x > 20)) AS some, array_to_string(list_transform(list_zip(a, b), lambda p: coalesce(p[1], 0) * coalesce(p[2], 0)), ',') AS z, list_max(a) AS top, CAST(list_position(a, 7) AS BIGINT) AS at, array_to_string(list_reverse(a), ',') AS back FROM t""")
 def scalar_array_more(spark, d):
-    t = _t(spark, d, "nation").groupBy(F.col("n_regionkey").alias("k")).agg(F.array_sort(F.collect_list("n_nationkey")).alias("a")).withColumn("b", F.array(*[F.lit(x) for x in (1, 5, 7, 9, 13)]))
+    t = _t(spark, d, "nation").groupBy(F.col("n_regionkey").alias("k")).agg(F.sort_array(F.collect_list("n_nationkey")).alias("a")).withColumn("b", F.array(*[F.lit(x) for x in (1, 5, 7, 9, 13)]))
     s = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
     product = F.zip_with("a", "b", lambda x, y: F.coalesce(x, F.lit(0)) * F.coalesce(y, F.lit(0)))
-    return t.select("k", s(F.array_sort(F.array_union("a", "b"))).alias("u"), s(F.array_sort(F.array_intersect("a", "b"))).alias("i"), s(F.array_sort(F.array_except("a", "b"))).alias("e"), F.arrays_overlap("a", "b").alias("o"), F.forall("a", lambda x: x >= 0).alias("every"), F.exists("a", lambda x: x > 20).alias("some"), s(product).alias("z"), F.array_max("a").alias("top"), F.nullif(F.array_position("a", 7), F.lit(0)).alias("at"), s(F.reverse("a")).alias("back"))
+    return t.select("k", s(F.sort_array(F.array_union("a", "b"))).alias("u"), s(F.sort_array(F.array_intersect("a", "b"))).alias("i"), s(F.sort_array(F.array_except("a", "b"))).alias("e"), F.arrays_overlap("a", "b").alias("o"), F.forall("a", lambda x: x >= 0).alias("every"), F.exists("a", lambda x: x > 20).alias("some"), s(product).alias("z"), F.array_max("a").alias("top"), F.nullif(F.array_position("a", 7), F.lit(0)).alias("at"), s(F.reverse("a")).alias("back"))
 
 
 @query("""SELECT r_regionkey, 'b=' || r_regionkey AS kept, 'a=2,b=' || (r_regionkey * 2) AS doubled, CAST(r_regionkey AS VARCHAR) AS from_text FROM region""")
 def scalar_map_more(spark, d):
     m = F.create_map(F.lit("a"), F.lit(1), F.lit("b"), F.col("r_regionkey"))
-    text = lambda x: F.array_join(F.transform(F.array_sort(F.map_entries(x)), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    text = lambda x: F.array_join(F.transform(F.sort_array(F.map_entries(x)), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
     parsed = F.str_to_map(F.concat(F.lit("x:"), F.col("r_regionkey").cast("string"), F.lit(",y:0")))
     return _t(spark, d, "region").select("r_regionkey", text(F.map_filter(m, lambda k, v: k == "b")).alias("kept"), text(F.transform_values(m, lambda k, v: v * 2)).alias("doubled"), parsed["x"].alias("from_text"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import packing
 from ..streaming import windows as S
 from .registry import registry
@@ -42,3 +44,11 @@ SELECT source, chunk, least(512, n - chunk * 512) AS ntok FROM x""")
 def pack_stream(spark, d):
     docs = packing.lengths(S.arriving(spark, d, "documents"))
     return S.flushed(S.finished(S.pack_stream(docs, 512, rest=True), "append"))
+
+
+@query("SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id")
+def stream_totals(spark, d):
+    """The last totals of each user."""
+    with S.rocksdb(spark):
+        seen = S.finished(S.running_totals(S.events(spark, d)), "append")
+    return seen.groupBy("user_id").agg(F.max("n").alias("n"), F.round(F.max_by("total", "n"), 4).alias("total"))

@@ -16,11 +16,15 @@ QUERIES, SQL, query = registry()
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
+
+
+def _pages(spark, d):
+    return spread(table(spark, d, "pages"))
 
 
 def _lengths(spark, d):
-    return packing.lengths(spread(_docs(spark, d).select("doc_id", "source", "text"))).select("doc_id", "source", "n")
+    return packing.lengths(_docs(spark, d).select("doc_id", "source", "text")).select("doc_id", "source", "n")
 
 
 SPANS = rf"""
@@ -117,7 +121,7 @@ def tokenize_words(spark, d):
 @query("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n, md5(array_to_string(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST(('0x' || h) AS INTEGER)), ',')) AS digest FROM documents")
 def tokenize_bytes(spark, d):
     b = T.byte_values("text")
-    return spread(_docs(spark, d)).select("doc_id", F.octet_length("text").cast("long").alias("n"), F.md5(F.array_join(F.transform(b, lambda x: x.cast("string")), ",")).alias("digest"))
+    return _docs(spark, d).select("doc_id", F.octet_length("text").cast("long").alias("n"), F.md5(F.array_join(F.transform(b, lambda x: x.cast("string")), ",")).alias("digest"))
 
 
 @query(r"SELECT doc_id, md5(array_to_string(regexp_extract_all(text, '\p{L}+|\d|[^\s\p{L}\d]+'), '~')) AS digest FROM documents")
@@ -157,8 +161,8 @@ def token_stats(spark, d):
      g AS (SELECT doc_id, array_to_string(w[i : i + 7], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM t WHERE len(w) >= 8))
 SELECT doc_id, count(*) AS n, count(DISTINCT gram) AS n_unlike, md5(string_agg(DISTINCT gram, '|' ORDER BY gram)) AS digest FROM g GROUP BY doc_id""")
 def ngrams(spark, d):
-    g = spread(_docs(spark, d)).select("doc_id", T.ngrams(T.words(F.lower("text")), 8).alias("g")).filter(F.size("g") > 0)
-    unlike = F.transform(F.array(F.array_sort(F.array_distinct("g"))), lambda u: F.struct(F.size(u).cast("long").alias("n"), F.md5(F.array_join(u, "|")).alias("d")))[0]
+    g = _docs(spark, d).select("doc_id", T.ngrams(T.words(F.lower("text")), 8).alias("g")).filter(F.size("g") > 0)
+    unlike = F.transform(F.array(F.sort_array(F.array_distinct("g"))), lambda u: F.struct(F.size(u).cast("long").alias("n"), F.md5(F.array_join(u, "|")).alias("d")))[0]
     return g.select("doc_id", F.size("g").cast("long").alias("n"), unlike.alias("u")).select("doc_id", "n", F.col("u.n").alias("n_unlike"), F.col("u.d").alias("digest"))
 
 
@@ -179,7 +183,7 @@ WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<script.*?</script>|<style
      e AS (SELECT page_id, trim(regexp_replace(h, '\s+', ' ', 'g')) AS h FROM c)
 SELECT page_id, CAST(length(h) AS BIGINT) AS n, md5(h) AS digest FROM e""")
 def html_to_text(spark, d):
-    t = table(spark, d, "pages").select("page_id", T.html_to_text("html").alias("h"))
+    t = _pages(spark, d).select("page_id", T.html_to_text("html").alias("h"))
     return t.select("page_id", F.length("h").cast("long").alias("n"), F.md5("h").alias("digest"))
 
 
@@ -187,12 +191,12 @@ def html_to_text(spark, d):
        CAST(len(regexp_extract_all(html, '(?i)<a\s+href="([^"]*)"', 1)) AS BIGINT) AS n_links, array_to_string(regexp_extract_all(html, '(?i)<a\s+href="([^"]*)"', 1), ' ') AS links FROM pages""")
 def html_parts(spark, d):
     links = T.html_links("html")
-    return table(spark, d, "pages").select("page_id", T.html_title("html").alias("title"), T.html_lang("html").alias("lang"), F.size(links).cast("long").alias("n_links"), F.array_join(links, " ").alias("links"))
+    return _pages(spark, d).select("page_id", T.html_title("html").alias("title"), T.html_lang("html").alias("lang"), F.size(links).cast("long").alias("n_links"), F.array_join(links, " ").alias("links"))
 
 
 @query(r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(url), '^[a-z]+://', ''), '^(www|m)\.', ''), '[?#].*$', ''), '/+$', ''), '\.html$', '') AS address FROM pages""")
 def canonical_url(spark, d):
-    return table(spark, d, "pages").select("page_id", T.canonical_url("url").alias("address"))
+    return _pages(spark, d).select("page_id", T.canonical_url("url").alias("address"))
 
 
 @query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents WHERE lang IN ('en', 'de')) WHERE r <= 10")
@@ -210,7 +214,7 @@ SELECT doc_id, CASE WHEN len(w) > 0 THEN round(list_sum(list_transform(w, lambda
        CASE WHEN len(lines) > 0 THEN round(len(list_filter(lines, lambda x: regexp_matches(x, '[.!?"]$'))) / len(lines), 6) ELSE 0.0 END AS ended_lines,
        coalesce(round(1 - unlike / n, 6), 0.0) AS repeated_grams, coalesce(round(top / n, 6), 0.0) AS top_gram FROM w LEFT JOIN g USING (doc_id)""")
 def text_repetition(spark, d):
-    return text.text_repetition(spread(_docs(spark, d)))
+    return text.text_repetition(_docs(spark, d))
 
 
 @query(r"""

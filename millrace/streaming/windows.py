@@ -9,14 +9,19 @@ share; nothing is gathered in the driver.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
 from ..sources.scratch import fresh_path
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
 
 def arriving(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table, one file or a folder of files, as a stream."""
@@ -99,3 +104,38 @@ def pack_stream(stream: DataFrame, length: int, key: str = "source", rest: bool
 def flushed(blocks: DataFrame, key: str = "source") -> DataFrame:
     """(key, chunk, ntok) of what pack_stream gave with rest: each block as it was last, since it only grows."""
     return blocks.groupBy(key, "chunk").agg(F.max("ntok").alias("ntok"))
+
+
+class _Totals(StatefulProcessor):
+    """Events and their summed value of each key so far."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.total = handle.getValueState("total", "n bigint, value double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        n, value = self.total.get() if self.total.exists() else (0, 0.0)
+        for p in rows:
+            n, value = n + len(p), value + float(p["value"].sum())
+        self.total.update((n, value))
+        yield pd.DataFrame({"key": [key[0]], "n": [n], "total": [value]})
+
+    def close(self) -> None:
+        pass
+
+
+def running_totals(stream: DataFrame, key: str = "user_id") -> DataFrame:
+    """(key, n, total): after each micro-batch the totals of the keys it touched; needs the RocksDB state store."""
+    kind = dict(stream.dtypes)[key]
+    rows = stream.select(F.col(key).alias("key"), "value").groupBy("key")
+    return rows.transformWithStateInPandas(_Totals(), f"key {kind}, n bigint, total double", "append", "None").withColumnRenamed("key", key)
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that start within this keep their state in RocksDB."""
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(STORE, before) if before else spark.conf.unset(STORE)

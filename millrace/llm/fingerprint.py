@@ -30,7 +30,7 @@ WORDS = 5
 SCALE = 2
 BITS = 48
 #: Bytes of text in a range of neighbours, about; and most ranges.
-RANGE_BYTES = 8 << 20
+RANGE_BYTES = 256 << 10
 MOST_RANGES = 1 << 15
 #: Stands for a null id where ranges are cut.
 LOWEST = -(1 << 63)
@@ -52,14 +52,14 @@ def sketch(text: Column, scale: int = SCALE) -> Column:
     """The fingerprint of a text, array<bigint> in order."""
 
     def low(all_: Column) -> Column:
-        return F.array_sort(F.array_distinct(F.filter(all_, lambda h: h < (1 << BITS) // scale)))
+        return F.sort_array(F.array_distinct(F.filter(all_, lambda h: h < (1 << BITS) // scale)))
 
     return F.transform(F.array(shingle_hashes(text)), low)[0]
 
 
 def merged(a: Column, b: Column) -> Column:
     """The fingerprint of both documents together."""
-    return F.array_sort(F.array_union(a, b))
+    return F.sort_array(F.array_union(a, b))
 
 
 def containment(a: Column, b: Column) -> Column:
@@ -70,7 +70,7 @@ def containment(a: Column, b: Column) -> Column:
 
 
 def as_string(fingerprint: Column) -> Column:
-    return F.array_join(F.transform(fingerprint, lambda h: F.lower(F.hex(h))), ",")
+    return F.array_join(F.transform(fingerprint, lambda h: F.hex(h)), ",")
 
 
 def edited(text: Column, next_text: Column) -> Column:

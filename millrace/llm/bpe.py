@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import lean, spread, text_slices
 
-#: Pre-tokens whose ids a worker keeps; beyond it the cache starts anew, results don't depend on it.
-CACHE_ENTRIES = 120_000
+#: Pre-tokens whose ids a worker keeps, in two generations: when one is full the older one goes, but for what was met again. Results don't depend on it.
+CACHE_ENTRIES = 300_000
 #: Longer pre-tokens aren't kept.
 CACHE_CHARS = 64
 #: Bits in a word of the lower bitmap.
@@ -93,6 +93,7 @@ class Codec:
         self.pairs = self._pairs()
         self.find = regex.compile(pattern).findall
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _pairs(self) -> dict[int, int]:
         """left id << 32 | right id -> id of both joined, for all that may be merged."""
@@ -158,12 +159,17 @@ class Codec:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
-        cache, ranks = self.cache, self.ranks
-        if len(cache) > CACHE_ENTRIES:
-            cache.clear()
+        if len(self.cache) > CACHE_ENTRIES // 2:
+            self.cache, self.older = {}, self.cache
+        cache, older, ranks = self.cache, self.older, self.ranks
         cut = [self.find(t) for t in texts]
-        new = [p for p in {p for pieces in cut for p in pieces} if p not in cache]
-        here = {p: p.encode() for p in new}
+        here = {}
+        for p in {p for pieces in cut for p in pieces}.difference(cache):
+            known = older.get(p)
+            if known is None:
+                here[p] = p.encode()
+            else:
+                cache[p] = known
         split = []
         for p, b in here.items():
             whole = ranks.get(b)

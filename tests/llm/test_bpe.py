@@ -59,3 +59,14 @@ def test_edge_rows(spark):
         assert r.ids_sha256 == hashlib.sha256(b"".join(k.to_bytes(4, "little") for k in expected)).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
     assert bpe.token_digests(empty(spark), PATH, PATTERN).count() == 0
+
+
+def test_ids_do_not_depend_on_the_cache(monkeypatch):
+    """A cache that turns over all the time against one that holds everything."""
+    tokens = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    texts = [" ".join(f"word{k * j % 97} thing{j}x" for j in range(40)) for k in range(60)]
+    large = bpe.Codec(tokens, public_tokenizers.PATTERN)
+    want = [large.encode_all([t])[0] for t in texts]
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 10)
+    small = bpe.Codec(tokens, public_tokenizers.PATTERN)
+    assert [small.encode_all([t])[0] for t in texts] == want == small.encode_all(texts) and len(small.older) < len(large.cache)

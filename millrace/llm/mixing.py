@@ -189,7 +189,8 @@ def sampled_documents(df: DataFrame, text: str = "text", source: str = "source",
     docs = written(sized(df, text, source, id_col), "mix-docs")
     rows = taken(plan(docs)).filter("taken > 0")
     times = F.floor(F.col("taken") / F.col("size") + (hashed("copies", "id") % 1_000_000) / 1_000_000)
-    copies = rows.select(F.col("id").alias("__id"), F.col("k").alias("__k"), times.alias("n")).groupBy("__id", "__k").agg(F.sum("n").cast("int").alias("__n")).filter("__n > 0")
-    keyed = df.withColumn("__key", F.xxhash64(F.col(text))).dropDuplicates([id_col, "__key"])
-    out = keyed.join(copies, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")))
+    keys = lambda i, k: {"__k1": F.xxhash64(F.isnull(i), i, k), "__k2": F.xxhash64(F.lit(1), k, i, F.isnull(i))}  # noqa: E731  no nulls, so that texts are dealt once
+    copies = rows.select(times.alias("n"), *[c.alias(n) for n, c in keys(F.col("id"), F.col("k")).items()]).groupBy("__k1", "__k2").agg(F.sum("n").cast("int").alias("__n")).filter("__n > 0")
+    keyed = df.withColumns(keys(F.col(id_col), F.xxhash64(F.col(text)))).dropDuplicates(["__k1", "__k2"])
+    out = keyed.join(copies, ["__k1", "__k2"])
     return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(df.columns)

@@ -420,5 +420,5 @@ def first_of_each(df: DataFrame, text: str = "text", id_col: str = "doc_id", wor
     """
     key = "__id"
     keep = jaccard_components(df, text, id_col, words, percent).filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias(key)).distinct()
-    once = df.dropDuplicates([id_col, text])
-    return once.join(keep, F.col(id_col) == F.col(key), "left_semi").unionByName(once.filter(F.col(id_col).isNull())).select(df.columns)
+    first = df.join(keep, F.col(id_col) == F.col(key), "left_semi").dropDuplicates([id_col, text])  # dealt by id already
+    return first.unionByName(df.filter(F.col(id_col).isNull()).dropDuplicates([text])).select(df.columns)

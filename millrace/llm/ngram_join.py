@@ -379,10 +379,11 @@ def jaccard_components(df: DataFrame, text: str = "text", id_col: str = "doc_id"
     # home: of a point's cells the one with most points
     homes = written(members.groupBy("id").agg(F.max(F.struct("many", "cell")).alias("h")).select("id", F.col("h.cell").alias("home")).join(reps.select("id", "n", "point"), "id"), "homes")
     sizes = homes.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / HOME_ROWS), F.ceil(F.sum("n") / HOME_SHINGLES)).alias("blocks"))
-    points = homes.join(sizes, "home").withColumns({b: _block("id", b, F.col("blocks")) for b in ("b0", "b1")})
+    sizes = written(sizes.filter("blocks > 1"), "home-sizes")  # written, so that Spark can split a large home's join
+    points = homes.join(sizes, "home", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumns({b: _block("id", b, F.col("blocks")) for b in ("b0", "b1")})
     points = written(points, "points")
     sized = written(shingled.select("id", "n", "h1", "h2"), "sized")
-    remove(shingled, homes)
+    remove(shingled, homes, sizes)
     texts = written(docs.filter("text is not null").join(points.select("id", "home", "blocks", "b0", "b1"), "id"), "texts")
 
     # first round: all pairs of one home and block; homes of several blocks are cut twice

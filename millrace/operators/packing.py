@@ -175,7 +175,8 @@ def pack_ffd(df: DataFrame, length: int, shard: str = "source", order: str = "do
         tree = _FirstFit(len(first), length)
         out = [(tree.place(n), key, 0, n) for n, key, _ in first]
         top = max(b for b, *_ in out) + 1
-        rest = [(key, part, min(length, n - part * length)) for key, n in rows for part in range(1, -(-n // length))]
+        by_key = sorted(rows, key=lambda r: (r[0] is not None, 0 if r[0] is None else r[0], r[1]))
+        rest = [(key, part, min(length, n - part * length)) for key, n in by_key for part in range(1, -(-n // length))]
         return [(top + k, *r) for k, r in enumerate(rest)] + out
 
     return _bins(df, shard, order, shards, kernel)

@@ -147,7 +147,7 @@ def shots(planes: np.ndarray, us: int, known: int | None = None) -> list[tuple[i
         return []
     bounds = [0, *cuts(planes, known).tolist(), len(planes)]
     width, flat = planes.shape[1], planes.ravel()[:known]
-    level = lambda a, b: float(np.round(part.mean(), 4)) if (part := flat[a * width : b * width]).size else 0.0
+    level = lambda a, b: float(part.mean()) if (part := flat[a * width : b * width]).size else 0.0
     return [(a * us // 1000, b * us // 1000, level(a, b)) for a, b in zip(bounds, bounds[1:], strict=False)]
 
 

@@ -178,4 +178,22 @@ WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS s FRO
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(g.spans, '') AS spans FROM t LEFT JOIN g USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_mixing": OP5_SQL, "op7_warc": OP7_SQL, "op8_ngram_jaccard": OP8_SQL, "op10_secrets": OP10_SQL}
+#: Shots from the bytes themselves: a share of bytes by frame and bin, its change from frame to frame, the changes before.
+CLIPS_SQL = f"""
+WITH f AS (SELECT row_number() OVER () AS r, doc_id, strlen(coalesce(text, '')) AS known, hex(encode(coalesce(text, ''))) AS h FROM documents),
+     n AS (SELECT r, doc_id, known, greatest(1, (known + {media.SAMPLES - 1}) // {media.SAMPLES}) AS frames FROM f),
+     x AS (SELECT r, unnest(regexp_extract_all(h, '..')) AS h, unnest(range(known)) // {media.SAMPLES} AS frame FROM f WHERE known > 0),
+     y AS (SELECT r, frame, CAST('0x' || h AS INTEGER) AS x FROM x),
+     size AS (SELECT r, frame, count(*) AS n, sum(x) AS total FROM y GROUP BY r, frame),
+     p AS (SELECT y.r, y.frame, x // {256 // media.BINS} AS bin, count(*) / any_value(n) AS p FROM y JOIN size ON size.r = y.r AND size.frame = y.frame GROUP BY y.r, y.frame, bin),
+     d AS (SELECT r, frame, bin, sum(p) AS d FROM (SELECT r, frame, bin, p FROM p UNION ALL SELECT r, frame + 1, bin, -p FROM p) GROUP BY r, frame, bin),
+     c AS (SELECT d.r, d.frame, CASE WHEN 2 * any_value(n) < {media.SAMPLES} THEN 0.0 ELSE sum(abs(d)) / 2 END AS change FROM d JOIN size ON size.r = d.r AND size.frame = d.frame WHERE d.frame > 0 GROUP BY d.r, d.frame),
+     w AS (SELECT r, frame, change, avg(change) OVER before AS mean, stddev_pop(change) OVER before AS deviation FROM c WINDOW before AS (PARTITION BY r ORDER BY frame ROWS BETWEEN {media.WINDOW} PRECEDING AND 1 PRECEDING)),
+     begins AS (SELECT r, 0 AS frame FROM n UNION ALL SELECT r, frame FROM w WHERE frame > 1 AND change > {media.FLOOR} AND change > mean + {media.SPREAD} * deviation + 1e-9),
+     shots AS (SELECT r, frame, row_number() OVER (PARTITION BY r ORDER BY frame) - 1 AS clip, lead(frame) OVER (PARTITION BY r ORDER BY frame) AS until FROM begins)
+SELECT n.doc_id, CAST(clip AS INTEGER) AS clip, CAST(shots.frame * {media.FRAME_MS} AS BIGINT) AS start_ms, CAST(coalesce(until, frames) * {media.FRAME_MS} AS BIGINT) AS end_ms, coalesce(sum(size.total) / sum(size.n), 0.0) AS mean_level
+FROM shots JOIN n ON n.r = shots.r LEFT JOIN size ON size.r = shots.r AND size.frame >= shots.frame AND size.frame < coalesce(until, frames)
+GROUP BY n.r, n.doc_id, clip, shots.frame, until, frames
+"""
+
+ORACLE_SQL: dict[str, str] = {"media_clips": CLIPS_SQL, "op5_mixing": OP5_SQL, "op7_warc": OP7_SQL, "op8_ngram_jaccard": OP8_SQL, "op10_secrets": OP10_SQL}

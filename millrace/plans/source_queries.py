@@ -80,3 +80,11 @@ def bench_regression(spark, d):
     """Against an earlier summary that was twice as fast on more than two cores."""
     now = _summary(spark)
     return bench.bench_regression(now, now.withColumn("median_s", F.col("median_s") * F.when(F.col("cores") > 2, 0.5).otherwise(1.0)))
+
+
+@query("SELECT 'parts' AS query, CAST(2 AS BIGINT) AS runs, true AS timed, max(count) AS rows FROM (SELECT count(*) AS count FROM part)")
+def bench_run(spark, d):
+    """Two timed runs of a query after one to warm up: whether each has a time."""
+    n = table(spark, d, "part").count()
+    runs = bench.run_bench(spark, {"parts": lambda s, folder: table(s, folder, "part")}, d, 0.0, 2, n)
+    return runs.groupBy("query").agg(F.count("*").alias("runs"), F.bool_and(F.col("seconds") > 0).alias("timed"), F.max("rows").alias("rows"))

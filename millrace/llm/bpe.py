@@ -184,6 +184,10 @@ class Codec:
                 del cache[p]
         return out
 
+    def forget(self) -> None:
+        """Empties the cache."""
+        self.cache, self.older = {}, {}
+
     def decode(self, packed: bytes) -> bytes:
         tokens = self.tokens
         return b"".join([tokens[k] for k in np.frombuffer(packed, "<u4").tolist()])
@@ -193,7 +197,7 @@ _made: dict[tuple[int, str], Codec] = {}
 
 
 def _worker_codec(shared, pattern: str) -> Codec:
-    """One codec for each worker process and vocabulary."""
+    """One codec for each worker process and vocabulary; its cache lives as long as a task."""
     tokens = shared.value
     key = (crc32(b"\0".join(tokens)), pattern)
     if key not in _made:
@@ -213,6 +217,7 @@ def encode_documents(df: DataFrame, ranks_path: str, pattern: str, text: str = "
         for b in batches:
             for i, j, texts in text_slices(b):
                 yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), pa.array(codec.encode_all(texts), pa.binary())], ["id", "ids"])
+        codec.forget()
 
     return slim.mapInArrow(lean(run), f"id {id_type}, ids binary").withColumnRenamed("id", id_col)
 
@@ -248,5 +253,6 @@ def token_digests(df: DataFrame, ranks_path: str, pattern: str, text: str = "tex
                 ids = codec.encode_all(texts)
                 digests = [[sha256(x).hexdigest() for x in ids], [sha256(codec.decode(x)).hexdigest() for x in ids]]
                 yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), pa.array([len(x) // 4 for x in ids], pa.int64()), *(pa.array(d, pa.string()) for d in digests)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        codec.forget()  # a worker lives on for other stages
 
     return slim.mapInArrow(lean(run), f"id {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

@@ -56,7 +56,7 @@ GROUPS = 256
 #: Most points of a cell, or of one side of a pair of its blocks, in a task.
 BLOCK = 512
 #: Most points, and shingles of their sets, that one task compares at home, about.
-HOME_ROWS = 384
+HOME_ROWS = 192
 HOME_SHINGLES = 400_000
 #: A shingle listed by more sets than this, or by more than one in a million of all listings, goes last.
 FREQUENT = 48

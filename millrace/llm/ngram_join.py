@@ -352,6 +352,15 @@ def _dealt(members: DataFrame, roots: DataFrame, points: DataFrame, least: int)
     return dealt.sortWithinPartitions("cell", "x", "y", "n", "id"), mixed
 
 
+def _one_id(sized: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): links between the classes of different sets that rows of one id have."""
+    ends = [f(F.struct("h1", "h2")).alias(name) for f, name in ((F.min, "low"), (F.max, "high"))]
+    several = sized.filter("n > 0").groupBy("id").agg(*ends).filter("low <> high").select("id")
+    own = sized.join(several, "id", "left_semi").join(classes, ["h1", "h2"]).select("id", "rep")
+    least = own.groupBy("id").agg(F.min("rep").alias("least"))
+    return own.join(least, "id").filter("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
+
+
 def jaccard_components(df: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, component_id) of every row: the smallest id that links lead to."""
     spark: SparkSession = df.sparkSession
@@ -389,7 +398,7 @@ def jaccard_components(df: DataFrame, text: str = "text", id_col: str = "doc_id"
     # first round: all pairs of one home and block; homes of several blocks are cut twice
     cut = F.when(F.col("blocks") > 1, F.array(F.col("b0"), -1 - F.col("b1"))).otherwise(F.array("b0"))
     dealt = texts.select("id", "text", "home", F.explode(cut).alias("block")).repartition("home", "block").sortWithinPartitions("home", "block", "id")
-    links = written(_home_links(dealt, words, percent), "links")
+    links = written(_home_links(dealt, words, percent).unionByName(_one_id(sized, classes)), "links")
     roots = components(links)
 
     # second round: pairs of other homes that pass the bound, between different components of one cell;

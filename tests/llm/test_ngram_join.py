@@ -181,6 +181,14 @@ def test_one_large_group_over_many_blocks(spark, monkeypatch):
     assert got == plain_components(plain_sets(rows, 4), 85)
 
 
+def test_rows_of_one_id_are_one_node(spark):
+    """Documents 5 and 6 have several texts each, which connect those of others."""
+    texts = {k: " ".join(f"{k}{j}" for j in range(30)) for k in "abcd"}
+    rows = [(3, texts["a"]), (5, texts["a"]), (5, texts["b"]), (7, texts["b"]), (6, texts["b"]), (6, texts["c"]), (6, texts["c"]), (8, texts["c"]), (9, texts["d"]), (None, texts["d"]), (None, texts["a"])]
+    got = {(r.doc_id, r.component_id) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    assert got == {(k, 3) for k in (3, 5, 6, 7, 8)} | {(9, 9), (None, None)}
+
+
 def test_long_chains_are_one_component(spark):
     rng = random.Random(1)
     names = rng.sample(range(10_000), 300)

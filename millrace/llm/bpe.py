@@ -91,6 +91,10 @@ class Codec:
         self.ranks = {t: k for k, t in enumerate(tokens)}
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         self.pairs = self._pairs()
+        self.of_bytes = np.full((257, 257), -1, np.int64)  # ids of joined bytes; 256 stands between pre-tokens
+        for token, rank in self.ranks.items():
+            if len(token) == 2:
+                self.of_bytes[token[0], token[1]] = rank
         self.find = regex.compile(pattern).findall
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -118,17 +122,20 @@ class Codec:
             return []
         pair, apart = self.pairs.get, len(self.tokens)
         ends = np.cumsum([len(p) for p in pieces])
-        ids = np.insert(self.single[np.frombuffer(b"".join(pieces), np.uint8)], ends, apart).tolist()
-        ids.append(apart)  # stands before the first, as ids[-1], and after the last
+        symbols = np.append(np.insert(np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64), ends, 256), 256)
+        ids = np.append(self.single, apart)[symbols].tolist()  # the last stands before the first, as ids[-1], and after the last
         n = len(ids) - 1
         after, before = list(range(1, n + 2)), list(range(-1, n))
-        rank_at = [pair(x << 32 | y, -1) for x, y in zip(ids, ids[1:], strict=False)]
-        rank_at.append(-1)
+        ranks = np.append(self.of_bytes[symbols[:-1], symbols[1:]], -1)
+        rank_at = ranks.tolist()
         queue = RankQueue()
         push = queue.push
-        for k, rank in enumerate(rank_at):
-            if rank >= 0:
-                push(rank, k)
+        places = np.flatnonzero(ranks >= 0)
+        places = places[np.argsort(ranks[places], kind="stable")]
+        if len(places):
+            first = np.concatenate([[0], np.flatnonzero(np.diff(ranks[places])) + 1, [len(places)]]).tolist()
+            for i, j in zip(first, first[1:], strict=False):  # the buckets of the bytes' pairs
+                queue.put(rank_at[places[i]], places[i:j].tolist())
         while queue.top:
             rank, positions = queue.lowest()
             base = rank << 32

@@ -30,6 +30,8 @@ from .common import lean, spread, text_slices
 
 #: Pre-tokens whose ids a worker keeps, in two generations: when one is full the older one goes, but for what was met again. Results don't depend on it.
 CACHE_ENTRIES = 300_000
+#: Pre-tokens merged together: their lists stay in a processor's cache.
+MERGED = 1_500
 #: Longer pre-tokens aren't kept.
 CACHE_CHARS = 64
 #: Bits in a word of the lower bitmap.
@@ -184,7 +186,9 @@ class Codec:
                 split.append(p)
             else:
                 cache[p] = pack("<I", whole)
-        cache.update(zip(split, self.merge([here[p] for p in split]), strict=True))
+        for i in range(0, len(split), MERGED):
+            part = split[i : i + MERGED]
+            cache.update(zip(part, self.merge([here[p] for p in part]), strict=True))
         out = [b"".join([cache[p] for p in pieces]) for pieces in cut]
         for p in here:
             if len(p) > CACHE_CHARS:

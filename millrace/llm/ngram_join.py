@@ -361,30 +361,13 @@ def _one_id(sized: DataFrame, classes: DataFrame) -> DataFrame:
     return own.join(least, "id").filter("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
 
 
-def jaccard_components(df: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(id, n_shingles, component_id) of every row: the smallest id that links lead to."""
-    spark: SparkSession = df.sparkSession
-    docs = spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")))
-
-    # shingles that many sets list; any order is exact, this one keeps cells small
-    listings = _shingled(docs, words, percent).select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("c"))
-    listings = written(listings.filter(F.col("c") > FREQUENT), "listings")
-    total = listings.agg(F.sum("c")).first()[0] or 0
-    often = listings.filter(F.col("c") > max(FREQUENT, total >> 20)).select("key").toArrow()["key"].to_numpy()  # at most 2**20
-    frequent = spark.sparkContext.broadcast(np.sort(often.view(np.uint64)))
-    remove(listings)
-
-    shingled = written(_shingled(docs, words, percent, frequent), "shingled")
-    classes = written(shingled.filter("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep")), "classes")
-    reps = shingled.join(classes.select("h1", "h2", F.col("rep").alias("id")), ["h1", "h2", "id"], "left_semi").dropDuplicates(["id", "h1", "h2"])
-    lead = F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / (100 + percent))  # the last place of it
-    listed_by = reps.select("id", "n", F.posexplode("keys").alias("pos", "cell")).select("id", "cell", (F.col("pos") <= lead).alias("lead"))
-    listed_by = written(listed_by, "listed")
-    cells = listed_by.groupBy("cell").agg(F.count("*").alias("many"), F.bool_or("lead").alias("led")).filter("many > 1 and led")
-    cells = written(cells.select("cell", "many"), "cells")
-    members = written(listed_by.join(cells, "cell"), "members")
-    remove(listed_by, cells)
+def grouped(docs: DataFrame, shingled: DataFrame, classes: DataFrame, reps: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+    """(id, n_shingles, component_id) of every row of docs (id, text): components of the links among points that share a cell.
 
+    shingled (id, n, h1, h2, ..), classes (h1, h2, rep) and members (cell, id,
+    lead, many) are written tables, which this removes; reps (id, n, point) are
+    the points. Pairs of a cell that the lead of neither has are passed over.
+    """
     # home: of a point's cells the one with most points
     homes = written(members.groupBy("id").agg(F.max(F.struct("many", "cell")).alias("h")).select("id", F.col("h.cell").alias("home")).join(reps.select("id", "n", "point"), "id"), "homes")
     sizes = homes.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / HOME_ROWS), F.ceil(F.sum("n") / HOME_SHINGLES)).alias("blocks"))
@@ -420,7 +403,33 @@ def jaccard_components(df: DataFrame, text: str = "text", id_col: str = "doc_id"
     remove(more)
 
     out = sized.join(classes, ["h1", "h2"], "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("root", "rep", "id")).alias("component_id"))
+    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("root", "rep", "id")).alias("component_id"))
+
+
+def jaccard_components(df: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(id, n_shingles, component_id) of every row: the smallest id that links lead to."""
+    spark: SparkSession = df.sparkSession
+    docs = spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")))
+
+    # shingles that many sets list; any order is exact, this one keeps cells small
+    listings = _shingled(docs, words, percent).select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("c"))
+    listings = written(listings.filter(F.col("c") > FREQUENT), "listings")
+    total = listings.agg(F.sum("c")).first()[0] or 0
+    often = listings.filter(F.col("c") > max(FREQUENT, total >> 20)).select("key").toArrow()["key"].to_numpy()  # at most 2**20
+    frequent = spark.sparkContext.broadcast(np.sort(often.view(np.uint64)))
+    remove(listings)
+
+    shingled = written(_shingled(docs, words, percent, frequent), "shingled")
+    classes = written(shingled.filter("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep")), "classes")
+    reps = shingled.join(classes.select("h1", "h2", F.col("rep").alias("id")), ["h1", "h2", "id"], "left_semi").dropDuplicates(["id", "h1", "h2"])
+    lead = F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / (100 + percent))  # the last place of it
+    listed_by = reps.select("id", "n", F.posexplode("keys").alias("pos", "cell")).select("id", "cell", (F.col("pos") <= lead).alias("lead"))
+    listed_by = written(listed_by, "listed")
+    cells = listed_by.groupBy("cell").agg(F.count("*").alias("many"), F.bool_or("lead").alias("led")).filter("many > 1 and led")
+    cells = written(cells.select("cell", "many"), "cells")
+    members = written(listed_by.join(cells, "cell"), "members")
+    remove(listed_by, cells)
+    return grouped(docs, shingled, classes, reps, members, words, percent).withColumnRenamed("id", id_col)
 
 
 def first_of_each(df: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = WORDS, percent: int = PERCENT) -> DataFrame:

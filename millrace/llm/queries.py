@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprint, langid, media, mixing, ngram_join, quality, secrets, toxicity, warc
+from . import bpe, fingerprint, langid, media, mixing, ngram_join, pq, quality, secrets, superminhash, toxicity, warc, whitening
 from .common import WORD, table
 
 
@@ -59,6 +59,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op12_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_media": op2_media,
@@ -70,6 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_language": op9_language,
     "op10_secrets": op10_secrets,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_superminhash": op12_superminhash,
+    "op13_whitening": op13_whitening,
     "media_clips": media_clips,
 }
 
@@ -84,21 +99,27 @@ SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
 FROM p JOIN top USING (d)
 """
 
-OP8_SQL = f"""
+def _components_sql(words: int, percent: int, more: str = "") -> str:
+    """Components of the links between texts' sets of word shingles."""
+    return f"""
 WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
-     s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {ngram_join.WORDS} THEN [array_to_string(w, ' ')]
-                  ELSE list_distinct(list_transform(range(1, len(w) - {ngram_join.WORDS} + 2), lambda i: array_to_string(w[i : i + {ngram_join.WORDS} - 1], ' '))) END AS s FROM w),
+     s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {words} THEN [array_to_string(w, ' ')]
+                  ELSE list_distinct(list_transform(range(1, len(w) - {words} + 2), lambda i: array_to_string(w[i : i + {words} - 1], ' '))) END AS s FROM w),
      sets AS (SELECT s, len(s) AS n, min(doc_id) AS rep FROM (SELECT doc_id, list_sort(s) AS s FROM s) GROUP BY s HAVING len(s) > 0),
      e AS (SELECT rep, n, unnest(s) AS g FROM sets),
      pairs AS (SELECT a.rep AS a, b.rep AS b, a.n AS an, b.n AS bn, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.rep < b.rep GROUP BY ALL),
-     links AS (SELECT a, b FROM pairs WHERE 100 * c >= {ngram_join.PERCENT} * (an + bn - c)),
+     links AS (SELECT a, b FROM pairs WHERE 100 * c >= {percent} * (an + bn - c)),
      edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
      reach(a, root) AS (SELECT DISTINCT a, a FROM edges UNION SELECT edges.b, root FROM reach JOIN edges ON edges.a = reach.a),
      roots AS (SELECT a, min(root) AS root FROM reach GROUP BY a)
-SELECT doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, CASE WHEN doc_id IS NOT NULL THEN coalesce(root, rep, doc_id) END AS component_id
+SELECT doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, CASE WHEN doc_id IS NOT NULL THEN coalesce(root, rep, doc_id) END AS component_id{more}
 FROM s LEFT JOIN sets ON sets.s = list_sort(s.s) LEFT JOIN roots ON roots.a = rep
 """
 
+
+OP8_SQL = _components_sql(ngram_join.WORDS, ngram_join.PERCENT)
+OP12_SQL = _components_sql(superminhash.WORDS, superminhash.PERCENT, ", doc_id = component_id AS kept")
+
 #: 60 bits of the md5 of seed:part.
 HASH = "CAST('0x' || substr(md5({0}), 1, 15) AS BIGINT)"
 
@@ -196,4 +217,27 @@ FROM shots JOIN n ON n.r = shots.r LEFT JOIN size ON size.r = shots.r AND size.f
 GROUP BY n.r, n.doc_id, clip, shots.frame, until, frames
 """
 
-ORACLE_SQL: dict[str, str] = {"media_clips": CLIPS_SQL, "op5_mixing": OP5_SQL, "op7_warc": OP7_SQL, "op8_ngram_jaccard": OP8_SQL, "op10_secrets": OP10_SQL}
+
+
+def _op11_sql(parts: int, entries: int, rounds: int, scale: int) -> str:
+    """Lloyd's rounds in full: every part against every entry, each round two statements. Equal lengths, which parts divide, are taken for granted."""
+    near = """a{k} AS MATERIALIZED (SELECT r, p.part, min(list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))::BIGINT * {n} + entry) AS m FROM p JOIN b{k} b ON b.part = p.part GROUP BY r, p.part)"""
+    move = """s{k} AS (SELECT p.part, m % {n} AS entry, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS x FROM p JOIN a{k} a ON a.r = p.r AND a.part = p.part),
+     n{k} AS (SELECT part, entry, list(c ORDER BY i) AS c FROM (SELECT part, entry, i, floor(CAST(sum(x) AS DOUBLE) / count(*))::BIGINT AS c FROM s{k} GROUP BY part, entry, i) GROUP BY part, entry),
+     b{next} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(n.c, b.c) AS c FROM b{k} b LEFT JOIN n{k} n ON n.part = b.part AND n.entry = b.entry)"""
+    steps = [f.format(k=k, next=k + 1, n=entries) for k in range(rounds) for f in (near, move)] + [near.format(k=rounds, n=entries)]
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * {scale})::BIGINT) AS x FROM embeddings
+                        WHERE len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+     p AS MATERIALIZED (SELECT r, part, x[part * (len(x) // {parts}) + 1 : (part + 1) * (len(x) // {parts})] AS x FROM v, (SELECT unnest(range({parts})) AS part)),
+     b0 AS MATERIALIZED (SELECT part, r - 1 AS entry, x AS c FROM p WHERE r <= {entries}),
+     {",\n     ".join(steps)},
+     coded AS (SELECT r, string_agg(printf('%02x', m % {entries}), '' ORDER BY part) AS code, CAST(sum(m // {entries}) AS BIGINT) AS error FROM a{rounds} GROUP BY r),
+     books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN coded USING (r), books
+"""
+
+
+OP11_SQL = _op11_sql(pq.PARTS, pq.ENTRIES, pq.ROUNDS, pq.SCALE)
+
+ORACLE_SQL: dict[str, str] = {"media_clips": CLIPS_SQL, "op11_vector_codes": OP11_SQL, "op12_superminhash": OP12_SQL, "op5_mixing": OP5_SQL, "op7_warc": OP7_SQL, "op8_ngram_jaccard": OP8_SQL, "op10_secrets": OP10_SQL}

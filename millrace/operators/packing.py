@@ -22,8 +22,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.scratch import spread
-from .ranges import sums_before
+from ..sources.scratch import spread, written
+from .ranges import last_known, running, sums_before
 
 END = "<eos>"
 
@@ -120,87 +120,143 @@ def pack_global(df: DataFrame, length: int, order: str = "doc_id") -> DataFrame:
     return _filled(_begin(df, None, order), length).drop("_s")
 
 
-class _FirstFit:
-    """A tree over bins' free room: finds the first bin with room for n."""
+#: A stretch of equally long documents: those from rank `first` on go to bins from `bin` on, `per` to each.
+_STRETCHES = "len bigint, first bigint, bin bigint, per bigint"
 
-    def __init__(self, most: int, length: int) -> None:
-        self.size = 1 << max(1, (most - 1).bit_length())
-        self.room = [length] * (2 * self.size)
 
-    def place(self, n: int) -> int:
-        at = 1
-        while at < self.size:
-            at *= 2
-            if self.room[at] < n:
-                at += 1
-        bin_ = at - self.size
-        self.room[at] -= n
-        while at > 1:
-            at //= 2
-            self.room[at] = max(self.room[2 * at], self.room[2 * at + 1])
-        return bin_
+def first_fit(counts: list[tuple[int, int]], length: int) -> tuple[list[tuple[int, int, int, int]], int]:
+    """(stretches, bins) of first fit over (len, count), longest first.
 
-
-def _bins(df: DataFrame, shard: str, order: str, shards: int, kernel) -> DataFrame:
-    """What kernel(rows of key, n) says of each part of a shard; bins are numbered over all its parts."""
-    kinds = dict(df.dtypes)
-    deal = F.pmod(F.xxhash64(order, F.lit("bin")), F.lit(shards)).cast("long")
-    rows = df.select(F.col(shard).alias("_s"), F.col(order).alias("_o"), F.col("n").cast("long").alias("n"), deal.alias("_deal"))
+    Documents of one length are interchangeable, and so are neighbouring bins of
+    one room: each run of such bins takes as many documents as fit into every one
+    of them. A length splits one run at most, so there are few.
+    """
+    runs: list[tuple[int, int, int]] = []  # (first bin, bins, room) in the order of bins
+    out, bins, least = [], 0, min((n for n, _ in counts), default=0)
+    for n, count in counts:
+        if n <= 0:  # takes no room: the first bin
+            out.append((n, 0, 0, count))
+            bins = max(bins, 1)
+            continue
+        at, after = 0, []
+        for begin, many, room in [*runs, (bins, -(-count // (length // n)), length)]:
+            per = room // n
+            took = min(many * per, count - at)
+            if not took:
+                if begin < bins:
+                    after.append((begin, many, room))
+                continue
+            out.append((n, at, begin, per))
+            at += took
+            full, rest = divmod(took, per)
+            pieces = [(begin, full, room - per * n), (begin + full, int(rest > 0), room - rest * n), (begin + full + (rest > 0), many - full - (rest > 0), room)]
+            if begin == bins:
+                bins += full + (rest > 0)
+                pieces.pop()
+            after += [p for p in pieces if p[1]]
+        runs = [r for r in after if r[2] >= least]
+    return out, bins
+
+
+def best_fit(counts: list[tuple[int, int]], length: int) -> tuple[list[tuple[int, int, int, int]], int]:
+    """As first_fit, but each document goes to the bin it fills most, of equals the first.
+
+    A bin that takes one document takes more of that length until none fits, as
+    it has the least room of all that would do; bins of one room take turns in
+    the order of their numbers.
+    """
+    rooms: dict[int, list[tuple[int, int]]] = {}  # room: runs (first bin, bins), sorted
+    out, bins = [], 0
+    for n, count in counts:
+        if n <= 0:
+            continue
+        at = 0
+
+        def fill(begin: int, many: int, room: int, n: int = n, count: int = count) -> int:
+            """Bins of a run that get documents."""
+            nonlocal at
+            per = room // n
+            took = min(many * per, count - at)
+            out.append((n, at, begin, per))
+            at += took
+            full, rest = divmod(took, per)
+            for first, some, left in ((begin, full, room - per * n), (begin + full, int(rest > 0), room - rest * n)):
+                if some and left:
+                    bisect.insort(rooms.setdefault(left, []), (first, some))
+            return full + (rest > 0)
+
+        for room in sorted(r for r in rooms if r >= n):
+            if at == count:
+                break
+            runs, kept = rooms.pop(room), []
+            for begin, many in runs:
+                used = fill(begin, many, room) if at < count else 0
+                if used < many:
+                    kept.append((begin + used, many - used))
+            if kept:
+                rooms[room] = sorted([*kept, *rooms.get(room, [])])
+        if at < count:
+            bins += fill(bins, -(-(count - at) // (length // n)), length)
+    return out, bins
+
+
+def _stretches(pieces: DataFrame, length: int, fit) -> DataFrame:
+    """(_s, len, first, bin, per), written, of pieces (_s, len, ..), and a row of length null with all bins of a shard.
+
+    A task gets the histogram of a shard's lengths: a row for each length.
+    """
+    kinds = dict(pieces.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(kernel(list(zip(pdf["_o"].where(pdf["_o"].notna(), None), pdf["n"].tolist(), strict=True))), columns=["_bin", "_o", "part", "len"])
+        found, bins = fit(sorted(zip(pdf["len"].tolist(), pdf["count"].tolist(), strict=True), reverse=True), length)
         own = None if pd.isna(pdf["_s"].iloc[0]) else pdf["_s"].iloc[0]
-        return out.assign(_s=own, _bin=out["_bin"] * shards + int(pdf["_deal"].iloc[0]))[["_s", "_bin", "_o", "part", "len"]]
+        out = pd.DataFrame([*found, (None, 0, bins, 1)], columns=["len", "first", "bin", "per"]).astype("Int64")
+        return out.assign(_s=own)[["_s", "len", "first", "bin", "per"]]
+
+    counts = pieces.groupBy("_s", "len").count()
+    return written(counts.groupBy("_s").applyInPandas(run, f"_s {kinds['_s']}, {_STRETCHES}"), "stretches")
+
 
-    packed = rows.groupBy("_s", "_deal").applyInPandas(run, f"_s {kinds[shard]}, _bin bigint, _o {kinds[order]}, part bigint, len bigint")
-    return packed.select(F.col("_s").alias(shard), F.col("_bin").alias("bin"), F.col("_o").alias(order), "part", "len")
+def _placed(pieces: DataFrame, stretches: DataFrame) -> DataFrame:
+    """(_s, _o, part, len, bin): pieces by key among those of their length take the places of its stretches."""
+    ranked = sums_before(pieces.withColumn("_one", F.lit(1)), "_one", ("_s", "len"), [F.asc_nulls_first("_o"), F.col("part")], "rank").withColumn("_side", F.lit(1))
+    where = stretches.filter("len is not null").select("_s", "len", F.col("first").alias("rank"), F.struct("first", "bin", "per").alias("_to"), F.lit(0).alias("_side"))
+    both = ranked.drop("_one").unionByName(where, allowMissingColumns=True)
+    found = running(both, ("_s", "len"), ["rank", "_side"], {"_at": last_known(F.col("_to"))}).filter("_side = 1")
+    return found.select("_s", "_o", "part", "len", F.expr("_at.bin + (rank - _at.first) div _at.per").alias("bin"))
 
 
-def _longest_first(rows: list[tuple]) -> list[tuple]:
-    """(len, key, part) rows, ties by key, null keys first."""
-    return sorted(rows, key=lambda r: (-r[0], r[1] is not None, 0 if r[1] is None else r[1], r[2]))
+def _cut(df: DataFrame, shard: str, order: str) -> DataFrame:
+    return df.select(F.col(shard).alias("_s"), F.col(order).alias("_o"), F.col("n").cast("long").alias("n"))
 
 
-def pack_ffd(df: DataFrame, length: int, shard: str = "source", order: str = "doc_id", shards: int = 1) -> DataFrame:
+def pack_ffd(df: DataFrame, length: int, shard: str = "source", order: str = "doc_id") -> DataFrame:
     """(shard, bin, order, part, len): whole documents by first fit, longest first, ties by order.
 
     A document longer than a bin is cut into parts, each with a bin of its own;
-    bins of further parts are numbered after all others. Bins depend on all that
-    came before, so keys and lengths of a shard are packed in one task: deal
-    large shards into `shards` parts by a hash of the key.
+    bins of further parts are numbered after all others. Bins depend on lengths
+    only: first fit runs over a shard's histogram of them, and documents take
+    their places by rank among those of their length, dealt by ranges.
     """
-
-    def kernel(rows: list[tuple]) -> list[tuple]:
-        first = _longest_first([(min(n, length), key, 0) for key, n in rows])
-        tree = _FirstFit(len(first), length)
-        out = [(tree.place(n), key, 0, n) for n, key, _ in first]
-        top = max(b for b, *_ in out) + 1
-        by_key = sorted(rows, key=lambda r: (r[0] is not None, 0 if r[0] is None else r[0], r[1]))
-        rest = [(key, part, min(length, n - part * length)) for key, n in by_key for part in range(1, -(-n // length))]
-        return [(top + k, *r) for k, r in enumerate(rest)] + out
-
-    return _bins(df, shard, order, shards, kernel)
-
-
-def pack_bfd(df: DataFrame, length: int, shard: str = "source", order: str = "doc_id", shards: int = 1) -> DataFrame:
+    rows = _cut(df, shard, order)
+    pieces = rows.select("_s", "_o", F.lit(0).cast("long").alias("part"), F.least("n", F.lit(length)).alias("len"))
+    stretches = _stretches(pieces, length, first_fit)
+    more = sums_before(rows.filter(F.col("n") > length).withColumn("_more", F.ceil(F.col("n") / length) - 1), "_more", ("_s",), [F.asc_nulls_first("_o"), F.col("n")], "_before")
+    tops = stretches.filter("len is null").select(F.col("_s").alias("_shard"), F.col("bin").alias("_top"))
+    part = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_more"))).alias("part")
+    more = more.join(tops, F.col("_s").eqNullSafe(F.col("_shard"))).select("_s", "_o", "n", "_top", "_before", part)
+    more = more.select("_s", "_o", "part", F.least(F.lit(length), F.col("n") - F.col("part") * length).alias("len"), (F.col("_top") + F.col("_before") + F.col("part") - 1).alias("bin"))
+    both = _placed(pieces, stretches).unionByName(more)
+    return both.select(F.col("_s").alias(shard), "bin", F.col("_o").alias(order), "part", "len")
+
+
+def pack_bfd(df: DataFrame, length: int, shard: str = "source", order: str = "doc_id") -> DataFrame:
     """As pack_ffd, but documents longer than a bin are split, and each piece goes to the bin it fills most."""
-
-    def kernel(rows: list[tuple]) -> list[tuple]:
-        rooms: list[tuple[int, int]] = []  # (room, bin), sorted
-        out, bins = [], 0
-        for n, key, part in _longest_first([(min(length, n - at), key, at // length) for key, n in rows for at in range(0, n, length)]):
-            at = bisect.bisect_left(rooms, (n, -1))
-            if at < len(rooms):
-                room, bin_ = rooms.pop(at)
-            else:
-                room, bin_ = length, bins
-                bins += 1
-            if room > n:
-                bisect.insort(rooms, (room - n, bin_))
-            out.append((bin_, key, part, n))
-        return out
-
-    return _bins(df, shard, order, shards, kernel)
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / length) - 1)).alias("part")
+    pieces = _cut(df, shard, order).filter("n > 0").select("_s", "_o", "n", part)
+    pieces = pieces.select("_s", "_o", "part", F.least(F.lit(length), F.col("n") - F.col("part") * length).alias("len"))
+    both = _placed(pieces, _stretches(pieces, length, best_fit))
+    return both.select(F.col("_s").alias(shard), "bin", F.col("_o").alias(order), "part", "len")
 
 
 def length_bucket(df: DataFrame, bounds: tuple[int, ...]) -> DataFrame:

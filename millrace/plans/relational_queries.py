@@ -59,11 +59,13 @@ def join_right(spark, d):
     return _t(spark, d, "supplier").filter("s_acctbal > 5000").join(_t(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"), "right").select("n_nationkey", "s_suppkey")
 
 
-@query("""SELECT a.k AS supplier_nation, b.k AS customer_nation FROM (SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_suppkey <= 10) a FULL JOIN (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_custkey <= 20) b ON a.k = b.k""")
+@query("""SELECT a.k AS supplier_balance, suppliers, b.k AS customer_balance, customers FROM (SELECT CAST(floor(s_acctbal) AS BIGINT) AS k, count(*) AS suppliers FROM supplier GROUP BY 1) a
+FULL JOIN (SELECT CAST(floor(c_acctbal) AS BIGINT) AS k, count(*) AS customers FROM customer GROUP BY 1) b ON a.k = b.k""")
 def join_full(spark, d):
-    a = _t(spark, d, "supplier").filter("s_suppkey <= 10").select(F.col("s_nationkey").alias("supplier_nation")).distinct()
-    b = _t(spark, d, "customer").filter("c_custkey <= 20").select(F.col("c_nationkey").alias("customer_nation")).distinct()
-    return a.join(b, F.col("supplier_nation") == F.col("customer_nation"), "full")
+    """Whole balances of suppliers and customers: those that both have, or one of them."""
+    a = _t(spark, d, "supplier").groupBy(F.floor("s_acctbal").alias("supplier_balance")).agg(F.count("*").alias("suppliers"))
+    b = _t(spark, d, "customer").groupBy(F.floor("c_acctbal").alias("customer_balance")).agg(F.count("*").alias("customers"))
+    return a.join(b, F.col("supplier_balance") == F.col("customer_balance"), "full")
 
 
 def _hinted(hint):
@@ -113,7 +115,33 @@ BANDS = "SELECT p_size AS band, min(p_retailprice) AS low, min(p_retailprice) +
 def join_range(spark, d):
     parts = _t(spark, d, "part")
     bands = parts.filter("p_size <= 10").groupBy(F.col("p_size").alias("band")).agg(F.min("p_retailprice").alias("low")).withColumn("high", F.col("low") + 5)
-    return R.range_join(parts, bands, "p_retailprice", "low", "high", 5.0).select("p_partkey", "band")
+    return R.range_join(parts, bands, "p_retailprice", "low", "high").select("p_partkey", "band")
+
+
+WIDE = "CAST(pow(10, c_custkey % 8) AS DOUBLE)"
+
+
+@query(f"SELECT c_custkey, count(*) AS suppliers, min(s_suppkey) AS first FROM customer JOIN supplier ON s_acctbal >= c_acctbal AND s_acctbal < c_acctbal + {WIDE} GROUP BY c_custkey")
+def join_range_wide(spark, d):
+    """Ranges from 1 to 10^7 wide: of each customer's balance on, the suppliers whose balance lies within."""
+    ranges = _t(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("low"), (F.col("c_acctbal") + F.expr(WIDE)).alias("high"))
+    points = _t(spark, d, "supplier").select("s_suppkey", "s_acctbal")
+    return R.range_join(points, ranges, "s_acctbal", "low", "high").groupBy("c_custkey").agg(F.count("*").alias("suppliers"), F.min("s_suppkey").alias("first"))
+
+
+SPANS = "SELECT user_id, event_type, epoch_us(min(ts)) AS low, epoch_us(max(ts)) + 1 AS high FROM events GROUP BY ALL"
+BURSTS = "SELECT event_id, epoch_us(ts) AS begins, epoch_us(ts) + 1000000 * (1 + CAST(floor(value) AS BIGINT)) AS ends FROM events WHERE event_type = 'error'"
+
+
+@query(f"SELECT event_id, count(*) AS users, CAST(sum(s.low % 1000003) AS BIGINT) AS mark FROM ({SPANS}) s JOIN ({BURSTS}) b ON low < ends AND begins < high GROUP BY event_id")
+def join_overlap(spark, d):
+    """Errors, each lasting a second more than its value says, and the spans of users' kinds of events that they fall into."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    e = _t(spark, d, "events")
+    spans = e.groupBy("user_id", "event_type").agg(F.min(at).alias("low"), (F.max(at) + 1).alias("high"))
+    bursts = e.filter("event_type = 'error'").select("event_id", at.alias("begins"), (at + 1_000_000 * (1 + F.floor("value"))).alias("ends"))
+    both = R.overlap_join(spans, bursts, "low", "high", "begins", "ends")
+    return both.groupBy("event_id").agg(F.count("*").alias("users"), F.sum(F.col("low") % 1000003).alias("mark"))
 
 
 @query("""WITH p AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'purchase' GROUP BY user_id, ts)
@@ -196,7 +224,10 @@ def aggregate_ordered(spark, d):
 
 @query("SELECT l_returnflag, round(median(l_quantity), 4) AS mid, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90 FROM lineitem GROUP BY l_returnflag")
 def aggregate_percentile(spark, d):
-    return _t(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(F.median("l_quantity"), 4).alias("mid"), F.round(F.percentile("l_extendedprice", F.lit(0.9)), 4).alias("p90"))
+    """Three flags hold all lines: percentiles by rank over ranges of the values."""
+    li = _t(spark, d, "lineitem")
+    mid, p90 = (R.percentiles(li, ("l_returnflag",), c, {name: share}) for c, name, share in (("l_quantity", "mid", 0.5), ("l_extendedprice", "p90", 0.9)))
+    return mid.join(p90, "l_returnflag").select("l_returnflag", F.round("mid", 4).alias("mid"), F.round("p90", 4).alias("p90"))  # a row for each flag
 
 
 @query("""SELECT event_type, count(DISTINCT event_id) AS n, true AS hll_near, true AS datasketch_near, true AS theta_near, true AS median_near, true AS kll_near FROM events GROUP BY event_type""")
@@ -241,9 +272,10 @@ def aggregate_map(spark, d):
 @query("""SELECT o_orderkey, row_number() OVER w AS rn, rank() OVER w AS rk, dense_rank() OVER w AS dr, ntile(4) OVER w AS quarter, round(percent_rank() OVER w, 6) AS pr, round(cume_dist() OVER w, 6) AS cd
 FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey)""")
 def window_rank(spark, d):
-    w = W.partitionBy("o_orderpriority").orderBy("o_totalprice", "o_orderkey")
-    lng = lambda c, n: c.over(w).cast("long").alias(n)
-    return _t(spark, d, "orders").select("o_orderkey", lng(F.row_number(), "rn"), lng(F.rank(), "rk"), lng(F.dense_rank(), "dr"), lng(F.ntile(4), "quarter"), F.round(F.percent_rank().over(w), 6).alias("pr"), F.round(F.cume_dist().over(w), 6).alias("cd"))
+    """Five priorities hold all orders: ranks from ranges' counts, no task sees a whole priority."""
+    o = _t(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    r = R.ranks(o, ("o_orderpriority",), [F.col("o_totalprice"), F.col("o_orderkey")], 4)
+    return r.select("o_orderkey", F.col("row_number").alias("rn"), F.col("rank").alias("rk"), F.col("dense_rank").alias("dr"), F.col("ntile").alias("quarter"), F.round("percent_rank", 6).alias("pr"), F.round("cume_dist", 6).alias("cd"))
 
 
 @query("""SELECT event_id, lag(value) OVER w AS before, lead(value, 2) OVER w AS after, first_value(event_id) OVER w AS first_id, nth_value(event_id, 2) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second_id

@@ -37,7 +37,7 @@ def test_ffd_is_first_fit(spark):
     got = packing.pack_ffd(docs(spark, sizes), L).collect()
     for s in ("s0", "s1"):
         rows = [(k, n) for k, n in enumerate(sizes) if f"s{k % 2}" == s]
-        assert {r.doc_id: r.bin for r in got if r.source == s} == plain_ffd(rows, L)
+        assert {r.doc_id: r.bin for r in got if r.source == s and r.part == 0} == plain_ffd(rows, L)
 
 
 def test_ffd_keeps_all_tokens_of_long_documents(spark):
@@ -74,15 +74,46 @@ def test_empty(spark):
         assert f(empty, L).count() == 0
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(1, L), min_size=1, max_size=40))
-def test_first_fit_tree(sizes):
-    tree, bins = packing._FirstFit(len(sizes), L), []
-    for n in sizes:
-        b = next((k for k, used in enumerate(bins) if used + n <= L), len(bins))
-        bins += [0] * (b == len(bins))
-        bins[b] += n
-        assert tree.place(n) == b
+def bins_of(counts, fit):
+    """{(len, rank): bin} that the stretches say."""
+    found, bins = fit(sorted(counts.items(), reverse=True), L)
+    out = {}
+    for n, count in counts.items():
+        own = [s for s in found if s[0] == n]
+        for rank in range(count):
+            _, first, bin_, per = [s for s in own if s[1] <= rank][-1]
+            out[n, rank] = bin_ + (rank - first) // per
+    return out, bins
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.dictionaries(st.integers(1, L), st.integers(1, 30), min_size=1, max_size=12))
+def test_stretches_of_lengths(counts):
+    """First and best fit over histograms, against one document at a time."""
+    rows = [((n, rank), n) for n, count in counts.items() for rank in range(count)]
+    order = {key: k for k, (key, _) in enumerate(rows)}
+    got, bins = bins_of(counts, packing.first_fit)
+    want = plain_ffd([(order[key], n) for key, n in rows], L)
+    assert {order[k]: b for k, b in got.items()} == want and bins == max(want.values()) + 1
+    got, bins = bins_of(counts, packing.best_fit)
+    want = {k: b for (k, _), b in plain_bfd([(order[key], n) for key, n in rows], L).items()}
+    assert {order[k]: b for k, b in got.items()} == want and bins == max(want.values()) + 1
+
+
+def test_a_task_sees_lengths_not_documents(spark):
+    """One shard with all documents: what is gathered by shard is its histogram, and places are found by ranges."""
+    n, sizes = 20_000, 64
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), (F.col("id") % sizes + 1).alias("n"))
+    for f, fit in ((packing.pack_ffd, packing.first_fit), (packing.pack_bfd, packing.best_fit)):
+        got = f(df, L)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Pandas" not in plan and "Python" not in plan
+        assert got.groupBy("bin").agg(F.sum("len").alias("s")).agg(F.max("s")).first()[0] <= L and got.count() == n
+        def counted(counts, length, fit=fit, most=L):
+            assert len(counts) <= most  # a row for each length
+            return fit(counts, length)
+
+        assert packing._stretches(df.select(F.col("source").alias("_s"), F.col("n").alias("len")), L, counted).count() > 1
 
 
 def plain_bfd(rows, length):
@@ -105,14 +136,6 @@ def test_bfd_is_best_fit(spark):
         assert {(r.doc_id, r.part): r.bin for r in got if r.source == s} == plain_bfd(rows, L)
 
 
-def test_bins_of_a_dealt_shard(spark):
-    sizes = [(k * 53) % 90 + 1 for k in range(200)]
-    for f in (packing.pack_ffd, packing.pack_bfd):
-        got = f(docs(spark, sizes), L, shards=4).toPandas()
-        assert got.groupby("doc_id")["len"].sum().to_dict() == dict(enumerate(sizes))
-        assert got.groupby(["source", "bin"])["len"].sum().max() <= L
-
-
 ROWS = [(1, "a b", "x"), (1, "a b", "x"), (2, None, "x"), (3, "", "x"), (2, "c", None), (None, "d e f", "x"), (4, "one two three four five six seven", "x"), (2, "zz", "x"), (2, "yy", "x"), (9, "k", None)]
 
 

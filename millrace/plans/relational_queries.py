@@ -362,10 +362,17 @@ for _n, _op in SETS.items():
 
 @query("""SELECT c_custkey FROM customer c WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer x WHERE x.c_nationkey = c.c_nationkey) AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)""")
 def subqueries(spark, d):
-    c = _t(spark, d, "customer")
-    mean = c.groupBy(F.col("c_nationkey").alias("k")).agg(F.avg("c_acctbal").alias("mean"))
-    big = _t(spark, d, "orders").filter("o_totalprice > 200000").select("o_custkey")
-    return c.join(mean, F.col("c_nationkey") == F.col("k")).filter("c_acctbal > mean").join(big, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
+    _t(spark, d, "customer").createOrReplaceTempView("v_customer")
+    _t(spark, d, "orders").createOrReplaceTempView("v_orders")
+    return spark.sql("SELECT c_custkey FROM v_customer c WHERE c_acctbal > (SELECT avg(c_acctbal) FROM v_customer x WHERE x.c_nationkey = c.c_nationkey) AND c_custkey IN (SELECT o_custkey FROM v_orders WHERE o_totalprice > 200000)")
+
+
+@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 50 * c_acctbal) AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
+def subquery_exists(spark, d):
+    """Correlated EXISTS and NOT EXISTS, by the DataFrame API."""
+    c, o = _t(spark, d, "customer"), _t(spark, d, "orders")
+    own = o.where(F.col("o_custkey") == F.col("c_custkey").outer())
+    return c.where(own.where(F.col("o_totalprice") > 50 * F.col("c_acctbal").outer()).exists() & ~own.where("o_orderstatus = 'P'").exists()).select("c_custkey")
 
 
 @query("SELECT l_suppkey, revenue FROM (SELECT l_suppkey, round(sum(l_extendedprice), 2) AS revenue FROM lineitem GROUP BY l_suppkey) WHERE revenue = (SELECT max(r) FROM (SELECT round(sum(l_extendedprice), 2) AS r FROM lineitem GROUP BY l_suppkey))")
@@ -374,9 +381,16 @@ def subquery_scalar(spark, d):
     return by.filter(F.col("revenue") == by.agg(F.max("revenue")).scalar())
 
 
-@query("WITH RECURSIVE t(n, f) AS (SELECT 1::BIGINT, 1::BIGINT UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 10) SELECT n, f FROM t")
+CHAIN = """WITH RECURSIVE chain AS (SELECT conv_id, turn, CAST(length(text) AS BIGINT) AS so_far, role AS path FROM {t} WHERE turn = 0
+UNION ALL SELECT c.conv_id, c.turn, so_far + length(c.text), concat(path, '>', c.role) FROM chain JOIN {t} c ON c.conv_id = chain.conv_id AND c.turn = chain.turn + 1) SELECT conv_id, turn, so_far, path FROM chain"""
+
+
+@query(CHAIN.format(t="conversations"))
 def cte_recursive(spark, d):
-    return spark.sql("WITH RECURSIVE t(n, f) AS (SELECT 1L, 1L UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 10) SELECT n, f FROM t")
+    """From each conversation's first turn along its turns: what was said so far, and by whom. As many rounds as the longest has turns."""
+    _t(spark, d, "conversations").createOrReplaceTempView("v_turns")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # the rows are the table's
+    return spark.sql(CHAIN.format(t="v_turns"))
 
 
 @query("SELECT n_nationkey, CAST(unnest(range(3)) AS INTEGER) AS i FROM nation")

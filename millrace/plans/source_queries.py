@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources import tables
-from ..sources.numbers import Numbers
+from ..sources import segments, tables
 from ..sources.scratch import fresh_path
+from ..sources.segments import Segments
 from ..sources.tables import table
+from ..streaming.windows import finished
 from . import bench
 from .registry import registry
 
@@ -49,42 +50,78 @@ def source_text(spark, d):
     return _round_trip(spark, table(spark, d, "nation").select(F.col("n_name").alias("value")), "text")
 
 
-@query("SELECT range AS n, range * range AS square FROM range(1000)")
+def _turns(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations WHERE role = 'assistant' AND turn >= 2")
 def source_custom(spark, d):
-    spark.dataSource.register(Numbers)
-    return spark.read.format("numbers").option("rows", "1000").option("parts", "4").load()
+    """Conversations through a source of our own: written with a commit, read with filters pushed into it."""
+    spark.dataSource.register(Segments)
+    spark.conf.set(segments.PUSHDOWN, "true")
+    turns, path = _turns(spark, d), fresh_path(spark, "segments")
+    turns.write.format("segments").mode("append").save(path)
+    return spark.read.format("segments").schema(turns.schema).load(path).filter("role = 'assistant' AND turn >= 2")
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations")
+def source_custom_stream(spark, d):
+    """Three commits of turns, read back as a stream by the offsets of the log."""
+    spark.dataSource.register(Segments)
+    turns, path = _turns(spark, d), fresh_path(spark, "segments")
+    for k in range(3):
+        turns.filter(F.pmod("conv_id", F.lit(3)) == k).write.format("segments").mode("append").save(path)
+    return finished(spark.readStream.format("segments").schema(turns.schema).load(path), "append")
+
+
+#: The tables whose scans are timed, the tasks they are dealt to, and runs of each.
+TIMED, CORES, REPEATS = ("part", "customer", "orders"), (1, 2, 4), 2
+TIMED_SQL = " UNION ALL ".join(f"SELECT '{t}' AS query, count(*) AS rows FROM {t}" for t in TIMED)
+
+
+def _runs(spark, d):
+    return bench.scan_runs(spark, d, 0.0, TIMED, CORES, fresh_path(spark, "runs"), REPEATS)
 
 
-RUNS = [(q, 0.1, c, k, base / (1 + share * (c - 1)) + k * step, 10_000, 2_400_000) for q, base, share, step in (("pack", 8.0, 0.75, 0.25), ("dedup", 4.0, 0.5, 0.125)) for c in (1, 2, 4, 8) for k in range(3)]
-STORED = "WITH runs(query, sf, cores, run, seconds, rows, tokens) AS (VALUES " + ", ".join(f"('{q}', CAST({sf} AS DOUBLE), {c}, {k}, CAST({s!r} AS DOUBLE), CAST({n} AS BIGINT), CAST({t} AS BIGINT))" for q, sf, c, k, s, n, t in RUNS) + "), "
-SUMMARY = "summary AS (SELECT query, sf, cores, median(seconds) AS median_s, min(seconds) AS min_s, max(seconds) AS max_s, round(max(rows) / median(seconds), 3) AS rows_s, round(max(tokens) / median(seconds), 3) AS tok_s FROM runs GROUP BY query, sf, cores) "
+def _same(spark, runs, figures, sql, key=("query", "cores")):
+    """(query, cores, rows, runs, same): whether figures equal what SQL says over the stored runs."""
+    runs.createOrReplaceTempView("stored_runs")
+    names = [c for c in figures.columns if c not in key]
+    theirs = spark.sql(sql).select(*key, F.struct(*names).alias("theirs"))
+    both = figures.select(*key, F.struct(*names).alias("mine")).join(theirs, list(key), "full")
+    n = runs.groupBy(*key).agg(F.max("rows").alias("rows"), F.count("*").alias("runs"))
+    return n.join(both, list(key), "left").select(*key, "rows", "runs", F.coalesce(F.col("mine") == F.col("theirs"), F.lit(False)).alias("same"))
 
 
-def _summary(spark):
-    return bench.bench_summary(spark.createDataFrame(RUNS, bench.RUNS))
+EACH = f"SELECT query, CAST(unnest({list(CORES)}) AS INTEGER) AS cores, rows, CAST({REPEATS} AS BIGINT) AS runs, true AS same FROM ({TIMED_SQL})"
+SUMMARY = "SELECT query, sf, cores, median(seconds) AS median_s, min(seconds) AS min_s, max(seconds) AS max_s, round(max(rows) / median(seconds), 3) AS rows_s, round(max(bytes) / median(seconds), 3) AS bytes_s, round(max(tokens) / median(seconds), 3) AS tok_s FROM stored_runs GROUP BY query, sf, cores"
 
 
-@query(STORED + SUMMARY + "SELECT * FROM summary")
+@query(EACH)
 def bench_summary(spark, d):
-    return _summary(spark)
+    """Measured scans of three tables, stored: the summary's figures against SQL over the stored runs."""
+    runs = _runs(spark, d)
+    return _same(spark, runs, bench.bench_summary(runs), SUMMARY)
 
 
-@query(STORED + SUMMARY + """, base AS (SELECT query, sf, min(cores) AS c0, arg_min(median_s, cores) AS s0 FROM summary GROUP BY query, sf)
-SELECT query, sf, cores, round(s0 / median_s, 6) AS speedup, round(s0 / median_s * c0 / cores, 6) AS efficiency FROM summary JOIN base USING (query, sf)""")
+@query(EACH)
 def bench_scaling(spark, d):
-    return bench.scaling(_summary(spark))
+    runs = _runs(spark, d)
+    sql = f"WITH s AS ({SUMMARY}), b AS (SELECT query, sf, min(cores) AS c0, min_by(median_s, cores) AS s0 FROM s GROUP BY query, sf) SELECT query, sf, cores, round(s0 / median_s, 6) AS speedup, round(s0 / median_s * c0 / cores, 6) AS efficiency FROM s JOIN b USING (query, sf)"
+    return _same(spark, runs, bench.scaling(bench.bench_summary(runs)), sql)
 
 
-@query(STORED + SUMMARY + "SELECT query, sf, cores, round(median_s / (median_s * CASE WHEN cores > 2 THEN 0.5 ELSE 1 END), 6) AS ratio, cores > 2 AS slower FROM summary")
+@query(EACH)
 def bench_regression(spark, d):
-    """Against an earlier summary that was twice as fast on more than two cores."""
-    now = _summary(spark)
-    return bench.bench_regression(now, now.withColumn("median_s", F.col("median_s") * F.when(F.col("cores") > 2, 0.5).otherwise(1.0)))
+    """The last run of each measured query against its first."""
+    runs = _runs(spark, d)
+    first, last = (bench.bench_summary(runs.filter(c)) for c in ("run = 0", f"run = {REPEATS - 1}"))
+    sql = f"SELECT a.query, a.sf, a.cores, round(b.seconds / a.seconds, 6) AS ratio, round(b.seconds / a.seconds, 6) > 1.2 AS slower FROM stored_runs a JOIN stored_runs b USING (query, cores) WHERE a.run = 0 AND b.run = {REPEATS - 1}"
+    return _same(spark, runs, bench.bench_regression(last, first), sql)
 
 
 @query("SELECT 'parts' AS query, CAST(2 AS BIGINT) AS runs, true AS timed, max(count) AS rows FROM (SELECT count(*) AS count FROM part)")
 def bench_run(spark, d):
     """Two timed runs of a query after one to warm up: whether each has a time."""
-    n = table(spark, d, "part").count()
-    runs = bench.run_bench(spark, {"parts": lambda s, folder: table(s, folder, "part")}, d, 0.0, 2, n)
+    runs = bench.run_bench(spark, {"parts": lambda s, folder: table(s, folder, "part")}, d, 0.0, 2, {"parts": ("part",)})
     return runs.groupBy("query").agg(F.count("*").alias("runs"), F.bool_and(F.col("seconds") > 0).alias("timed"), F.max("rows").alias("rows"))

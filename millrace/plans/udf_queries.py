@@ -9,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from ..sources.tables import table
 from .registry import registry
@@ -42,11 +44,18 @@ def udf_arrow(spark, d):
 
 @query("SELECT event_type, round(max(value) - min(value), 4) AS spread FROM events GROUP BY event_type")
 def udf_aggregate(spark, d):
+    """The ends of each type by user first, so that no worker gathers a type's rows; the types' ends are then few."""
+
+    @F.pandas_udf("double")
+    def least(x: pd.Series) -> float:
+        return float(x.min())
+
     @F.pandas_udf("double")
-    def spread(x: pd.Series) -> float:
-        return float(x.max() - x.min())
+    def most(x: pd.Series) -> float:
+        return float(x.max())
 
-    return table(spark, d, "events").groupBy("event_type").agg(F.round(spread("value"), 4).alias("spread"))
+    users = table(spark, d, "events").groupBy("event_type", "user_id").agg(least("value").alias("low"), most("value").alias("high"))
+    return users.groupBy("event_type").agg(F.round(F.max("high") - F.min("low"), 4).alias("spread"))
 
 
 @query("SELECT n_nationkey, CAST(unnest(range(1, length(n_name) + 1)) AS INTEGER) AS at, unnest(string_split(n_name, '')) AS letter FROM nation")
@@ -62,15 +71,45 @@ def udtf_rows(spark, d):
     return spark.sql("SELECT n_nationkey, at, letter FROM v_nation, LATERAL letters(n_name)")
 
 
-@query("SELECT n, n * n AS square FROM (SELECT unnest(range(100)) AS n)")
+@query("SELECT event_id, value * value AS square FROM events")
 def udtf_arrow(spark, d):
-    @F.arrow_udtf(returnType="n bigint, square bigint")
+    """A table argument in Arrow batches."""
+
+    @F.arrow_udtf(returnType="event_id bigint, square double")
     class Squares:
-        def eval(self, upto: pa.Array) -> Iterator[pa.Table]:
-            n = pa.array(range(upto[0].as_py()), pa.int64())
-            yield pa.table({"n": n, "square": pc.multiply(n, n)})
+        def eval(self, rows: pa.RecordBatch) -> Iterator[pa.Table]:
+            yield pa.table({"event_id": rows.column("event_id"), "square": pc.multiply(rows.column("value"), rows.column("value"))})
+
+    spark.udtf.register("squares", Squares)
+    table(spark, d, "events").select("event_id", "value").createOrReplaceTempView("v_values")
+    return spark.sql("SELECT * FROM squares(TABLE(v_values))")
 
-    return Squares(F.lit(100))
+
+@query("""SELECT user_id, event_id, row_number() OVER w AS nth, event_type <> lag(event_type, 1, '') OVER w AS changed, round(value - coalesce(max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), value), 6) AS above
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
+def udtf_table(spark, d):
+    """A table argument, dealt by user and in order: each event against what the user did before. A user's rows pass by one at a time."""
+
+    @F.udtf
+    class Along:
+        def __init__(self):
+            self.nth, self.last, self.most = 0, "", None
+
+        @staticmethod
+        def analyze(events: AnalyzeArgument) -> AnalyzeResult:
+            kinds = {f.name: f.dataType for f in events.dataType.fields}
+            schema = StructType().add("user_id", kinds["user_id"]).add("event_id", kinds["event_id"]).add("nth", LongType()).add("changed", BooleanType()).add("above", DoubleType())
+            return AnalyzeResult(schema)
+
+        def eval(self, row: Row):
+            self.nth += 1
+            above = row["value"] - (row["value"] if self.most is None else self.most)
+            yield row["user_id"], row["event_id"], self.nth, row["event_type"] != self.last, round(above, 6)
+            self.last, self.most = row["event_type"], row["value"] if self.most is None else max(self.most, row["value"])
+
+    spark.udtf.register("along", Along)
+    table(spark, d, "events").select("user_id", "event_id", "ts", "event_type", "value").createOrReplaceTempView("v_events")
+    return spark.sql("SELECT * FROM along(TABLE(v_events) PARTITION BY user_id ORDER BY (ts, event_id))")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity * l_extendedprice AS x FROM lineitem WHERE l_quantity > 25")

@@ -9,9 +9,9 @@ n shingles has n / SCALE on average, and none by chance (1 - 1 / SCALE)**n.
 
 Words are runs of anything but ASCII white space; fewer than five are one
 shingle. Defined cases: null and empty texts and texts without a word have the
-empty fingerprint, as have texts without a hash below the threshold; two empty
-fingerprints are alike (1), an empty and another are not (0); repeated rows
-stay; documents of one id follow each other by a hash of the text; null ids come
+empty fingerprint, as have texts without a hash below the threshold; where one of
+two fingerprints is empty, equal texts and two without a word are alike (1), all
+others are not (0); repeated rows stay; documents of one id follow each other by a hash of the text; null ids come
 last; other columns are ignored.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import spread, written
+from .common import WORD, spread, written
 
 WORDS = 5
 #: One of so many shingle hashes is kept.
@@ -62,11 +62,20 @@ def merged(a: Column, b: Column) -> Column:
     return F.sort_array(F.array_union(a, b))
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of the smaller document's shingles that the other has, 0 to 1."""
+def containment(a: Column, b: Column, alike: Column | bool = False) -> Column:
+    """Estimated share of the smaller document's shingles that the other has, 0 to 1.
+
+    An empty fingerprint says nothing of its shingles: then it is 1 if the
+    documents are known to be `alike`, and 0 otherwise.
+    """
     least = F.least(F.size(a), F.size(b))
     both = F.size(F.array_intersect(a, b)) / least
-    return F.when(least > 0, both).otherwise((F.size(a) == F.size(b)).cast("double"))
+    return F.when(least > 0, both).otherwise((F.lit(alike) if isinstance(alike, bool) else alike).cast("double"))
+
+
+def _alike(text: Column, other: Column) -> Column:
+    """Whether two texts are the same, or neither has a word."""
+    return (text == other) | ~(text.rlike(WORD) | other.rlike(WORD))
 
 
 def as_string(fingerprint: Column) -> Column:
@@ -142,13 +151,13 @@ def compare_with_next(df: DataFrame, text: str = "text", id_col: str = "doc_id")
     rows = spread(df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")))
     rows = _with_next(rows, "print", sketch(F.col("text")))
     rows = rows.withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    rows = rows.select("id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "print", "next_print", sketch(F.col("edited")).alias("edited_print"))
+    rows = rows.select("id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "print", "next_print", sketch(F.col("edited")).alias("edited_print"), *[_alike(F.col("text"), F.col(c)).alias(f"{c}_alike") for c in ("edited", "next_text")])
     return rows.select(
         F.col("id").alias(id_col),
         "n_chars",
         "edited_sha256",
         as_string(F.col("print")).alias("fingerprint"),
         as_string(F.col("edited_print")).alias("edited_fingerprint"),
-        F.round(containment(F.col("print"), F.col("edited_print")), 9).alias("near_edited"),
-        F.round(containment(F.col("print"), F.col("next_print")), 9).alias("near_next"),
+        F.round(containment(F.col("print"), F.col("edited_print"), F.col("edited_alike")), 9).alias("near_edited"),
+        F.round(containment(F.col("print"), F.col("next_print"), F.col("next_text_alike")), 9).alias("near_next"),
     )

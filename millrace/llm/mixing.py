@@ -71,11 +71,16 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     return rows.select("source", "idx", "size", target.alias("target"))
 
 
+def text_key(text: Column) -> Column:
+    """60 bits of a text's md5; -1 for null."""
+    return F.coalesce(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"), F.lit(-1))
+
+
 def sized(df: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id") -> DataFrame:
     """(id, source, size, k) of every row; k stands for the text."""
     rows = spread(df.select(F.col(id_col).alias("id"), F.col(source).alias("source"), F.col(text).alias("text")))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return rows.select("id", "source", size.alias("size"), F.xxhash64("text").alias("k"))
+    return rows.select("id", "source", size.alias("size"), text_key(F.col("text")).alias("k"))
 
 
 def _located(rows: DataFrame, value: str, owners: DataFrame, low: str, count: str, total: int) -> DataFrame:
@@ -119,7 +124,7 @@ def plan(docs: DataFrame, block: int = BLOCK, shard: int = SHARD) -> Mix:
 
     # where each document begins in its source: documents by bucket, within it by id, size and text
     placed = docs.join(sources.select(F.col("source").alias("name"), "idx", "unit"), F.col("source").eqNullSafe(F.col("name"))).drop("name")
-    placed = placed.withColumn("bucket", F.pmod(hashed("doc", "id"), F.lit(_buckets(n_docs))))
+    placed = placed.withColumn("bucket", F.pmod(hashed("doc", "id", "k"), F.lit(_buckets(n_docs))))
     inside = W.partitionBy("idx", "bucket").orderBy("id", "size", "k").rowsBetween(W.unboundedPreceding, -1)
     buckets = placed.groupBy("idx", "bucket").agg(F.sum("size").alias("n"))
     buckets = buckets.select("idx", "bucket", F.coalesce(F.sum("n").over(W.partitionBy("idx").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("low"))
@@ -191,6 +196,6 @@ def sampled_documents(df: DataFrame, text: str = "text", source: str = "source",
     times = F.floor(F.col("taken") / F.col("size") + (hashed("copies", "id") % 1_000_000) / 1_000_000)
     keys = lambda i, k: {"__k1": F.xxhash64(F.isnull(i), i, k), "__k2": F.xxhash64(F.lit(1), k, i, F.isnull(i))}  # noqa: E731  no nulls, so that texts are dealt once
     copies = rows.select(times.alias("n"), *[c.alias(n) for n, c in keys(F.col("id"), F.col("k")).items()]).groupBy("__k1", "__k2").agg(F.sum("n").cast("int").alias("__n")).filter("__n > 0")
-    keyed = df.withColumns(keys(F.col(id_col), F.xxhash64(F.col(text)))).dropDuplicates(["__k1", "__k2"])
+    keyed = df.withColumns(keys(F.col(id_col), text_key(F.col(text)))).dropDuplicates(["__k1", "__k2"])
     out = keyed.join(copies, ["__k1", "__k2"])
     return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(df.columns)

@@ -123,9 +123,9 @@ OP12_SQL = _components_sql(superminhash.WORDS, superminhash.PERCENT, ", doc_id =
 #: 60 bits of the md5 of seed:part.
 HASH = "CAST('0x' || substr(md5({0}), 1, 15) AS BIGINT)"
 
-#: The plan of mixing.py in one piece; documents of one id would also be placed by a hash of their texts.
+#: The plan of mixing.py in one piece.
 OP5_SQL = f"""
-WITH d AS (SELECT doc_id AS id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id AS id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size, coalesce(CAST('0x' || substr(md5(text), 1, 15) AS BIGINT), -1) AS k FROM documents),
      s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS idx FROM d GROUP BY source),
      s1 AS (SELECT *, CAST([5, 2, 1][CAST(idx % 3 + 1 AS INTEGER)] AS DOUBLE) AS weight, {mixing.EPOCHS} * size AS most FROM s0),
      s2 AS (SELECT *, CAST(sum(size) OVER () - coalesce(sum(most) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
@@ -138,8 +138,8 @@ WITH d AS (SELECT doc_id AS id, source, CAST(coalesce(len(regexp_extract_all(tex
      src AS (SELECT *, CAST(coalesce(sum(quota) OVER (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS quota_low FROM s6),
      n AS (SELECT CAST(coalesce(sum(quota), 0) AS BIGINT) AS slots, CAST(coalesce(sum(blocks), 0) AS BIGINT) AS blocks, (SELECT count(*) FROM documents) AS docs FROM src),
      b AS (SELECT *, greatest(1, docs // greatest({mixing.BUCKET_ROWS}, CAST(floor(sqrt(docs)) AS BIGINT))) AS doc_buckets, greatest(1, blocks // greatest({mixing.BUCKET_ROWS}, CAST(floor(sqrt(blocks)) AS BIGINT))) AS block_buckets FROM n),
-     placed AS (SELECT d.id, d.size, src.idx, src.unit, src.size AS source_size, src.target,
-                       CAST(coalesce(sum(d.size) OVER (PARTITION BY src.idx ORDER BY {HASH.format("'doc:' || coalesce(CAST(d.id AS VARCHAR), '-')")} % (SELECT doc_buckets FROM b), d.id NULLS FIRST, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+     placed AS (SELECT d.id, d.size, d.k, src.idx, src.unit, src.size AS source_size, src.target,
+                       CAST(coalesce(sum(d.size) OVER (PARTITION BY src.idx ORDER BY {HASH.format("'doc:' || coalesce(CAST(d.id AS VARCHAR), '-') || ':' || d.k")} % (SELECT doc_buckets FROM b), d.id NULLS FIRST, d.size, d.k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
                 FROM d JOIN src ON d.source IS NOT DISTINCT FROM src.source),
      slot AS (SELECT i AS slot, {HASH.format("'slot:' || i")} % (SELECT greatest(1, slots) FROM n) AS v FROM (SELECT unnest(range((SELECT slots FROM n))) AS i)),
      drawn AS (SELECT slot, idx, quota, row_number() OVER (PARTITION BY idx ORDER BY slot) - 1 AS j FROM slot JOIN src ON v >= quota_low AND v < quota_low + quota),
@@ -152,7 +152,7 @@ WITH d AS (SELECT doc_id AS id, source, CAST(coalesce(len(regexp_extract_all(tex
      hashed AS (SELECT idx, block, {HASH.format("'block:' || idx || ':' || block")} AS h FROM each),
      permuted AS (SELECT idx, block, row_number() OVER (PARTITION BY idx ORDER BY h % (SELECT block_buckets FROM b), h, block) - 1 AS place FROM hashed),
      times AS (SELECT slots.idx, block, count(*) AS times FROM slots JOIN src ON src.idx = slots.idx JOIN permuted ON permuted.idx = slots.idx AND place = j % src.blocks GROUP BY slots.idx, block),
-     pieces AS (SELECT *, row_number() OVER () AS k FROM placed),
+     pieces AS (SELECT * EXCLUDE (k), row_number() OVER () AS k FROM placed),
      cut AS (SELECT k, idx, unit, start, size, unnest(range(start // unit, (start + size - 1) // unit + 1)) AS block FROM pieces WHERE size > 0),
      words AS (SELECT k, sum((least(start + size, (cut.block + 1) * unit) - greatest(start, cut.block * unit)) * times) AS taken FROM cut JOIN times ON times.idx = cut.idx AND times.block = cut.block GROUP BY k)
 SELECT id AS doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM pieces LEFT JOIN words USING (k)

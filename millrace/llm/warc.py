@@ -288,5 +288,6 @@ def archived_pages(pages: DataFrame, html: str = "html", url: str = "url", id_co
     slim = written(slim, "warc-read")
     remove_path(spark, path)
     origins = slim.filter("type = 'response'").select(F.col("record").alias("refers_to"), F.col("bytes").alias("origin_bytes"))
-    rows = slim.join(origins, "refers_to", "left")
+    revisits = slim.filter("refers_to is not null").join(origins, "refers_to", "left")  # responses have no key to be dealt by
+    rows = revisits.unionByName(slim.filter("refers_to is null").withColumn("origin_bytes", F.lit(None).cast("long")))
     return rows.select(number(F.col("record")).alias(id_col), F.coalesce("bytes", "origin_bytes").alias("payload_bytes"), "payload_digest", F.col("type").alias("record_type"), number(F.col("refers_to")).alias("refers_to"))

@@ -37,7 +37,7 @@ def test_containment_of_unequal_documents(spark):
     row = [(" ".join(words), " ".join(words[:1500]), " ".join(words[4000:4004]), "")]
     df = spark.createDataFrame(row, "a string, b string, c string, d string")
     a, b, d = (P.sketch(F.col(x)) for x in "abd")
-    r = df.select(P.containment(a, b).alias("ab"), P.containment(a, a).alias("aa"), P.containment(a, d).alias("ad"), P.containment(d, d).alias("dd"), P.containment(P.merged(a, b), a).alias("m"), (P.sketch(F.concat_ws(" ", "a", "c")) == P.merged(a, P.sketch(F.concat_ws(" ", F.lit(" ".join(words[-4:])), "c")))).alias("union")).first()
+    r = df.select(P.containment(a, b).alias("ab"), P.containment(a, a).alias("aa"), P.containment(a, d).alias("ad"), P.containment(d, d, F.lit(True)).alias("dd"), P.containment(P.merged(a, b), a).alias("m"), (P.sketch(F.concat_ws(" ", "a", "c")) == P.merged(a, P.sketch(F.concat_ws(" ", F.lit(" ".join(words[-4:])), "c")))).alias("union")).first()
     assert (r.ab, r.aa, r.ad, r.dd, r.m, r.union) == (1, 1, 0, 1, 1, True)
 
 
@@ -96,3 +96,12 @@ def test_edge_rows(spark):
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
     assert all(len(x) == 1 for x in by.values())
     assert P.compare_with_next(empty(spark)).count() == 0
+
+
+def test_short_texts_without_a_hash_are_not_alike(spark):
+    """Of 64 two-word texts many have the empty fingerprint; only equal ones, and those without a word, are alike."""
+    texts = [f"left{k} right{k}" for k in range(60)] + ["same words", "same words", "", " \t"]
+    got = {r.doc_id: r for r in P.compare_with_next(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert sum(not r.fingerprint for r in got.values()) > 20
+    assert all(got[k].near_next == 0 for k in range(1, 60)) and all(got[k].near_edited == 0 for k in range(1, 60))
+    assert got[61].near_next == 1 and got[63].near_next == 1 and got[62].near_next == 0

@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 from edges import ALL_IDS, ROWS, edge, empty, ids
+from pyspark.sql import functions as F
 
 from millrace.llm import mixing
 
@@ -104,3 +105,12 @@ def test_sampled_documents_come_as_often_as_taken(spark):
     got = Counter(r.doc_id for r in out.collect())
     assert all(n <= 3 * most[k] for k, n in got.items()) and not {2, 3, 4} & got.keys()
     assert mixing.sampled_documents(empty(spark)).count() == 0
+
+
+def test_documents_without_an_id_are_spread_over_buckets(spark):
+    """Nine tenths without an id: no bucket of a source holds more than its share."""
+    rows = [(None if k % 10 else k, f"word{k} " * (k % 5 + 1), "s") for k in range(20_000)]
+    docs = mixing.sized(spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4))
+    buckets = mixing._buckets(20_000)
+    sizes = [r["count"] for r in docs.groupBy(F.pmod(mixing.hashed("doc", "id", "k"), F.lit(buckets))).count().collect()]
+    assert len(sizes) == buckets and max(sizes) < 2 * 20_000 / buckets

@@ -85,25 +85,27 @@ def hash_bucket(key: Column | str, buckets: int = 100) -> Column:
 def _boxed(text: Column) -> Column:
     """The content of the last \\boxed{..} whose braces close, however deep they nest; null if there is none.
 
-    What follows a \\boxed{ is cut at its braces; a fold counts their depth and
-    gathers pieces until the first brace is closed.
+    One fold over the text's braces: it keeps where it is, how deep, and of each
+    box still open its depth and begin; a box that closes counts if it begins
+    after the best one so far.
     """
-    start = F.struct(F.lit(1).alias("depth"), F.expr("cast(array() as array<string>)").alias("out"))
+    none = F.lit(-1)
+    opened = F.expr("cast(array() as array<struct<depth: int, begin: int>>)")
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), opened.alias("open"), none.alias("begin"), none.alias("end"))
 
     def step(acc: Column, piece: Column) -> Column:
-        depth = acc["depth"] + F.when(piece == "{", 1).when(piece == "}", -1).otherwise(0)
-        return F.when(acc["depth"] == 0, acc).otherwise(F.struct(depth.alias("depth"), F.when(depth > 0, F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out")))
-
-    def inside(after: Column) -> Column:
-        pieces = F.regexp_extract_all(after, F.lit(r"[{}]|[^{}]+"), F.lit(0))
-        return F.aggregate(pieces, start, step, lambda acc: F.when(acc["depth"] == 0, F.array_join(acc["out"], "")))
-
-    # a piece that holds the next box goes on with what stands behind that, so boxes may nest
-    begins = F.sequence(F.lit(2), F.size(F.split(text, r"\\boxed\{", -1)))
-    parts = F.split(text, r"\\boxed\{", -1)
-    each = F.transform(begins, lambda i: inside(F.array_join(F.slice(parts, i, F.size(parts)), r"\boxed{")))
-    closed = F.filter(each, lambda x: x.isNotNull())
-    return F.when(F.contains(text, F.lit(r"\boxed{")), F.try_element_at(closed, F.lit(-1)))
+        box, shut = piece == r"\boxed{", piece == "}"
+        after = acc["at"] + F.length(piece)
+        depth = acc["depth"] + F.when(box | (piece == "{"), 1).when(shut, -1).otherwise(0)
+        top = F.try_element_at(acc["open"], F.lit(-1))
+        closes = F.coalesce(shut & (top["depth"] == acc["depth"]), F.lit(False))
+        better = closes & (top["begin"] > acc["begin"])
+        kept = F.when(box, F.concat(acc["open"], F.array(F.struct(depth.alias("depth"), after.alias("begin"))))).when(closes, F.slice(acc["open"], 1, F.size(acc["open"]) - 1)).otherwise(acc["open"])
+        return F.struct(after.alias("at"), depth.alias("depth"), kept.alias("open"), F.when(better, top["begin"]).otherwise(acc["begin"]).alias("begin"), F.when(better, acc["at"]).otherwise(acc["end"]).alias("end"))
+
+    pieces = F.regexp_extract_all(text, F.lit(r"\\boxed\{|[{}]|[^{}\\]+|\\"), F.lit(0))
+    found = F.aggregate(pieces, start, step, lambda acc: F.when(acc["begin"] >= 0, F.substring(text, acc["begin"] + 1, acc["end"] - acc["begin"])))
+    return F.when(F.contains(text, F.lit(r"\boxed{")), found)
 
 
 def math_answer(text: Column | str) -> Column:

@@ -13,10 +13,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.scratch import spread
+from ..sources.scratch import spread, written
 
 SPECIAL = ("<unk>", "<eos>")
-#: Most words of a vocabulary that is sent to every task.
+#: Most words of a vocabulary that is sent to every task; larger ones are joined.
 MOST_TOKENS = 1 << 20
 # Stop words that prose has (Rae et al. 2021).
 STOP_WORDS = ("the", "be", "to", "of", "and", "that", "have", "with")
@@ -31,18 +31,22 @@ def build_vocab(df: DataFrame, size: int, text: str = "text") -> DataFrame:
     return special.unionByName(ranked)
 
 
-def encode_vocab(df: DataFrame, vocab: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def encode_vocab(df: DataFrame, vocab: DataFrame, text: str = "text", key: str = "doc_id", most: int = MOST_TOKENS) -> DataFrame:
     """(key, ids array<bigint>): words to ids in order, 0 for unknown ones; a null text has none.
 
-    The vocabulary, of MOST_TOKENS words at most, is looked up batch by batch
-    where the texts are; nothing is shuffled.
+    A vocabulary of up to `most` words is looked up batch by batch where the
+    texts are; nothing is shuffled. A larger one is joined: words are dealt by
+    themselves, those that a large share of the texts has among several tasks,
+    and ids go back to their text by position.
     """
-    known = vocab.select("token", "id").limit(MOST_TOKENS + 1).toArrow()
-    if known.num_rows > MOST_TOKENS:
-        raise ValueError(f"a vocabulary has {MOST_TOKENS} words at most")
+    slim = spread(df.select(F.col(key).alias("key"), F.col(text).alias("text")))
+    known = vocab.select("token", "id")
+    if known.limit(most + 1).count() > most:
+        return _encoded_by_join(slim, known).withColumnRenamed("key", key)
+    known = known.toArrow()  # `most` rows at most
     shared = df.sparkSession.sparkContext.broadcast((known["token"].combine_chunks(), known["id"].to_numpy()))
     none = F.expr("cast(array() as array<string>)")
-    slim = spread(df.select(F.col(key).alias("key"), F.col(text).alias("text"))).select("key", F.coalesce(T.words(F.lower("text")), none).alias("words"))
+    slim = slim.select("key", F.coalesce(T.words(F.lower("text")), none).alias("words"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, ids = shared.value
@@ -56,6 +60,20 @@ def encode_vocab(df: DataFrame, vocab: DataFrame, text: str = "text", key: str =
     return slim.mapInArrow(run, f"key {dict(slim.dtypes)['key']}, ids array<bigint>").withColumnRenamed("key", key)
 
 
+def _encoded_by_join(slim: DataFrame, known: DataFrame, salts: int = 64) -> DataFrame:
+    """encode_vocab for any vocabulary: a text's distinct words meet the vocabulary, so that a word costs a row for each text, not for each time.
+
+    Rows are numbered and written first, since equal rows are texts of their own.
+    """
+    none = F.expr("cast(array() as array<string>)")
+    rows = written(slim.select(F.monotonically_increasing_id().alias("row"), "key", F.coalesce(T.words(F.lower("text")), none).alias("words")), "words")
+    each = rows.select("row", F.explode(F.array_distinct("words")).alias("token")).withColumn("salt", F.pmod("row", F.lit(salts)))
+    own = known.select("token", F.col("id").cast("long").alias("id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
+    found = each.join(own, ["token", "salt"]).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("ids"))  # a text's distinct words
+    both = rows.join(found, "row", "left")
+    return both.select("key", F.transform("words", lambda w: F.coalesce(F.try_element_at("ids", w), F.lit(0).cast("long"))).alias("ids"))
+
+
 def token_stats(df: DataFrame, by: str = "lang", text: str = "text") -> DataFrame:
     """(by, n_docs, n_tok, p50, longest) of word counts."""
     n = df.select(by, T.word_count(text).alias("n"))
@@ -111,7 +129,7 @@ def exact_dedup(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
 
 def source_cap(df: DataFrame, k: int, by: str = "source", key: str = "doc_id") -> DataFrame:
     """The k rows of the smallest keys of each source."""
-    return df.withColumn("_rank", F.row_number().over(W.partitionBy(by).orderBy(key))).filter(F.col("_rank") <= k).drop("_rank")
+    return df.withColumn("__rank", F.row_number().over(W.partitionBy(by).orderBy(key))).filter(F.col("__rank") <= k).drop("__rank")
 
 
 def hash_split(df: DataFrame, valid_percent: int, key: str = "doc_id") -> DataFrame:
@@ -151,11 +169,11 @@ def loss_mask(turns: DataFrame) -> DataFrame:
 def turn_validation(turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns, contiguous, alternates, system_first) of every conversation."""
     w = W.partitionBy("conv_id").orderBy("turn")
-    rows = turns.withColumn("before", F.lag("role").over(w))
+    rows = turns.select("conv_id", "turn", "role", F.lag("role").over(w).alias("__before"))
     return rows.groupBy("conv_id").agg(
         F.count("*").alias("n_turns"),
         (F.max("turn") == F.count("*") - 1).alias("contiguous"),
-        F.bool_and(F.coalesce(F.col("before") != F.col("role"), F.lit(True))).alias("alternates"),
+        F.bool_and(F.coalesce(F.col("__before") != F.col("role"), F.lit(True))).alias("alternates"),
         F.bool_and((F.col("role") != "system") | (F.col("turn") == 0)).alias("system_first"),
     )
 

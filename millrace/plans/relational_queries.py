@@ -257,10 +257,12 @@ def aggregate_count_min(spark, d):
     return s.select("event_type", number(4, 8).alias("total"), ((number(12, 4) == 5) & (number(16, 4) == 200)).alias("sized"))
 
 
-@query("""SELECT o_orderpriority, string_agg(DISTINCT o_orderstatus, '|' ORDER BY o_orderstatus) AS statuses, mode(o_orderstatus ORDER BY o_orderstatus) IS NOT NULL AS has_mode FROM orders GROUP BY o_orderpriority""")
+@query("""WITH n AS (SELECT o_orderpriority, year(o_orderdate) AS y, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL)
+SELECT o_orderpriority, y, string_agg(o_orderstatus, '|' ORDER BY o_orderstatus) AS statuses, first(o_orderstatus ORDER BY n DESC, o_orderstatus) AS most FROM n GROUP BY o_orderpriority, y""")
 def aggregate_listagg(spark, d):
-    o = _t(spark, d, "orders").groupBy("o_orderpriority")
-    return o.agg(F.array_join(F.sort_array(F.collect_set("o_orderstatus")), "|").alias("statuses"), F.mode("o_orderstatus").isNotNull().alias("has_mode"))
+    """The statuses of a priority and year in order, and the most frequent, of several the first."""
+    o = _t(spark, d, "orders").groupBy("o_orderpriority", F.year("o_orderdate").cast("long").alias("y"))
+    return o.agg(F.expr("listagg(DISTINCT o_orderstatus, '|') WITHIN GROUP (ORDER BY o_orderstatus)").alias("statuses"), F.mode("o_orderstatus", True).alias("most"))
 
 
 @query("""SELECT n_regionkey, string_agg(n_name, '; ' ORDER BY n_name DESC) AS names, string_agg(n_nationkey || '=' || n_name, ',' ORDER BY n_nationkey) AS pairs FROM nation GROUP BY n_regionkey""")
@@ -524,10 +526,16 @@ def scalar_encoding_more(spark, d):
     return _t(spark, d, "pages").select("page_id", F.parse_url(u, F.lit("HOST")).alias("host"), F.parse_url(u, F.lit("PROTOCOL")).alias("scheme"), F.decode(F.unbase64(F.base64(F.encode(u, "UTF-8"))), "UTF-8").alias("back"), F.decode(F.unhex(F.hex(u)), "UTF-8").alias("unhexed"), F.url_decode(F.url_encode(u)).alias("decoded"))
 
 
-@query("""SELECT p_partkey, sha1(p_name) AS s1, sha256(p_name) AS s2, true AS crc_sized, true AS same FROM part""")
+# Checks of the text 123456789 by CRC-32 and of Spark by XXH64 with seed 42.
+KNOWN_CRC, KNOWN_XX = 3421780262, -4294468057691064905
+
+
+@query("""WITH t AS (SELECT p_partkey, p_name, CASE p_partkey % 2 WHEN 0 THEN '123456789' ELSE 'Spark' END AS k FROM part)
+SELECT p_partkey, sha1(p_name) AS s1, sha256(p_name) AS s2, k = '123456789' AS crc_known, k = 'Spark' AS xx_known FROM t""")
 def scalar_hash_more(spark, d):
-    n = F.col("p_name")
-    return _t(spark, d, "part").select("p_partkey", F.sha(n).alias("s1"), F.sha2(n, 0).alias("s2"), F.crc32(n).between(0, 2**32 - 1).alias("crc_sized"), ((F.xxhash64(n) == F.xxhash64(F.concat(n, F.lit("")))) & (F.hash(n) == F.hash(F.concat(n, F.lit(""))))).alias("same"))
+    """Digests of names, and checksums of two known texts: each is right for its own text only."""
+    n, k = F.col("p_name"), F.when(F.col("p_partkey") % 2 == 0, "123456789").otherwise("Spark")
+    return _t(spark, d, "part").select("p_partkey", F.sha(n).alias("s1"), F.sha2(n, 0).alias("s2"), (F.crc32(k) == KNOWN_CRC).alias("crc_known"), (F.xxhash64(k) == KNOWN_XX).alias("xx_known"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 2 END AS b, coalesce(nullif(c_mktsegment, 'MACHINERY'), '-') AS n, c_mktsegment IS DISTINCT FROM 'AUTOMOBILE' AS other, isnan(c_acctbal) AS odd FROM customer")

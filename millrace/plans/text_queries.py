@@ -263,9 +263,9 @@ def turn_validation(spark, d):
     return text.turn_validation(table(spark, d, "conversations"))
 
 
-@query(r"SELECT doc_id, round(len(regexp_extract_all(text, '[0-9+*/=<>^\\]')) / length(text), 6) AS density FROM documents WHERE length(text) > 0")
+@query(r"SELECT doc_id, CASE WHEN length(text) > 0 THEN round(len(regexp_extract_all(text, '[0-9+*/=<>^\\]')) / length(text), 6) ELSE 0.0 END AS density FROM documents")
 def math_density(spark, d):
-    return _docs(spark, d).filter(F.length("text") > 0).select("doc_id", F.round(T.math_density("text"), 6).alias("density"))
+    return _docs(spark, d).select("doc_id", F.round(T.math_density("text"), 6).alias("density"))
 
 
 @query(r"""SELECT doc_id, regexp_replace(coalesce(regexp_extract_all(text, '####\s*(-?[0-9][0-9,]*(?:\.[0-9]+)?)', 1)[-1], regexp_extract_all(text, '\\boxed\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}', 1)[-1]), '(\d),', '\1', 'g') AS answer FROM documents""")

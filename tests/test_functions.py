@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T
 from millrace.operators import text as X
 from millrace.sources import tables
-from millrace.sources.numbers import Numbers
 
 
 def one(spark, value, f):
@@ -73,12 +72,6 @@ def test_formats_round_trip(spark, tmp_path):
     assert tables.read(spark, str(tmp_path / "text"), "text").count() == 20
 
 
-def test_custom_source(spark):
-    spark.dataSource.register(Numbers)
-    rows = spark.read.format("numbers").option("rows", "10").option("parts", "3").load()
-    assert sorted(map(tuple, rows.collect())) == [(k, k * k) for k in range(10)]
-
-
 def test_repetition_of_odd_texts(spark):
     rows = [(1, "a b c a b c a b c"), (2, None), (3, ""), (4, "The end.\nno end\n\nwhy?"), (5, "one two")]
     got = {r.doc_id: r for r in X.text_repetition(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
@@ -116,3 +109,25 @@ def test_scratch_tables_can_be_cleaned_up(spark):
     scratch.remove(t)
     assert not folder.joinpath(t.written_to.rsplit("/", 1)[1]).exists() and u.count() == 5
     assert spark.conf.get(scratch.CLEANUP, "false") == "false"
+
+
+def test_many_boxes_in_one_pass(spark):
+    """Open, closed and nested boxes by the thousand: the last that begins and closes."""
+    text = r"\boxed{" * 300 + "".join(rf"\boxed{{a{{{k}}}}} }} " for k in range(2000)) + r"\boxed{open"
+    assert one(spark, text, T.math_answer) == "a{1999}"
+    assert one(spark, r"a } \boxed{x} } \boxed{y{z}\frac{1}{2}} \boxed{", T.math_answer) == r"y{z}\frac{1}{2}"
+
+
+def test_vocabularies_of_any_size(spark):
+    rows = [(1, "the cat the dog"), (1, "the cat the dog"), (2, None), (3, ""), (None, "unknown cat"), (4, "the " * 500 + "end")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    vocab = spark.createDataFrame([(2, "the"), (3, "cat"), (4, "dog"), (5, "end")], "id bigint, token string")
+    small, large = (sorted((r.doc_id or 0, r.ids) for r in X.encode_vocab(df, vocab, most=m).collect()) for m in (10, 3))
+    assert small == large and small[1] == (1, [2, 3, 2, 4]) and len(small) == 6
+
+
+def test_callers_columns_stay(spark):
+    df = spark.createDataFrame([("a", 1, 9), ("a", 2, 8)], "source string, doc_id int, _rank int")
+    assert [r._rank for r in X.source_cap(df, 1).collect()] == [9]
+    turns = spark.createDataFrame([(1, 0, "user", "hi", "x"), (1, 1, "assistant", "ho", "y")], "conv_id int, turn int, role string, text string, before string")
+    assert [r.alternates for r in X.turn_validation(turns).collect()] == [True]

@@ -20,7 +20,7 @@ COLUMNS = {
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES if name.startswith("op")) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES if name.startswith("op")) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", [name for name in queries.QUERIES if name.startswith("op")])

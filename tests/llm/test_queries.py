@@ -16,6 +16,9 @@ COLUMNS = {
     8: "doc_id n_shingles component_id",
     9: "doc_id held_out lang_pred score",
     10: "doc_id n_assign n_access n_hex base_sha256 spans",
+    11: "vec_id code error label_error codebooks_sha256",
+    12: "doc_id n_shingles component_id kept",
+    13: "vec_id component n deviation whitened explained identity_error",
 }
 
 
@@ -27,8 +30,10 @@ def test_one_query_for_each_operator():
 def test_whole_table(spark, data, name):
     df = queries.QUERIES[name](spark, data)
     assert df.columns == COLUMNS[int(name[2:].split("_")[0])].split()
-    source = "pages" if name.startswith("op7") else "documents"
-    assert df.count() == spark.read.parquet(f"{data}/{source}.parquet").count()
+    n = int(name[2:].split("_")[0])
+    source = {7: "pages", 11: "embeddings", 13: "embeddings"}.get(n, "documents")
+    each = 4 if n == 13 else 1  # rows: one for each component
+    assert df.count() == each * spark.read.parquet(f"{data}/{source}.parquet").count()
 
 
 @pytest.mark.parametrize("name", queries.ORACLE_SQL)

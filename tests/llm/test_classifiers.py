@@ -208,9 +208,27 @@ def test_language_score_is_the_plain_sum():
     assert together[0][1] == model.langs[int(total.argmax())]
 
 
-def test_junk_languages_are_not_all_learned(spark, monkeypatch):
-    monkeypatch.setattr(langid, "MOST_LANGS", 2)
-    rows = [(k, "abc def", "x" if k % 3 else "y") for k in range(30)] + [(100 + k, "ghi", f"junk{k}") for k in range(9)]
+def test_slices_of_languages_give_what_one_matrix_gives(spark, monkeypatch):
+    """Eleven labels, most of them junk, in one slice and in six."""
+    words = ["abc def", "Ghi", "xyz", "zé ñandú", "", None, "12 34", "abcx " * 30]
+    rows = [(k, words[k % len(words)], "x" if k % 3 else "y") for k in range(40)] + [(100 + k, f"ghi {k * 'jk'}", f"junk{k}") for k in range(9)]
+    rows += [(200, "no label", None), (None, "no id", "x"), (5, "abc", "y"), (5, "abc", "y")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     model = langid.fit(df)
-    assert model.langs == ["x", "y"] and langid.predict(df, model).count() == len(rows)
+    whole = sorted(map(tuple, langid.predict(df, model).collect()), key=str)
+    assert not model.further and len(model.langs) > 6
+    monkeypatch.setattr(langid, "SLICE_LANGS", 2)
+    cut = langid.fit(df)
+    assert cut.langs == model.langs[:2] and 2 * len(cut.further) + 2 >= len(model.langs) > 2 * len(cut.further)
+    parts = sorted(map(tuple, langid.predict(df, cut).collect()), key=str)
+    assert len(parts) == len(rows) and [r[:3] for r in parts] == [r[:3] for r in whole]
+    assert all(abs(a[3] - b[3]) < 1e-6 for a, b in zip(parts, whole, strict=True))
+
+
+def test_ties_between_slices_go_to_the_first_language():
+    row = np.log(np.full((1, langid.BUCKETS), 1 / langid.BUCKETS))
+    one, two = (langid.Model([x], row, np.log(np.array([0.5]))) for x in "ab")
+    both = langid.Model(["a", "b"], np.concatenate([row, row]), np.log(np.array([0.5, 0.5])))
+    texts = ["hello", "", None, "7"]
+    lang, _, mass = langid.better(one.parts(texts), two.parts(texts))
+    assert lang == ["a", "und", "und", "und"] and langid.shares(mass).tolist() == both.score(texts)[1].tolist() == [0.5, 0.0, 0.0, 0.0]

@@ -110,7 +110,7 @@ def _boxed(text: Column) -> Column:
 
 def math_answer(text: Column | str) -> Column:
     """The last answer after ####, or else in \\boxed{..}, braces nested to any depth; thousands separators go. Null if there is none."""
-    marked = F.regexp_extract_all(_col(text), F.lit(r"####\s*(-?[0-9][0-9,]*(?:\.[0-9]+)?)"), F.lit(1))
+    marked = F.regexp_extract_all(_col(text), F.lit(r"####\s*(-?[0-9](?:[0-9,]*[0-9])?(?:\.[0-9]+)?)"), F.lit(1))
     found = F.coalesce(F.try_element_at(marked, F.lit(-1)), _boxed(_col(text)))
     return F.regexp_replace(found, r"(?<=\d),(?=\d)", "")
 

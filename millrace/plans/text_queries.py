@@ -268,7 +268,7 @@ def math_density(spark, d):
     return _docs(spark, d).select("doc_id", F.round(T.math_density("text"), 6).alias("density"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(coalesce(regexp_extract_all(text, '####\s*(-?[0-9][0-9,]*(?:\.[0-9]+)?)', 1)[-1], regexp_extract_all(text, '\\boxed\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}', 1)[-1]), '(\d),', '\1', 'g') AS answer FROM documents""")
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(coalesce(regexp_extract_all(text, '####\s*(-?[0-9](?:[0-9,]*[0-9])?(?:\.[0-9]+)?)', 1)[-1], regexp_extract_all(text, '(?s).*\\boxed\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}', 1)[-1]), '(\d),(\d)', '\1\2', 'g'), '(\d),(\d)', '\1\2', 'g') AS answer FROM documents""")
 def math_answer(spark, d):
     return _docs(spark, d).select("doc_id", T.math_answer("text").alias("answer"))
 

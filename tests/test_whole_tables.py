@@ -1,6 +1,7 @@
 """Queries that take whole tables: against their SQL at a size where a subset of ids would show."""
 
 import os
+import re
 
 import oracle
 import pytest
@@ -63,3 +64,14 @@ def test_stream_flushes_what_is_left_of_several_batches(spark, tmp_path):
     stream = spark.readStream.schema("source string, n bigint").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = windows.flushed(windows.finished(windows.pack_stream(stream, 8, rest=True), "append")).collect()
     assert sorted(map(tuple, got)) == [("a", 0, 8), ("a", 1, 7), ("b", 0, 8), ("b", 1, 8)]
+
+
+def test_no_query_keeps_a_range_of_ids():
+    """Bounds on a key column would make a query run on a subset; comparisons of keys with other columns don't."""
+    bound = re.compile(r"\b(?:[a-z]{1,2}_\w*key|doc_id|vec_id|page_id|event_id|conv_id|user_id)\s*(?:<=?|BETWEEN)\s*\d", re.IGNORECASE)
+    assert {name: m.group() for name, sql in catalog.ORACLE_SQL.items() if (m := bound.search(sql))} == {}
+
+
+@pytest.mark.parametrize("name", ["join_full", "math_density", "math_answer"])
+def test_all_rows_of_joins_and_answers(spark, con, name):
+    assert oracle.differences(catalog.QUERIES[name](spark, LARGER), con, catalog.ORACLE_SQL[name]) == []

@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 
 from .common import lean, spread, text_slices
 
-#: Pre-tokens whose ids a worker keeps, in two generations: when one is full the older one goes, but for what was met again. Results don't depend on it.
+#: Pre-tokens whose ids a worker keeps, about 210 bytes each, in two generations: when one is full the older one goes, but for what was met again. Results don't depend on it.
 CACHE_ENTRIES = 300_000
+#: As many where encoding is all that a worker does. They outlive a task, so that the next one needn't merge them again.
+LASTING_ENTRIES = 1_000_000
 #: Pre-tokens merged together: their lists stay in a processor's cache.
 MERGED = 1_500
 #: Longer pre-tokens aren't kept.
@@ -57,13 +59,6 @@ class RankQueue:
         self.words: dict[int, int] = {}
         self.top = 0
 
-    def push(self, rank: int, at: int) -> None:
-        waiting = self.buckets.get(rank)
-        if waiting is None:
-            self.put(rank, [at])
-        else:
-            waiting.append(at)
-
     def put(self, rank: int, positions: list[int]) -> None:
         """A bucket that wasn't there."""
         self.buckets[rank] = positions
@@ -88,8 +83,9 @@ class RankQueue:
 class Codec:
     """Encodes texts to packed little-endian 32-bit ids, and ids to bytes."""
 
-    def __init__(self, tokens: list[bytes], pattern: str) -> None:
+    def __init__(self, tokens: list[bytes], pattern: str, entries: int | None = None) -> None:
         self.tokens = tokens
+        self.entries = entries or CACHE_ENTRIES
         self.ranks = {t: k for k, t in enumerate(tokens)}
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         self.pairs = self._pairs()
@@ -131,7 +127,7 @@ class Codec:
         ranks = np.append(self.of_bytes[symbols[:-1], symbols[1:]], -1)
         rank_at = ranks.tolist()
         queue = RankQueue()
-        push = queue.push
+        waiting = queue.buckets.get
         places = np.flatnonzero(ranks >= 0)
         places = places[np.argsort(ranks[places], kind="stable")]
         if len(places):
@@ -150,13 +146,19 @@ class Codec:
                 after[at], before[right] = right, at
                 made = rank_at[at] = pair(base | ids[right], -1)
                 if made >= 0:
-                    push(made, at)
+                    if (bucket := waiting(made)) is None:
+                        queue.put(made, [at])
+                    else:
+                        bucket.append(at)
                 left = before[at]
                 lower = pair(ids[left] << 32 | rank, -1)
                 if rank_at[left] != lower:
                     rank_at[left] = lower
                     if lower >= 0:
-                        push(lower, left)
+                        if (bucket := waiting(lower)) is None:
+                            queue.put(lower, [left])
+                        else:
+                            bucket.append(left)
                 if 0 <= made < rank or 0 <= lower < rank:  # goes first
                     if k + 1 < len(positions):
                         queue.put(rank, positions[k + 1 :])
@@ -168,12 +170,12 @@ class Codec:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
-        if len(self.cache) > CACHE_ENTRIES // 2:
+        if len(self.cache) > self.entries // 2:
             self.cache, self.older = {}, self.cache
         cache, older, ranks = self.cache, self.older, self.ranks
         cut = [self.find(t) for t in texts]
         here = {}
-        for p in {p for pieces in cut for p in pieces}.difference(cache):
+        for p in set().union(*cut).difference(cache):
             known = older.get(p)
             if known is None:
                 here[p] = p.encode()
@@ -189,7 +191,8 @@ class Codec:
         for i in range(0, len(split), MERGED):
             part = split[i : i + MERGED]
             cache.update(zip(part, self.merge([here[p] for p in part]), strict=True))
-        out = [b"".join([cache[p] for p in pieces]) for pieces in cut]
+        cached = cache.__getitem__
+        out = [b"".join(map(cached, pieces)) for pieces in cut]
         for p in here:
             if len(p) > CACHE_CHARS:
                 del cache[p]
@@ -200,20 +203,19 @@ class Codec:
         self.cache, self.older = {}, {}
 
     def decode(self, packed: bytes) -> bytes:
-        tokens = self.tokens
-        return b"".join([tokens[k] for k in np.frombuffer(packed, "<u4").tolist()])
+        return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
-_made: dict[tuple[int, str], Codec] = {}
+_made: dict[tuple[int, str, int], Codec] = {}
 
 
-def _worker_codec(shared, pattern: str) -> Codec:
-    """One codec for each worker process and vocabulary; its cache lives as long as a task."""
+def _worker_codec(shared, pattern: str, entries: int) -> Codec:
+    """One codec for each worker process, vocabulary and size of its cache."""
     tokens = shared.value
-    key = (crc32(b"\0".join(tokens)), pattern)
+    key = (crc32(b"\0".join(tokens)), pattern, entries)
     if key not in _made:
         _made.clear()
-        _made[key] = Codec(tokens, pattern)
+        _made[key] = Codec(tokens, pattern, entries)
     return _made[key]
 
 
@@ -224,7 +226,7 @@ def encode_documents(df: DataFrame, ranks_path: str, pattern: str, text: str = "
     id_type = slim.schema["id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _worker_codec(shared, pattern)
+        codec = _worker_codec(shared, pattern, CACHE_ENTRIES)
         for b in batches:
             for i, j, texts in text_slices(b):
                 yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), pa.array(codec.encode_all(texts), pa.binary())], ["id", "ids"])
@@ -240,30 +242,36 @@ def decode_documents(df: DataFrame, ranks_path: str, ids: str = "ids", id_col: s
     id_type = slim.schema["id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = shared.value
+        token = shared.value.__getitem__
         for b in batches:
             packed = b.column("ids")
             for i in range(0, b.num_rows, 256):
                 part = packed.slice(i, 256)
-                out = [b"".join([tokens[k] for k in np.frombuffer(x, "<u4").tolist()]) for x in part.to_pylist()]
+                out = [b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in part.to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("id").slice(i, 256), part, pa.array(out, pa.binary())], ["id", "ids", "decoded"])
 
     return slim.mapInArrow(lean(run), f"id {id_type}, ids binary, decoded binary").withColumnRenamed("id", id_col)
 
 
-def token_digests(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) of each document, encoded and decoded again in one worker."""
+def token_digests(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", id_col: str = "doc_id", lasting: bool = False) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256) of each document, encoded and decoded again in one worker.
+
+    A `lasting` cache is larger and outlives the task, which takes up to 210 MB of
+    each worker until it ends; the other one is emptied with the task.
+    """
+    entries = LASTING_ENTRIES if lasting else CACHE_ENTRIES
     shared = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     slim = spread(df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")))
     id_type = slim.schema["id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _worker_codec(shared, pattern)
+        codec = _worker_codec(shared, pattern, entries)
         for b in batches:
             for i, j, texts in text_slices(b):
                 ids = codec.encode_all(texts)
                 digests = [[sha256(x).hexdigest() for x in ids], [sha256(codec.decode(x)).hexdigest() for x in ids]]
                 yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), pa.array([len(x) // 4 for x in ids], pa.int64()), *(pa.array(d, pa.string()) for d in digests)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        codec.forget()  # a worker lives on for other stages
+        if not lasting:
+            codec.forget()  # a worker lives on for other stages
 
     return slim.mapInArrow(lean(run), f"id {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

@@ -59,6 +59,7 @@ def test_edge_rows(spark):
         assert r.ids_sha256 == hashlib.sha256(b"".join(k.to_bytes(4, "little") for k in expected)).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
     assert bpe.token_digests(empty(spark), PATH, PATTERN).count() == 0
+    assert sorted(map(str, bpe.token_digests(edge(spark), PATH, PATTERN, lasting=True).collect())) == sorted(map(str, bpe.token_digests(edge(spark), PATH, PATTERN).collect()))
 
 
 def test_ids_do_not_depend_on_the_cache(monkeypatch):

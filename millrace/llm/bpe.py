@@ -18,6 +18,7 @@ import base64
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
 from struct import pack
+from uuid import uuid4
 from zlib import crc32
 
 import numpy as np
@@ -30,7 +31,7 @@ from .common import lean, spread, text_slices
 
 #: Pre-tokens whose ids a worker keeps, about 210 bytes each, in two generations: when one is full the older one goes, but for what was met again. Results don't depend on it.
 CACHE_ENTRIES = 300_000
-#: As many where encoding is all that a worker does. They outlive a task, so that the next one needn't merge them again.
+#: As many where encoding is all that a worker does. They outlive a task, but not a query, so that the next task needn't merge them again.
 LASTING_ENTRIES = 1_000_000
 #: Pre-tokens merged together: their lists stay in a processor's cache.
 MERGED = 1_500
@@ -96,6 +97,7 @@ class Codec:
         self.find = regex.compile(pattern).findall
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.call = ""
 
     def _pairs(self) -> dict[int, int]:
         """left id << 32 | right id -> id of both joined, for all that may be merged."""
@@ -202,6 +204,12 @@ class Codec:
         """Empties the cache."""
         self.cache, self.older = {}, {}
 
+    def begin(self, call: str) -> None:
+        """Empties what another call left in the cache."""
+        if call != self.call:
+            self.forget()
+            self.call = call
+
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
@@ -256,16 +264,18 @@ def decode_documents(df: DataFrame, ranks_path: str, ids: str = "ids", id_col: s
 def token_digests(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", id_col: str = "doc_id", lasting: bool = False) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of each document, encoded and decoded again in one worker.
 
-    A `lasting` cache is larger and outlives the task, which takes up to 210 MB of
-    each worker until it ends; the other one is emptied with the task.
+    A `lasting` cache is larger and serves all tasks of a worker that belong to
+    the same call, which takes up to 210 MB of each worker until it ends; the other
+    one is emptied with the task.
     """
-    entries = LASTING_ENTRIES if lasting else CACHE_ENTRIES
+    entries, call = LASTING_ENTRIES if lasting else CACHE_ENTRIES, uuid4().hex
     shared = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     slim = spread(df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")))
     id_type = slim.schema["id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _worker_codec(shared, pattern, entries)
+        codec.begin(call)
         for b in batches:
             for i, j, texts in text_slices(b):
                 ids = codec.encode_all(texts)

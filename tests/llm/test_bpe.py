@@ -71,3 +71,13 @@ def test_ids_do_not_depend_on_the_cache(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_ENTRIES", 10)
     small = bpe.Codec(tokens, public_tokenizers.PATTERN)
     assert [small.encode_all([t])[0] for t in texts] == want == small.encode_all(texts) and len(small.older) < len(large.cache)
+
+
+def test_a_call_begins_with_an_empty_cache():
+    codec = bpe.Codec(bpe.read_ranks(PATH), PATTERN)
+    codec.begin("one")
+    codec.encode_all(["several words here"])
+    codec.begin("one")
+    assert codec.cache
+    codec.begin("two")
+    assert not codec.cache and not codec.older

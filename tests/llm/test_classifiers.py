@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -232,3 +233,37 @@ def test_ties_between_slices_go_to_the_first_language():
     texts = ["hello", "", None, "7"]
     lang, _, mass = langid.better(one.parts(texts), two.parts(texts))
     assert lang == ["a", "und", "und", "und"] and langid.shares(mass).tolist() == both.score(texts)[1].tolist() == [0.5, 0.0, 0.0, 0.0]
+
+
+def plain_word_features(text, words, stems):
+    """The fifteen word features of a text, each counted on its own, one pair of words at a time."""
+    found = toxicity.words_of(text)
+    m = len(found)
+    if not m:
+        return [0.0] * 15
+    odd = [not w.isalpha() for w in found]
+    plain = ["".join(toxicity._plain.get(ord(c), c) or "" for c in w) for w in found]
+    read = [p if o and (p in toxicity.INSULTS or p in words) else w for w, p, o in zip(found, plain, odd, strict=True)]
+    known = [words[w] for w in read if w in words]
+    hits = [i for i, w in enumerate(read) if w in words or w in toxicity.INSULTS]
+    begun = [stems[w[: toxicity.STEM]] for w in found if w[: toxicity.STEM] in stems]
+    second = [i for i, w in enumerate(found) if w in toxicity.SECOND]
+    near = sum(any(abs(i - j) <= toxicity.NEAR for j in second) for i in hits)
+    fixed = sum(w in toxicity.INSULTS for w in read)
+    odd_hits = sum(o and (p in toxicity.INSULTS or p in words) for p, o in zip(plain, odd, strict=True))
+    return [
+        math.log1p(m), len(known), len(known) / m, sum(known) / m, max(known, default=0), fixed, fixed / m, len(begun), len(begun) / m, max(begun, default=0),
+        near / m, len(second) / m, sum(odd) / m, odd_hits / m, len({found[i] for i in hits}),
+    ]
+
+
+def test_features_of_words_by_plain_counting():
+    words = {"vile": 2.0, "rotten": 1.75, "idiot": 3.0, "grim": 2.25}
+    stems = {"rotte": 1.5, "vilen": 2.5}
+    pool = "you vile r0tten id10t 1d!ot grim, the a_b stupid du st@pid m0r0n Vileness rottenly your x9 nice day and IDIOT! tu".split()
+    draw = random.Random(5)
+    texts = [" ".join(draw.choices(pool, k=draw.randrange(0, 60))) for _ in range(200)] + ["", " ", "!!!", "vile", "you", "you a b c vile", "you a b c d vile"]
+    got = toxicity.Lexicon(words, stems).features(texts)[:, :15]
+    want = np.array([plain_word_features(t, words, stems) for t in texts])
+    assert want.any(0).all()  # every feature occurs
+    assert np.allclose(got, want, atol=1e-12)

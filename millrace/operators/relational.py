@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ranges import PART, dealt, last_known, running, sums_before, with_range
+from .ranges import PART, dealt, last_known, running, sums, sums_before, with_range
 
 
 def _unlike(df: DataFrame, *names: str) -> None:
@@ -109,6 +109,38 @@ def overlap_join(left: DataFrame, right: DataFrame, low: str, high: str, other_l
     return both.filter(F.col("__cell") == _cell(F.greatest(low, other_low), F.col("__level"))).drop("__level", "__cell", "__own", "__other")
 
 
+def overlap_totals(left: DataFrame, right: DataFrame, low: str, high: str, other_low: str, other_high: str, by: str, value: str, n: str = "n", total: str = "total") -> DataFrame:
+    """(by, n, total) of the pairs with low < other_high and other_low < high: how many, and their sum of left's whole number `value`; left's low is below its high.
+
+    No pair is made: of the intervals that begin before a row's end, those that
+    end by its begin don't meet it. Both numbers are running sums over one order
+    of all ends. Rows of right that end before they begin get back the intervals
+    within that gap, which were taken off without having been counted. Nulls
+    match nothing.
+    """
+    a = left.filter(F.col(low) < F.col(high)).select(F.col(low).alias("__low"), F.col(high).alias("__high"), F.col(value).cast("long").alias("__value"))
+    b = right.filter(F.col(other_low).isNotNull() & F.col(other_high).isNotNull()).select(F.col(by).alias("__by"), F.col(other_low).alias("__begins"), F.col(other_high).alias("__ends"))
+    key, none = b.schema["__by"].dataType, F.lit(0).cast("long")
+
+    def ends(at: str, turn: int, *figures: tuple[str, ...]) -> DataFrame:
+        """Left's begins or ends, a row for each; at one time, asked-for ends come before begins and ends before asked-for begins."""
+        own = a.groupBy(F.col(at).alias("__at")).agg(F.count("*").alias("__c"), F.coalesce(F.sum("__value"), none).alias("__s"))
+        return own.select("__at", F.lit(turn).alias("__turn"), none.alias("__tie"), F.lit(None).cast(key).alias("__by"), F.lit(0).alias("__sign"), *[(F.col(c) if c in ("__c", "__s") else none).alias(x) for x, c in figures])
+
+    def asked(at: str, turn: int, sign: int) -> DataFrame:
+        return b.select(F.col(at).alias("__at"), F.lit(turn).alias("__turn"), F.xxhash64("__by").alias("__tie"), "__by", F.lit(sign).alias("__sign"), *[none.alias(x) for x in names])
+
+    names = ("__c1", "__s1", "__c2", "__s2")  # of begins, of ends
+    rows = ends("__low", 1, *zip(names, ("__c", "__s", "", ""), strict=True)).unionByName(ends("__high", 0, *zip(names, ("", "", "__c", "__s"), strict=True)))
+    rows = rows.unionByName(asked("__ends", 0, 1)).unionByName(asked("__begins", 1, -1))
+    seen = running(rows, (), ["__at", "__turn", "__tie"], {f"{x}_before": sums(F.col(x)) for x in names}).filter("__sign != 0")
+    pick = lambda x: F.when(F.col("__sign") == 1, F.col(f"__{x}1_before")).otherwise(-F.col(f"__{x}2_before"))
+    parts = seen.select("__by", pick("c").alias("__n"), pick("s").alias("__total"))
+    gaps = range_join(a, b, "__low", "__ends", "__begins").filter(F.col("__high") <= F.col("__begins")).select("__by", F.lit(1).cast("long").alias("__n"), F.coalesce("__value", none).alias("__total"))
+    sums_ = parts.unionByName(gaps).groupBy("__by").agg(F.sum("__n").alias(n), F.sum("__total").alias(total))
+    return sums_.filter(F.col(n) > 0).select(F.col("__by").alias(by), n, total)
+
+
 def top_k(df: DataFrame, by: str, order: list[Column], k: int, name: str = "rank") -> DataFrame:
     """The first k rows of each group, with their rank; Spark limits each group before the shuffle."""
     _unlike(df, name)

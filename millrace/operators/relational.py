@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
 from .ranges import PART, dealt, last_known, running, sums, sums_before, with_range
 
 
@@ -141,6 +142,40 @@ def overlap_totals(left: DataFrame, right: DataFrame, low: str, high: str, other
     return sums_.filter(F.col(n) > 0).select(F.col("__by").alias(by), n, total)
 
 
+def range_least(points: DataFrame, ranges: DataFrame, value: str, least: str, low: str, high: str, by: str, n: str = "n", name: str = "least") -> DataFrame:
+    """(by, n, name) of the pairs with low <= value < high: how many, and their smallest `least`.
+
+    No pair is made: the distinct values are numbered, a range is a stretch of
+    numbers, and a stretch of any length is made of two cells of each power of two
+    at most, whose least is known. Nulls, NaN and empty ranges match nothing.
+    """
+    known = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    plain = lambda c: F.col(c).cast("double") + F.lit(0.0)  # noqa: E731  (one zero)
+    p = points.filter(known(value)).groupBy(plain(value).alias("__at")).agg(F.count("*").alias("__c"), F.min(least).alias("__least"))
+    r = ranges.filter((F.col(low) < F.col(high)) & known(low) & known(high)).select(F.col(by).alias("__by"), plain(low).alias("__low"), plain(high).alias("__high"))
+    bounds, zero = r.select("__low", "__high").distinct(), F.lit(0).cast("long")
+    rows = p.select("__at", F.lit(2).alias("__side"), zero.alias("__tie"), F.lit(None).cast("double").alias("__low"), F.lit(None).cast("double").alias("__high"), F.lit(1).cast("long").alias("__one"), "__c", "__least")
+    nothing = F.lit(None).cast(p.schema["__least"].dataType).alias("__least")
+    for side, c in enumerate(("__low", "__high")):  # before a point at the same value
+        rows = rows.unionByName(bounds.select(F.col(c).alias("__at"), F.lit(side).alias("__side"), F.xxhash64("__low", "__high").alias("__tie"), "__low", "__high", zero.alias("__one"), zero.alias("__c"), nothing))
+    seen = written(running(rows, (), ["__at", "__side", "__tie"], {"__place": sums(F.col("__one")), "__before": sums(F.col("__c"))}), "places")
+    values = seen.filter("__side = 2").select("__place", "__least")
+    m = values.count()
+    top = max(m - 1, 0).bit_length()
+    levels = F.array(*map(F.lit, range(top + 1)))
+    cells = values.select("__place", "__least", F.explode(levels).alias("__level")).groupBy("__level", F.expr("shiftright(__place, __level)").alias("__cell")).agg(F.min("__least").alias("__least"))
+    at = lambda side, c: F.max(F.when(F.col("__side") == side, F.col(c)))
+    stretches = seen.filter("__side < 2").groupBy("__low", "__high").agg(at(0, "__place").alias("__a"), at(1, "__place").alias("__b"), (at(1, "__before") - at(0, "__before")).alias("__n")).filter("__n > 0")
+    stretches = stretches.withColumn("__b", F.when(F.col("__b") == m, F.lit(1 << top)).otherwise(F.col("__b")))  # nothing comes after the last
+    found = []
+    for k in range(top + 1):
+        a, b = F.expr(f"shiftright(__a + {(1 << k) - 1}, {k})"), F.expr(f"shiftright(__b, {k})")
+        found += [F.when((a < b) & (a % 2 == 1), F.struct(F.lit(k).alias("level"), a.alias("cell"))), F.when((a < b) & (b % 2 == 1), F.struct(F.lit(k).alias("level"), (b - 1).alias("cell")))]
+    asked = stretches.select("__low", "__high", "__n", F.explode(F.array_compact(F.array(*found))).alias("__x")).select("__low", "__high", "__n", F.col("__x.level").alias("__level"), F.col("__x.cell").alias("__cell"))
+    leasts = asked.join(cells, ["__level", "__cell"]).groupBy("__low", "__high").agg(F.first("__n").alias("__n"), F.min("__least").alias("__least"))
+    return r.join(leasts, ["__low", "__high"]).groupBy(F.col("__by").alias(by)).agg(F.sum("__n").alias(n), F.min("__least").alias(name))
+
+
 def top_k(df: DataFrame, by: str, order: list[Column], k: int, name: str = "rank") -> DataFrame:
     """The first k rows of each group, with their rank; Spark limits each group before the shuffle."""
     _unlike(df, name)

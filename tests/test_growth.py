@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import re
 
 import oracle
 from pyspark.sql import functions as F
@@ -50,3 +51,28 @@ def test_overlap_totals_of_odd_rows(spark):
                 want[k] = (n + 1, s + (v or 0))
     got = {x.k: (x.n, x.total) for x in R.overlap_totals(left, right, "a", "b", "c", "d", "k", "v").collect()}
     assert got == want and R.overlap_totals(left.limit(0), right, "a", "b", "c", "d", "k", "v").count() == 0
+
+
+def test_range_least_without_pairs(spark):
+    r = random.Random(8)
+    nan, inf = float("nan"), float("inf")
+    for size in (0, 1, 2, 37, 256):
+        points = [(r.randrange(9999), r.choice([None, nan, inf, -0.0, 0.0, *[float(r.randrange(-50, 200)) for _ in range(9)]])) for _ in range(size)]
+        ranges = [(r.randrange(80), low, None if low is None else low + r.choice([0.0, -3.0, 0.5, 1.0, 20.0, 1e7])) for low in [None, nan, -inf, 0.0, -0.0, *[float(r.randrange(-60, 210)) for _ in range(140)]]]
+        p, s = spark.createDataFrame(points, "s bigint, x double"), spark.createDataFrame(ranges, "k bigint, low double, high double")
+        want = {}
+        for k, low, high in ranges:
+            for i, x in points:
+                if None not in (x, low, high) and low <= x < high:
+                    n, least = want.get(k, (0, i))
+                    want[k] = (n + 1, min(least, i))
+        assert {x.k: (x.n, x.least) for x in R.range_least(p, s, "x", "s", "low", "high", "k").collect()} == want
+
+
+def test_wide_ranges_meet_cells_not_points(spark):
+    """2,000 ranges over all of 2,000 points: by pairs 4 million rows, here cells by power of two."""
+    p, s = spark.range(2000).selectExpr("id AS s", "CAST(id * 3 AS DOUBLE) AS x"), spark.range(2000).selectExpr("id AS k", "-1.0D - id AS low", "1e9D AS high")
+    out = R.range_least(p, s, "x", "s", "low", "high", "k")
+    assert [tuple(x) for x in out.groupBy("n", "least").count().collect()] == [(2000, 0, 2000)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "__cell" in plan and not re.search(r"\bx#", plan)  # points meet no range

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -133,12 +135,17 @@ def map_arrow(spark, d):
 
 @query("SELECT event_type, event_id, value - avg(value) OVER (PARTITION BY event_type, user_id) > 0 AS above FROM events")
 def apply_pandas(spark, d):
-    """Groups of one type and user, each as large as one user's events."""
+    """Groups of one type and user, each as large as one user's events. The mean is of the sum rounded once, so it doesn't go by the order in which rows arrive."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        return p.assign(above=p["value"] > p["value"].mean())[["event_type", "event_id", "above"]]
-
-    e = table(spark, d, "events").select("event_type", "event_id", "user_id", "value")
+        value, missing = p["value"].to_numpy(), p["missing"].to_numpy()
+        known = value[~missing]
+        total = math.fsum(known) if np.isfinite(known).all() else known.sum()
+        over = value - total / max(len(known), 1)
+        above = (over > 0) | np.isnan(over)  # not a number is above any, as in the SQL
+        return pd.DataFrame({"event_type": p["event_type"], "event_id": p["event_id"], "above": pd.arrays.BooleanArray(above, missing)})
+
+    e = table(spark, d, "events").select("event_type", "event_id", "user_id", F.coalesce("value", F.lit(0.0)).alias("value"), F.isnull("value").alias("missing"))
     return e.groupBy("event_type", "user_id").applyInPandas(run, "event_type string, event_id bigint, above boolean")
 
 

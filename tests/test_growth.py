@@ -100,3 +100,17 @@ def test_nearest_by_products_of_matrices(spark, tmp_path, monkeypatch):
         assert same(spark, d, "nearest_vectors", "embeddings", text=True) == [], name
     plan = catalog.QUERIES["nearest_vectors"](spark, str(tmp_path / "plain"))._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroups" in plan and "Join" not in plan
+
+
+def test_means_do_not_go_by_the_order_of_rows(spark, tmp_path):
+    """The group's mean is the value of one of its events, and sums in some orders miss it; odd values are as in the SQL."""
+    values = [9.64, 132.19, 42.74, 56.99, 65.17, 39.27, 0.4, 19.34, 13.2, 52.04, 37.53, 2.73]
+    day, got = datetime.datetime(2024, 1, 1), set()
+    for turn in range(12):
+        rows = [(k, day, 1, "purchase", v, "{}") for k, v in enumerate(values[turn:] + values[:turn])]
+        d = folder(spark, tmp_path / str(turn), events=events(spark, rows))
+        got.add(next(r.above for r in catalog.QUERIES["apply_pandas"](spark, d).collect() if rows[r.event_id][4] == 39.27))
+    assert got == {False}
+    odd = [("a", None), ("a", 1.0), ("b", None), ("c", 1.0), ("c", float("nan")), ("d", float("inf")), ("d", 1.0), ("e", float("inf")), ("e", float("-inf")), (None, 2.0), (None, 4.0)]
+    d = folder(spark, tmp_path / "odd", events=events(spark, [(k, day, 1, t, v, "{}") for k, (t, v) in enumerate(odd)]))
+    assert same(spark, d, "apply_pandas", "events") == []

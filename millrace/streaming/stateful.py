@@ -1,4 +1,4 @@
-"""Custom state by key: blocks that close by size or by an event-time timer, and counts in a map that forgets.
+"""Custom state by key: blocks that close by size or by an event-time timer, and counts of kinds that are forgotten.
 
 All of these need the RocksDB state store (windows.rocksdb). A key's rows of one
 micro-batch are gathered, so the size of a batch bounds what a task holds; a key
@@ -7,6 +7,7 @@ with a large share of all rows can be dealt to several lanes.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -87,37 +88,41 @@ def timed_blocks(stream: DataFrame, length: int, key: str = "source", order: str
 
 
 class _Kinds(StatefulProcessor):
-    """Rows of each kind so far, as a map; a kind not seen for a while is forgotten."""
+    """Rows of each kind so far, of all keys of a bucket: read and kept as a whole once a micro-batch. A kind not seen for a while is forgotten."""
 
     def __init__(self, forget_ms: int | None) -> None:
         self.forget_ms = forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kinds = handle.getMapState("kinds", "kind string", "n bigint", self.forget_ms)
+        self.state = handle.getValueState("kinds", "keys array<string>, kinds array<string>, counts array<bigint>, seen array<bigint>", self.forget_ms)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        more: dict[str, int] = {}
+        more = Counter()
         for p in rows:
-            for kind, n in p["kind"].value_counts(dropna=False).items():
-                kind = "" if kind != kind or kind is None else kind
-                more[kind] = more.get(kind, 0) + int(n)
-        for kind, n in more.items():
-            more[kind] = n + (self.kinds.getValue((kind,))[0] if self.kinds.containsKey((kind,)) else 0)
-            self.kinds.updateValue((kind,), (more[kind],))
-        known = sorted(k[0] for k in self.kinds.keys())  # noqa: SIM118
-        yield pd.DataFrame([(key[0], kind, n, len(known)) for kind, n in more.items()], columns=["key", "kind", "n", "known"])
+            more.update(zip(p["key"], p["kind"], strict=True))
+        now = 0 if self.forget_ms is None else timerValues.getCurrentProcessingTimeInMs()
+        before = self.state.get()
+        counts = {(k, kind): (n, at) for k, kind, n, at in zip(*before, strict=True) if self.forget_ms is None or now < at + self.forget_ms} if before else {}
+        for pair, n in more.items():
+            counts[pair] = counts.get(pair, (0, 0))[0] + n, now
+        self.state.update(tuple(map(list, zip(*[(*pair, *c) for pair, c in counts.items()], strict=True))))
+        known = Counter(k for k, _ in counts)
+        yield pd.DataFrame([(k, kind, counts[k, kind][0], known[k]) for k, kind in more], columns=["key", "kind", "n", "known"])
 
     def close(self) -> None:
         pass
 
 
-def running_kinds(stream: DataFrame, key: str = "user_id", kind: str = "event_type", forget: int | None = None) -> DataFrame:
+def running_kinds(stream: DataFrame, key: str = "user_id", kind: str = "event_type", forget: int | None = None, buckets: int = 1024) -> DataFrame:
     """(key, kind, n, known): after each micro-batch the rows so far of the kinds it touched, and how many kinds the key has.
 
     forget: seconds of processing time after which a kind that no row touched
     counts as never seen; such a stream goes on until it is stopped, as time may
     always change it, so it has no end to run to. A null kind is the empty one.
+    buckets: parts that the keys are dealt to by hash. What a bucket's keys have
+    is one state, so that a key costs no calls of its own; give more for more keys.
     """
-    rows = stream.select(F.col(key).alias("key"), F.col(kind).alias("kind")).groupBy("key")
-    out = rows.transformWithStateInPandas(_Kinds(None if forget is None else 1000 * forget), f"key {dict(stream.dtypes)[key]}, kind string, n bigint, known bigint", "append", "None" if forget is None else "ProcessingTime")
-    return out.withColumnsRenamed({"key": key, "kind": kind})
+    own = F.col(key).cast("string").alias("key")  # a number that may be null would lose digits in pandas
+    rows = stream.select(F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket"), own, F.coalesce(kind, F.lit("")).alias("kind")).groupBy("bucket")
+    out = rows.transformWithStateInPandas(_Kinds(None if forget is None else 1000 * forget), "key string, kind string, n bigint, known bigint", "append", "None" if forget is None else "ProcessingTime")
+    return out.select(F.col("key").cast(dict(stream.dtypes)[key]).alias(key), F.col("kind").alias(kind), "n", "known")

@@ -6,11 +6,14 @@ import re
 from collections import Counter
 
 import oracle
+import pandas as pd
 from pyspark.sql import functions as F
 
 from millrace.operators import relational as R
 from millrace.operators import vectors
 from millrace.plans import catalog
+from millrace.streaming import arrivals, stateful
+from millrace.streaming import windows as S
 
 
 def folder(spark, tmp_path, **tables):
@@ -142,3 +145,30 @@ def test_no_sketch_is_kept_for_each_row(spark, tmp_path):
     plan = catalog.QUERIES["aggregate_sketches"](spark, d)._jdf.queryExecution().executedPlan().toString()
     sketched = [line for line in plan.splitlines() if "sketch" in line and "Aggregate(" in line]
     assert sketched and not any(re.search(r"keys=\[[^\]]*event_id", line) for line in sketched) and " percentile(" not in plan
+
+
+def test_kinds_cost_no_calls_for_each_key(spark):
+    """All keys of a bucket are one state, large and null ones among them; an earlier batch's counts go on."""
+    large = 2**53 + 1
+    rows = [(k, ["a", None, "c"][k % 3], large + k % 50 if k % 7 else None, k % 3) for k in range(600)]
+    df = spark.createDataFrame(rows, "id bigint, kind string, who bigint, batch bigint")
+    with S.rocksdb(spark):
+        got = S.finished(stateful.running_kinds(arrivals.in_turns(df, F.col("batch"), 3), "who", "kind", buckets=3), "append").collect()
+    want = Counter((who, kind or "") for _, kind, who, _ in rows)
+    last = {}
+    for r in got:
+        last[r.who, r.kind] = max(last.get((r.who, r.kind), (0, 0)), (r.n, r.known))
+    assert {p: n for p, (n, _) in last.items()} == want
+    calls = []
+
+    class State:
+        def get(self):
+            calls.append("get")
+
+        def update(self, value):
+            calls.append(value)
+
+    one = stateful._Kinds(None)
+    one.state = State()
+    list(one.handleInputRows((0,), iter([pd.DataFrame({"key": [str(k) for k in range(500)], "kind": ["a"] * 500})]), None))
+    assert len(calls) == 2 and len(calls[1][0]) == 500

@@ -259,10 +259,14 @@ def percentiles(df: DataFrame, by: Sequence[str], value: str, shares: dict[str,
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: str, salts: int) -> DataFrame:
-    """Inner join for keys that a large share of left has: left is dealt to `salts` parts of each key, right repeated for each."""
+    """Inner join for keys that a large share of left has: left is dealt to `salts` parts of each key, right repeated for each.
+
+    Both sides are sorted: by the size of right's files Spark would send it to all
+    tasks, and what a task then holds would grow with right and the salts.
+    """
     a = left.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)))
     b = right.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return a.join(b, [on, "__salt"]).drop("__salt")
+    return a.join(b.hint("merge"), [on, "__salt"]).drop("__salt")
 
 
 def places(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:

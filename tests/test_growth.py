@@ -172,3 +172,12 @@ def test_kinds_cost_no_calls_for_each_key(spark):
     one.state = State()
     list(one.handleInputRows((0,), iter([pd.DataFrame({"key": [str(k) for k in range(500)], "kind": ["a"] * 500})]), None))
     assert len(calls) == 2 and len(calls[1][0]) == 500
+
+
+def test_lines_are_counted_before_they_are_joined(spark, tmp_path):
+    lines = [(k % 5 if k % 11 else None, ["A", "R", None][k % 3]) for k in range(400)] + [(1, "A")] * 600 + [(77, "A")]
+    d = folder(spark, tmp_path, lineitem=spark.createDataFrame(lines, "l_partkey bigint, l_returnflag string"), part=spark.createDataFrame([(0, "x"), (1, "x"), (2, None), (3, "y"), (3, "z"), (None, "w"), (4, "y")], "p_partkey bigint, p_brand string"))
+    assert same(spark, d, "join_salted", "lineitem", "part") == []
+    plan = catalog.QUERIES["join_salted"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Join Inner") :]  # under the join
+    assert "Aggregate [l_partkey" in below and "strategy=merge" in plan

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import packing
+from ..sources.scratch import remove, written
 from ..sources.tables import table
 from ..streaming import arrivals, stateful
 from ..streaming import windows as S
@@ -92,9 +93,11 @@ SELECT source, chunk, count(*) AS segs, CAST(sum(least(b + n, (chunk + 1) * {BLO
 def pack_stream_timed(spark, d):
     """Documents arrive in five batches, a second apart; a row without words after the last moves the clock on, so that timers close what is open."""
     docs = packing.lengths(table(spark, d, "documents").select("doc_id", "source", "text")).select("doc_id", "source", F.col("n").cast("long").alias("n"), F.timestamp_seconds(F.col("doc_id") + 1).alias("at"))
-    docs = arrivals.delayed(docs, "at", "doc_id", 5, {})
+    counted = written(docs, "lengths")  # texts are read once
+    docs = arrivals.delayed(counted, "at", "doc_id", 5, {})
     end = docs.agg(F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("string").alias("source"), F.lit(0).cast("long").alias("n"), (F.max("at") + F.expr("INTERVAL 2 HOURS")).alias("at"), F.lit(5).cast("long").alias("batch"))
     stream = arrivals.in_turns(docs.unionByName(end), F.col("batch"), 6)
+    remove(counted)
     with S.rocksdb(spark):
         return S.finished(stateful.timed_blocks(stream, BLOCK), "append").select("source", "chunk", "segs", "ntok", "timed")
 

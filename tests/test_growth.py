@@ -181,3 +181,11 @@ def test_lines_are_counted_before_they_are_joined(spark, tmp_path):
     plan = catalog.QUERIES["join_salted"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     below = plan[plan.index("Join Inner") :]  # under the join
     assert "Aggregate [l_partkey" in below and "strategy=merge" in plan
+
+
+def test_timed_blocks_read_texts_once(spark, data, monkeypatch):
+    seen, delayed = [], arrivals.delayed
+    monkeypatch.setattr(arrivals, "delayed", lambda df, *a: (seen.append(df._jdf.queryExecution().optimizedPlan().toString()), delayed(df, *a))[1])
+    got = catalog.QUERIES["pack_stream_timed"](spark, data)
+    assert len(seen) == 1 and "regexp" not in seen[0] and "text#" not in seen[0]
+    assert oracle.differences(got, oracle.duck(data), catalog.ORACLE_SQL["pack_stream_timed"]) == []
